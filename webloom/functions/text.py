@@ -1,10 +1,13 @@
-"""Text scalars (F1, F2, F12-F17, F20) as native Column expressions.
+"""Text scalars (F1, F2, F12-F17, F20) as Spark SQL expressions.
 
 All of these stay inside the JVM (regexp_replace / length / split), so they
 are evaluated by Catalyst and whole-stage codegen.  The one exception is the
 HTML entity decoder ``html_unescape`` (F2): the HTML5 entity table and its
 longest-prefix rule are not expressible with Spark built-ins, so it is an
 Arrow-batched pandas UDF fed only the rows that contain an ``&``.
+
+``*_sql`` functions return SQL text (to compose); the plain names return a
+Column.  Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .core import arg, expr, fresh, q
+
 
 def _java_class(codepoints) -> str:
     return "".join("\\x{%X}" % c for c in codepoints)
@@ -32,84 +37,112 @@ PY_WS = "[" + _java_class(PY_WS_CODEPOINTS) + "]"
 CONTROL_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 C0_OR_SPACE = "[\\x00-\\x20]"
 
-
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+_STRIP_RE = f"^{PY_WS}+|{PY_WS}+\\z"
 
 
-def py_strip(s) -> Column:
+def py_strip_sql(s: str) -> str:
     """``str.strip()`` with Python's Unicode whitespace set."""
-    return F.regexp_replace(_c(s), f"^{PY_WS}+|{PY_WS}+\\z", "")
+    return f"regexp_replace({s}, {q(_STRIP_RE)}, '')"
 
 
-def clean_text(s) -> Column:
+def clean_text_sql(s: str) -> str:
     """collapse whitespace runs to one space, then delete control
-    characters, then strip.  NULL stays NULL (callers coalesce)."""
-    collapsed = F.regexp_replace(_c(s), f"{PY_WS}+", " ")
-    return py_strip(F.regexp_replace(collapsed, CONTROL_CHARS, ""))
+    characters, then strip.  NULL stays NULL."""
+    collapsed = f"regexp_replace({s}, {q(PY_WS + '+')}, ' ')"
+    return py_strip_sql(f"regexp_replace({collapsed}, {q(CONTROL_CHARS)}, '')")
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
+def word_count_sql(s: str) -> str:
+    """``len(s.split())``; NULL/empty gives 0."""
+    w = fresh()
+    return f"size(filter(split(coalesce({s}, ''), {q(PY_WS + '+')}), {w} -> {w} != ''))"
 
 
-def html_unescape(s) -> Column:
-    """decode HTML entities (``html.unescape``).  Only strings containing
-    an ampersand cross into Python; the rest pass through unchanged."""
-    col = _c(s)
-    needs = F.when(F.instr(col, "&") > 0, col)
-    return F.coalesce(_unescape_udf(needs), col)
+def truncate_sql(s: str, n: int) -> str:
+    """first n characters plus '...' when longer."""
+    return f"CASE WHEN length({s}) > {n} THEN concat(substring({s}, 1, {n}), '...') ELSE {s} END"
+
+
+def or_na_sql(s: str) -> str:
+    """empty or missing becomes 'N/A'."""
+    return f"coalesce(nullif({s}, ''), 'N/A')"
+
+
+def status_badge_sql(s: str) -> str:
+    """F16: status → badge class."""
+    return (f"CASE {s} WHEN 'completed' THEN 'success' WHEN 'error' THEN 'danger' "
+            f"WHEN 'running' THEN 'warning' ELSE 'info' END")
+
+
+def format_timestamp_sql(ts: str) -> str:
+    """'yyyy-MM-dd HH:mm:ss' or 'N/A'."""
+    return f"coalesce(date_format({ts}, 'yyyy-MM-dd HH:mm:ss'), 'N/A')"
+
+
+def split_classes_sql(s: str) -> str:
+    """class attribute → array of tokens."""
+    w = fresh()
+    return f"filter(split(coalesce({s}, ''), {q(PY_WS + '+')}), {w} -> {w} != '')"
+
+
+def has_token_sql(s: str, token: str) -> str:
+    """True when the whitespace-separated attribute ``s`` contains ``token``."""
+    import re
+    pat = f"(^|{PY_WS}){re.escape(token)}({PY_WS}|$)"
+    return f"coalesce({s} RLIKE {q(pat)}, false)"
+
+
+# Column wrappers ---------------------------------------------------------
+
+def py_strip(s) -> Column:
+    return expr(py_strip_sql(arg(s)))
 
 
-def clean_scraped_text(s) -> Column:
-    """Scraper-side clean: entity decode, then F1; empty/NULL gives ''."""
-    col = _c(s)
-    return F.when(col.isNull() | (col == ""), F.lit("")).otherwise(clean_text(html_unescape(col)))
+def clean_text(s) -> Column:
+    return expr(clean_text_sql(arg(s)))
 
 
 def char_length(s) -> Column:
     """number of code points."""
-    return F.length(_c(s))
+    return expr(f"length({arg(s)})")
 
 
 def word_count(s) -> Column:
-    """``len(s.split())`` on any string; NULL/empty gives 0."""
-    parts = F.split(F.coalesce(_c(s), F.lit("")), f"{PY_WS}+")
-    return F.size(F.filter(parts, lambda x: x != ""))
+    return expr(word_count_sql(arg(s)))
 
 
 def truncate(s, n: int) -> Column:
-    """first n characters plus '...' when longer."""
-    col = _c(s)
-    return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("..."))).otherwise(col)
+    return expr(truncate_sql(arg(s), n))
 
 
 def or_na(s) -> Column:
-    """empty or missing becomes 'N/A'."""
-    return F.coalesce(F.nullif(_c(s), F.lit("")), F.lit("N/A"))
+    return expr(or_na_sql(arg(s)))
 
 
 def title_case(s) -> Column:
-    """F16: title-case a status word (``initcap``)."""
-    return F.initcap(_c(s))
+    """F16: title-case a status word."""
+    return expr(f"initcap({arg(s)})")
 
 
 def status_badge(s) -> Column:
-    """F16: status → badge colour."""
-    col = _c(s)
-    return (F.when(col == "completed", "success")
-            .when(col == "error", "danger")
-            .when(col == "running", "warning")
-            .otherwise("info"))
+    return expr(status_badge_sql(arg(s)))
 
 
 def format_timestamp(ts) -> Column:
-    """'yyyy-MM-dd HH:mm:ss' or 'N/A'."""
-    return F.coalesce(F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
+    return expr(format_timestamp_sql(arg(ts)))
 
 
 def split_classes(s) -> Column:
-    """class attribute → array of tokens."""
-    col = F.coalesce(_c(s), F.lit(""))
-    return F.filter(F.split(col, f"{PY_WS}+"), lambda x: x != "")
+    return expr(split_classes_sql(arg(s)))
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
+
+
+def html_unescape(col: Column) -> Column:
+    """decode HTML entities (``html.unescape``).  Only strings containing
+    an ampersand cross into Python; the rest pass through unchanged."""
+    needs = F.when(F.instr(col, "&") > 0, col)
+    return F.coalesce(_unescape_udf(needs), col)

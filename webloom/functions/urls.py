@@ -1,4 +1,4 @@
-"""URL scalars (F3-F5) and URL predicates (P3, P4, P6-P9) as Column expressions.
+"""URL scalars (F3-F5) and URL predicates (P3, P4, P6-P9) as Spark SQL.
 
 Splitting and joining follow the semantics of Python's ``urllib.parse``
 (``urlsplit``/``urlparse``/``urljoin``/``urlunsplit``), which is what the
@@ -13,10 +13,9 @@ returns NULL for URLs Python accepts.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .core import let
-from .text import C0_OR_SPACE, PY_WS, py_strip
+from .core import arg, expr, let, q, qlist, struct
+from .text import C0_OR_SPACE, PY_WS, py_strip_sql
 
 # ---------------------------------------------------------------------------
 # Fixed values (Python urllib.parse scheme tables, used verbatim).
@@ -71,235 +70,242 @@ SCRAPING_TYPES = ['static', 'dynamic', 'auto']
 
 _URL_RE = r'(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'
 _PARAMS_RE = r'(?s)^(.*/)?([^/;]*);([^/]*)$'
+_PSEUDO_RE = "^(?:\\#|" + "|".join(PSEUDO_PREFIXES) + ")"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
-def _in(col: Column, values) -> Column:
-    return col.isin(*values)
-
-
-def url_split(u, default_scheme=None) -> Column:
-    """``urlparse`` as a struct<scheme, netloc, path, params, query, fragment, ok>.
+def url_split_sql(u: str, default_scheme: str | None = None) -> str:
+    """``urlparse`` as struct<scheme, netloc, path, params, query, fragment, ok>.
 
     Leading C0-control-or-space is stripped and tab/CR/LF removed first, as
     Python does.  ``ok`` is false where Python raises (unbalanced IPv6
     brackets)."""
-    raw = F.coalesce(_c(u), F.lit(""))
-    pre = F.regexp_replace(F.regexp_replace(raw, f"^{C0_OR_SPACE}+", ""), "[\\t\\r\\n]", "")
+    pre = f"regexp_replace(regexp_replace(coalesce({u}, ''), {q('^' + C0_OR_SPACE + '+')}, ''), {q('[\\t\\r\\n]')}, '')"
+    R = q(_URL_RE)
 
     def split5(p):
-        found = F.lower(F.regexp_extract(p, _URL_RE, 1))
-        scheme = found if default_scheme is None else F.when(found != "", found).otherwise(_c(default_scheme))
-        return F.struct(scheme.alias("scheme"), F.regexp_extract(p, _URL_RE, 2).alias("netloc"),
-                        F.regexp_extract(p, _URL_RE, 3).alias("path"),
-                        F.regexp_extract(p, _URL_RE, 4).alias("query"),
-                        F.regexp_extract(p, _URL_RE, 5).alias("fragment"))
+        found = f"lower(regexp_extract({p}, {R}, 1))"
+        scheme = found if default_scheme is None else \
+            let(found, lambda f: f"CASE WHEN {f} != '' THEN {f} ELSE {default_scheme} END")
+        return struct(("scheme", scheme), ("netloc", f"regexp_extract({p}, {R}, 2)"),
+                      ("path", f"regexp_extract({p}, {R}, 3)"), ("query", f"regexp_extract({p}, {R}, 4)"),
+                      ("fragment", f"regexp_extract({p}, {R}, 5)"))
 
     def with_params(s):
-        has_params = _in(s["scheme"], USES_PARAMS) & s["path"].rlike(_PARAMS_RE)
-        path = F.when(has_params, F.concat(F.regexp_extract(s["path"], _PARAMS_RE, 1),
-                                           F.regexp_extract(s["path"], _PARAMS_RE, 2))).otherwise(s["path"])
-        params = F.when(has_params, F.regexp_extract(s["path"], _PARAMS_RE, 3)).otherwise(F.lit(""))
-        n = s["netloc"]
-        ok = ~((n.contains("[") & ~n.contains("]")) | (n.contains("]") & ~n.contains("[")))
-        return F.struct(s["scheme"].alias("scheme"), n.alias("netloc"), path.alias("path"),
-                        params.alias("params"), s["query"].alias("query"),
-                        s["fragment"].alias("fragment"), ok.alias("ok"))
+        P = q(_PARAMS_RE)
+        has = f"({s}.scheme IN ({qlist(USES_PARAMS)}) AND {s}.path RLIKE {P})"
+        n = f"{s}.netloc"
+        return struct(
+            ("scheme", f"{s}.scheme"), ("netloc", n),
+            ("path", f"CASE WHEN {has} THEN concat(regexp_extract({s}.path, {P}, 1), regexp_extract({s}.path, {P}, 2)) ELSE {s}.path END"),
+            ("params", f"CASE WHEN {has} THEN regexp_extract({s}.path, {P}, 3) ELSE '' END"),
+            ("query", f"{s}.query"), ("fragment", f"{s}.fragment"),
+            ("ok", f"NOT ((contains({n}, '[') AND NOT contains({n}, ']')) OR (contains({n}, ']') AND NOT contains({n}, '[')))"))
 
     return let(let(pre, split5), with_params)
 
 
-def url_scheme(u) -> Column:
-    """lower-cased scheme, '' when absent."""
-    return url_split(u)["scheme"]
-
-
-def url_netloc(u) -> Column:
-    """network location as written (case, port and userinfo kept)."""
-    return url_split(u)["netloc"]
-
-
-def netloc_host(netloc) -> Column:
-    """F4 helper: ``SplitResult.hostname`` from a netloc: after the last '@',
-    bracketed IPv6 or up to the first ':', lower-cased; NULL when empty."""
-    hostinfo = F.regexp_extract(_c(netloc), r'(?s)([^@]*)$', 1)
+def netloc_host_sql(netloc: str) -> str:
+    """``SplitResult.hostname`` from a netloc: after the last '@', bracketed
+    IPv6 or up to the first ':', lower-cased (zone id kept); NULL if empty."""
+    hostinfo = f"regexp_extract({netloc}, {q('(?s)([^@]*)$')}, 1)"
 
     def host_of(h):
-        host = F.when(h.contains("["), F.regexp_extract(h, r'(?s)\[([^\]]*)', 1)).otherwise(
-            F.regexp_extract(h, r'(?s)^([^:]*)', 1))
-        return host
-
-    def lowered(host):
-        # a zone id after '%' keeps its case
-        low = F.when(host.contains("%"),
-                     F.concat(F.lower(F.substring_index(host, "%", 1)), F.lit("%"),
-                              F.regexp_extract(host, r'(?s)%(.*)$', 1))).otherwise(F.lower(host))
-        return F.when(host == "", F.lit(None).cast("string")).otherwise(low)
+        return (f"CASE WHEN contains({h}, '[') THEN regexp_extract({h}, {q('(?s)\\[([^\\]]*)')}, 1) "
+                f"ELSE regexp_extract({h}, {q('(?s)^([^:]*)')}, 1) END")
 
+    def lowered(h):
+        return (f"CASE WHEN {h} = '' THEN CAST(NULL AS STRING) WHEN contains({h}, '%') THEN "
+                f"concat(lower(substring_index({h}, '%', 1)), '%', regexp_extract({h}, {q('(?s)%(.*)$')}, 1)) "
+                f"ELSE lower({h}) END")
     return let(let(hostinfo, host_of), lowered)
 
 
-def url_host(u) -> Column:
-    """``urlparse(u).hostname``."""
-    return netloc_host(url_split(u)["netloc"])
+def _unsplit_sql(scheme, netloc, path, query, fragment) -> str:
+    """``urlunsplit``; each component evaluated once."""
+    def build(c):
+        s, n, p, qy, f = (f"{c}.s", f"{c}.n", f"{c}.p", f"{c}.q", f"{c}.f")
+        body = (f"CASE WHEN {n} != '' THEN concat('//', {n}, CASE WHEN {p} != '' AND NOT startswith({p}, '/') "
+                f"THEN concat('/', {p}) ELSE {p} END) "
+                f"WHEN startswith({p}, '//') THEN concat('//', {p}) "
+                f"WHEN {s} != '' AND {s} IN ({qlist(USES_NETLOC)}) AND ({p} = '' OR startswith({p}, '/')) "
+                f"THEN concat('//', {p}) ELSE {p} END")
+        return (f"concat(CASE WHEN {s} != '' THEN concat({s}, ':') ELSE '' END, {body}, "
+                f"CASE WHEN {qy} != '' THEN concat('?', {qy}) ELSE '' END, "
+                f"CASE WHEN {f} != '' THEN concat('#', {f}) ELSE '' END)")
+    return let(struct(("s", scheme), ("n", netloc), ("p", path), ("q", query), ("f", fragment)), build)
 
 
-def _unsplit(scheme, netloc, path, query, fragment) -> Column:
-    """``urlunsplit``; each component is evaluated once."""
-    def build(c):
-        sch, net, pth, qry, frg = c["s"], c["n"], c["p"], c["q"], c["f"]
-        p = (F.when(net != "", F.concat(F.lit("//"), net,
-                                        F.when((pth != "") & ~pth.startswith("/"),
-                                               F.concat(F.lit("/"), pth)).otherwise(pth)))
-             .when(pth.startswith("//"), F.concat(F.lit("//"), pth))
-             .when((sch != "") & _in(sch, USES_NETLOC) & ((pth == "") | pth.startswith("/")),
-                   F.concat(F.lit("//"), pth))
-             .otherwise(pth))
-        return F.concat(F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(F.lit("")), p,
-                        F.when(qry != "", F.concat(F.lit("?"), qry)).otherwise(F.lit("")),
-                        F.when(frg != "", F.concat(F.lit("#"), frg)).otherwise(F.lit("")))
-    return let(F.struct(scheme.alias("s"), netloc.alias("n"), path.alias("p"),
-                        query.alias("q"), fragment.alias("f")), build)
-
-
-def _unparse(scheme, netloc, path, params, query, fragment) -> Column:
-    full_path = F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(F.lit("")))
-    return _unsplit(scheme, netloc, full_path, query, fragment)
-
-
-def _fold_dots(segments: Column) -> Column:
-    """RFC 3986 dot-segment removal the way urljoin does it."""
-    folded = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    folded = F.when(F.element_at(segments, -1).isin(".", ".."),
-                    F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+def _unparse_sql(scheme, netloc, path, params, query, fragment) -> str:
+    full = f"concat({path}, CASE WHEN {params} != '' THEN concat(';', {params}) ELSE '' END)"
+    return _unsplit_sql(scheme, netloc, full, query, fragment)
 
 
-def _relative_segments(base_path: Column, path: Column) -> Column:
-    def drop_last_file(dirs):
-        return F.when(F.element_at(dirs, -1) != "",
-                      F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0)))).otherwise(dirs)
+def _fold_dots_sql(segs: str) -> str:
+    """RFC 3986 dot-segment removal the way urljoin does it."""
+    folded = (f"aggregate({segs}, CAST(array() AS array<string>), (acc, sg) -> CASE WHEN sg = '..' "
+              f"THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN sg = '.' THEN acc "
+              f"ELSE concat(acc, array(sg)) END)")
+    tailed = f"CASE WHEN element_at({segs}, -1) IN ('.', '..') THEN concat({folded}, array('')) ELSE {folded} END"
+    return let(f"array_join({tailed}, '/')", lambda j: f"CASE WHEN {j} = '' THEN '/' ELSE {j} END")
 
-    def squeeze(rel):
-        n = F.size(rel)
-        return F.when(n >= 2, F.concat(F.slice(rel, 1, 1),
-                                       F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != ""),
-                                       F.slice(rel, -1, 1))).otherwise(rel)
 
-    rel = F.concat(let(F.split(base_path, "/"), drop_last_file), F.split(path, "/"))
-    return F.when(path.startswith("/"), F.split(path, "/")).otherwise(let(rel, squeeze))
+def _relative_segments_sql(bpath: str, path: str) -> str:
+    dirs = let(f"split({bpath}, '/')",
+               lambda d: f"CASE WHEN element_at({d}, -1) != '' THEN slice({d}, 1, greatest(size({d}) - 1, 0)) ELSE {d} END")
 
+    def squeeze(r):
+        return (f"CASE WHEN size({r}) >= 2 THEN concat(slice({r}, 1, 1), "
+                f"filter(slice({r}, 2, greatest(size({r}) - 2, 0)), x -> x != ''), slice({r}, -1, 1)) ELSE {r} END")
+    rel = let(f"concat({dirs}, split({path}, '/'))", squeeze)
+    return f"CASE WHEN startswith({path}, '/') THEN split({path}, '/') ELSE {rel} END"
 
-def url_join_parts(base, base_parts: Column, href) -> Column:
-    """F3 with a pre-split base (``url_split(base)``), so a page's base URL is
-    split once and reused for all of its links."""
-    b = base_parts
 
+def url_join_parts_sql(base: str, b: str, href: str) -> str:
+    """F3 with a pre-split base ``b`` (``url_split_sql(base)``), so a page's
+    base URL is split once and reused for all of its links."""
     def resolve(u, url):
-        scheme = u["scheme"]
-        no_path = (u["path"] == "") & (u["params"] == "")
-        query = F.when((u["netloc"] == "") & no_path & (u["query"] == ""), b["query"]).otherwise(u["query"])
-        path = F.when(no_path, b["path"]).otherwise(
-            let(_relative_segments(b["path"], u["path"]), _fold_dots))
-        params = F.when(no_path, b["params"]).otherwise(u["params"])
-        netloc = F.when(u["netloc"] != "", u["netloc"]).otherwise(b["netloc"])
-        path = F.when(u["netloc"] != "", u["path"]).otherwise(path)
-        params = F.when(u["netloc"] != "", u["params"]).otherwise(params)
-        return F.when((scheme != b["scheme"]) | ~_in(scheme, USES_RELATIVE), url).otherwise(
-            _unparse(scheme, netloc, path, params, query, u["fragment"]))
+        no_path = f"({u}.path = '' AND {u}.params = '')"
+        has_net = f"({u}.netloc != '')"
+        query = f"CASE WHEN NOT {has_net} AND {no_path} AND {u}.query = '' THEN {b}.query ELSE {u}.query END"
+        folded = let(_relative_segments_sql(f"{b}.path", f"{u}.path"), _fold_dots_sql)
+        path = f"CASE WHEN {has_net} THEN {u}.path WHEN {no_path} THEN {b}.path ELSE {folded} END"
+        params = f"CASE WHEN {has_net} THEN {u}.params WHEN {no_path} THEN {b}.params ELSE {u}.params END"
+        netloc = f"CASE WHEN {has_net} THEN {u}.netloc ELSE {b}.netloc END"
+        return (f"CASE WHEN {u}.scheme != {b}.scheme OR {u}.scheme NOT IN ({qlist(USES_RELATIVE)}) THEN {url} "
+                f"ELSE {_unparse_sql(f'{u}.scheme', netloc, path, params, query, f'{u}.fragment')} END")
 
     def run(c):
-        base_s, url = c["b"], c["u"]
-        return (F.when(base_s == "", url)
-                .when(url == "", base_s)
-                .otherwise(let(url_split(url, default_scheme=b["scheme"]), lambda u: resolve(u, url))))
-
-    return let(F.struct(F.coalesce(_c(base), F.lit("")).alias("b"),
-                        F.coalesce(_c(href), F.lit("")).alias("u")), run)
+        bs, url = f"{c}.b", f"{c}.u"
+        joined = let(url_split_sql(url, default_scheme=f"{b}.scheme"), lambda u: resolve(u, url))
+        return f"CASE WHEN {bs} = '' THEN {url} WHEN {url} = '' THEN {bs} ELSE {joined} END"
+    return let(struct(("b", f"coalesce({base}, '')"), ("u", f"coalesce({href}, '')")), run)
 
 
-def url_join(base, href) -> Column:
+def url_join_sql(base: str, href: str) -> str:
     """``urllib.parse.urljoin(base, href)``."""
-    return let(url_split(base), lambda bp: url_join_parts(base, bp, href))
+    return let(url_split_sql(base), lambda b: url_join_parts_sql(base, b, href))
 
 
-def is_external_parts(link, base_parts: Column) -> Column:
-    """F5 with a pre-split base."""
-    return let(url_split(link), lambda lp: ~(lp["ok"] & base_parts["ok"]) | (lp["netloc"] != base_parts["netloc"]))
+def is_external_parts_sql(link: str, b: str) -> str:
+    """F5 with a pre-split base: netloc(link) != netloc(base); a URL that
+    fails to parse counts as external."""
+    return let(url_split_sql(link), lambda p: f"(NOT ({p}.ok AND {b}.ok) OR {p}.netloc != {b}.netloc)")
 
 
-def is_external(link, base) -> Column:
-    """netloc(link) != netloc(base); a URL that fails to parse counts as
-    external."""
-    return let(url_split(base), lambda bp: is_external_parts(link, bp))
+def is_external_sql(link: str, base: str) -> str:
+    return let(url_split_sql(base), lambda b: is_external_parts_sql(link, b))
 
 
-def has_pseudo_prefix(u, with_hash: bool = True) -> Column:
-    lowered = F.lower(_c(u))
-    prefixes = (["#"] if with_hash else []) + PSEUDO_PREFIXES
-    return lowered.rlike("^(?:" + "|".join(p.replace("#", "\\#") for p in prefixes) + ")")
+def has_pseudo_prefix_sql(u: str) -> str:
+    return f"coalesce(lower({u}) RLIKE {q(_PSEUDO_RE)}, false)"
 
 
-def is_valid_url(u) -> Column:
+def is_valid_url_sql(u: str) -> str:
     """Trimmed non-empty, not a fragment or pseudo link, no whitespace
     anywhere, http(s) scheme and a network location."""
     def check(s):
-        def parsed(p):
-            return p["scheme"].isin("http", "https") & (p["netloc"] != "") & p["ok"]
-        return (s != "") & ~has_pseudo_prefix(s) & ~s.rlike(PY_WS) & let(url_split(s), parsed)
-    return F.coalesce(let(py_strip(_c(u)), check), F.lit(False))
+        parsed = let(url_split_sql(s), lambda p: f"({p}.scheme IN ('http', 'https') AND {p}.netloc != '' AND {p}.ok)")
+        return (f"({s} != '' AND NOT {has_pseudo_prefix_sql(s)} AND NOT ({s} RLIKE {q(PY_WS)}) "
+                f"AND {parsed})")
+    return f"coalesce({let(py_strip_sql(u), check)}, false)"
 
 
-def skip_pseudo_link(u) -> Column:
+def skip_pseudo_link_sql(u: str) -> str:
     """True for links dropped before resolution (empty after strip, or a
     fragment/pseudo-scheme link)."""
-    return let(py_strip(F.coalesce(_c(u), F.lit(""))), lambda s: (s == "") | has_pseudo_prefix(s))
+    return let(py_strip_sql(f"coalesce({u}, '')"), lambda s: f"({s} = '' OR {has_pseudo_prefix_sql(s)})")
 
 
-def is_scrapable_url(u) -> Column:
+def is_scrapable_url_sql(u: str) -> str:
     """Syntactic request check; the netloc must be [A-Za-z0-9.-]+ so
     ports and user:pass are rejected."""
     def check(s):
-        def parsed(p):
-            return (p["ok"] & p["scheme"].isin("http", "https") & (p["netloc"] != "")
-                    & p["netloc"].rlike(r'^[a-zA-Z0-9.-]+$'))
-        return (s != "") & let(url_split(s), parsed)
-    return F.coalesce(let(py_strip(_c(u)), check), F.lit(False))
+        parsed = let(url_split_sql(s), lambda p: (f"({p}.ok AND {p}.scheme IN ('http', 'https') AND {p}.netloc != '' "
+                                                  f"AND {p}.netloc RLIKE '^[a-zA-Z0-9.-]+$')"))
+        return f"({s} != '' AND {parsed})"
+    return f"coalesce({let(py_strip_sql(u), check)}, false)"
 
 
-def is_suspicious_url(u) -> Column:
+def is_suspicious_url_sql(u: str) -> str:
     """Any screening pattern found anywhere in the URL."""
-    return F.coalesce(_c(u).rlike("(?i)(?:" + "|".join(SUSPICIOUS_PATTERNS) + ")"), F.lit(False))
+    return f"coalesce({u} RLIKE {q('(?i)(?:' + '|'.join(SUSPICIOUS_PATTERNS) + ')')}, false)"
 
 
-def is_private_url(u) -> Column:
+def is_private_url_sql(u: str) -> str:
     """Missing hostname, a parse error, or a private/loopback host."""
-    pattern = "(?i)(?:" + "|".join(PRIVATE_HOST_PATTERNS) + ")"
+    pat = q("(?i)(?:" + "|".join(PRIVATE_HOST_PATTERNS) + ")")
 
     def check(p):
-        return let(netloc_host(p["netloc"]), lambda host: ~p["ok"] | host.isNull() | host.rlike(pattern))
-    return F.coalesce(let(url_split(u), check), F.lit(True))
+        return let(netloc_host_sql(f"{p}.netloc"),
+                   lambda h: f"(NOT {p}.ok OR {h} IS NULL OR {h} RLIKE {pat})")
+    return f"coalesce({let(url_split_sql(u), check)}, true)"
 
 
-def validate_request(u, scraping_type) -> Column:
+def validate_request_sql(u: str, scraping_type: str) -> str:
     """Ordered request checks → struct<valid, message, warnings>."""
-    t = _c(scraping_type)
-    bad_url = ~is_scrapable_url(u)
-    bad_type = ~F.coalesce(t.isin(*SCRAPING_TYPES), F.lit(False))
-    private = is_private_url(u)
-    warn = F.when(~bad_url & ~bad_type & is_suspicious_url(u),
-                  F.array(F.lit("URL appears suspicious. Please verify it is legitimate."))
-                  ).otherwise(F.array().cast("array<string>"))
-    message = (F.when(bad_url, F.lit("Invalid URL format"))
-               .when(bad_type, F.lit("Invalid scraping type. Must be static, dynamic, or auto"))
-               .when(private, F.lit("Cannot scrape private or localhost URLs"))
-               .otherwise(F.lit("")))
-    return F.struct((message == "").alias("valid"), message.alias("message"), warn.alias("warnings"))
+    def build(c):
+        bad_url, bad_type, private, susp = f"{c}.bad_url", f"{c}.bad_type", f"{c}.private", f"{c}.susp"
+        msg = (f"CASE WHEN {bad_url} THEN 'Invalid URL format' "
+               f"WHEN {bad_type} THEN 'Invalid scraping type. Must be static, dynamic, or auto' "
+               f"WHEN {private} THEN 'Cannot scrape private or localhost URLs' ELSE '' END")
+        warn = (f"CASE WHEN NOT {bad_url} AND NOT {bad_type} AND {susp} "
+                f"THEN array('URL appears suspicious. Please verify it is legitimate.') "
+                f"ELSE CAST(array() AS array<string>) END")
+        return let(msg, lambda m: struct(("valid", f"{m} = ''"), ("message", m), ("warnings", warn)))
+    facts = struct(("bad_url", f"NOT {is_scrapable_url_sql(u)}"),
+                   ("bad_type", f"NOT coalesce({scraping_type} IN ({qlist(SCRAPING_TYPES)}), false)"),
+                   ("private", is_private_url_sql(u)), ("susp", is_suspicious_url_sql(u)))
+    return let(facts, build)
+
+
+# Column wrappers ---------------------------------------------------------
+
+def url_split(u) -> Column:
+    return expr(url_split_sql(arg(u)))
+
+
+def url_scheme(u) -> Column:
+    """lower-cased scheme, '' when absent."""
+    return expr(f"{url_split_sql(arg(u))}.scheme")
+
+
+def url_netloc(u) -> Column:
+    """network location as written (case, port and userinfo kept)."""
+    return expr(f"{url_split_sql(arg(u))}.netloc")
+
+
+def url_host(u) -> Column:
+    """``urlparse(u).hostname``."""
+    return expr(netloc_host_sql(f"{url_split_sql(arg(u))}.netloc"))
+
+
+def url_join(base, href) -> Column:
+    return expr(url_join_sql(arg(base), arg(href)))
+
+
+def is_external(link, base) -> Column:
+    return expr(is_external_sql(arg(link), arg(base)))
+
+
+def is_valid_url(u) -> Column:
+    return expr(is_valid_url_sql(arg(u)))
+
+
+def skip_pseudo_link(u) -> Column:
+    return expr(skip_pseudo_link_sql(arg(u)))
+
+
+def is_scrapable_url(u) -> Column:
+    return expr(is_scrapable_url_sql(arg(u)))
+
+
+def is_suspicious_url(u) -> Column:
+    return expr(is_suspicious_url_sql(arg(u)))
+
+
+def is_private_url(u) -> Column:
+    return expr(is_private_url_sql(arg(u)))
+
+
+def validate_request(u, scraping_type) -> Column:
+    return expr(validate_request_sql(arg(u), arg(scraping_type)))

@@ -1,6 +1,6 @@
-"""H1-H16 — page extractors as native Spark expressions over the flat DOM.
+"""H1-H16 — page extractors as Spark SQL expressions over the flat DOM.
 
-Each extractor is a Column built from higher-order functions
+Each extractor is a Spark SQL expression built from higher-order functions
 (``filter``/``transform``/``slice``) over ``dom.nodes`` of the same row, so
 extraction is page-local: no shuffle, no Python.  ``extract_raw`` assembles
 them into the RAW record of SURVEY §1.2.
@@ -9,336 +9,360 @@ Two dialects: ``mode='static'`` (the HTML-parser scraper) and
 ``mode='dynamic'`` (the rendered-page scraper).  In dynamic mode the
 browser's ``innerText`` is approximated by the DOM text (no layout engine
 here); the other differences — main-content selectors, heading grouping by
-level with id/class, list order, meta rules, form action — are exact.
+level with id/class, list order, meta rules, form action — follow the
+rendered-page scraper.
+
+The ``*_sql`` builders take SQL text for the DOM struct (``d``) and a node
+(``n``) and return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let
-from ..functions.text import PY_WS, clean_scraped_text, py_strip, split_classes
-from ..functions.urls import is_external_parts, url_join_parts, url_split, url_netloc
+from ..functions.core import expr, fresh, lam, let, q, qlist, struct
+from ..functions.text import clean_text_sql, has_token_sql, html_unescape, py_strip_sql, split_classes_sql
+from ..functions.urls import is_external_parts_sql, url_join_parts_sql, url_split_sql
 from .dom import parse_dom
 
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 META_FIELDS = ["description", "keywords", "author", "robots", "viewport"]
 # Main-content candidates, in priority order, per dialect.
-STATIC_MAIN_TAGS = ["main", "article", "section"]
-STATIC_MAIN_SELECTORS = [".content", "#content", ".main-content", ".post-content"]
+STATIC_MAIN_SELECTORS = ["main", "article", "section", ".content", "#content", ".main-content", ".post-content"]
 DYNAMIC_MAIN_SELECTORS = ["main", "article", "section[role=main]", ".content", "#content", ".main-content"]
 MAIN_MIN_CHARS = 200
 PARAGRAPH_MIN_CHARS = 10
+# DOM markers of client frameworks (attribute present).
+FRAMEWORK_MARKERS = [("react", "data-reactroot"), ("vue", "data-v-"), ("angular", "ng-app")]
+
+RAW_STATIC_FIELDS = 12   # keys of the static scraper's record
+RAW_DYNAMIC_FIELDS = 13  # + javascript_info
+
 
+def attr(n: str, name: str) -> str:
+    return f"{n}.attrs[{q(name)}]"
 
-def attr(n: Column, name: str) -> Column:
-    return n["attrs"].getItem(name)
 
+def attr_or_empty(n: str, name: str) -> str:
+    return f"coalesce({attr(n, name)}, '')"
 
-def has_attr(n: Column, name: str) -> Column:
-    return F.map_contains_key(n["attrs"], name)
 
+def has_attr(n: str, name: str) -> str:
+    return f"map_contains_key({n}.attrs, {q(name)})"
 
-def has_class(n: Column, token: str) -> Column:
-    return F.array_contains(split_classes(attr(n, "class")), token)
 
+def is_tag(n: str, tag: str) -> str:
+    return f"{n}.tag = {q(tag)}"
 
-def node_text(dom: Column, n: Column) -> Column:
+
+def node_text(d: str, n: str) -> str:
     """``element.get_text()``: the element's span of the page text."""
-    return F.substring(dom["text"], n["t0"] + 1, n["t1"] - n["t0"])
+    return f"substring({d}.text, {n}.t0 + 1, {n}.t1 - {n}.t0)"
 
 
-def subtree(dom: Column, n: Column) -> Column:
+def subtree(d: str, n: str) -> str:
     """Descendants of ``n`` (``find_all`` scope), in document order."""
-    return F.slice(dom["nodes"], n["i"] + 2, n["last"] - n["i"])
+    return f"slice({d}.nodes, {n}.i + 2, {n}.last - {n}.i)"
+
+
+def where(arr: str, pred) -> str:
+    return f"filter({arr}, {lam(pred)})"
 
 
-def first(arr: Column, pred) -> Column:
-    return F.try_element_at(F.filter(arr, pred), F.lit(1))
+def first(arr: str, pred) -> str:
+    return f"try_element_at({where(arr, pred)}, 1)"
 
 
-def _simple_selector(sel: str):
-    """Predicate for the selector forms the scraper uses: ``tag``, ``.cls``,
+def selector_pred(sel: str):
+    """Predicate for the selector forms the scrapers use: ``tag``, ``.cls``,
     ``#id``, ``tag[attr=value]``."""
     if sel.startswith("."):
-        return lambda n: has_class(n, sel[1:])
+        return lambda n: has_token_sql(attr(n, "class"), sel[1:])
     if sel.startswith("#"):
-        return lambda n: F.coalesce(attr(n, "id") == sel[1:], F.lit(False))
+        return lambda n: f"coalesce({attr(n, 'id')} = {q(sel[1:])}, false)"
     if "[" in sel:
         tag, rest = sel.split("[", 1)
         key, val = rest.rstrip("]").split("=", 1)
-        return lambda n: (n["tag"] == tag) & F.coalesce(attr(n, key) == val.strip('"'), F.lit(False))
-    return lambda n: n["tag"] == sel
+        return lambda n: f"({is_tag(n, tag)} AND coalesce({attr(n, key)} = {q(val.strip('\"'))}, false))"
+    return lambda n: is_tag(n, sel)
 
 
 # --------------------------------------------------------------------------
 # H1-H4, H16 metadata
 
-def extract_title(dom: Column, mode: str = "static") -> Column:
-    """H1: stripped text of the first <title>, else ''."""
-    t = first(dom["nodes"], lambda n: n["tag"] == "title")
-    txt = py_strip(node_text(dom, t))
-    if mode == "dynamic":  # document.title collapses whitespace
-        txt = py_strip(F.regexp_replace(node_text(dom, t), "[\\t\\n\\f\\r ]+", " "))
-    return F.coalesce(txt, F.lit(""))
+def title_sql(d: str, mode: str = "static") -> str:
+    """H1: stripped text of the first <title>, else ''.  (dynamic:
+    document.title also collapses inner whitespace)."""
+    def body(t):
+        txt = node_text(d, t)
+        if mode == "dynamic":
+            txt = f"regexp_replace({txt}, {q('[\\t\\n\\f\\r ]+')}, ' ')"
+        return py_strip_sql(txt)
+    title = first(f"{d}.nodes", lambda n: is_tag(n, "title"))
+    return f"coalesce({let(title, body)}, '')"
 
 
-def extract_meta(dom: Column, name: str, mode: str = "static") -> Column:
-    """H2: static — first <meta name=X>, stripped content ('' if no content);
-    NULL when there is no such tag.  dynamic — last meta whose name
-    (or http-equiv) is X with non-empty content, unstripped."""
+def meta_sql(d: str, name: str, mode: str = "static") -> str:
+    """H2: static — first <meta name=X>: stripped content ('' if it has no
+    content); NULL when there is no such tag.  dynamic — last meta whose
+    name (or http-equiv) is X with non-empty content, unstripped."""
     if mode == "static":
-        m = first(dom["nodes"], lambda n: (n["tag"] == "meta") & F.coalesce(attr(n, "name") == name, F.lit(False)))
-        return F.when(m.isNotNull(), py_strip(F.coalesce(attr(m, "content"), F.lit(""))))
-    hits = F.filter(dom["nodes"], lambda n: (n["tag"] == "meta")
-                    & (F.coalesce(F.nullif(attr(n, "name"), F.lit("")), attr(n, "http-equiv")) == name)
-                    & (F.coalesce(attr(n, "content"), F.lit("")) != ""))
-    return F.try_element_at(F.transform(hits, lambda n: attr(n, "content")), F.lit(-1))
+        m = first(f"{d}.nodes", lambda n: f"({is_tag(n, 'meta')} AND coalesce({attr(n, 'name')} = {q(name)}, false))")
+        return let(m, lambda x: f"CASE WHEN {x} IS NOT NULL THEN {py_strip_sql(attr_or_empty(x, 'content'))} END")
+
+    def hit(n):
+        label = f"coalesce(nullif({attr(n, 'name')}, ''), {attr(n, 'http-equiv')})"
+        return f"({is_tag(n, 'meta')} AND {label} = {q(name)} AND {attr_or_empty(n, 'content')} != '')"
+    return f"try_element_at(transform({where(f'{d}.nodes', hit)}, {lam(lambda n: attr(n, 'content'))}), -1)"
 
 
-def extract_open_graph(dom: Column, mode: str = "static") -> Column:
+def open_graph_sql(d: str, mode: str = "static") -> str:
     """H3: map of og: properties to content, last one wins.  The dynamic
     scraper can only see og: keys given as ``name``/``http-equiv``."""
     if mode == "static":
-        key = lambda n: attr(n, "property")
-        val = lambda n: F.coalesce(attr(n, "content"), F.lit(""))
-        cond = lambda n: (n["tag"] == "meta") & F.coalesce(attr(n, "property").startswith("og:"), F.lit(False))
+        def key(n):
+            return attr(n, "property")
+
+        def val(n):
+            return attr_or_empty(n, "content")
+
+        def cond(n):
+            return f"({is_tag(n, 'meta')} AND coalesce(startswith({key(n)}, 'og:'), false))"
     else:
-        key = lambda n: F.coalesce(F.nullif(attr(n, "name"), F.lit("")), attr(n, "http-equiv"))
-        val = lambda n: attr(n, "content")
-        cond = lambda n: ((n["tag"] == "meta") & F.coalesce(key(n).startswith("og:"), F.lit(False))
-                          & (F.coalesce(attr(n, "content"), F.lit("")) != ""))
-    entries = F.transform(F.filter(dom["nodes"], cond), lambda n: F.struct(key(n).alias("k"), val(n).alias("v")))
+        def key(n):
+            return f"coalesce(nullif({attr(n, 'name')}, ''), {attr(n, 'http-equiv')})"
+
+        def val(n):
+            return attr(n, "content")
+
+        def cond(n):
+            return (f"({is_tag(n, 'meta')} AND coalesce(startswith({key(n)}, 'og:'), false) "
+                    f"AND {attr_or_empty(n, 'content')} != '')")
+    entries = f"transform({where(f'{d}.nodes', cond)}, {lam(lambda n: struct(('k', key(n)), ('v', val(n))))})"
 
     def last_wins(es):
-        keep = F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.greatest(F.size(es) - i - 1, F.lit(0))),
-                                                    lambda x: x["k"] == e["k"]))
-        return F.map_from_entries(keep)
+        e, i, x = fresh(), fresh(), fresh()
+        later = f"slice({es}, {i} + 2, greatest(size({es}) - {i} - 1, 0))"
+        return f"map_from_entries(filter({es}, ({e}, {i}) -> NOT exists({later}, {x} -> {x}.k = {e}.k)))"
     return let(entries, last_wins)
 
 
-def extract_language(dom: Column) -> Column:
+def language_sql(d: str) -> str:
     """H4: <html lang> or ''."""
-    h = first(dom["nodes"], lambda n: n["tag"] == "html")
-    return F.coalesce(attr(h, "lang"), F.lit(""))
-
-
-def extract_page_domain(url) -> Column:
-    """Netloc of the page URL."""
-    return url_netloc(url)
+    h = first(f"{d}.nodes", lambda n: is_tag(n, "html"))
+    return f"coalesce({let(h, lambda x: attr(x, 'lang'))}, '')"
 
 
 # --------------------------------------------------------------------------
 # H5-H9 main content
 
-def select_main_content(dom: Column, mode: str = "static") -> Column:
-    """H5: the main-content element (struct of the node plus ``selector``),
-    or NULL when the page has no body.  Only the first element per selector
-    is tested; it wins when its text is longer than 200 characters
-    (stripped in static mode)."""
-    nodes = dom["nodes"]
-    sels = STATIC_MAIN_TAGS + STATIC_MAIN_SELECTORS if mode == "static" else DYNAMIC_MAIN_SELECTORS
+def main_content_sql(d: str, mode: str = "static") -> str:
+    """H5: struct<node, selector> of the main-content element, or NULL when
+    the page has no body.  Only the first element per selector is tested;
+    it wins when its text is longer than 200 characters (stripped in static
+    mode), else <body>."""
+    sels = STATIC_MAIN_SELECTORS if mode == "static" else DYNAMIC_MAIN_SELECTORS
 
     def heavy(n):
-        t = node_text(dom, n)
-        return F.length(py_strip(t) if mode == "static" else t) > MAIN_MIN_CHARS
-
-    def tag_sel(n, s):
-        return F.struct(n.alias("node"), F.lit(s).alias("selector"))
+        t = node_text(d, n)
+        return f"length({py_strip_sql(t) if mode == 'static' else t}) > {MAIN_MIN_CHARS}"
 
     def candidate(s):
-        return let(first(nodes, _simple_selector(s)),
-                   lambda n: F.when(n.isNotNull() & heavy(n), tag_sel(n, s)))
+        def pick(n):
+            return f"CASE WHEN {n} IS NOT NULL AND {heavy(n)} THEN {struct(('node', n), ('selector', q(s)))} END"
+        return let(first(f"{d}.nodes", selector_pred(s)), pick)
+    body = let(first(f"{d}.nodes", lambda n: is_tag(n, "body")),
+               lambda n: f"CASE WHEN {n} IS NOT NULL THEN {struct(('node', n), ('selector', q('body')))} END")
+    return "coalesce(" + ", ".join([candidate(s) for s in sels] + [body]) + ")"
 
-    choice = F.coalesce(*[candidate(s) for s in sels])
-    body = let(first(nodes, lambda n: n["tag"] == "body"),
-               lambda n: F.when(n.isNotNull(), tag_sel(n, "body")))
-    return F.coalesce(choice, body)
 
-
-def extract_headings(dom: Column, main: Column, mode: str = "static") -> Column:
+def headings_sql(d: str, m: str, mode: str = "static") -> str:
     """H7: h1-h6 under the main element.  static: document order, stripped
     text.  dynamic: grouped by level, with id and class list."""
-    sub = subtree(dom, main)
-    if mode == "static":
-        hs = F.filter(sub, lambda n: n["tag"].isin(*HEADING_TAGS))
-    else:
-        hs = F.array_sort(F.filter(sub, lambda n: n["tag"].isin(*HEADING_TAGS)),
-                          lambda a, b: F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1)
-                          .otherwise(F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)))
-    return F.transform(hs, lambda n: F.struct(
-        F.substring(n["tag"], 2, 1).cast("int").alias("level"),
-        py_strip(node_text(dom, n)).alias("text"),
-        F.coalesce(attr(n, "id"), F.lit("")).alias("id"),
-        split_classes(attr(n, "class")).alias("class")))
+    hs = where(subtree(d, m), lambda n: f"{n}.tag IN ({qlist(HEADING_TAGS)})")
+    if mode == "dynamic":
+        a, b = fresh(), fresh()
+        hs = (f"array_sort({hs}, ({a}, {b}) -> CASE WHEN {a}.tag < {b}.tag THEN -1 WHEN {a}.tag > {b}.tag THEN 1 "
+              f"WHEN {a}.i < {b}.i THEN -1 WHEN {a}.i > {b}.i THEN 1 ELSE 0 END)")
+
+    def one(n):
+        return struct(("level", f"CAST(substring({n}.tag, 2, 1) AS INT)"),
+                      ("text", py_strip_sql(node_text(d, n))),
+                      ("id", attr_or_empty(n, "id")),
+                      ("class", split_classes_sql(attr(n, "class"))))
+    return f"transform({hs}, {lam(one)})"
 
 
-def extract_paragraphs(dom: Column, main: Column) -> Column:
+def paragraphs_sql(d: str, m: str) -> str:
     """H8: stripped <p> texts longer than 10 characters."""
-    texts = F.transform(F.filter(subtree(dom, main), lambda n: n["tag"] == "p"),
-                        lambda n: py_strip(node_text(dom, n)))
-    return F.filter(texts, lambda t: (t != "") & (F.length(t) > PARAGRAPH_MIN_CHARS))
+    ps = where(subtree(d, m), lambda n: is_tag(n, "p"))
+    texts = f"transform({ps}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
+    return where(texts, lambda t: f"({t} != '' AND length({t}) > {PARAGRAPH_MIN_CHARS})")
 
 
-def extract_lists(dom: Column, main: Column, mode: str = "static") -> Column:
+def lists_sql(d: str, m: str, mode: str = "static") -> str:
     """H9: each ul/ol with the stripped text of every li inside it (nested
     items count in every ancestor list).  dynamic: all ul, then all ol."""
-    ls = F.filter(subtree(dom, main), lambda n: n["tag"].isin("ul", "ol"))
+    ls = where(subtree(d, m), lambda n: f"{n}.tag IN ('ul', 'ol')")
     if mode == "dynamic":
-        ls = F.concat(F.filter(ls, lambda n: n["tag"] == "ul"), F.filter(ls, lambda n: n["tag"] == "ol"))
-    return F.transform(ls, lambda l: F.struct(
-        l["tag"].alias("type"),
-        F.transform(F.filter(subtree(dom, l), lambda n: n["tag"] == "li"),
-                    lambda n: py_strip(node_text(dom, n))).alias("items")))
+        ls = let(ls, lambda x: f"concat({where(x, lambda n: is_tag(n, 'ul'))}, {where(x, lambda n: is_tag(n, 'ol'))})")
+
+    def one(l):
+        lis = where(subtree(d, l), lambda n: is_tag(n, "li"))
+        items = f"transform({lis}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
+        return struct(("type", f"{l}.tag"), ("items", items))
+    return f"transform({ls}, {lam(one)})"
 
 
 # --------------------------------------------------------------------------
 # H10-H15 links, images, forms, frameworks
 
-def extract_links(dom: Column, url, base_parts: Column, mode: str = "static") -> Column:
+def _url_ok(u: str) -> str:
+    return f"{url_split_sql(u)}.ok"
+
+
+def links_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     """Every a[href] in the whole page: absolute url, stripped text,
-    title, is_external (dynamic adds target)."""
-    anchors = F.filter(dom["nodes"], lambda n: (n["tag"] == "a") & has_attr(n, "href"))
+    title, is_external (dynamic also target), and whether the href parses."""
+    anchors = where(f"{d}.nodes", lambda n: f"({is_tag(n, 'a')} AND {has_attr(n, 'href')})")
 
     def one(n):
-        def build(u):
-            fields = [u.alias("url"), py_strip(node_text(dom, n)).alias("text"),
-                      F.coalesce(attr(n, "title"), F.lit("")).alias("title"),
-                      (F.coalesce(attr(n, "target"), F.lit("")) if mode == "dynamic" else F.lit("")).alias("target"),
-                      is_external_parts(u, base_parts).alias("is_external"),
-                      let(url_split(attr(n, "href")), lambda p: p["ok"]).alias("ok")]
-            return F.struct(*fields)
-        return let(url_join_parts(url, base_parts, attr(n, "href")), build)
-    return F.transform(anchors, one)
-
-
-def extract_images(dom: Column, url, base_parts: Column) -> Column:
+        href = attr(n, "href")
+        target = attr_or_empty(n, "target") if mode == "dynamic" else "''"
+        return let(url_join_parts_sql(url, b, href), lambda u: struct(
+            ("url", u), ("text", py_strip_sql(node_text(d, n))),
+            ("title", attr_or_empty(n, "title")), ("target", target),
+            ("is_external", is_external_parts_sql(u, b)), ("ok", _url_ok(href))))
+    return f"transform({anchors}, {lam(one)})"
+
+
+def images_sql(d: str, url: str, b: str) -> str:
     """Every img[src]: absolute src, alt, title."""
-    imgs = F.filter(dom["nodes"], lambda n: (n["tag"] == "img") & has_attr(n, "src"))
-    return F.transform(imgs, lambda n: F.struct(
-        url_join_parts(url, base_parts, attr(n, "src")).alias("src"),
-        F.coalesce(attr(n, "alt"), F.lit("")).alias("alt"),
-        F.coalesce(attr(n, "title"), F.lit("")).alias("title"),
-        let(url_split(attr(n, "src")), lambda p: p["ok"]).alias("ok")))
+    imgs = where(f"{d}.nodes", lambda n: f"({is_tag(n, 'img')} AND {has_attr(n, 'src')})")
+
+    def one(n):
+        return struct(("src", url_join_parts_sql(url, b, attr(n, "src"))), ("alt", attr_or_empty(n, "alt")),
+                      ("title", attr_or_empty(n, "title")), ("ok", _url_ok(attr(n, "src"))))
+    return f"transform({imgs}, {lam(one)})"
 
 
-def extract_forms(dom: Column, url, base_parts: Column, mode: str = "static") -> Column:
+def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     """Forms with absolute action (static: missing → page url;
     dynamic: missing stays ''), lower-cased method (default get), and their
     input/select/textarea fields with select options."""
-    forms = F.filter(dom["nodes"], lambda n: n["tag"] == "form")
-
     def option(o):
-        return F.struct(F.coalesce(attr(o, "value"), F.lit("")).alias("value"),
-                        py_strip(node_text(dom, o)).alias("text"),
-                        has_attr(o, "selected").alias("selected"))
+        return struct(("value", attr_or_empty(o, "value")), ("text", py_strip_sql(node_text(d, o))),
+                      ("selected", has_attr(o, "selected")))
 
     def field(f):
-        opts = F.when(f["tag"] == "select",
-                      F.transform(F.filter(subtree(dom, f), lambda n: n["tag"] == "option"), option))
-        return F.struct(F.coalesce(attr(f, "name"), F.lit("")).alias("name"),
-                        F.coalesce(attr(f, "type"), f["tag"]).alias("type"),
-                        F.coalesce(attr(f, "id"), F.lit("")).alias("id"),
-                        F.coalesce(attr(f, "class"), F.lit("")).alias("class_name"),
-                        F.coalesce(attr(f, "placeholder"), F.lit("")).alias("placeholder"),
-                        has_attr(f, "required").alias("required"),
-                        opts.alias("options"))
+        options = where(subtree(d, f), lambda n: is_tag(n, "option"))
+        opts = f"CASE WHEN {is_tag(f, 'select')} THEN transform({options}, {lam(option)}) END"
+        return struct(("name", attr_or_empty(f, "name")), ("type", f"coalesce({attr(f, 'type')}, {f}.tag)"),
+                      ("id", attr_or_empty(f, "id")), ("class_name", attr_or_empty(f, "class")),
+                      ("placeholder", attr_or_empty(f, "placeholder")),
+                      ("required", has_attr(f, "required")), ("options", opts))
 
     def form(n):
-        action_attr = F.coalesce(attr(n, "action"), F.lit(""))
-        action = url_join_parts(url, base_parts, action_attr)
+        action_attr = attr_or_empty(n, "action")
+        action = url_join_parts_sql(url, b, action_attr)
         if mode == "dynamic":
-            action = F.when(action_attr == "", F.lit("")).otherwise(action)
-        fields = F.transform(F.filter(subtree(dom, n), lambda x: x["tag"].isin("input", "select", "textarea")), field)
-        return F.struct(action.alias("action"),
-                        F.lower(F.coalesce(attr(n, "method"), F.lit("get"))).alias("method"),
-                        F.coalesce(attr(n, "id"), F.lit("")).alias("id"),
-                        F.coalesce(attr(n, "class"), F.lit("")).alias("class_name"),
-                        fields.alias("fields"))
-    return F.transform(forms, form)
-
-
-# DOM markers of client frameworks (attribute present).
-FRAMEWORK_MARKERS = [("react", "data-reactroot"), ("vue", "data-v-"), ("angular", "ng-app")]
+            action = f"CASE WHEN {action_attr} = '' THEN '' ELSE {action} END"
+        controls = where(subtree(d, n), lambda x: f"{x}.tag IN ({qlist(['input', 'select', 'textarea'])})")
+        return struct(("action", action), ("method", f"lower(coalesce({attr(n, 'method')}, 'get'))"),
+                      ("id", attr_or_empty(n, "id")), ("class_name", attr_or_empty(n, "class")),
+                      ("fields", f"transform({controls}, {lam(field)})"))
+    return f"transform({where(f'{d}.nodes', lambda n: is_tag(n, 'form'))}, {lam(form)})"
 
 
-def detect_frameworks(dom: Column) -> Column:
+def frameworks_sql(d: str) -> str:
     """Map of framework → true for each DOM marker found."""
-    def marker(k, a):
-        return F.when(F.exists(dom["nodes"], lambda n: has_attr(n, a)),
-                      F.struct(F.lit(k).alias("k"), F.lit(True).alias("v")))
-    entries = [marker(k, a) for k, a in FRAMEWORK_MARKERS]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    def entry(k, a):
+        return f"CASE WHEN exists({d}.nodes, {lam(lambda n: has_attr(n, a))}) THEN {struct(('k', q(k)), ('v', 'true'))} END"
+    e = fresh()
+    entries = ", ".join(entry(k, a) for k, a in FRAMEWORK_MARKERS)
+    return f"map_from_entries(filter(array({entries}), {e} -> {e} IS NOT NULL))"
 
 
-def text_strip_length(dom: Column) -> Column:
+def text_strip_length_sql(d: str) -> str:
     """``len(soup.get_text(strip=True))``: sum of stripped text-node lengths."""
-    runs = dom["runs"]
-    total = F.length(dom["text"])
-
-    def seg_len(start, i):
-        end = F.coalesce(F.try_element_at(runs, i + 2), total)
-        return F.length(py_strip(F.substring(dom["text"], start + 1, end - start)))
-    return F.aggregate(F.transform(runs, seg_len), F.lit(0), lambda a, b: a + b)
+    s, i = fresh(), fresh()
+    end = f"coalesce(try_element_at({d}.runs, {i} + 2), length({d}.text))"
+    seg = py_strip_sql(f"substring({d}.text, {s} + 1, {end} - {s})")
+    a, x = fresh(), fresh()
+    return f"aggregate(transform({d}.runs, ({s}, {i}) -> length({seg})), 0, ({a}, {x}) -> {a} + {x})"
 
 
 # --------------------------------------------------------------------------
 # H0 assembly
 
-RAW_STATIC_FIELDS = 12   # keys of the static scraper's record
-RAW_DYNAMIC_FIELDS = 13  # + javascript_info
-
-
 def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") -> DataFrame:
     """Assemble the RAW record columns from a DataFrame with ``dom``.
 
     Keeps all incoming columns except ``dom``; adds ``metadata``,
-    ``content``, ``links``, ``images``, ``forms``, ``frameworks`` and
-    ``extract_error``."""
-    dom = F.col("dom")
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    staged = parsed.withColumn("_base", url_split(url)) \
-                   .withColumn("_main", select_main_content(dom, mode))
-    base = F.col("_base")
-    main = F.col("_main.node")
-    md = [extract_title(dom, mode).alias("title")]
-    md += [extract_meta(dom, k, mode).alias(k) for k in META_FIELDS]
-    md += [extract_language(dom).alias("language")]
+    ``content``, ``main_selector``, ``links``, ``images``, ``forms``,
+    ``frameworks``, ``text_strip_length`` and ``extract_error``."""
+    keep = [c for c in parsed.columns if c != "dom"]
+    url = f"coalesce(`{url_col}`, '')"
+    staged = parsed.select("*", expr(url_split_sql(url)).alias("_base"),
+                           expr(main_content_sql("dom", mode)).alias("_main"))
+    md = [("title", title_sql("dom", mode))]
+    md += [(k, meta_sql("dom", k, mode)) for k in META_FIELDS]
+    md += [("language", language_sql("dom"))]
     if mode == "dynamic":
-        md += [url.alias("url"), base["netloc"].alias("domain")]
+        md += [("url", url), ("domain", "_base.netloc")]
     else:
-        md += [F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("domain")]
-    md += [extract_open_graph(dom, mode).alias("open_graph")]
-    content = F.when(main.isNotNull(), F.struct(
-        clean_scraped_text(node_text(dom, main)).alias("text"),
-        extract_headings(dom, main, mode).alias("headings"),
-        extract_paragraphs(dom, main).alias("paragraphs"),
-        extract_lists(dom, main, mode).alias("lists")))
-    links = extract_links(dom, url, base, mode)
-    images = extract_images(dom, url, base)
-    forms = extract_forms(dom, url, base, mode)
-    out = staged.select(
-        *[c for c in parsed.columns if c != "dom"],
-        F.struct(*md).alias("metadata"),
-        content.alias("content"),
+        md += [("url", "CAST(NULL AS STRING)"), ("domain", "CAST(NULL AS STRING)")]
+    md += [("open_graph", open_graph_sql("dom", mode))]
+    m = "_main.node"
+    frameworks = frameworks_sql("dom") if mode == "dynamic" else "CAST(map() AS map<string,boolean>)"
+    structure = struct(("headings", headings_sql("dom", m, mode)), ("paragraphs", paragraphs_sql("dom", m)),
+                       ("lists", lists_sql("dom", m, mode)))
+    extracted = staged.select(
+        *keep,
+        expr(struct(*md)).alias("metadata"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {node_text('dom', m)} END").alias("_main_text"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {structure} END").alias("_content"),
         F.col("_main.selector").alias("main_selector"),
-        links.alias("_links"), images.alias("_images"), forms.alias("forms"),
-        (detect_frameworks(dom) if mode == "dynamic" else F.create_map().cast("map<string,boolean>")).alias("frameworks"),
-        text_strip_length(dom).alias("text_strip_length"),
-        dom["error"].alias("_parse_error"),
+        expr(links_sql("dom", url, "_base", mode)).alias("_links"),
+        expr(images_sql("dom", url, "_base")).alias("_images"),
+        expr(forms_sql("dom", url, "_base", mode)).alias("forms"),
+        expr(frameworks).alias("frameworks"),
+        expr(text_strip_length_sql("dom")).alias("text_strip_length"),
+        F.col("dom.error").alias("_parse_error"),
     )
-    url_bad = F.exists("_links", lambda l: ~l["ok"]) | F.exists("_images", lambda i: ~i["ok"])
-    link_fields = ["url", "text", "title", "target", "is_external"]
-    return out.select(
-        *[c for c in out.columns if not c.startswith("_")],
-        F.transform("_links", lambda l: F.struct(*[l[f].alias(f) for f in link_fields])).alias("links"),
-        F.transform("_images", lambda i: F.struct(*[i[f].alias(f) for f in ["src", "alt", "title"]])).alias("images"),
-        F.coalesce(F.col("_parse_error"),
-                   F.when(url_bad, F.lit("ValueError: Invalid IPv6 URL"))).alias("extract_error"),
+    # the scraper's text clean decodes entities a second time.
+    decoded = extracted.withColumn("_main_text", html_unescape(F.col("_main_text")))
+    content = struct(("text", clean_text_sql("_main_text")), ("headings", "_content.headings"),
+                     ("paragraphs", "_content.paragraphs"), ("lists", "_content.lists"))
+    link_fields = struct(*[(f, f"x.{f}") for f in ["url", "text", "title", "target", "is_external"]])
+    image_fields = struct(*[(f, f"x.{f}") for f in ["src", "alt", "title"]])
+    return decoded.select(
+        *keep, "metadata",
+        expr(f"CASE WHEN _content IS NOT NULL THEN {content} END").alias("content"),
+        "main_selector",
+        expr(f"transform(_links, x -> {link_fields})").alias("links"),
+        expr(f"transform(_images, x -> {image_fields})").alias("images"),
+        "forms", "frameworks", "text_strip_length",
+        expr("coalesce(_parse_error, CASE WHEN exists(_links, x -> NOT x.ok) OR exists(_images, x -> NOT x.ok) "
+             "THEN 'ValueError: Invalid IPv6 URL' END)").alias("extract_error"),
     )
 
 
 def extract_raw(pages: DataFrame, mode: str = "static", html_col: str = "html") -> DataFrame:
     """H0: pages(page_id, url, html, ...) → RAW columns (one parse per page)."""
     return dom_to_raw(parse_dom(pages, html_col=html_col), mode)
+
+
+# Column wrappers for single extractors over a ``dom`` column -------------
+
+def extract_title(dom: str = "dom", mode: str = "static"):
+    return expr(title_sql(dom, mode))
+
+
+def extract_language(dom: str = "dom"):
+    return expr(language_sql(dom))
+
+
+def select_main_content(dom: str = "dom", mode: str = "static"):
+    return expr(main_content_sql(dom, mode))
