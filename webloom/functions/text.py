@@ -22,8 +22,23 @@ from pyspark.sql import types as T
 from .core import arg, expr, fresh, q
 
 
+def _ranges(codepoints):
+    out = []
+    for c in sorted(codepoints):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return out
+
+
 def _java_class(codepoints) -> str:
-    return "".join("\\x{%X}" % c for c in codepoints)
+    return "".join("\\x{%X}" % a if a == b else "\\x{%X}-\\x{%X}" % (a, b) for a, b in _ranges(codepoints))
+
+
+def chars_literal(codepoints) -> str:
+    """A Spark SQL string literal holding exactly these characters."""
+    return "'" + "".join("\\u%04x" % c for c in codepoints) + "'"
 
 
 # Python's notion of whitespace (str.isspace / str.split / str.strip / re \s),
@@ -34,28 +49,31 @@ PY_WS = "[" + _java_class(PY_WS_CODEPOINTS) + "]"
 
 # The control-character class removed by the clean-text rule,
 # and the C0-control-or-space set stripped by URL splitting.
-CONTROL_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
+CONTROL_CODEPOINTS = list(range(0x00, 0x09)) + [0x0B, 0x0C] + list(range(0x0E, 0x20)) + [0x7F]
+CONTROL_CHARS = "[" + _java_class(CONTROL_CODEPOINTS) + "]"
 C0_OR_SPACE = "[\\x00-\\x20]"
 
-_STRIP_RE = f"^{PY_WS}+|{PY_WS}+\\z"
+_WS_LITERAL = chars_literal(PY_WS_CODEPOINTS)
+_CONTROL_LITERAL = chars_literal(CONTROL_CODEPOINTS)
 
 
 def py_strip_sql(s: str) -> str:
-    """``str.strip()`` with Python's Unicode whitespace set."""
-    return f"regexp_replace({s}, {q(_STRIP_RE)}, '')"
+    """``str.strip()`` with Python's Unicode whitespace set (native btrim)."""
+    return f"btrim({s}, {_WS_LITERAL})"
 
 
 def clean_text_sql(s: str) -> str:
     """collapse whitespace runs to one space, then delete control
-    characters, then strip.  NULL stays NULL."""
+    characters (``translate``), then strip.  NULL stays NULL."""
     collapsed = f"regexp_replace({s}, {q(PY_WS + '+')}, ' ')"
-    return py_strip_sql(f"regexp_replace({collapsed}, {q(CONTROL_CHARS)}, '')")
+    return py_strip_sql(f"translate({collapsed}, {_CONTROL_LITERAL}, '')")
 
 
 def word_count_sql(s: str) -> str:
     """``len(s.split())``; NULL/empty gives 0."""
     w = fresh()
-    return f"size(filter(split(coalesce({s}, ''), {q(PY_WS + '+')}), {w} -> {w} != ''))"
+    spaced = f"regexp_replace(coalesce({s}, ''), {q(PY_WS + '+')}, ' ')"
+    return f"size(filter(split({spaced}, ' '), {w} -> {w} != ''))"
 
 
 def truncate_sql(s: str, n: int) -> str:

@@ -92,3 +92,67 @@ anc_rows AS (
          lower(scheme) || '://' || netloc || hrefs[i] AS abs_url
   FROM anc_i)
 """
+
+
+def scheme(u: str) -> str:
+    return f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"
+
+
+def netloc(u: str) -> str:
+    return f"regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)"
+
+
+def origin(u: str) -> str:
+    return f"({scheme(u)} || '://' || {netloc(u)})"
+
+
+def base_dir(u: str) -> str:
+    path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+    return f"regexp_replace(CASE WHEN {path} = '' THEN '/' ELSE {path} END, '[^/]*$', '')"
+
+
+def resolve_simple(src: str, base: str) -> str:
+    """urljoin for the fixture's href shapes: absolute, pseudo, root-relative
+    and plain relative (no dot segments)."""
+    return (f"CASE WHEN {src} LIKE 'http://%' OR {src} LIKE 'https://%' OR {src} LIKE 'data:%' THEN {src} "
+            f"WHEN {src} LIKE '/%' THEN {origin(base)} || {src} "
+            f"ELSE {origin(base)} || {base_dir(base)} || {src} END")
+
+
+PART_IMAGES = """
+pimg AS (
+  SELECT p.p_partkey // 8 AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS alt,
+         CASE p.p_partkey % 4 WHEN 0 THEN '/img/' || CAST(p.p_partkey % 7 AS VARCHAR) || '.png'
+              WHEN 1 THEN 'https://cdn.example.com/' || CAST(p.p_partkey % 5 AS VARCHAR)
+              WHEN 2 THEN 'data:x' ELSE ' a b.png' END AS src
+  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey // 8)
+"""
+
+PART_LINKS = """
+plink AS (
+  SELECT p.p_partkey // 6 AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS text,
+         CASE p.p_partkey % 6 WHEN 0 THEN '/p/' || CAST(p.p_size AS VARCHAR)
+              WHEN 1 THEN 'mailto:x' || CAST(p.p_partkey AS VARCHAR) || '@example.com' WHEN 2 THEN '#frag'
+              WHEN 3 THEN 'https://other.example/' || p.p_brand
+              WHEN 4 THEN '  /p/' || CAST(p.p_size AS VARCHAR)
+              ELSE 'HTTP://UPPER.example/x' || CAST(p.p_size AS VARCHAR) END AS url
+  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey // 6)
+"""
+
+REQUEST_URLS = """
+SELECT url, CASE WHEN url LIKE '%/en/%' THEN 'static' WHEN url LIKE '%/fr/%' THEN 'dynamic'
+                 WHEN url LIKE '%/de/%' THEN 'bogus' ELSE 'auto' END AS scraping_type
+FROM (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES
+  ('http://localhost/x'), ('http://10.1.2.3/a'), ('https://h.example.com/v10.2'), ('https://h.example.com:80/p'),
+  ('ftp://h.example/f'), ('http://user:pw@h.example.com/'), ('http://192.168.0.1/'), ('javascript:alert(1)'), (''),
+  ('   https://ok.example/  '), ('https://[::1]/'), ('http://172.20.1.1/'), ('http://169.254.0.1/')) t(url))
+"""
+
+_HOSTINFO = f"regexp_extract({netloc('ltrim(url)')}, '([^@]*)$', 1)"
+_HOST = (f"lower(CASE WHEN {_HOSTINFO} LIKE '[%' THEN regexp_extract({_HOSTINFO}, '\\[([^\\]]*)', 1) "
+         f"ELSE regexp_extract({_HOSTINFO}, '^([^:]*)', 1) END)")
+REQUEST_FACTS = f"""
+  ({scheme('trim(url)')} IN ('http', 'https') AND regexp_full_match({netloc('trim(url)')}, '[a-zA-Z0-9.\\-]+')) AS scrapable,
+  regexp_matches(url, '(?i)(localhost|127\\.0\\.0\\.1|192\\.168\\.|10\\.|172\\.1[6-9]\\.|172\\.2[0-9]\\.|172\\.3[0-1]\\.|file://|ftp://|javascript:|data:|mailto:|tel:)') AS suspicious,
+  ({_HOST} = '' OR regexp_matches({_HOST}, '^(localhost$|127\\.0\\.0\\.1$|192\\.168\\.|10\\.|172\\.1[6-9]\\.|172\\.2[0-9]\\.|172\\.3[0-1]\\.|169\\.254\\.|::1$|fc00:|fe80:)')) AS private
+"""

@@ -265,3 +265,132 @@ def q_or_na(spark, sf):
     """the first URL mentioned in a document, or 'N/A'."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", TX.or_na("regexp_extract(text, 'https?://[^ ]+', 0)").alias("first_url"))
+
+
+# ==========================================================================
+# Flat fixtures: images (F7, D2, W2) and links
+
+from ..operators import flat as FL  # noqa: E402
+from . import derived as DV  # noqa: E402
+
+
+def _images_flat(spark, sf):
+    rows = DV.part_images(spark, sf)
+    deduped = FL.dedup_first_flat(rows, "src")
+    return FL.normalize_images_flat(deduped, "src", "base_url")
+
+
+@query("images_table", f"""
+WITH {O.PART_IMAGES},
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, src ORDER BY pos) AS rn FROM pimg),
+n AS (SELECT *, {O.resolve_simple('trim(src)', 'base_url')} AS abs_src FROM d WHERE rn = 1),
+v AS (SELECT * FROM n WHERE abs_src LIKE 'http%' AND abs_src NOT LIKE '% %')
+SELECT CAST(page_id AS VARCHAR) || '_img_' || CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS VARCHAR) AS image_id,
+       CAST(page_id AS VARCHAR) AS page_id, abs_src AS image_src, alt AS image_alt,
+       {O.netloc('abs_src')} != {O.netloc('base_url')} AS is_external
+FROM v
+""")
+def q_images_table(spark, sf):
+    """W2 (+D2, F7, P3, F5, F11) over image rows: first occurrence per src,
+    resolved, valid ones numbered per page."""
+    numbered = FL.number_valid_flat(_images_flat(spark, sf), "src", "base_url", number_col="n")
+    return numbered.select(F.expr("concat(CAST(page_id AS STRING), '_img_', CAST(n AS STRING))").alias("image_id"),
+                           _pid(), F.col("src").alias("image_src"), F.col("alt").alias("image_alt"), "is_external")
+
+
+@query("normalize_images", f"""
+WITH {O.PART_IMAGES},
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, src ORDER BY pos) AS rn FROM pimg),
+n AS (SELECT *, {O.resolve_simple('trim(src)', 'base_url')} AS abs_src FROM d WHERE rn = 1)
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(count(*) AS BIGINT) AS image_count
+FROM n WHERE abs_src LIKE 'http://%' OR abs_src LIKE 'https://%' GROUP BY page_id
+""")
+def q_normalize_images(spark, sf):
+    """images kept by normalisation per page (the page table's
+    image_count, counted before the URL validity filter — quirk Q4)."""
+    return longs(_images_flat(spark, sf).groupBy(_pid()).agg(F.count(F.lit(1)).alias("image_count")))
+
+
+@query("normalize_links", f"""
+WITH {O.PART_LINKS},
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM plink),
+s AS (SELECT *, trim(url) AS raw FROM d WHERE rn = 1),
+k AS (SELECT * FROM s WHERE raw <> '' AND NOT regexp_matches(lower(raw), '^(#|javascript:|mailto:|tel:|data:|ftp:|file:)')),
+n AS (SELECT *, CASE WHEN raw LIKE 'http://%' OR raw LIKE 'https://%' THEN raw
+                     WHEN lower(raw) LIKE 'http://%' AND {O.scheme('base_url')} = 'http' THEN 'http' || substr(raw, 5)
+                     WHEN lower(raw) LIKE 'http://%' THEN raw
+                     ELSE {O.origin('base_url')} || raw END AS link_url FROM k)
+SELECT CAST(page_id AS VARCHAR) AS page_id,
+       CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS link_number,
+       link_url, text AS link_text, {O.netloc('link_url')} != {O.netloc('base_url')} AS is_external
+FROM n
+""")
+def q_normalize_links(spark, sf):
+    """F6 (+P4, D1, P3, W1, F5) over link rows: dedup on the raw href before
+    normalisation (so '/p/1' and '  /p/1' both survive), pseudo links
+    dropped, upper-case schemes resolved as Python does."""
+    rows = DV.part_links(spark, sf)
+    deduped = FL.dedup_first_flat(rows, "url")
+    normed = FL.normalize_links_flat(deduped, "url", "base_url")
+    numbered = FL.number_valid_flat(normed, "url", "base_url", number_col="link_number")
+    return longs(numbered.select(_pid(), "link_number", F.col("url").alias("link_url"),
+                                 F.col("text").alias("link_text"), "is_external"))
+
+
+# ==========================================================================
+# URL scalars and request checks
+
+@query("url_parts", f"""
+WITH r AS ({O.REQUEST_URLS})
+SELECT url, {O.scheme('trim(url)')} AS scheme, {O.netloc('trim(url)')} AS netloc FROM r
+""")
+def q_url_parts(spark, sf):
+    """scheme and netloc of every request URL."""
+    r = DV.request_urls(spark, sf)
+    return r.select("url", U.url_scheme("btrim(url)").alias("scheme"), U.url_netloc("btrim(url)").alias("netloc"))
+
+
+@query("url_join", f"""
+WITH {O.ANCHORS}
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(pos AS BIGINT) AS pos, abs_url AS joined FROM anc_rows
+""")
+def q_url_join(spark, sf):
+    """every href of every page resolved against the page URL."""
+    pages = table(spark, sf, "pages")
+    hrefs = pages.select("page_id", "url", F.posexplode(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"))
+                         .alias("p", "href"))
+    return longs(hrefs.select(_pid(), (F.col("p") + 1).alias("pos"), U.url_join("url", "href").alias("joined")))
+
+
+@query("is_valid_url", f"""
+WITH {O.PART_LINKS}
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(pos AS BIGINT) AS pos,
+       (trim(url) LIKE 'http://%' OR trim(url) LIKE 'https://%' OR trim(url) LIKE 'HTTP://%') AND trim(url) NOT LIKE '% %' AS valid,
+       trim(url) = '' OR regexp_matches(lower(trim(url)), '^(#|javascript:|mailto:|tel:|data:|ftp:|file:)') AS pseudo
+FROM plink
+""")
+def q_is_valid_url(spark, sf):
+    """Validity and pseudo-link test of every raw link href."""
+    rows = DV.part_links(spark, sf)
+    return longs(rows.select(_pid(), "pos", U.is_valid_url("url").alias("valid"),
+                             U.skip_pseudo_link("url").alias("pseudo")))
+
+
+@query("validate_request", f"""
+WITH r AS ({O.REQUEST_URLS}), f AS (SELECT url, scraping_type, {O.REQUEST_FACTS} FROM r)
+SELECT url, scraping_type, scrapable, suspicious, private,
+       CASE WHEN NOT scrapable THEN 'Invalid URL format'
+            WHEN scraping_type NOT IN ('static', 'dynamic', 'auto') THEN 'Invalid scraping type. Must be static, dynamic, or auto'
+            WHEN private THEN 'Cannot scrape private or localhost URLs' ELSE '' END AS message,
+       CAST(CASE WHEN scrapable AND scraping_type IN ('static', 'dynamic', 'auto') AND suspicious THEN 1 ELSE 0 END AS BIGINT) AS n_warnings
+FROM f
+""")
+def q_validate_request(spark, sf):
+    """Scrapable, suspicious and private checks and the ordered
+    request verdict for every page URL plus probe URLs."""
+    r = DV.request_urls(spark, sf)
+    v = r.select("url", "scraping_type", U.is_scrapable_url("url").alias("scrapable"),
+                 U.is_suspicious_url("url").alias("suspicious"), U.is_private_url("url").alias("private"),
+                 U.validate_request("url", "scraping_type").alias("v"))
+    return longs(v.select("url", "scraping_type", "scrapable", "suspicious", "private",
+                          F.col("v.message").alias("message"), F.size("v.warnings").alias("n_warnings")))
