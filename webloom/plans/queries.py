@@ -394,3 +394,190 @@ def q_validate_request(spark, sf):
                  U.validate_request("url", "scraping_type").alias("v"))
     return longs(v.select("url", "scraping_type", "scrapable", "suspicious", "private",
                           F.col("v.message").alias("message"), F.size("v.warnings").alias("n_warnings")))
+
+
+# ==========================================================================
+# Gates (P1, P2, P10-P16, P19, P20, J1-J3, J5, A5, A7)
+
+from ..operators import gates as G  # noqa: E402
+from ..operators import runs as RN  # noqa: E402
+from ..operators.dom import parse_dom  # noqa: E402
+from .scrape import gate_columns, markup_markers_sql, scrape_pages  # noqa: E402
+
+PROBE_KEYWORDS = ["zzz", "ción", "sch", "the"]
+KEYWORD_TABLE = [("captcha", 1), ("verify", 2), ("robot", 3), ("human", 4), ("prove", 5),
+                 ("ción", 6), ("sch", 7), ("the", 8)]
+
+
+@query("captcha_by_text", f"""
+WITH {O.DOC_TEXT}
+SELECT CAST(page_id AS VARCHAR) AS page_id,
+       {O.first_keyword('lower(doc_text)', G.GATE_KEYWORDS)} AS gate_keyword,
+       {O.first_keyword('lower(doc_text)', PROBE_KEYWORDS)} AS probe_keyword
+FROM dt
+""")
+def q_captcha_by_text(spark, sf):
+    """First keyword found in the page text, for the gate list and a
+    probe list whose words do occur."""
+    d = parse_dom(scan_pages(spark, f"{sf}/pages.parquet"))
+    return d.select(_pid(), F.expr(G.captcha_by_text_sql("dom.text", G.GATE_KEYWORDS)).alias("gate_keyword"),
+                    F.expr(G.captcha_by_text_sql("dom.text", PROBE_KEYWORDS)).alias("probe_keyword"))
+
+
+@query("gate_captcha", f"""
+WITH {O.DOC_TEXT}, {O.FETCHED}
+SELECT CAST(page_id AS VARCHAR) AS page_id, has_captcha, type, indicator FROM (
+  SELECT page_id,
+    CASE WHEN server LIKE '%cloudflare%' THEN true WHEN status = 200 THEN sel IS NOT NULL OR kw IS NOT NULL
+         WHEN status IN (403, 429, 503) THEN true ELSE false END AS has_captcha,
+    CASE WHEN server LIKE '%cloudflare%' THEN 'header' WHEN status = 200 AND sel IS NOT NULL THEN 'selector'
+         WHEN status = 200 AND kw IS NOT NULL THEN 'text' WHEN status IN (403, 429, 503) THEN 'status' END AS type,
+    CASE WHEN server LIKE '%cloudflare%' THEN 'server: cloudflare' WHEN status = 200 AND sel IS NOT NULL THEN sel
+         WHEN status = 200 AND kw IS NOT NULL THEN kw WHEN status IN (403, 429, 503) THEN CAST(status AS VARCHAR) END AS indicator
+  FROM (SELECT f.*, {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
+               CASE WHEN regexp_matches(f.html, 'class="[^"]*captcha') THEN '[class*="captcha"]'
+                    WHEN regexp_matches(f.html, 'id="[^"]*captcha') THEN '[id*="captcha"]' END AS sel
+        FROM fp f JOIN dt ON dt.page_id = f.page_id))
+""")
+def q_gate_captcha(spark, sf):
+    """Header → selectors/text (status 200) → status gate."""
+    g = gate_columns(DV.fetched_pages(spark, sf))
+    return g.select(_pid(), "captcha.has_captcha", "captcha.type", "captcha.indicator")
+
+
+@query("classify_rendering", f"""
+WITH {O.DOC_TEXT}, {O.FETCHED}
+SELECT CAST(f.page_id AS VARCHAR) AS page_id,
+  CASE WHEN f.status != 200 OR {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < {G.MIN_STATIC_TEXT}
+       THEN 'dynamic' ELSE 'static' END AS rendering,
+  CASE WHEN f.url LIKE '%/en/%' THEN 'static' WHEN f.url LIKE '%/fr/%' THEN 'dynamic'
+       WHEN f.status != 200 OR {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < {G.MIN_STATIC_TEXT}
+       THEN 'dynamic' ELSE 'static' END AS route
+FROM fp f JOIN dt ON dt.page_id = f.page_id
+""")
+def q_classify_rendering(spark, sf):
+    """Static-or-dynamic detection and routing by request type."""
+    fp = DV.fetched_pages(spark, sf).withColumn("_markup_dynamic", F.expr(markup_markers_sql("html")))
+    raw = dom_to_raw_plain(parse_dom(fp))
+    rtype = "CASE WHEN url LIKE '%/en/%' THEN 'static' WHEN url LIKE '%/fr/%' THEN 'dynamic' ELSE 'auto' END"
+    rendering = (f"CASE WHEN coalesce(http_status_code, 200) != 200 OR _markup_dynamic "
+                 f"OR text_strip_length < {G.MIN_STATIC_TEXT} THEN 'dynamic' ELSE 'static' END")
+    r = raw.select("page_id", "url", F.expr(rendering).alias("rendering"))
+    return r.select(_pid(), "rendering", F.expr(G.route_by_type_sql(rtype, "rendering")).alias("route"))
+
+
+def dom_to_raw_plain(parsed):
+    from ..operators.extract import dom_to_raw
+    return dom_to_raw(parsed)
+
+
+@query("robots_allowed", f"""
+WITH u AS (SELECT page_id, url, {O.netloc('url')} AS host,
+                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS page_id, url,
+  CASE WHEN host LIKE 'blog.%' THEN true WHEN host LIKE 'www.%' THEN NOT starts_with(rest, '/en/')
+       ELSE starts_with(rest, '/fr/1') OR NOT starts_with(rest, '/fr/') END AS allowed,
+  CASE WHEN host LIKE 'blog.%' OR host LIKE 'www.%' THEN 1.0 ELSE 2.0 END AS crawl_delay
+FROM u
+""")
+def q_robots_allowed(spark, sf):
+    """Robots.txt verdict and crawl delay for every page URL."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    out = G.robots_allowed(pages, DV.robots_files(spark, sf), "url")
+    return out.select(_pid(), "url", "allowed", "crawl_delay")
+
+
+@query("robots_as_of", """
+WITH req AS (SELECT event_id AS request_id, user_id AS host, ts FROM events WHERE event_type = 'click'),
+snap AS (SELECT event_id AS snapshot_id, user_id AS host, ts FROM events WHERE event_type = 'signup')
+SELECT req.request_id,
+       CASE WHEN snap.ts IS NOT NULL AND epoch_us(req.ts) - epoch_us(snap.ts) < 3600000000
+            THEN strftime(snap.ts, '%Y-%m-%d %H:%M:%S.%f') END AS snapshot_ts
+FROM req ASOF LEFT JOIN snap ON req.host = snap.host AND req.ts >= snap.ts
+""")
+def q_robots_as_of(spark, sf):
+    """Newest robots snapshot no older than the TTL for each request
+    (clicks = requests, signups = snapshots, host = user)."""
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    req = ev.filter("event_type = 'click'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("host"), "ts")
+    snap = ev.filter("event_type = 'signup'").select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("snapshot_id"))
+    out = G.robots_as_of(req, snap)
+    return out.select("request_id", F.date_format("snapshot_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("snapshot_ts"))
+
+
+@query("keyword_semi_join", f"""
+WITH {O.DOC_TEXT},
+kw AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {o})" for k, o in KEYWORD_TABLE)}) t(keyword, ord)),
+hits AS (SELECT dt.page_id, kw.keyword, kw.ord FROM dt JOIN kw ON contains(lower(dt.doc_text), kw.keyword))
+SELECT CAST(dt.page_id AS VARCHAR) AS page_id, arg_min(hits.keyword, hits.ord) AS first_keyword,
+       CAST(count(hits.keyword) AS BIGINT) AS n_keywords
+FROM dt LEFT JOIN hits ON hits.page_id = dt.page_id GROUP BY dt.page_id
+""")
+def q_keyword_semi_join(spark, sf):
+    """Table-driven keyword gate — first keyword by priority and the
+    number of keywords found in each page's text."""
+    d = parse_dom(scan_pages(spark, f"{sf}/pages.parquet")).select(_pid(), F.col("dom.text").alias("text"))
+    kw = spark.createDataFrame(KEYWORD_TABLE, "keyword string, ord int")
+    return longs(G.keyword_first_match(d, kw, "page_id", "text"))
+
+
+@query("gate_pipeline", f"""
+WITH {O.DOC_TEXT}, {O.FETCHED}, {O.PAGES_MAIN},
+u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages),
+g AS (SELECT f.page_id, f.status, f.server,
+             CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
+                  ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
+             {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
+             {O.first_keyword('lower(dt.doc_text)', G.STATIC_FETCH_KEYWORDS)} AS kw6,
+             pm.text AS main_text
+      FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id)
+SELECT CAST(page_id AS VARCHAR) AS page_id,
+       CASE WHEN e IS NULL THEN 'success' ELSE 'error' END AS status, e AS error
+FROM (SELECT page_id, CASE WHEN NOT allowed THEN '{G.MSG_ROBOTS}'
+        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{G.MSG_CAPTCHA}'
+        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{G.MSG_NO_DATA}' END AS e FROM g)
+""")
+def q_gate_pipeline(spark, sf):
+    """Robots → captcha → fetch → content → validation, first
+    failing gate names the error."""
+    out = scrape_pages(DV.fetched_pages(spark, sf), DV.robots_files(spark, sf))
+    return out.select(_pid(), "status", "error")
+
+
+@query("gate_outcomes", f"""
+WITH {O.DOC_TEXT}, {O.FETCHED}, {O.PAGES_MAIN},
+u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages),
+g AS (SELECT f.page_id, f.status, f.server,
+             CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
+                  ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
+             {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
+             {O.first_keyword('lower(dt.doc_text)', G.STATIC_FETCH_KEYWORDS)} AS kw6, pm.text AS main_text
+      FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id),
+e AS (SELECT CASE WHEN NOT allowed THEN '{G.MSG_ROBOTS}'
+        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{G.MSG_CAPTCHA}'
+        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{G.MSG_NO_DATA}' END AS error FROM g)
+SELECT CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CAST(count(*) AS BIGINT) AS pages
+FROM e GROUP BY ALL
+""")
+def q_gate_outcomes(spark, sf):
+    """Pages per gate outcome."""
+    out = scrape_pages(DV.fetched_pages(spark, sf), DV.robots_files(spark, sf))
+    return longs(RN.gate_outcomes(out.select("status", "error")).drop("share"))
+
+
+@query("validate_raw", f"""
+WITH {O.PAGES_MAIN}
+SELECT CAST(page_id AS VARCHAR) AS page_id, url <> '' AS valid,
+       (text <> '' OR h1_raw <> '' OR len(paras_raw) > 0) AS has_content,
+       concat_ws('; ', CASE WHEN text = '' AND len(paras_raw) = 0 THEN 'No content extracted' END,
+                       CASE WHEN title = '' THEN 'No title found' END) AS warnings
+FROM pc
+""")
+def q_validate_raw(spark, sf):
+    """Content check and validation (errors and warnings)."""
+    raw = raw_pages(spark, sf)
+    from ..operators.process import has_content_sql, validate_raw_sql
+    v = raw.select(_pid(), F.expr(validate_raw_sql("url", "content", "metadata")).alias("v"),
+                   F.expr(has_content_sql("url", "content")).alias("has_content"))
+    return v.select("page_id", F.col("v.valid").alias("valid"), "has_content",
+                    F.expr("concat_ws('; ', v.warnings)").alias("warnings"))
