@@ -106,11 +106,11 @@ def run_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     an error, a finish line ``value`` seconds later."""
     ev = _t(spark, sf, "events")
     url = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example/"))
-    start = ev.select((F.col("event_id") * 2).alias("line_no"), F.col("ts").alias("t"),
+    start = ev.select((F.col("event_id") * 2).alias("line_no"), F.col("ts").cast("timestamp").alias("t"),
                       F.concat(F.lit("Starting scraping session "), F.col("event_id").cast("string"), F.lit(" for "), url).alias("msg"))
     finish = ev.filter("event_type != 'error'").select(
         (F.col("event_id") * 2 + 1).alias("line_no"),
-        expr("timestamp_micros(unix_micros(ts) + CAST(value * 1000000 AS BIGINT))").alias("t"),
+        expr("timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) + CAST(value * 1000000 AS BIGINT))").alias("t"),
         F.concat(F.lit("Successfully scraped "), url).alias("msg"))
     lines = start.unionByName(finish)
     return lines.select("line_no", F.concat(F.date_format("t", "yyyy-MM-dd HH:mm:ss,SSS"),

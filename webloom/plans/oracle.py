@@ -182,3 +182,8 @@ def first_keyword(text: str, words) -> str:
 
 def markers(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def status_badge(s: str) -> str:
+    return (f"CASE {s} WHEN 'completed' THEN 'success' WHEN 'error' THEN 'danger' "
+            f"WHEN 'running' THEN 'warning' ELSE 'info' END")

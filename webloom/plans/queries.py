@@ -581,3 +581,197 @@ def q_validate_raw(spark, sf):
                    F.expr(has_content_sql("url", "content")).alias("has_content"))
     return v.select("page_id", F.col("v.valid").alias("valid"), "has_content",
                     F.expr("concat_ws('; ', v.warnings)").alias("warnings"))
+
+
+# ==========================================================================
+# Run analytics (A4, W4-W6, T1, T2), sessions (X2, X3, P17), unions
+
+@query("host_rollup", f"""
+WITH {O.ANCHORS},
+nl AS (SELECT page_id, count(DISTINCT abs_url) AS n FROM anc_rows GROUP BY page_id),
+p AS (SELECT pages.page_id, {O.netloc('url')} AS host, coalesce(nl.n, 0) AS n FROM pages LEFT JOIN nl ON nl.page_id = pages.page_id)
+SELECT host, CAST(count(*) AS BIGINT) AS pages, CAST(sum(n) AS BIGINT) AS links, CAST(0 AS BIGINT) AS external_links,
+       CAST(0.0 AS DOUBLE) AS avg_response_ms
+FROM p GROUP BY ROLLUP (host)
+""")
+def q_host_rollup(spark, sf):
+    """A4: pages, links, external links, mean response time per host and in
+    total (rollup)."""
+    rec = records(spark, sf)
+    return longs(RN.host_rollup(pages_table(rec), links_table(rec)))
+
+
+@query("session_durations", """
+WITH ev AS (SELECT * FROM events),
+lines AS (
+  SELECT event_id * 2 AS line_no, date_trunc('millisecond', ts) AS ts, 'https://u' || CAST(user_id AS VARCHAR) || '.example/' AS url,
+         true AS is_start, CAST(event_id AS VARCHAR) AS session_id FROM ev
+  UNION ALL
+  SELECT event_id * 2 + 1, date_trunc('millisecond', make_timestamp(epoch_us(ts) + CAST(value * 1000000 AS BIGINT))),
+         'https://u' || CAST(user_id AS VARCHAR) || '.example/', false, NULL FROM ev WHERE event_type <> 'error'),
+w AS (SELECT *, lead(ts) OVER (PARTITION BY url ORDER BY ts, line_no) AS nts,
+                lead(is_start) OVER (PARTITION BY url ORDER BY ts, line_no) AS nstart FROM lines)
+SELECT session_id, url, CASE WHEN nts IS NOT NULL AND NOT nstart THEN 'completed' ELSE 'failed' END AS outcome,
+       CASE WHEN nts IS NOT NULL AND NOT nstart THEN (epoch_us(nts) - epoch_us(ts)) // 1000 END AS duration_ms
+FROM w WHERE is_start
+""")
+def q_session_durations(spark, sf):
+    """S4 + W4: parse run-log text lines, then start → finish per run."""
+    logs = RN.parse_run_logs(DV.run_log_lines(spark, sf))
+    d = RN.session_durations(logs)
+    return d.select("session_id", "url", "outcome",
+                    F.expr("(unix_micros(finished_at) - unix_micros(started_at)) div 1000").alias("duration_ms"))
+
+
+@query("politeness_audit", """
+WITH r AS (SELECT event_id AS request_id, 'u' || CAST(user_id AS VARCHAR) AS host, ts FROM events),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY host ORDER BY ts, request_id) AS prev_ts FROM r)
+SELECT request_id, (epoch_us(ts) - epoch_us(prev_ts)) // 1000 AS gap_ms,
+       coalesce(epoch_us(ts) - epoch_us(prev_ts) < 3600000000, false) AS too_fast
+FROM l
+""")
+def q_politeness_audit(spark, sf):
+    """Gap to the previous request on the same host (events as
+    requests, host = user) against a one-hour politeness delay."""
+    ev = table(spark, sf, "events")
+    req = ev.select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
+                    F.col("ts").cast("timestamp").alias("ts"))
+    a = RN.politeness_audit(req, min_gap_sec=3600.0)
+    return a.select("request_id", F.expr("(unix_micros(ts) - unix_micros(prev_ts)) div 1000").alias("gap_ms"),
+                    "too_fast")
+
+
+@query("latest_snapshot", f"""
+WITH r AS (SELECT CAST(page_id AS VARCHAR) AS page_id, {O.netloc('url')} AS host,
+                  TIMESTAMP '2026-01-01 00:00:00' + to_hours(page_id) AS scraped_at FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY scraped_at DESC, page_id) AS rn FROM r)
+SELECT host, page_id, strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS scraped_at FROM k WHERE rn = 1
+""")
+def q_latest_snapshot(spark, sf):
+    """The newest run per host."""
+    runs = DV.page_runs(spark, sf).select("page_id", U.url_netloc("url").alias("host"), "scraped_at")
+    best = RN.latest_snapshot(runs, key="host")
+    return best.select("host", "page_id", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"))
+
+
+@query("recent_runs", """
+SELECT CAST(page_id AS VARCHAR) AS page_id, url,
+       strftime(TIMESTAMP '2026-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d %H:%M:%S') AS scraped_at
+FROM pages ORDER BY pages.page_id DESC LIMIT 5
+""")
+def q_recent_runs(spark, sf):
+    """The five newest runs (top-k is the feature)."""
+    runs = DV.page_runs(spark, sf).select("page_id", "url", "scraped_at")
+    top = RN.recent_runs(runs, 5)
+    return top.select("page_id", "url", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"))
+
+
+@query("first_record_preview", f"""
+WITH {O.PAGES_MAIN}
+SELECT CAST(page_id AS VARCHAR) AS page_id,
+       CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS preview
+FROM pc ORDER BY CAST(page_id AS VARCHAR) LIMIT 1
+""")
+def q_first_record_preview(spark, sf):
+    """First record with a 500-character text preview."""
+    rec = records(spark, sf).select("page_id", F.col("content.text").alias("text"))
+    return RN.first_record_preview(rec, "text", 500)
+
+
+_SESS = """
+s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id AS seq, value AS progress, event_type AS step,
+             CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'running' END AS status
+      FROM events),
+st AS (SELECT session_id, progress, step, status, max(ts) OVER (PARTITION BY session_id) AS updated_at,
+              row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS rn FROM s)
+"""
+
+
+@query("session_state", f"""
+WITH {_SESS}
+SELECT session_id, progress, step, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM st WHERE rn = 1
+""")
+def q_session_state(spark, sf):
+    """X2 (batch): latest progress, step and status per session."""
+    st = RN.session_state(DV.sessions(spark, sf))
+    return st.select("session_id", "progress", "step", "status",
+                     F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"))
+
+
+@query("active_sessions", f"""
+WITH {_SESS}
+SELECT session_id, status, {O.status_badge('status')} AS badge, upper(left(status, 1)) || lower(substr(status, 2)) AS label,
+       strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated
+FROM st WHERE rn = 1 AND status NOT IN ('completed', 'error', 'stopped')
+""")
+def q_active_sessions(spark, sf):
+    """P17 with F16/F17 display columns: sessions still running."""
+    from ..functions import text as T2
+    act = RN.active_sessions(RN.session_state(DV.sessions(spark, sf)))
+    return act.select("session_id", "status", T2.status_badge("status").alias("badge"),
+                      T2.title_case("status").alias("label"), T2.format_timestamp("updated_at").alias("updated"))
+
+
+@query("stop_sessions", f"""
+WITH {_SESS},
+stops AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id FROM events WHERE event_type = 'view' AND value > 40)
+SELECT st.session_id, 'stopped' AS status FROM st JOIN stops ON stops.session_id = st.session_id
+WHERE rn = 1 AND st.status NOT IN ('completed', 'error', 'stopped')
+""")
+def q_stop_sessions(spark, sf):
+    """X3 (batch): stop requests end active sessions; unknown ids ignored."""
+    st = RN.session_state(DV.sessions(spark, sf))
+    stops = table(spark, sf, "events").filter("event_type = 'view' AND value > 40") \
+        .select(F.col("user_id").cast("string").alias("session_id"))
+    return RN.stop_sessions(st, stops).select("session_id", "status")
+
+
+@query("flatten_records", f"""
+WITH {O.ANCHORS}, {O.PAGES_MAIN},
+dl AS (SELECT *, row_number() OVER (PARTITION BY page_id, abs_url ORDER BY pos) AS rn FROM anc_rows),
+lk AS (SELECT url, 'link' AS record_type, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS link_number,
+              abs_url AS link_url, CAST(NULL AS BIGINT) AS heading_number, CAST(NULL AS VARCHAR) AS heading_text,
+              CAST(NULL AS VARCHAR) AS title FROM dl WHERE rn = 1),
+hd AS (SELECT url, 'heading' AS record_type, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(1 AS BIGINT), h1, CAST(NULL AS VARCHAR) FROM pc),
+pg AS (SELECT url, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), title FROM pc)
+SELECT * FROM lk UNION ALL SELECT * FROM hd UNION ALL SELECT * FROM pg
+""")
+def q_flatten_records(spark, sf):
+    """D3: one heterogeneous record set (page, link and heading rows keyed
+    by url) via unionByName(allowMissingColumns)."""
+    from ..sources.files import flatten_records
+    rec = records(spark, sf)
+    return longs(flatten_records(pages_table(rec), links_table(rec).join(rec.select("page_id", "url"), "page_id"),
+                                 headings_table(rec)))
+
+
+@query("union_runs", f"""
+WITH {O.PAGES_MAIN}
+SELECT CAST(page_id AS VARCHAR) AS page_id, url, title, CAST(200 AS BIGINT) AS http_status_code, 'new' AS run FROM pc
+UNION ALL
+SELECT CAST(page_id AS VARCHAR), url, title, CAST(NULL AS BIGINT), 'old' FROM pc
+""")
+def q_union_runs(spark, sf):
+    """Bag union of a new-schema run with an old-schema run (the
+    two extra columns missing → NULL)."""
+    from ..sources.files import union_runs
+    p = pages_table(records(spark, sf))
+    new = p.select("page_id", "url", "title", "http_status_code", F.lit("new").alias("run"))
+    old = p.select("page_id", "url", "title", F.lit("old").alias("run"))
+    return longs(union_runs([new, old]).select("page_id", "url", "title", "http_status_code", "run"))
+
+
+@query("run_file_name", """
+SELECT CAST(page_id AS VARCHAR) AS page_id,
+       'pages_' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]*)', 1) || '_' ||
+       strftime(TIMESTAMP '2026-01-01 00:00:00' + to_hours(page_id), '%Y%m%d_%H%M%S') AS file_name,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]*)', 1) AS host_part
+FROM pages
+""")
+def q_run_file_name(spark, sf):
+    """Run file name per table, host and time, and the host part
+    parsed back out of it."""
+    from ..sources.files import parse_run_file_name_sql, run_file_name_sql
+    runs = DV.page_runs(spark, sf).select("page_id", U.url_host("url").alias("host"), "scraped_at")
+    named = runs.select("page_id", F.expr(run_file_name_sql("'pages'", "host", "scraped_at")).alias("file_name"))
+    return named.select("page_id", "file_name", F.expr(parse_run_file_name_sql("file_name")).alias("host_part"))
