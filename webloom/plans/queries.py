@@ -775,3 +775,33 @@ def q_run_file_name(spark, sf):
     runs = DV.page_runs(spark, sf).select("page_id", U.url_host("url").alias("host"), "scraped_at")
     named = runs.select("page_id", F.expr(run_file_name_sql("'pages'", "host", "scraped_at")).alias("file_name"))
     return named.select("page_id", "file_name", F.expr(parse_run_file_name_sql("file_name")).alias("host_part"))
+
+
+# ==========================================================================
+# Streaming (X1, X4) — rows-only checks (no SQL oracle for a stream run)
+
+@query("stream_process")
+def q_stream_process(spark, sf):
+    """The scrape job run as a Structured Streaming query over the page
+    files (availableNow), writing the run tables per micro-batch; returns
+    the links table it wrote."""
+    import uuid
+    from ..session import checkpoint_path
+    from ..streaming.stream import read_page_stream, stream_process
+    out = checkpoint_path(spark, f"stream-out-{uuid.uuid4().hex[:12]}")
+    stream = read_page_stream(spark, sf, glob="pages.parquet")
+    q = stream_process(stream, out, DV.robots_files(spark, sf), RUN_TS)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/links").drop("batch_id")  # noqa: E501
+
+
+@query("robots_refresh")
+def q_robots_refresh(spark, sf):
+    """Hosts whose robots.txt is due, each at most once per TTL
+    (event stream: host = user, event time = ts)."""
+    from ..streaming.stream import robots_refresh, run_available_now
+    ev = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    req = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
+                    F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    path = run_available_now(robots_refresh(req), "robots-refresh")
+    return spark.read.parquet(path)
