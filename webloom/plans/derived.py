@@ -123,3 +123,20 @@ def page_runs(spark: SparkSession, sf: str) -> DataFrame:
     pages = _t(spark, sf, "pages")
     return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html",
                         expr("timestamp_micros(unix_micros(TIMESTAMP'2026-01-01 00:00:00') + page_id * 3600000000)").alias("scraped_at"))
+
+
+FORM_HTML = ('<form METHOD="POST" class="f"><input name="q" required placeholder="search">'
+             '<select name="s"><option value="a" selected> A </option><option>B</option></select>'
+             '<textarea name="t"></textarea></form>')
+
+
+def enriched_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with meta description, two og:title tags, a form and a React
+    root marker added (the driver pages have none of these)."""
+    pages = _t(spark, sf, "pages")
+    lang = "regexp_extract(html, 'lang=\"([^\"]*)\"', 1)"
+    head = (f"concat('<head><meta name=\"description\" content=\" d-', {lang}, ' \">"
+            f"<meta property=\"og:title\" content=\"x1\"><meta property=\"og:title\" content=\"', {lang}, '\">')")
+    html = (f"replace(replace(replace(html, '<head>', {head}), '</article>', '{FORM_HTML}</article>'), "
+            f"'<body>', '<body><div data-reactroot></div>')")
+    return pages.select("page_id", "url", expr(html).alias("html"))

@@ -805,3 +805,57 @@ def q_robots_refresh(spark, sf):
                     F.col("ts").cast("timestamp").alias("ts"), "event_id")
     path = run_available_now(robots_refresh(req), "robots-refresh")
     return spark.read.parquet(path)
+
+
+# ==========================================================================
+# Meta, Open Graph, forms and frameworks on enriched pages
+
+_ENRICHED = """
+ep AS (SELECT page_id, url, regexp_extract(html, 'lang="([^"]*)"', 1) AS lang FROM pages)
+"""
+
+
+@query("extract_meta", f"""
+WITH {_ENRICHED}
+SELECT CAST(page_id AS VARCHAR) AS page_id, 'd-' || lang AS description, lang AS og_title,
+       ' d-' || lang || ' ' AS description_dynamic, true AS has_react
+FROM ep
+""")
+def q_extract_meta(spark, sf):
+    """Meta description (static: first, stripped; dynamic:
+    last non-empty, as written), og:title (last wins) and DOM framework
+    markers."""
+    pages = scan_pages_df(DV.enriched_pages(spark, sf))
+    static = extract_raw(pages, "static").select(_pid(), F.col("metadata.description").alias("description"),
+                                                 F.expr("metadata.open_graph['og:title']").alias("og_title"))
+    dyn = extract_raw(pages, "dynamic").select(_pid(), F.col("metadata.description").alias("description_dynamic"),
+                                               F.expr("coalesce(frameworks['react'], false)").alias("has_react"))
+    return static.join(dyn, "page_id")
+
+
+@query("extract_forms", f"""
+WITH {_ENRICHED}
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(1 AS BIGINT) AS n_forms, url AS action, 'post' AS method,
+       'input,select,textarea' AS field_types, 'q,s,t' AS field_names, CAST(1 AS BIGINT) AS n_required,
+       CAST(2 AS BIGINT) AS n_options, 'a:A:true,:B:false' AS options
+FROM ep
+""")
+def q_extract_forms(spark, sf):
+    """Forms (action = page url when missing, lower-cased method),
+    their fields (type defaults to the tag name) and select options."""
+    raw = extract_raw(scan_pages_df(DV.enriched_pages(spark, sf)))
+    f = F.expr("forms[0]")
+    return longs(raw.select(
+        _pid(), F.size("forms").alias("n_forms"), f["action"].alias("action"), f["method"].alias("method"),
+        F.expr("array_join(transform(forms[0].fields, x -> x.type), ',')").alias("field_types"),
+        F.expr("array_join(transform(forms[0].fields, x -> x.name), ',')").alias("field_names"),
+        F.expr("size(filter(forms[0].fields, x -> x.required))").alias("n_required"),
+        F.expr("size(forms[0].fields[1].options)").alias("n_options"),
+        F.expr("array_join(transform(forms[0].fields[1].options, o -> concat_ws(':', o.value, o.text, "
+               "CAST(o.selected AS STRING))), ',')").alias("options")))
+
+
+def scan_pages_df(df):
+    """The same split handling as ``scan_pages`` for an in-memory page frame."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
