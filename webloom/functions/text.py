@@ -159,8 +159,13 @@ def _unescape_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
 
 
+# An entity reference starts with '&' followed by '#' or a name character;
+# '&' before whitespace, '<', '&' or ';' (or at the end) is left as it is.
+_MAYBE_ENTITY = "&[^\\t\\n\\f <&;]"
+
+
 def html_unescape(col: Column) -> Column:
-    """decode HTML entities (``html.unescape``).  Only strings containing
-    an ampersand cross into Python; the rest pass through unchanged."""
-    needs = F.when(F.instr(col, "&") > 0, col)
+    """decode HTML entities (``html.unescape``).  Only strings that can
+    contain a reference cross into Python; the rest pass through unchanged."""
+    needs = F.when(col.rlike(_MAYBE_ENTITY), col)
     return F.coalesce(_unescape_udf(needs), col)
