@@ -29,7 +29,7 @@ from webloom.llm.common import SPACE, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 def size_sql(text: str = "text") -> str:
