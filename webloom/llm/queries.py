@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import mixing, quality_rules, sharding
-from webloom.llm.common import prepare, table
+from webloom.llm import html_main, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
+from webloom.llm.common import held_out, prepare, table
 
 QUERIES = {}
 ORACLE = {}
@@ -115,3 +115,35 @@ x AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(left_over, size)))::BIGINT AS taken, source
 FROM x
 """
+
+
+@query
+def op2_sentencepiece(spark, sf_dir):
+    """Ids and decoded text of every document, as digests."""
+    import public_tokenizers
+
+    out = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"),
+                      F.expr("CAST(coalesce(try_element_at(ends, -1), 0) AS BIGINT)").alias("n_bytes_covered"))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    """Quality score of every document, learned outside the held-out fold."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"))
