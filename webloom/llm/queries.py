@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import html_main, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
+from webloom.llm import ann, html_main, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
 from webloom.llm.common import held_out, prepare, table
 
 QUERIES = {}
@@ -147,3 +147,9 @@ def op4_language_id(spark, sf_dir):
 def op8_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_nearest_neighbours(spark, sf_dir):
+    """Five nearest found of every vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
