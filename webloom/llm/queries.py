@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ann, html_main, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding
+from webloom.llm import (
+    ann,
+    html_main,
+    jaccard_join,
+    language_id,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+)
 from webloom.llm.common import held_out, prepare, table
 
 QUERIES = {}
@@ -153,3 +163,9 @@ def op8_html_extraction(spark, sf_dir):
 def op9_nearest_neighbours(spark, sf_dir):
     """Five nearest found of every vector whose id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Size and component of every document under the 4-word Jaccard join."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), width=4, threshold=85)
