@@ -15,6 +15,7 @@ from webloom.llm import (
     quality_rules,
     sentencepiece_codec,
     sharding,
+    suffix_dedup,
 )
 from webloom.llm.common import held_out, prepare, table
 
@@ -169,3 +170,10 @@ def op9_nearest_neighbours(spark, sf_dir):
 def op1_ngram_jaccard_join(spark, sf_dir):
     """Size and component of every document under the 4-word Jaccard join."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), width=4, threshold=85)
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    """Bytes left of every document without its repeated 200-byte strings."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
