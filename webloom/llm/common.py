@@ -45,3 +45,9 @@ def let(name: str, value: str, body: str) -> str:
     """SQL text that evaluates ``value`` once per row and binds it to ``name``
     inside ``body`` (a one-element higher-order function)."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def joined(big: DataFrame, small: DataFrame, on, how: str, most: int = 500_000) -> DataFrame:
+    """Join that broadcasts ``small``, a written table of narrow rows, up to
+    ``most`` rows, and leaves the way to Spark beyond."""
+    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import written
 
-SKETCH_BITS, CHUNK_BITS = 22, 16
+SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 22, 16, 26
 #: Partial sketches summed by one task of the first merge.
 FAN_IN = 256
 #: Posting lists are joined in blocks of about so many groups.
@@ -66,9 +66,10 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of a text (A-Z lower-cased,
-    words are cut at ASCII white space); fewer words make one n-gram."""
+def shingles(text: bytes, width: int, distinct: bool = True) -> np.ndarray:
+    """64-bit hashes, sorted and distinct unless they are only to be counted,
+    of the n-grams of a text (A-Z lower-cased, words are cut at ASCII white
+    space); fewer words make one n-gram."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -81,7 +82,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
         out ^= out >> np.uint64(32)
     out *= _M[3]
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(out) if distinct else out
 
 
 def _name(values: np.ndarray) -> bytes:
@@ -97,43 +98,88 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def _chunks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counters or bits as packed chunks; chunks of zeros are left out."""
+    from pyspark import TaskContext
+
+    parts = values.reshape(-1, 1 << CHUNK_BITS)
+    rows = [k for k in range(len(parts)) if parts[k].any()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(rows, pa.int32()), pa.array([TaskContext.get().partitionId() // FAN_IN] * len(rows), pa.int32()),
+         pa.array([zlib.compress(parts[k].tobytes(), 1) for k in rows], pa.binary())], names=["chunk", "part", "data"])
+
+
+def _merged(parts: DataFrame, kind, size: int) -> np.ndarray:
+    """All tasks' chunks combined by the ufunc that fits ``kind`` (counters add
+    up to 2^32 - 1, bits are or-ed), FAN_IN tasks at a time; ``size`` values of
+    fixed total size reach the driver."""
+    def combine(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << CHUNK_BITS, np.uint64 if kind is np.uint32 else kind)
+        for x in group.column("data"):
+            values = np.frombuffer(zlib.decompress(x.as_py()), kind)
+            total = total + values if kind is np.uint32 else total | values
+        total = np.minimum(total, np.iinfo(kind).max).astype(kind)
+        return group.slice(0, 1).set_column(2, "data", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
+
+    schema = "chunk int, part int, data binary"
+    rows = (parts.groupBy("chunk", "part").applyInArrow(combine, schema)
+            .groupBy("chunk").applyInArrow(combine, schema).collect())
+    out = np.zeros(size, kind)
+    for r in rows:
+        at = r.chunk << CHUNK_BITS
+        out[at:at + (1 << CHUNK_BITS)] = np.frombuffer(zlib.decompress(bytes(r.data)), kind)
+    return out
+
+
 def sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Level (quarters of the binary logarithm) of every counter over all
-    documents.  Each task sends 2^22 one-byte counters, packed; merges are
-    by chunk, FAN_IN tasks at a time; 4 MB reach the driver."""
+    """Level (quarters of the binary logarithm) of every counter over the
+    n-grams of all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            found = [shingles(t.as_py(), width) for t in batch.column(1)]
-            for at in range(0, len(found), 256):
-                part = np.concatenate(found[at:at + 256] or [np.empty(0, np.uint64)])
-                np.add.at(total, (part >> shift).astype(np.int64), 1)
-        low = np.minimum(total, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
-        rows = [k for k in range(len(low)) if low[k].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([TaskContext.get().partitionId() // FAN_IN] * len(rows), pa.int32()),
-             pa.array([zlib.compress(low[k].astype(np.uint32).tobytes(), 1) for k in rows], pa.binary())],
-            names=["chunk", "part", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << CHUNK_BITS, np.uint64)
-        for x in group.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return group.slice(0, 1).set_column(2, "counts", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
-
-    schema = "chunk int, part int, counts binary"
-    parts = texts.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
-    merged = parts.groupBy("chunk").applyInArrow(add, schema)
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in merged.collect():
-        counts = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-        at = r.chunk << CHUNK_BITS
-        levels[at:at + len(counts)] = np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    return levels
+            for t in batch.column(1):
+                np.add.at(total, (shingles(t.as_py(), width, distinct=False) >> shift).astype(np.int64), np.uint32(1))
+        yield from _chunks(total)
+
+    counts = _merged(texts.mapInArrow(count, "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS)
+    return np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+
+
+def _filter_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = tokens.view(np.uint64)
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return (t & low).astype(np.int64), ((t >> np.uint64(64 - FILTER_BITS)) & low).astype(np.int64)
+
+
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """Bits of a filter of fixed size that lets all these tokens pass."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            for places in _filter_places(batch.column(0).to_numpy()):
+                bits[places] = True
+        yield from _chunks(np.packbits(bits))
+
+    packed = _merged(tokens.mapInArrow(mark, "chunk int, part int, data binary"), np.uint8, 1 << (FILTER_BITS - 3))
+    return packed
+
+
+def _passing(packed):
+    """(key, n, token) for the tokens of each prefix that pass the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = packed.value
+        has = lambda at: bits[at >> 3] >> (7 - (at & 7)) & 1
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            x, y = _filter_places(tokens)
+            good = (has(x) & has(y)).astype(bool)
+            at = pa.array(owner[good])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(tokens[good])],
+                                             names=["key", "n", "token"])
+    return run
 
 
 def _prefixes(levels, width: int, threshold: int):
@@ -224,25 +270,36 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     rows = texts.mapInArrow(_prefixes(levels, width, threshold),
                             "doc_id long, n long, key binary, pkey binary, prefix array<long>")
     rows = written(rows, "jaccard-rows")
-    # Equal sets are one member; equal size and prefix are one group.
-    members = (rows.filter("n > 0").groupBy("key", "n", "pkey")
-               .agg(F.min("doc_id").alias("doc_id")))
-    members = written(members, "jaccard-members")
-    groups = written(members.groupBy("n", "pkey").agg(F.min("key").alias("first")), "jaccard-groups")
-    postings = (rows.filter("n > 0").join(groups.select(F.col("first").alias("key")), "key", "left_semi")
-                .dropDuplicates(["key"])
-                .select("key", "n", F.explode("prefix").alias("token")))
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    live = written(postings.join(counts, "token"), "jaccard-postings")   # groups are named by their first member
+    # Equal sets are one member; equal size and prefix are one group, named by its first member.
+    worded = rows.filter("n > 0")
+    members = written(worded.groupBy("key", "n", "pkey").agg(F.min("doc_id").alias("doc_id")), "jaccard-members")
+    groups = written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix")),
+                     "jaccard-groups")
+    counts = written(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+                     .filter("c > 1"), "jaccard-counts")
+    # Most tokens are in one prefix only: a filter of fixed size keeps them from the shuffle.
+    packed = spark.sparkContext.broadcast(token_filter(counts.select("token")))
+    postings = groups.select("first", "n", "prefix").mapInArrow(_passing(packed), "key binary, n long, token long")
+    live = written(postings.join(counts, "token"), "jaccard-postings")
+    # Per group: what of its prefix any other group has, and how connected that makes it.
+    known = written(live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w")), "jaccard-known")
+    close = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
+    # Beyond the prefixes at most the longer rest can be common.
+    rest = f"{{0}} - ({{0}} - ({threshold} * {{0}} + 99) DIV 100 + 1)"
+    enough = (f"size(array_intersect(sa, sb)) + greatest({rest.format('na')}, {rest.format('nb')}) "
+              f">= ceil({threshold} * (na + nb) / {100 + threshold}D - 1e-9D)")
 
     # Star round.
-    weight = live.groupBy("key").agg(F.sum("c").alias("w"))
-    pivots = (live.select("key", "token", "n").join(weight, "key").groupBy("token")
-              .agg(F.max(F.struct("w", "key", "n")).alias("p")).select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn")))
-    close = f"100 * least(n, pn) >= {threshold} * greatest(n, pn)"
-    stars = (live.join(pivots, "token").filter(F.col("key") != F.col("pivot")).filter(close)
-             .select(F.col("key").alias("first"), F.col("pivot").alias("b")).distinct())
-    by_group = members.join(groups, ["n", "pkey"]).select("key", "first")
+    pivots = (live.select("key", "token", "n").join(known.select("key", "w"), "key").groupBy("token")
+              .agg(F.max(F.struct("w", "key", "n")).alias("p"))
+              .select("token", F.col("p.key").alias("b"), F.col("p.n").alias("nb")))
+    stars = (live.select("token", F.col("key").alias("a"), F.col("n").alias("na")).join(pivots, "token")
+             .filter("a <> b").filter(close).select("a", "na", "b", "nb").distinct()
+             .join(known.select(F.col("key").alias("a"), F.col("shared").alias("sa")), "a")
+             .join(known.select(F.col("key").alias("b"), F.col("shared").alias("sb")), "b")
+             .filter(enough).select(F.col("a").alias("first"), "b"))
+    stars = written(stars, "jaccard-stars")
+    by_group = members.join(groups.select("n", "pkey", "first"), ["n", "pkey"]).select("key", "first")
     many = by_group.filter(F.col("key") != F.col("first"))
     pairs = (stars.select(F.col("first").alias("a"), "b")
              .union(many.join(stars, "first").select(F.col("key").alias("a"), "b"))
@@ -252,27 +309,21 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
 
     # Lists that still hold two components: pairs of groups across them.
     own = by_group.join(labels, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    spread = own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    spread = written(spread, "jaccard-spread")
+    own = written(own, "jaccard-own")
+    spread = written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
     placed = live.join(spread.withColumnRenamed("first", "key"), "key")
-    mixed = (placed.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x <> y").select("token"))
-    first_prefix = rows.select("key", "prefix").join(groups.select(F.col("first").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    open_lists = written(placed.join(mixed, "token").join(first_prefix, "key")
-                         .withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-open")
-    left = open_lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
-                             F.col("n").alias("na"), F.col("prefix").alias("pa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
-    right = open_lists.select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("key").alias("b"),
-                              F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
-    # Beyond the prefixes at most the longer rest can be shared.
-    enough = (f"size(array_intersect(pa, pb)) + greatest(na - size(pa), nb - size(pb)) "
-              f">= ceil({threshold} * (na + nb) / {100 + threshold}D - 1e-9D)")
-    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) "
-                    f"AND 100 * least(na, nb) >= {threshold} * greatest(na, nb) AND {enough}")
+    mixed = placed.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x <> y").select("token")
+    lists = placed.join(mixed, "token").join(known.select("key", "shared"), "key")
+    lists = written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
+    left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
+                        F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
+    right = lists.select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("key").alias("b"),
+                         F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
+    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {enough}")
     group_pairs = (left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & across)
                    .select("a", "b").distinct())
     inside = spread.filter("lo <> hi").select(F.col("first").alias("a"), F.col("first").alias("b"))
-    group_pairs = group_pairs.union(inside)
-    expanded = (group_pairs
+    expanded = (group_pairs.union(inside)
                 .join(own.select(F.col("first").alias("a"), F.col("key").alias("ka"), F.col("component").alias("ca")), "a")
                 .join(own.select(F.col("first").alias("b"), F.col("key").alias("kb"), F.col("component").alias("cb")), "b")
                 .filter("ca <> cb AND (a <> b OR ka < kb)").select(F.col("ka").alias("a"), F.col("kb").alias("b")))

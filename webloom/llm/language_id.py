@@ -211,4 +211,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"), *extra)
     types = "".join(f", keep_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double{types}")
+    return (rows.mapInArrow(run, f"doc_id long, lang_pred string, score double{types}")
+            .withColumnsRenamed({f"keep_{k}": c for k, c in enumerate(keep)}))

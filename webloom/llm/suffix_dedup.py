@@ -365,31 +365,37 @@ def covered(texts: DataFrame) -> DataFrame:
             .mapInArrow(_maximal, "tid long, n long, begins array<bigint>, ends array<bigint>"))
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their ranges."""
-    for batch in batches:
-        kept = []
-        for text, begins, ends in zip(*(batch.column(k) for k in range(3)), strict=True):
-            text, begins, ends = text.as_py(), begins.as_py() or [], ends.as_py() or []
-            kept.append(b"".join(text[a:b] for a, b in zip([0, *ends], [*begins, len(text)], strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *batch.columns[1:]],
-                                         names=["kept", *batch.schema.names[1:]])
+def _strip(as_text: bool):
+    """Texts without their ranges; as text, characters cut by a range go whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, begins, ends in zip(*(batch.column(k) for k in range(3)), strict=True):
+                text, begins, ends = text.as_py(), begins.as_py() or [], ends.as_py() or []
+                parts = [text[a:b] for a, b in zip([0, *ends], [*begins, len(text)], strict=True)]
+                kept.append("".join(x.decode(errors="ignore") for x in parts) if as_text else b"".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string() if as_text else pa.binary()), *batch.columns[1:]],
+                                             names=["kept", *batch.schema.names[1:]])
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of every row,
-    then the columns named in ``keep``."""
+                   keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and what is ``kept`` of every row
+    (bytes, or text), then the columns named in ``keep``."""
     extra = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"), *extra)
     rows = rows.withColumns({"tid": F.xxhash64("text"), "n": F.octet_length("text").cast("long")})
     ranges = written(covered(rows), "suffix-ranges")
     found = _matched(rows, ranges, "begins", "left")
-    extra_types = "".join(f", keep_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = (found.select("text", "begins", "ends", "doc_id", F.col("n").alias("n_bytes"),
-                        *[f"keep_{k}" for k in range(len(keep))])
-           .mapInArrow(_strip, "kept binary, begins array<bigint>, ends array<bigint>, doc_id long, n_bytes long" + extra_types))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-                      F.greatest(F.size("begins"), F.lit(0)).cast("long").alias("n_spans"), "kept",
-                      *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
+    types = "".join(f", keep_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    removed = F.aggregate(F.arrays_zip("begins", "ends"), F.lit(0).cast("long"),
+                          lambda total, r: total + r["ends"] - r["begins"])
+    out = (found.withColumn("n_removed", F.coalesce(removed, F.lit(0)).cast("long"))
+           .select("text", "begins", "ends", "doc_id", F.col("n").alias("n_bytes"), "n_removed",
+                   *[f"keep_{k}" for k in range(len(keep))])
+           .mapInArrow(_strip(as_text), f"kept {'string' if as_text else 'binary'}, begins array<bigint>, "
+                                        "ends array<bigint>, doc_id long, n_bytes long, n_removed long" + types))
+    return out.select("doc_id", "n_bytes", "n_removed", F.greatest(F.size("begins"), F.lit(0)).cast("long").alias("n_spans"),
+                      "kept", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
