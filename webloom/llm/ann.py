@@ -184,7 +184,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     index = rows.mapInArrow(_index, "bucket long, vec_id long, v array<double>")
     asked = rows.filter(queries).withColumn("query", F.xxhash64("vec_id", "v"))
     # The visits of a query's buckets; buckets without rows drop out below.
-    probes = written(asked.repartition(F.col("query")).mapInArrow(_probe, "bucket long, query long"), "ann-probes")
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = written(asked.repartition(spread, "query").mapInArrow(_probe, "bucket long, query long"), "ann-probes")
     sizes = (index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
              .join(probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
              .select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"),
