@@ -9,7 +9,7 @@ BASE = "https://www.h.example/dir/page.html"
 
 def run(spark, html, url=BASE, mode="static"):
     pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
-    return process(extract_raw(pages, mode))
+    return process(extract_raw(pages, mode), "2026-01-01 00:00:00")
 
 
 def body(inner):
@@ -60,7 +60,7 @@ def test_image_with_space_counted_not_listed(spark):
 
 def test_text_cleaning_and_double_unescape(spark):
     html = body("<p>tab\there\xa0nbsp \x07 bell &amp;lt;x&amp;gt;</p>")
-    rec = process_records(extract_raw(spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")))
+    rec = process_records(extract_raw(spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")), "2026-01-01 00:00:00")
     paras = rec.first().content.paragraphs
     assert paras[-1] == "tab here nbsp  bell &lt;x&gt;"
     # the text is cleaned twice (scraper, then processor): the double space collapses

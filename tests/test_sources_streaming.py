@@ -1,7 +1,9 @@
 """Readers/writers (S2, S3, S5-S7) and stream = batch parity."""
 import os
+import shutil
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.sources import files as S
@@ -37,26 +39,35 @@ def test_flat_json_split(spark):
 
 
 def test_writers_partition_and_append(spark):
+    from webloom.operators.process import images_table, links_table
     from webloom.plans import queries as Q
     rec = Q.records(spark, SF)
     d = tempfile.mkdtemp(prefix="wl-out-")
-    S.write_run_tables({"pages": Q.pages_table(rec)}, d)
-    back = spark.read.parquet(f"{d}/pages")
+    tables = {"pages": Q.pages_table(rec), "links": links_table(rec, ("url",)), "images": images_table(rec, ("url",))}
+    for _ in range(2):                               # a repeated write changes nothing
+        S.write_run_tables(tables, d)
+    back, links = spark.read.parquet(f"{d}/pages"), spark.read.parquet(f"{d}/links")
     assert back.count() == Q.pages_table(rec).count() and "host" in back.columns
-    S.append_master(Q.pages_table(rec).drop("http_status_code", "response_time_ms"), f"{d}/master", "pages")
-    S.append_master(Q.pages_table(rec), f"{d}/master", "pages")
-    m = spark.read.parquet(f"{d}/master")
+    assert links.count() == Q.links_table(rec).count() and "url" not in links.columns
+    assert {r.host for r in links.select("host").distinct().collect()} <= {r.host for r in back.select("host").distinct().collect()}
+    with pytest.raises(ValueError):
+        S.write_run_tables({"links": Q.links_table(rec)}, d)
+    for _ in range(2):
+        S.append_master(Q.pages_table(rec).drop("http_status_code", "response_time_ms"), f"{d}/master", "pages", "r1")
+        S.append_master(Q.pages_table(rec), f"{d}/master", "pages", "r2")
+    m = S.read_master(spark, f"{d}/master", "pages")
     assert m.count() == 2 * back.count() and m.filter("http_status_code IS NULL").count() == back.count()
-    S.write_flat_json(Q.pages_table(rec), Q.links_table(rec).join(rec.select("page_id", "url"), "page_id"),
-                      Q.headings_table(rec), f"{d}/flat")
-    assert spark.read.json(f"{d}/flat").filter("record_type = 'link'").count() == Q.links_table(rec).count()
+    assert m.first().scraped_at.endswith("Z")
+    S.write_flat_json(rec, f"{d}/flat")
+    pages, flat_links, _ = S.scan_flat_json(spark, f"{d}/flat", multi_line=False)
+    assert flat_links.count() == Q.links_table(rec).count() and pages.first().text_content
 
 
 def test_stream_process_matches_batch(spark):
     from webloom.plans import queries as Q
     from webloom.plans.scrape import scrape_pages
     stream_links = Q.QUERIES["stream_process"](spark, SF)
-    batch = scrape_pages(Q.table(spark, SF, "pages"), DV.robots_files(spark, SF)).filter("status = 'success'")
+    batch = scrape_pages(Q.table(spark, SF, "pages"), Q.RUN_TS, DV.robots_files(spark, SF)).filter("status = 'success'")
     from webloom.operators.process import links_table
     cols = ["page_id", "link_number", "link_url"]
     a = sorted(tuple(r) for r in stream_links.select(*cols).collect())
@@ -70,14 +81,60 @@ def test_session_state_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="wl-ev-")
     ev.write.parquet(f"{d}/ev")
     stream = spark.readStream.schema(ev.schema).parquet(f"{d}/ev")
-    q = X.stream_session_state(stream).writeStream.format("memory").queryName("wl_sessions").outputMode("complete") \
+    q = X.stream_session_state(stream).writeStream.format("memory").queryName("wl_sessions").outputMode("update") \
         .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.session_id: (r.progress, r.step, r.status) for r in spark.table("wl_sessions").collect()}
     assert got == batch
 
 
-def test_robots_refresh_once_per_host(spark):
-    from webloom.plans import queries as Q
-    out = Q.QUERIES["robots_refresh"](spark, SF)
-    assert out.count() == out.select("host").distinct().count() > 0
+def test_robots_refresh_after_each_ttl_however_batched(spark):
+    rows = [("a", 0), ("a", 3599), ("a", 3600), ("a", 3601), ("a", 7199), ("a", 7200), ("b", 50), ("b", 10), ("b", 3615), ("b", 3605)]
+    df = spark.createDataFrame(rows, "host string, t long").selectExpr("host", "timestamp_seconds(t) AS ts")
+    want = [("a", 0), ("a", 3600), ("a", 7200), ("b", 10), ("b", 3615)]
+    for parts in (1, 2):
+        d = tempfile.mkdtemp(prefix="wl-rr-")
+        early = F.unix_seconds("ts") < 3600
+        for k, part in enumerate([df] if parts == 1 else [df.filter(early), df.filter(~early)]):
+            part.coalesce(1).write.parquet(f"{d}/in/{k}")
+            os.makedirs(f"{d}/flat", exist_ok=True)
+            for f in os.listdir(f"{d}/in/{k}"):
+                if f.endswith(".parquet"):
+                    shutil.copy(f"{d}/in/{k}/{f}", f"{d}/flat/{k}-{f}")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/flat")
+        path = X.run_available_now(X.robots_refresh(stream), "rr")
+        got = spark.read.parquet(path).select("host", F.unix_seconds("ts").alias("t")).collect()
+        assert sorted(map(tuple, got)) == (want if parts == 1 else [w if w != ("b", 3615) else ("b", 3615) for w in want])
+
+
+def test_stream_stops_end_active_sessions(spark):
+    ev = spark.createDataFrame([("s1", 10, 1, 20.0, "fetch", "running"), ("s2", 10, 2, 100.0, "done", "completed")],
+                               "session_id string, t long, seq long, progress double, step string, status string") \
+        .selectExpr("session_id", "timestamp_seconds(t) AS ts", "seq", "progress", "step", "status")
+    stops = spark.createDataFrame([("s1", 20), ("s2", 20), ("s9", 20)], "session_id string, t long") \
+        .selectExpr("session_id", "timestamp_seconds(t) AS ts")
+    d = tempfile.mkdtemp(prefix="wl-st-")
+    ev.write.parquet(f"{d}/ev")
+    stops.write.parquet(f"{d}/stops")
+    q = X.stream_session_state(spark.readStream.schema(ev.schema).parquet(f"{d}/ev"), spark.readStream.schema(stops.schema).parquet(f"{d}/stops")) \
+        .writeStream.format("memory").queryName("wl_stops").outputMode("update").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {r.session_id: r.status for r in spark.table("wl_stops").orderBy("updated_at").collect()}
+    assert last == {"s1": "stopped", "s2": "completed"}
+
+
+def test_session_state_lists_sessions_before_their_first_event(spark):
+    ev = spark.createDataFrame([("a", 1, 5, 30.0, "x", "running")], "session_id string, t long, seq long, progress double, step string, status string") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    started = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    got = {r.session_id: (r.progress, r.step) for r in RN.session_state(ev, started).collect()}
+    assert got == {"a": (30.0, "x"), "b": (0.0, "Initializing")}
+
+
+def test_run_logs_have_line_numbers(spark):
+    d = tempfile.mkdtemp(prefix="wl-log-")
+    with open(f"{d}/m.log", "w") as f:
+        f.write("2026-02-15 20:34:10,123 - scraping_manager - INFO - Starting scraping session s1 for https://x/\n"
+                "2026-02-15 20:34:12,500 - scraping_manager - INFO - Successfully scraped https://x/\n")
+    rows = S.scan_run_logs(spark, f"{d}/m.log").orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == [1, 2] and rows[0].session_id == "s1" and rows[1].url == "https://x/"

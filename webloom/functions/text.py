@@ -41,16 +41,15 @@ def chars_literal(codepoints) -> str:
     return "'" + "".join("\\u%04x" % c for c in codepoints) + "'"
 
 
-# Python's notion of whitespace (str.isspace / str.split / str.strip / re \s),
-# built from the rule itself rather than typed out.  Spark's own \s and
-# trim() are ASCII-only.
-PY_WS_CODEPOINTS = [c for c in range(0x110000) if chr(c).isspace()]
+# Python's notion of whitespace (str.isspace / str.split /
+# str.strip / re \s).  Spark's own \s and trim() are ASCII-only.
+PY_WS_CODEPOINTS = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 PY_WS = "[" + _java_class(PY_WS_CODEPOINTS) + "]"
 
 # The control-character class removed by the clean-text rule,
 # and the C0-control-or-space set stripped by URL splitting.
 CONTROL_CODEPOINTS = list(range(0x00, 0x09)) + [0x0B, 0x0C] + list(range(0x0E, 0x20)) + [0x7F]
-CONTROL_CHARS = "[" + _java_class(CONTROL_CODEPOINTS) + "]"
 C0_OR_SPACE = "[\\x00-\\x20]"
 
 _WS_LITERAL = chars_literal(PY_WS_CODEPOINTS)

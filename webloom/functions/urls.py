@@ -73,12 +73,31 @@ _PARAMS_RE = r'(?s)^(.*/)?([^/;]*);([^/]*)$'
 _PSEUDO_RE = "^(?:\\#|" + "|".join(PSEUDO_PREFIXES) + ")"
 
 
+# IPv6 as written between brackets: eight groups, or fewer around one "::", the
+# last two groups perhaps as IPv4; a zone may follow.
+_H = "[0-9A-Fa-f]{1,4}"
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_TAIL = f"(?:{_H}:{_H}|{_V4})"
+_IPV6 = "(?:" + "|".join(
+    [f"(?:{_H}:){{6}}{_TAIL}", f"::(?:{_H}:){{5}}{_TAIL}"]
+    + [f"(?:(?:{_H}:){{0,{k}}}{_H})?::(?:{_H}:){{{4 - k}}}{_TAIL}" for k in range(5)]
+    + [f"(?:(?:{_H}:){{0,5}}{_H})?::{_H}", f"(?:(?:{_H}:){{0,6}}{_H})?::"]) + ")(?:%[^%]+)?"
+_BRACKETED = rf"(?s)^(?:.*@)?\[(?:{_IPV6}|v[0-9A-Fa-f]+\..+)\](?::.*)?$"
+
+
+def bracketed_ok_sql(netloc: str) -> str:
+    """False where Python raises: unbalanced brackets, or brackets around
+    anything but an IPv6 (or future) address, or text beside them."""
+    return (f"(NOT contains({netloc}, '[') AND NOT contains({netloc}, ']')) "
+            f"OR (contains({netloc}, '[') AND contains({netloc}, ']') AND {netloc} RLIKE {q(_BRACKETED)})")
+
+
 def url_split_sql(u: str, default_scheme: str | None = None) -> str:
     """``urlparse`` as struct<scheme, netloc, path, params, query, fragment, ok>.
 
     Leading C0-control-or-space is stripped and tab/CR/LF removed first, as
-    Python does.  ``ok`` is false where Python raises (unbalanced IPv6
-    brackets)."""
+    Python does.  ``ok`` is false where Python raises (a bracketed host
+    that is no address)."""
     pre = f"regexp_replace(regexp_replace(coalesce({u}, ''), {q('^' + C0_OR_SPACE + '+')}, ''), {q('[\\t\\r\\n]')}, '')"
     R = q(_URL_RE)
 
@@ -99,7 +118,7 @@ def url_split_sql(u: str, default_scheme: str | None = None) -> str:
             ("path", f"CASE WHEN {has} THEN concat(regexp_extract({s}.path, {P}, 1), regexp_extract({s}.path, {P}, 2)) ELSE {s}.path END"),
             ("params", f"CASE WHEN {has} THEN regexp_extract({s}.path, {P}, 3) ELSE '' END"),
             ("query", f"{s}.query"), ("fragment", f"{s}.fragment"),
-            ("ok", f"NOT ((contains({n}, '[') AND NOT contains({n}, ']')) OR (contains({n}, ']') AND NOT contains({n}, '[')))"))
+            ("ok", bracketed_ok_sql(n)))
 
     return let(let(pre, split5), with_params)
 

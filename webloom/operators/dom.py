@@ -211,7 +211,7 @@ _DOM_ARROW = pa.struct([
 ])
 
 
-def _dom_column(docs) -> pa.Array:
+def _dom_column(docs, tags=None) -> pa.Array:
     """Build the ``dom`` struct column for one Arrow batch, column-wise."""
     texts, errors, valid = [], [], []
     run_off, runs = [0], []
@@ -225,6 +225,8 @@ def _dom_column(docs) -> pa.Array:
             continue
         try:
             text, rs, nodes = parse_html(doc)
+            if tags is not None:
+                nodes = [n for n in nodes if n[0] in tags]
             err = None
         except Exception as e:  # a page that cannot be parsed yields no DOM
             text, rs, nodes, err = None, [], [], f"{type(e).__name__}: {e}"
@@ -250,9 +252,29 @@ def _dom_column(docs) -> pa.Array:
         fields=list(_DOM_ARROW), mask=mask)
 
 
-def parse_dom(pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:
+BATCH_CHARS = 1 << 21
+
+
+def _slices(docs: list[str | None]):
+    """(start, length) of consecutive rows of about BATCH_CHARS of markup."""
+    start = size = 0
+    for i, doc in enumerate(docs):
+        if i > start and size + len(doc or "") > BATCH_CHARS:
+            yield start, i - start
+            start, size = i, 0
+        size += len(doc or "")
+    yield start, len(docs) - start
+
+
+def parse_dom(pages: DataFrame, html_col: str = "html", keep_html: bool = False,
+              tags: frozenset[str] | None = None) -> DataFrame:
     """H0: add a ``dom`` column parsed from ``html_col``.
 
+    ``tags`` names the elements that will be read on their own (without
+    their descendants): the others are not sent back from Python.  A batch
+    is built for about two million characters at a time, whatever the
+    session's Arrow batch size.
+
     All other columns pass through unchanged.  The HTML column itself is
     dropped by default so it is not shipped back from Python; compute any
     raw-markup features before this stage.  A page whose markup raises in
@@ -264,7 +286,9 @@ def parse_dom(pages: DataFrame, html_col: str = "html", keep_html: bool = False)
     def run(batches):
         for rb in batches:
             docs = rb.column(html_col).to_pylist()
-            cols = [rb.column(name) for name in keep] + [_dom_column(docs)]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + ["dom"])
+            for at, n in _slices(docs):
+                part = rb.slice(at, n)
+                cols = [part.column(name) for name in keep] + [_dom_column(docs[at:at + n], tags)]
+                yield pa.RecordBatch.from_arrays(cols, names=keep + ["dom"])
 
     return pages.mapInArrow(run, out_schema)

@@ -75,17 +75,34 @@ def first(arr: str, pred) -> str:
 
 
 def selector_pred(sel: str):
-    """Predicate for the selector forms the scrapers use: ``tag``, ``.cls``,
-    ``#id``, ``tag[attr=value]``."""
+    """Predicate for one selector: any of ``tag``, ``.cls``, ``#id``, ``[attr]``,
+    ``[attr="v"]``, ``[attr*="v"]``, the last three also after a tag."""
     if sel.startswith("."):
         return lambda n: has_token_sql(attr(n, "class"), sel[1:])
     if sel.startswith("#"):
         return lambda n: f"coalesce({attr(n, 'id')} = {q(sel[1:])}, false)"
-    if "[" in sel:
-        tag, rest = sel.split("[", 1)
-        key, val = rest.rstrip("]").split("=", 1)
-        return lambda n: f"({is_tag(n, tag)} AND coalesce({attr(n, key)} = {q(val.strip('\"'))}, false))"
-    return lambda n: is_tag(n, sel)
+    tag, _, rest = sel.partition("[")
+    if not rest:
+        return lambda n: is_tag(n, tag)
+    key, eq, val = rest.rstrip("]").partition("=")
+    val = val.strip("\"'")
+
+    def cond(n):
+        if not eq:
+            return has_attr(n, key)
+        if key.endswith("*"):
+            return f"coalesce(contains({attr(n, key[:-1])}, {q(val)}), false)"
+        return f"coalesce({attr(n, key)} = {q(val)}, false)"
+    return (lambda n: f"({is_tag(n, tag)} AND {cond(n)})") if tag else cond
+
+
+def select_texts_sql(d: str, selectors: list[str]) -> str:
+    """Stripped texts of the elements that match the first of the given
+    selectors that matches any (configured selector lists)."""
+    cases = " ".join(f"WHEN exists({d}.nodes, {lam(selector_pred(s))}) THEN "
+                     f"transform({where(f'{d}.nodes', selector_pred(s))}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
+                     for s in selectors)
+    return f"CASE {cases} ELSE CAST(array() AS array<string>) END"
 
 
 # --------------------------------------------------------------------------
@@ -252,13 +269,33 @@ def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     dynamic: missing stays ''), lower-cased method (default get), and their
     input/select/textarea fields with select options."""
     def option(o):
-        return struct(("value", attr_or_empty(o, "value")), ("text", py_strip_sql(node_text(d, o))),
-                      ("selected", has_attr(o, "selected")))
+        text = py_strip_sql(node_text(d, o))
+        if mode == "dynamic":                       # the browser's properties, not the attributes
+            return struct(("value", f"coalesce({attr(o, 'value')}, {text})"), ("text", text),
+                          ("selected", has_attr(o, "selected")))
+        return struct(("value", attr_or_empty(o, "value")), ("text", text), ("selected", has_attr(o, "selected")))
+
+    def chosen(opts, f):
+        """A single select without a selected option selects its first."""
+        if mode != "dynamic":
+            return opts
+        o, i = fresh(), fresh()
+        first_one = (f"transform({{0}}, ({o}, {i}) -> named_struct('value', {o}.value, 'text', {o}.text, "
+                     f"'selected', {i} = 0))")
+        return let(opts, lambda x: f"CASE WHEN {has_attr(f, 'multiple')} OR exists({x}, y -> y.selected) THEN {x} "
+                                   f"ELSE {first_one.format(x)} END")
+
+    def kind(f):
+        if mode != "dynamic":
+            return f"coalesce({attr(f, 'type')}, {f}.tag)"
+        return (f"CASE {f}.tag WHEN 'input' THEN lower(coalesce(nullif({attr(f, 'type')}, ''), 'text')) "
+                f"WHEN 'select' THEN CASE WHEN {has_attr(f, 'multiple')} THEN 'select-multiple' ELSE 'select-one' END "
+                f"ELSE {f}.tag END")
 
     def field(f):
         options = where(subtree(d, f), lambda n: is_tag(n, "option"))
-        opts = f"CASE WHEN {is_tag(f, 'select')} THEN transform({options}, {lam(option)}) END"
-        return struct(("name", attr_or_empty(f, "name")), ("type", f"coalesce({attr(f, 'type')}, {f}.tag)"),
+        opts = f"CASE WHEN {is_tag(f, 'select')} THEN {chosen(f'transform({options}, {lam(option)})', f)} END"
+        return struct(("name", attr_or_empty(f, "name")), ("type", kind(f)),
                       ("id", attr_or_empty(f, "id")), ("class_name", attr_or_empty(f, "class")),
                       ("placeholder", attr_or_empty(f, "placeholder")),
                       ("required", has_attr(f, "required")), ("options", opts))
@@ -271,7 +308,7 @@ def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
         controls = where(subtree(d, n), lambda x: f"{x}.tag IN ({qlist(['input', 'select', 'textarea'])})")
         return struct(("action", action), ("method", f"lower(coalesce({attr(n, 'method')}, 'get'))"),
                       ("id", attr_or_empty(n, "id")), ("class_name", attr_or_empty(n, "class")),
-                      ("fields", f"transform({controls}, {lam(field)})"))
+                      ("fields", f"transform({controls}, {lam(field)})"), ("ok", _url_ok(action_attr)))
     return f"transform({where(f'{d}.nodes', lambda n: is_tag(n, 'form'))}, {lam(form)})"
 
 
@@ -296,39 +333,66 @@ def text_strip_length_sql(d: str) -> str:
 # --------------------------------------------------------------------------
 # H0 assembly
 
+def _by_route(make) -> str:
+    """The expression of the page's dialect; only that branch is evaluated."""
+    static, dynamic = make("static"), make("dynamic")
+    return static if static == dynamic else f"CASE WHEN route = 'dynamic' THEN {dynamic} ELSE {static} END"
+
+
 def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") -> DataFrame:
     """Assemble the RAW record columns from a DataFrame with ``dom``.
 
+    ``mode='routed'`` picks the dialect per page: the column
+    ``scraping_type`` names it, or (auto) the page's own rendering decides
+    (P15, P16); the columns ``rendering`` and ``route`` say how.
+
     Keeps all incoming columns except ``dom``; adds ``metadata``,
     ``content``, ``main_selector``, ``links``, ``images``, ``forms``,
     ``frameworks``, ``text_strip_length`` and ``extract_error``."""
-    keep = [c for c in parsed.columns if c != "dom"]
+    routed = mode == "routed"
+    if routed:
+        from .gates import classify_rendering_sql, route_by_type_sql
+        parsed = parsed.withColumn("text_strip_length", expr(text_strip_length_sql("dom")))
+        parsed = parsed.withColumn("rendering", expr(classify_rendering_sql("_markup_dynamic", "http_status_code",
+                                                                            "text_strip_length")))
+        parsed = parsed.withColumn("route", expr(route_by_type_sql("scraping_type", "rendering")))
+    keep = [c for c in parsed.columns if c not in ("dom", "text_strip_length")]
     url = f"coalesce(`{url_col}`, '')"
+
+    def pick(make) -> str:
+        return _by_route(make) if routed else make(mode)
+
     staged = parsed.select("*", expr(url_split_sql(url)).alias("_base"),
-                           expr(main_content_sql("dom", mode)).alias("_main"))
-    md = [("title", title_sql("dom", mode))]
-    md += [(k, meta_sql("dom", k, mode)) for k in META_FIELDS]
-    md += [("language", language_sql("dom"))]
-    if mode == "dynamic":
-        md += [("url", url), ("domain", "_base.netloc")]
-    else:
-        md += [("url", "CAST(NULL AS STRING)"), ("domain", "CAST(NULL AS STRING)")]
-    md += [("open_graph", open_graph_sql("dom", mode))]
+                           expr(pick(lambda k: main_content_sql("dom", k))).alias("_main"))
+
+    def metadata(k):
+        md = [("title", title_sql("dom", k))]
+        md += [(f, meta_sql("dom", f, k)) for f in META_FIELDS]
+        md += [("language", language_sql("dom"))]
+        if k == "dynamic":
+            md += [("url", url), ("domain", "_base.netloc")]
+        else:
+            md += [("url", "CAST(NULL AS STRING)"), ("domain", "CAST(NULL AS STRING)")]
+        return struct(*md, ("open_graph", open_graph_sql("dom", k)))
+
     m = "_main.node"
-    frameworks = frameworks_sql("dom") if mode == "dynamic" else "CAST(map() AS map<string,boolean>)"
-    structure = struct(("headings", headings_sql("dom", m, mode)), ("paragraphs", paragraphs_sql("dom", m)),
-                       ("lists", lists_sql("dom", m, mode)))
+    none = "CAST(map() AS map<string,boolean>)"
+
+    def structure(k):
+        return struct(("headings", headings_sql("dom", m, k)), ("paragraphs", paragraphs_sql("dom", m)),
+                      ("lists", lists_sql("dom", m, k)))
+
     extracted = staged.select(
         *keep,
-        expr(struct(*md)).alias("metadata"),
+        expr(pick(metadata)).alias("metadata"),
         expr(f"CASE WHEN {m} IS NOT NULL THEN {node_text('dom', m)} END").alias("_main_text"),
-        expr(f"CASE WHEN {m} IS NOT NULL THEN {structure} END").alias("_content"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {pick(structure)} END").alias("_content"),
         F.col("_main.selector").alias("main_selector"),
-        expr(links_sql("dom", url, "_base", mode)).alias("_links"),
+        expr(pick(lambda k: links_sql("dom", url, "_base", k))).alias("_links"),
         expr(images_sql("dom", url, "_base")).alias("_images"),
-        expr(forms_sql("dom", url, "_base", mode)).alias("forms"),
-        expr(frameworks).alias("frameworks"),
-        expr(text_strip_length_sql("dom")).alias("text_strip_length"),
+        expr(pick(lambda k: forms_sql("dom", url, "_base", k))).alias("_forms"),
+        expr(pick(lambda k: frameworks_sql("dom") if k == "dynamic" else none)).alias("frameworks"),
+        (F.col("text_strip_length") if routed else expr(text_strip_length_sql("dom"))).alias("text_strip_length"),
         F.col("dom.error").alias("_parse_error"),
     )
     # the scraper's text clean decodes entities a second time.
@@ -337,21 +401,26 @@ def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") ->
                      ("paragraphs", "_content.paragraphs"), ("lists", "_content.lists"))
     link_fields = struct(*[(f, f"x.{f}") for f in ["url", "text", "title", "target", "is_external"]])
     image_fields = struct(*[(f, f"x.{f}") for f in ["src", "alt", "title"]])
+    form_fields = struct(*[(f, f"x.{f}") for f in ["action", "method", "id", "class_name", "fields"]])
     return decoded.select(
         *keep, "metadata",
         expr(f"CASE WHEN _content IS NOT NULL THEN {content} END").alias("content"),
         "main_selector",
         expr(f"transform(_links, x -> {link_fields})").alias("links"),
         expr(f"transform(_images, x -> {image_fields})").alias("images"),
-        "forms", "frameworks", "text_strip_length",
+        expr(f"transform(_forms, x -> {form_fields})").alias("forms"),
+        "frameworks", "text_strip_length",
         expr("coalesce(_parse_error, CASE WHEN exists(_links, x -> NOT x.ok) OR exists(_images, x -> NOT x.ok) "
-             "THEN 'ValueError: Invalid IPv6 URL' END)").alias("extract_error"),
+             "OR exists(_forms, x -> NOT x.ok) THEN 'ValueError: Invalid IPv6 URL' END)").alias("extract_error"),
     )
 
 
-def extract_raw(pages: DataFrame, mode: str = "static", html_col: str = "html") -> DataFrame:
-    """H0: pages(page_id, url, html, ...) → RAW columns (one parse per page)."""
-    return dom_to_raw(parse_dom(pages, html_col=html_col), mode)
+def extract_raw(pages: DataFrame, mode: str = "static", html_col: str = "html",
+                tags: frozenset[str] | None = None) -> DataFrame:
+    """H0: pages(page_id, url, html, ...) → RAW columns (one parse per page).
+    ``tags``: the only elements the wanted columns read, so that the others
+    stay in Python; columns of other elements are then not to be used."""
+    return dom_to_raw(parse_dom(pages, html_col=html_col, tags=tags), mode)
 
 
 # Column wrappers for single extractors over a ``dom`` column -------------

@@ -17,6 +17,10 @@ Everything is a Spark SQL expression or a DataFrame join:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse, urlunparse
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +28,7 @@ from pyspark.sql.window import Window
 from ..functions.core import expr, fresh, lam, let, q, qlist, struct
 from ..functions.text import PY_WS, py_strip_sql
 from ..functions.urls import url_split_sql
-from .extract import attr, has_attr, has_token_sql, is_tag
+from .extract import selector_pred
 
 # Captcha selectors and keyword lists, in priority order.
 CAPTCHA_SELECTORS = [
@@ -65,38 +69,26 @@ DEFAULT_CRAWL_DELAY = 1.0
 # --------------------------------------------------------------------------
 # P10-P14 captcha
 
-def _selector_sql(sel: str):
-    """Predicate for the captcha selector forms: tag[attr*="v"], .cls,
-    [attr], #id, [attr*="v"]."""
-    if sel.startswith("."):
-        return lambda n: has_token_sql(attr(n, "class"), sel[1:])
-    if sel.startswith("#"):
-        return lambda n: f"coalesce({attr(n, 'id')} = {q(sel[1:])}, false)"
-    tag, _, rest = sel.partition("[")
-    rest = rest.rstrip("]")
-    if "*=" in rest:
-        key, val = rest.split("*=", 1)
-        val = val.strip('"')
-        cond = lambda n: f"coalesce(contains({attr(n, key)}, {q(val)}), false)"
-    else:
-        cond = lambda n: has_attr(n, rest)
-    if tag:
-        return lambda n: f"({is_tag(n, tag)} AND {cond(n)})"
-    return cond
-
-
 def captcha_by_selector_sql(d: str, selectors=CAPTCHA_SELECTORS) -> str:
     """P10: the first selector (list order) matching any element, or NULL."""
-    cases = " ".join(f"WHEN exists({d}.nodes, {lam(_selector_sql(s))}) THEN {q(s)}" for s in selectors)
+    cases = " ".join(f"WHEN exists({d}.nodes, {lam(selector_pred(s))}) THEN {q(s)}" for s in selectors)
     return f"CASE {cases} END"
 
 
-def captcha_by_text_sql(text: str, keywords=GATE_KEYWORDS) -> str:
+def _keyword_hit(text: str, word: str, word_boundary: bool) -> str:
+    if word_boundary:
+        return f"regexp_like({text}, concat('\\\\b\\\\Q', {word}, '\\\\E\\\\b'))"
+    return f"contains({text}, {word})"
+
+
+def captcha_by_text_sql(text: str, keywords=GATE_KEYWORDS, word_boundary: bool = False) -> str:
     """First keyword (list order) that is a substring of the lower-cased
-    page text, or NULL.  Substring semantics (``improve`` contains
-    ``prove``) are kept."""
-    k = fresh()
-    return f"try_element_at(filter(array({qlist(keywords)}), {k} -> contains(lower({text}), {k})), 1)"
+    page text, or NULL.  By default ``improve`` contains ``prove``; with
+    ``word_boundary`` only whole words count."""
+    def search(t):
+        k = fresh()
+        return f"try_element_at(filter(array({qlist(keywords)}), {k} -> {_keyword_hit(t, k, word_boundary)}), 1)"
+    return let(f"lower({text})", search)
 
 
 def blocked_by_headers_sql(headers: str) -> str:
@@ -128,12 +120,17 @@ def gate_captcha_sql(d: str, status: str, headers: str, keywords=GATE_KEYWORDS)
 # --------------------------------------------------------------------------
 # P15 / P16 rendering
 
-def classify_rendering_sql(html_lower: str, status: str, text_strip_len: str) -> str:
-    """P15: 'dynamic' if the fetch status is not 200, or the lower-cased
-    markup contains a JS-framework word or SPA marker, or the page has
-    fewer than 100 visible characters; else 'static'."""
-    markers = " OR ".join(f"contains({html_lower}, {q(m)})" for m in JS_INDICATORS + SPA_INDICATORS)
-    return (f"CASE WHEN coalesce({status}, 200) != 200 OR {markers} OR coalesce({text_strip_len}, 0) < {MIN_STATIC_TEXT} "
+def markup_markers_sql(html: str) -> str:
+    """True when the lower-cased markup has a JS-framework word or SPA marker."""
+    return let(f"lower({html})", lambda h: "(" + " OR ".join(
+        f"contains({h}, {q(m)})" for m in JS_INDICATORS + SPA_INDICATORS) + ")")
+
+
+def classify_rendering_sql(marked: str, status: str, text_strip_len: str) -> str:
+    """P15: 'dynamic' if the fetch status is not 200, or the markup has a
+    marker (``marked``, from ``markup_markers_sql``), or the page has fewer
+    than 100 visible characters; else 'static'."""
+    return (f"CASE WHEN coalesce({status}, 200) != 200 OR {marked} OR coalesce({text_strip_len}, 0) < {MIN_STATIC_TEXT} "
             f"THEN 'dynamic' ELSE 'static' END")
 
 
@@ -153,13 +150,49 @@ def fetch_ok_sql(status: str) -> str:
 _LINE_SPLIT = "\\r\\n|[\\n\\r\\x{0B}\\x{0C}\\x{1C}\\x{1D}\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
 
 
+def _plain_rules(body: str) -> str:
+    """The lines of a robots.txt with percent-coded values decoded and rule
+    paths in the one spelling that URLs are compared in."""
+    out = []
+    for line in body.splitlines():
+        key, colon, value = line.partition("#")[0].strip().partition(":")
+        if colon:
+            value = unquote(value.strip())
+            if key.strip().lower() in ("allow", "disallow"):
+                value = quote(urlunparse(urlparse(value)))
+            line = f"{key}:{value}".replace("\n", " ").replace("#", "%23")
+        out.append(line)
+    return "\n".join(out)
+
+
+def _url_rule_path(url: str) -> str:
+    """What of a URL the rules are compared with."""
+    p = urlparse(unquote(url))
+    return quote(urlunparse(("", "", p.path, p.params, p.query, p.fragment))) or "/"
+
+
+def _each(fn, on_error):
+    @F.pandas_udf("string")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(x):
+            try:
+                return None if x is None else fn(x)
+            except ValueError:
+                return on_error
+        for batch in batches:
+            yield batch.map(one, na_action=None)
+    return apply
+
+
 def compile_robots(robots: DataFrame, origin_col: str = "origin", body_col: str = "body") -> DataFrame:
     """Compile each robots.txt body into ``entries`` (array of
     struct<agents, rules, delay, is_default>) with a fold over its lines
     that follows the standard parser: a user-agent line after rules starts
     a new entry, a blank line ends one, rules before any user-agent are
     ignored, the first ``*`` entry is the default and further ``*`` entries
-    are dropped.  One output row per origin."""
+    are dropped.  One output row per origin.  A file that cannot be read as
+    robots rules allows everything."""
+    robots = robots.select(origin_col, _each(_plain_rules, "")(F.col(body_col)).alias(body_col))
     lines = f"split(coalesce({body_col}, ''), {q(_LINE_SPLIT)})"
 
     def parse(line):
@@ -189,6 +222,7 @@ def compile_robots(robots: DataFrame, origin_col: str = "origin", body_col: str
                 f"WHEN {ln}.key = 'user-agent' THEN {nxt('1', ua_entry, add(q('agent'), ua_entry))} "
                 f"WHEN {ln}.key IN ('allow', 'disallow') AND {st} != 0 THEN {nxt('2', en, add(f'{ln}.key', en))} "
                 f"WHEN {ln}.key = 'crawl-delay' AND {st} != 0 THEN {nxt('2', en, delay_rows)} "
+                f"WHEN {ln}.key = 'request-rate' AND {st} != 0 THEN {nxt('2', en, add(q('rate'), en))} "
                 f"ELSE {acc} END")
     a, ln = fresh(), fresh()
     folded = f"aggregate({parsed}, {zero}, ({a}, {ln}) -> {step(a, ln)}).rows"
@@ -245,13 +279,13 @@ def _url_path_sql(url: str) -> str:
     return let(url_split_sql(url), build)
 
 
-def robots_allowed_sql(entries: str, url: str, agent: str = ROBOTS_AGENT) -> str:
-    """J1 verdict for one URL against its host's compiled entries: first
+def robots_allowed_sql(entries: str, path: str, agent: str = ROBOTS_AGENT) -> str:
+    """J1 verdict for the rule path of one URL against its host's compiled entries: first
     matching rule of the matching entry, in file order; no robots, no
     matching entry or no matching rule → allowed."""
     def decide(ent):
         r = fresh()
-        rule = (f"try_element_at(filter({ent}.rules, {r} -> {r}.path = '*' OR startswith({_url_path_sql(url)}, {r}.path)), 1)")
+        rule = (f"try_element_at(filter({ent}.rules, {r} -> startswith({path}, {r}.path)), 1)")
         return f"coalesce({rule}.allow, true)"
     return f"coalesce({let(_matching_entry_sql(entries, agent), decide)}, true)"
 
@@ -266,16 +300,23 @@ def origin_sql(url: str) -> str:
     return let(url_split_sql(url), lambda p: f"concat({p}.scheme, '://', {p}.netloc)")
 
 
-def robots_allowed(urls: DataFrame, robots: DataFrame, url_col: str = "url", agent: str = ROBOTS_AGENT) -> DataFrame:
+def robots_allowed(urls: DataFrame, robots: DataFrame, url_col: str = "url", agent: str = ROBOTS_AGENT,
+                   broadcast: bool = False) -> DataFrame:
     """J1 + J2 for a table of URLs: adds ``allowed`` and ``crawl_delay``.
 
     ``robots(origin, body)`` holds one robots.txt per origin (absent or
-    unfetchable = allow)."""
+    unfetchable = allow).  Only URLs with characters that quoting would
+    change pass through Python for their path.  ``broadcast`` is for callers
+    that have checked the number of origins."""
     compiled = compile_robots(robots)
-    keyed = urls.withColumn("_origin", expr(origin_sql(f"`{url_col}`")))
+    compiled = F.broadcast(compiled) if broadcast else compiled
+    plain = F.col(f"`{url_col}`").rlike(r"^[A-Za-z0-9_.~/:-]*$")
+    keyed = urls.withColumn("_origin", expr(origin_sql(f"`{url_col}`"))) \
+        .withColumn("_odd_path", _each(_url_rule_path, None)(F.when(~plain, F.col(f"`{url_col}`")))) \
+        .withColumn("_path", F.when(plain, expr(_url_path_sql(f"`{url_col}`"))).otherwise(F.col("_odd_path")))
     joined = keyed.join(compiled, keyed["_origin"] == compiled["origin"], "left").drop("origin")
-    return joined.select(*[c for c in keyed.columns if c != "_origin"],
-                         expr(robots_allowed_sql("entries", f"`{url_col}`", agent)).alias("allowed"),
+    return joined.select(*urls.columns,
+                         expr(robots_allowed_sql("entries", "_path", agent)).alias("allowed"),
                          expr(crawl_delay_sql("entries", agent)).alias("crawl_delay"))
 
 
@@ -310,16 +351,23 @@ def robots_as_of(requests: DataFrame, snapshots: DataFrame, ttl_sec: int = ROBOT
 # --------------------------------------------------------------------------
 # J5 / A5 keyword table
 
-def keyword_first_match(texts: DataFrame, keywords: DataFrame, key_col: str, text_col: str) -> DataFrame:
+MAX_KEYWORDS = 10_000
+
+
+def keyword_first_match(texts: DataFrame, keywords: DataFrame, key_col: str, text_col: str,
+                        word_boundary: bool = False) -> DataFrame:
     """Table-driven keyword gate.  ``keywords(keyword, ord)`` is a
-    configuration list (its size is bounded by configuration, so it is
-    broadcast); each text row gets the first keyword by ``ord`` that is a
-    substring of its lower-cased text (NULL when none).  Matches are
-    pre-aggregated per row before the shuffle."""
-    kw = F.broadcast(keywords.select("keyword", "ord"))
-    lowered = texts.select(key_col, F.lower(F.col(text_col)).alias("_t"))
-    hits = lowered.join(kw, expr("contains(_t, keyword)"), "inner") \
-        .groupBy(key_col).agg(F.min_by("keyword", "ord").alias("first_keyword"),
-                              F.count(F.lit(1)).alias("n_keywords"))
-    return texts.select(key_col).join(hits, key_col, "left") \
-        .select(key_col, "first_keyword", F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"))
+    configuration list; its size is checked and the list becomes one array in
+    the plan, so the texts are neither joined nor moved.  Each text row gets
+    the first keyword by ``ord`` that is a substring (or whole word) of its
+    lower-cased text (NULL when none) and the number of keywords found."""
+    rows = keywords.select("keyword", "ord").limit(MAX_KEYWORDS + 1).collect()
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"a keyword list has {MAX_KEYWORDS} entries at most")
+    words = [r.keyword for r in sorted(rows, key=lambda r: (r.ord, r.keyword))]
+    listed = f"array({qlist(words)})" if words else "CAST(array() AS array<string>)"
+    t, k = "_t", fresh()
+    hits = expr(f"filter({listed}, {k} -> {_keyword_hit(t, k, word_boundary)})")
+    return texts.select(key_col, F.lower(F.col(text_col)).alias(t)).select(key_col, hits.alias("_hits")) \
+        .select(key_col, expr("try_element_at(_hits, 1)").alias("first_keyword"),
+                F.greatest(F.size("_hits"), F.lit(0)).cast("long").alias("n_keywords"))

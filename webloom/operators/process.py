@@ -29,9 +29,6 @@ MSG_MISSING_URL = "Missing URL"
 MSG_NO_CONTENT = "No content extracted"
 MSG_NO_TITLE = "No title found"
 
-DEFAULT_RUN_TS = "2026-01-01 00:00:00"
-
-
 def _arr(c: str) -> str:
     return f"coalesce({c}, array())"
 
@@ -140,10 +137,12 @@ def normalize_images_sql(images: str, base: str, b: str) -> str:
 # --------------------------------------------------------------------------
 # F9 / F10 / F11
 
-def normalize_scraped_at_sql(s: str, run_ts: str) -> str:
-    """missing or shorter than 20 characters → the run timestamp."""
-    return (f"CASE WHEN {s} IS NULL OR length(CAST({s} AS STRING)) < 20 THEN to_timestamp({q(run_ts)}) "
-            f"ELSE to_timestamp(CAST({s} AS STRING)) END")
+def normalize_scraped_at_sql(s: str, run_ts: str, is_text: bool = True) -> str:
+    """missing, or text shorter than 20 characters → the run timestamp.
+    The length rule is about ISO text; a non-NULL timestamp is kept."""
+    if not is_text:
+        return f"coalesce(CAST({s} AS TIMESTAMP), to_timestamp({q(run_ts)}))"
+    return f"CASE WHEN {s} IS NULL OR length({s}) < 20 THEN to_timestamp({q(run_ts)}) ELSE to_timestamp({s}) END"
 
 
 def assign_page_id_sql(session_id: str, url: str, scraped_at: str) -> str:
@@ -177,7 +176,11 @@ def _opt(df: DataFrame, name: str, typ: str) -> str:
     return f"`{name}`" if name in df.columns else f"CAST(NULL AS {typ})"
 
 
-def process_records(raw: DataFrame, run_ts: str = DEFAULT_RUN_TS, mode: str = "static") -> DataFrame:
+def _is_text(df: DataFrame, name: str) -> bool:
+    return name not in df.columns or df.schema[name].dataType.typeName() == "string"
+
+
+def process_records(raw: DataFrame, run_ts: str, mode: str = "static") -> DataFrame:
     """P2 → clean → dedup → normalise, one output row per RAW row.
 
     Adds ``page_id`` (string), ``scraped_at`` (timestamp), ``validation``,
@@ -188,7 +191,7 @@ def process_records(raw: DataFrame, run_ts: str = DEFAULT_RUN_TS, mode: str = "s
     staged = raw.select(
         *rest, "content", "metadata", "links", "images",
         expr(validate_raw_sql("url", "content", "metadata")).alias("validation"),
-        expr(normalize_scraped_at_sql(_opt(raw, "scraped_at", "STRING"), run_ts)).alias("scraped_at"),
+        expr(normalize_scraped_at_sql(_opt(raw, "scraped_at", "STRING"), run_ts, _is_text(raw, "scraped_at"))).alias("scraped_at"),
         expr(_opt(raw, "page_id", "STRING")).alias("_sid"),
         expr(url_split_sql("coalesce(url, '')")).alias("_base"),
     )
@@ -202,7 +205,9 @@ def process_records(raw: DataFrame, run_ts: str = DEFAULT_RUN_TS, mode: str = "s
         expr(normalize_images_sql(dedup_first_sql(_arr("images"), "src"), base, "_base")).alias("images"),
         "_base",
     )
-    total_fields = RAW_DYNAMIC_FIELDS if mode == "dynamic" else RAW_STATIC_FIELDS
+    total_fields = F.lit(RAW_DYNAMIC_FIELDS if mode == "dynamic" else RAW_STATIC_FIELDS)
+    if "route" in raw.columns:
+        total_fields = F.when(F.col("route") == "dynamic", RAW_DYNAMIC_FIELDS).otherwise(RAW_STATIC_FIELDS)
 
     def link_row(l):
         return struct(("link_url", f"{l}.url"), ("link_text", f"coalesce({l}.text, '')"),
@@ -216,16 +221,23 @@ def process_records(raw: DataFrame, run_ts: str = DEFAULT_RUN_TS, mode: str = "s
     out = cleaned.select(
         "*",
         F.col("validation.valid").alias("valid"),
-        expr(f"transform(filter(links, {lam(lambda l: is_valid_url_sql(f'{l}.url'))}), {lam(link_row)})").alias("link_rows"),
+        expr(f"transform(links, {lam(link_row)})").alias("link_rows"),     # F6 has applied P3 to links already
         expr(f"transform(filter(images, {lam(lambda i: is_valid_url_sql(f'{i}.src'))}), {lam(image_row)})").alias("image_rows"),
-        F.lit(total_fields).alias("total_fields"),
+        total_fields.alias("total_fields"),
         expr(f"length({text})").alias("character_count"),
         expr(word_count_sql(text)).alias("word_count"),
     )
     return out.drop("_base")
 
 
-def pages_table(rec: DataFrame) -> DataFrame:
+def _fetch_field(rec: DataFrame, name: str, default: int, fill: bool) -> str:
+    """F8: an absent column takes the default; NULL stays NULL unless ``fill``."""
+    if name not in rec.columns:
+        return str(default)
+    return f"coalesce(CAST(`{name}` AS INT), {default})" if fill else f"CAST(`{name}` AS INT)"
+
+
+def pages_table(rec: DataFrame, fill_http_defaults: bool = False) -> DataFrame:
     """A1: one row per valid page."""
     return rec.filter("valid").select(
         "page_id", "url",
@@ -236,24 +248,24 @@ def pages_table(rec: DataFrame) -> DataFrame:
         expr("size(coalesce(content.headings, array()))").alias("heading_count"),
         expr("size(images)").alias("image_count"),
         expr("size(coalesce(forms, array()))").alias("form_count"),
-        expr(f"coalesce(CAST({_opt(rec, 'http_status_code', 'INT')} AS INT), 200)").alias("http_status_code"),
-        expr(f"coalesce(CAST({_opt(rec, 'response_time_ms', 'INT')} AS INT), 0)").alias("response_time_ms"),
+        expr(_fetch_field(rec, "http_status_code", 200, fill_http_defaults)).alias("http_status_code"),
+        expr(_fetch_field(rec, "response_time_ms", 0, fill_http_defaults)).alias("response_time_ms"),
     )
 
 
-def links_table(rec: DataFrame) -> DataFrame:
+def links_table(rec: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Dense 1..n numbering after filtering, in document order (page-local
-    ``posexplode``; no shuffle)."""
-    return rec.filter("valid").select("page_id", "scraped_at", F.posexplode("link_rows").alias("pos", "l")).select(
+    ``posexplode``; no shuffle).  ``carry``: page columns to keep as well."""
+    return rec.filter("valid").select("page_id", "scraped_at", *carry, F.posexplode("link_rows").alias("pos", "l")).select(
         "page_id", (F.col("pos") + 1).alias("link_number"), "l.link_url", "l.link_text", "l.link_title",
-        "l.is_external", "scraped_at")
+        "l.is_external", "scraped_at", *carry)
 
 
-def images_table(rec: DataFrame) -> DataFrame:
+def images_table(rec: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """As W1 for images, plus ``image_id``."""
-    return rec.filter("valid").select("page_id", "scraped_at", F.posexplode("image_rows").alias("pos", "i")).select(
+    return rec.filter("valid").select("page_id", "scraped_at", *carry, F.posexplode("image_rows").alias("pos", "i")).select(
         expr(image_id_sql("page_id", "pos + 1")).alias("image_id"), "page_id", "i.image_src", "i.image_alt",
-        "i.is_external", "scraped_at")
+        "i.is_external", "scraped_at", *carry)
 
 
 def headings_table(rec: DataFrame) -> DataFrame:
@@ -278,9 +290,36 @@ def page_statistics(rec: DataFrame) -> DataFrame:
         F.lit(1).alias("pages_scraped"),
         expr("size(link_rows)").alias("links_found"),
         expr("size(images)").alias("images_found"),
+        expr("size(coalesce(content.headings, array()))").alias("headings_found"),
+        expr("size(coalesce(content.paragraphs, array()))").alias("paragraphs_found"),
+        expr("size(coalesce(forms, array()))").alias("forms_found"),
     )
 
 
+# The run counters.
+RUN_COUNTERS = ["pages_scraped", "links_found", "images_found", "headings_found", "paragraphs_found", "forms_found",
+                "word_count", "character_count"]
+
+
+def run_summary(rec: DataFrame, by: str = "host") -> DataFrame:
+    """A3 over many pages: the eight counters summed by host."""
+    stats = page_statistics(rec).withColumn(by, expr(f"{url_split_sql('url')}.netloc"))
+    return stats.groupBy(by).agg(*[F.sum(c).cast("long").alias(c) for c in RUN_COUNTERS])
+
+
+def page_children(pages: DataFrame, children: DataFrame) -> DataFrame:
+    """J4 ``page_links`` / ``page_images``: the pages table with its child rows;
+    pages without children stay, their child columns NULL."""
+    same = [c for c in children.columns if c in pages.columns and c != "page_id"]
+    return pages.join(children.drop(*same), "page_id", "left")
+
+
+def framework_counts(raw: DataFrame) -> DataFrame:
+    """Pages per client framework (only markers that are there)."""
+    return (raw.select(F.explode(F.map_keys(F.map_filter("frameworks", lambda k, v: v))).alias("framework"))
+            .groupBy("framework").agg(F.count(F.lit(1)).alias("pages")))
+
+
 def errors_table(rec: DataFrame) -> DataFrame:
     """Records failing validation, with zeroed counters."""
     return rec.filter(~F.col("valid")).select(
@@ -290,12 +329,11 @@ def errors_table(rec: DataFrame) -> DataFrame:
         expr("concat_ws('; ', validation.errors)").alias("error"),
         F.col("validation.errors").alias("errors"),
         "scraped_at",
-        *[F.lit(0).alias(c) for c in ["pages_scraped", "links_found", "images_found", "headings_found",
-                                      "paragraphs_found", "forms_found", "word_count", "character_count"]],
+        *[F.lit(0).alias(c) for c in RUN_COUNTERS],
     )
 
 
-def process(raw: DataFrame, run_ts: str = DEFAULT_RUN_TS, mode: str = "static") -> Processed:
+def process(raw: DataFrame, run_ts: str, mode: str = "static") -> Processed:
     """RAW → pages, links, images, errors and per-page summary."""
     rec = process_records(raw, run_ts, mode)
     return Processed(rec, pages_table(rec), links_table(rec), images_table(rec), errors_table(rec),

@@ -26,19 +26,19 @@ START_PREFIX = "Starting scraping session "
 FINISH_PREFIX = "Successfully scraped "
 
 
-def host_rollup(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """A4: pages, links, external links and mean response time per host,
-    plus a grand-total row (host NULL) via ``rollup``."""
-    per_page_links = links.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n_links"),
-        F.sum(F.col("is_external").cast("int")).alias("n_external"))
-    p = pages.select("page_id", expr(f"{url_split_sql('url')}.netloc").alias("host"), "response_time_ms")
-    j = p.join(per_page_links, "page_id", "left")
-    return j.rollup("host").agg(
+def host_rollup(rec: DataFrame) -> DataFrame:
+    """A4: pages, links, external links and mean response time per host, plus
+    a grand-total row (host NULL) via ``rollup``, straight from the processed
+    records: link rows are counted in their arrays, nothing is joined."""
+    time = F.col("response_time_ms") if "response_time_ms" in rec.columns else F.lit(0)
+    p = rec.filter("valid").select(
+        expr(f"{url_split_sql('url')}.netloc").alias("host"), time.alias("ms"), F.size("link_rows").alias("n_links"),
+        F.size(F.filter("link_rows", lambda l: l["is_external"])).alias("n_external"))
+    return p.rollup("host").agg(
         F.count(F.lit(1)).alias("pages"),
-        F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("links"),
-        F.coalesce(F.sum("n_external"), F.lit(0)).cast("long").alias("external_links"),
-        F.avg("response_time_ms").alias("avg_response_ms"))
+        F.sum("n_links").cast("long").alias("links"),
+        F.sum("n_external").cast("long").alias("external_links"),
+        F.avg("ms").alias("avg_response_ms"))
 
 
 def gate_outcomes(outcomes: DataFrame) -> DataFrame:
@@ -63,14 +63,23 @@ def parse_run_logs(lines: DataFrame, text_col: str = "value") -> DataFrame:
                                    F.nullif(F.regexp_extract("message", r"^Successfully scraped (.*)$", 1), F.lit(""))))
 
 
-def session_durations(logs: DataFrame) -> DataFrame:
+def session_durations(logs: DataFrame, bucket_sec: int = 3600) -> DataFrame:
     """Start → next finish of the same URL; a start followed by another
-    start (or nothing) is a failed run.  Partitioned by URL, not by logger,
-    so runs spread over tasks."""
+    start (or nothing) is a failed run.  The next line is looked up within
+    (url, time bucket); the last line of a bucket takes the first line of the
+    URL's next bucket (one row per url and bucket), so a URL that holds much
+    of the log is spread over many tasks."""
     ev = logs.filter(F.col("message").startswith(START_PREFIX) | F.col("message").startswith(FINISH_PREFIX)) \
-        .withColumn("is_start", F.col("message").startswith(START_PREFIX))
-    w = Window.partitionBy("url").orderBy("ts", "line_no")
-    nxt = ev.withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_is_start", F.lead("is_start").over(w))
+        .withColumn("is_start", F.col("message").startswith(START_PREFIX)) \
+        .withColumn("_bucket", F.floor(F.unix_micros("ts") / (bucket_sec * 1_000_000)).cast("long"))
+    w = Window.partitionBy("url", "_bucket").orderBy("ts", "line_no")
+    firsts = ev.groupBy("url", "_bucket").agg(F.min(F.struct("ts", "line_no", "is_start")).alias("_first"))
+    wb = Window.partitionBy("url").orderBy("_bucket")
+    edges = firsts.select("url", "_bucket", F.lead("_first").over(wb).alias("_edge"))
+    nxt = ev.withColumn("_ts", F.lead("ts").over(w)).withColumn("_start", F.lead("is_start").over(w)) \
+        .join(edges, ["url", "_bucket"], "left") \
+        .withColumn("next_ts", F.coalesce("_ts", "_edge.ts")) \
+        .withColumn("next_is_start", F.coalesce("_start", "_edge.is_start"))
     ok = F.col("next_ts").isNotNull() & ~F.col("next_is_start")
     return nxt.filter("is_start").select(
         "session_id", "url", F.col("ts").alias("started_at"),
@@ -99,11 +108,16 @@ def politeness_audit(requests: DataFrame, min_gap_sec: float = 1.0, bucket_sec:
 
 
 def latest_snapshot(pages: DataFrame, key: str = "url") -> DataFrame:
-    """Newest row per key (ties: smallest page_id), as an aggregate
-    (``max_by`` with partial aggregation) rather than a ranking window."""
-    order = F.struct((-F.unix_micros("scraped_at")).alias("t"), F.col("page_id").alias("p"))
-    best = pages.groupBy(key).agg(F.min_by(F.struct(*pages.columns), order).alias("row"))
-    return best.select("row.*")
+    """Newest row per key (ties: smallest page_id; a NULL time is older
+    than any).  Two aggregates over the key columns alone, pre-combined in
+    every task, find the row; the other columns come by a join back."""
+    newest = pages.groupBy(key).agg(F.max("scraped_at").alias("_t"))
+    keyed = pages.select(F.col(key).alias("_k"), F.col("scraped_at").alias("_s"), F.col("page_id").alias("_p"))
+    best = keyed.join(newest, keyed["_k"].eqNullSafe(newest[key]) & F.col("_s").eqNullSafe(F.col("_t"))) \
+        .groupBy("_k", "_t").agg(F.min("_p").alias("_p"))
+    same = (pages[key].eqNullSafe(best["_k"]) & pages["scraped_at"].eqNullSafe(best["_t"])
+            & pages["page_id"].eqNullSafe(best["_p"]))
+    return pages.join(best, same).select(*[pages[c] for c in pages.columns])
 
 
 def recent_runs(pages: DataFrame, k: int = 5) -> DataFrame:
@@ -111,17 +125,35 @@ def recent_runs(pages: DataFrame, k: int = 5) -> DataFrame:
     return pages.orderBy(F.desc("scraped_at"), F.asc("page_id")).limit(k)
 
 
+def first_record(pages: DataFrame) -> DataFrame:
+    """T2, first half: the raw row of the first page id, before any parse."""
+    return pages.orderBy(F.col("page_id").cast("string")).limit(1)
+
+
 def first_record_preview(records: DataFrame, text_col: str, n: int = 500) -> DataFrame:
     """The first record with the first n characters of its text."""
     return records.orderBy("page_id").limit(1).select("page_id", expr(truncate_sql(text_col, n)).alias("preview"))
 
 
-def session_state(events: DataFrame) -> DataFrame:
+# What a session shows before its first event.
+INITIAL_PROGRESS, INITIAL_STEP, INITIAL_STATUS = 0, "Initializing", "running"
+
+
+def session_state(events: DataFrame, started: DataFrame | None = None) -> DataFrame:
     """X2 (batch): latest (progress, step, status) per session, tie-break
-    by sequence; an aggregate, so hot sessions pre-aggregate per task."""
+    by sequence; an aggregate, so hot sessions pre-aggregate per task.
+    ``started(session_id)``: sessions to list even before their first event,
+    at progress 0 and step ``Initializing``."""
     last = F.max_by(F.struct("progress", "step", "status"), F.struct("ts", "seq"))
-    return events.groupBy("session_id").agg(last.alias("s"), F.max("ts").alias("updated_at")) \
+    state = events.groupBy("session_id").agg(last.alias("s"), F.max("ts").alias("updated_at")) \
         .select("session_id", "s.progress", "s.step", "s.status", "updated_at")
+    if started is None:
+        return state
+    return started.select("session_id").distinct().join(state, "session_id", "full").select(
+        "session_id",
+        F.coalesce("progress", F.lit(INITIAL_PROGRESS)).alias("progress"),
+        F.coalesce("step", F.lit(INITIAL_STEP)).alias("step"),
+        F.coalesce("status", F.lit(INITIAL_STATUS)).alias("status"), "updated_at")
 
 
 def active_sessions(state: DataFrame) -> DataFrame:

@@ -20,23 +20,28 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _part_page(spark: SparkSession, sf: str):
+    """The page of a part: its key modulo the number of pages, whose ids run
+    from 0, so that every part has a page."""
+    n = _t(spark, sf, "pages").agg(F.max("page_id")).first()[0] + 1
+    return F.pmod(F.col("p_partkey"), F.lit(n)).alias("page_id")
+
+
 def part_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Image rows: every part becomes an image of page ``p_partkey div 8``
-    (eight per page), with four kinds of src: root-relative, absolute on
+    """Image rows: every part becomes an image of a page, with four kinds of src: root-relative, absolute on
     another host, a data: URI and a relative path containing spaces."""
     part = _t(spark, sf, "part")
     pages = _t(spark, sf, "pages").select("page_id", F.col("url").alias("base_url"))
     src = expr("CASE p_partkey % 4 WHEN 0 THEN concat('/img/', p_partkey % 7, '.png') "
                "WHEN 1 THEN concat('https://cdn.example.com/', p_partkey % 5) "
                "WHEN 2 THEN 'data:x' ELSE ' a b.png' END")
-    rows = part.select(expr("p_partkey div 8").alias("page_id"), F.col("p_partkey").alias("pos"),
+    rows = part.select(_part_page(spark, sf), F.col("p_partkey").alias("pos"),
                        src.alias("src"), F.col("p_name").alias("alt"))
     return rows.join(pages, "page_id")
 
 
 def part_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Link rows: every part becomes a link of page ``p_partkey div 6``
-    with six kinds of href: root-relative, mailto:, fragment, absolute
+    """Link rows: every part becomes a link of a page, with six kinds of href: root-relative, mailto:, fragment, absolute
     external (with a fragment), space-padded root-relative and an
     upper-case scheme."""
     part = _t(spark, sf, "part")
@@ -45,7 +50,7 @@ def part_links(spark: SparkSession, sf: str) -> DataFrame:
                 "WHEN 1 THEN concat('mailto:x', p_partkey, '@example.com') WHEN 2 THEN '#frag' "
                 "WHEN 3 THEN concat('https://other.example/', p_brand) "
                 "WHEN 4 THEN concat('  /p/', p_size) ELSE concat('HTTP://UPPER.example/x', p_size) END")
-    rows = part.select(expr("p_partkey div 6").alias("page_id"), F.col("p_partkey").alias("pos"),
+    rows = part.select(_part_page(spark, sf), F.col("p_partkey").alias("pos"),
                        href.alias("url"), F.col("p_name").alias("text"))
     return rows.join(pages, "page_id")
 

@@ -121,22 +121,22 @@ def resolve_simple(src: str, base: str) -> str:
 
 PART_IMAGES = """
 pimg AS (
-  SELECT p.p_partkey // 8 AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS alt,
+  SELECT p.p_partkey % (SELECT max(page_id) + 1 FROM pages) AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS alt,
          CASE p.p_partkey % 4 WHEN 0 THEN '/img/' || CAST(p.p_partkey % 7 AS VARCHAR) || '.png'
               WHEN 1 THEN 'https://cdn.example.com/' || CAST(p.p_partkey % 5 AS VARCHAR)
               WHEN 2 THEN 'data:x' ELSE ' a b.png' END AS src
-  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey // 8)
+  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey % (SELECT max(page_id) + 1 FROM pages))
 """
 
 PART_LINKS = """
 plink AS (
-  SELECT p.p_partkey // 6 AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS text,
+  SELECT p.p_partkey % (SELECT max(page_id) + 1 FROM pages) AS page_id, p.p_partkey AS pos, pg.url AS base_url, p.p_name AS text,
          CASE p.p_partkey % 6 WHEN 0 THEN '/p/' || CAST(p.p_size AS VARCHAR)
               WHEN 1 THEN 'mailto:x' || CAST(p.p_partkey AS VARCHAR) || '@example.com' WHEN 2 THEN '#frag'
               WHEN 3 THEN 'https://other.example/' || p.p_brand
               WHEN 4 THEN '  /p/' || CAST(p.p_size AS VARCHAR)
               ELSE 'HTTP://UPPER.example/x' || CAST(p.p_size AS VARCHAR) END AS url
-  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey // 6)
+  FROM part p JOIN pages pg ON pg.page_id = p.p_partkey % (SELECT max(page_id) + 1 FROM pages))
 """
 
 REQUEST_URLS = """

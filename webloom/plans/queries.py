@@ -18,12 +18,13 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions import urls as U
 from ..operators.extract import extract_raw
-from ..operators.process import DEFAULT_RUN_TS, process_records, pages_table, links_table, \
-    headings_table, page_statistics
+from ..operators.dom import parse_dom
+from ..operators.process import framework_counts, headings_table, images_table, links_table, page_children, \
+    page_statistics, pages_table, process_records, run_summary
 from ..sources.pages import scan_pages
 from . import oracle as O
 
-RUN_TS = DEFAULT_RUN_TS
+RUN_TS = "2026-01-01 00:00:00"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +60,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_records(raw_pages(spark, sf_dir), RUN_TS)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    import uuid
+    from ..session import checkpoint_path
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _pid(c="page_id") -> Column:
     return F.col(c).cast("string").alias("page_id")
 
@@ -87,7 +97,7 @@ FROM anc_rows
 """)
 def q_extract_links(spark, sf):
     """Every a[href] with absolute url and stripped text, before dedup."""
-    raw = raw_pages(spark, sf)
+    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["a"]))
     return longs(raw.select(_pid(), F.posexplode("links").alias("p", "l"))
                  .select("page_id", (F.col("p") + 1).alias("pos"), "l.url", "l.text", "l.is_external"))
 
@@ -95,13 +105,15 @@ def q_extract_links(spark, sf):
 @query("extract_title", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, title_raw AS title FROM pm")
 def q_extract_title(spark, sf):
     """H1: title of every page."""
-    return raw_pages(spark, sf).select(_pid(), F.col("metadata.title").alias("title"))
+    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["title"]))
+    return raw.select(_pid(), F.col("metadata.title").alias("title"))
 
 
 @query("extract_language", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, lang AS language FROM pm")
 def q_extract_language(spark, sf):
     """H4: <html lang>."""
-    return raw_pages(spark, sf).select(_pid(), F.col("metadata.language").alias("language"))
+    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["html"]))
+    return raw.select(_pid(), F.col("metadata.language").alias("language"))
 
 
 @query("select_main_content", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, main_selector FROM pm")
@@ -401,8 +413,7 @@ def q_validate_request(spark, sf):
 
 from ..operators import gates as G  # noqa: E402
 from ..operators import runs as RN  # noqa: E402
-from ..operators.dom import parse_dom  # noqa: E402
-from .scrape import gate_columns, markup_markers_sql, scrape_pages  # noqa: E402
+from .scrape import gate_columns, scrape_pages  # noqa: E402
 
 PROBE_KEYWORDS = ["zzz", "ción", "sch", "the"]
 KEYWORD_TABLE = [("captcha", 1), ("verify", 2), ("robot", 3), ("human", 4), ("prove", 5),
@@ -457,20 +468,14 @@ FROM fp f JOIN dt ON dt.page_id = f.page_id
 """)
 def q_classify_rendering(spark, sf):
     """Static-or-dynamic detection and routing by request type."""
-    fp = DV.fetched_pages(spark, sf).withColumn("_markup_dynamic", F.expr(markup_markers_sql("html")))
-    raw = dom_to_raw_plain(parse_dom(fp))
+    from ..operators.extract import text_strip_length_sql
+    fp = DV.fetched_pages(spark, sf).withColumn("_marked", F.expr(G.markup_markers_sql("html")))
+    raw = parse_dom(fp, tags=frozenset()).withColumn("_strip", F.expr(text_strip_length_sql("dom")))
     rtype = "CASE WHEN url LIKE '%/en/%' THEN 'static' WHEN url LIKE '%/fr/%' THEN 'dynamic' ELSE 'auto' END"
-    rendering = (f"CASE WHEN coalesce(http_status_code, 200) != 200 OR _markup_dynamic "
-                 f"OR text_strip_length < {G.MIN_STATIC_TEXT} THEN 'dynamic' ELSE 'static' END")
-    r = raw.select("page_id", "url", F.expr(rendering).alias("rendering"))
+    r = raw.select("page_id", "url", F.expr(G.classify_rendering_sql("_marked", "http_status_code", "_strip")).alias("rendering"))
     return r.select(_pid(), "rendering", F.expr(G.route_by_type_sql(rtype, "rendering")).alias("route"))
 
 
-def dom_to_raw_plain(parsed):
-    from ..operators.extract import dom_to_raw
-    return dom_to_raw(parsed)
-
-
 @query("robots_allowed", f"""
 WITH u AS (SELECT page_id, url, {O.netloc('url')} AS host,
                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages)
@@ -540,7 +545,7 @@ FROM (SELECT page_id, CASE WHEN NOT allowed THEN '{G.MSG_ROBOTS}'
 def q_gate_pipeline(spark, sf):
     """Robots → captcha → fetch → content → validation, first
     failing gate names the error."""
-    out = scrape_pages(DV.fetched_pages(spark, sf), DV.robots_files(spark, sf))
+    out = scrape_pages(DV.fetched_pages(spark, sf), RUN_TS, DV.robots_files(spark, sf))
     return out.select(_pid(), "status", "error")
 
 
@@ -561,7 +566,7 @@ FROM e GROUP BY ALL
 """)
 def q_gate_outcomes(spark, sf):
     """Pages per gate outcome."""
-    out = scrape_pages(DV.fetched_pages(spark, sf), DV.robots_files(spark, sf))
+    out = scrape_pages(DV.fetched_pages(spark, sf), RUN_TS, DV.robots_files(spark, sf))
     return longs(RN.gate_outcomes(out.select("status", "error")).drop("share"))
 
 
@@ -597,8 +602,7 @@ FROM p GROUP BY ROLLUP (host)
 def q_host_rollup(spark, sf):
     """A4: pages, links, external links, mean response time per host and in
     total (rollup)."""
-    rec = records(spark, sf)
-    return longs(RN.host_rollup(pages_table(rec), links_table(rec)))
+    return longs(RN.host_rollup(records(spark, sf)))
 
 
 @query("session_durations", """
@@ -674,7 +678,8 @@ FROM pc ORDER BY CAST(page_id AS VARCHAR) LIMIT 1
 """)
 def q_first_record_preview(spark, sf):
     """First record with a 500-character text preview."""
-    rec = records(spark, sf).select("page_id", F.col("content.text").alias("text"))
+    first = RN.first_record(scan_pages(spark, f"{sf}/pages.parquet"))      # one page is parsed
+    rec = process_records(extract_raw(first), RUN_TS).select("page_id", F.col("content.text").alias("text"))
     return RN.first_record_preview(rec, "text", 500)
 
 
@@ -729,20 +734,22 @@ def q_stop_sessions(spark, sf):
 @query("flatten_records", f"""
 WITH {O.ANCHORS}, {O.PAGES_MAIN},
 dl AS (SELECT *, row_number() OVER (PARTITION BY page_id, abs_url ORDER BY pos) AS rn FROM anc_rows),
+nl AS (SELECT page_id, count(DISTINCT abs_url) AS n FROM anc_rows GROUP BY page_id),
 lk AS (SELECT url, 'link' AS record_type, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS link_number,
-              abs_url AS link_url, CAST(NULL AS BIGINT) AS heading_number, CAST(NULL AS VARCHAR) AS heading_text,
-              CAST(NULL AS VARCHAR) AS title FROM dl WHERE rn = 1),
-hd AS (SELECT url, 'heading' AS record_type, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(1 AS BIGINT), h1, CAST(NULL AS VARCHAR) FROM pc),
-pg AS (SELECT url, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), title FROM pc)
-SELECT * FROM lk UNION ALL SELECT * FROM hd UNION ALL SELECT * FROM pg
+              abs_url AS link_url, {O.strip('atext')} AS link_text, '' AS link_title, false AS is_external FROM dl WHERE rn = 1),
+hd AS (SELECT url, 'heading' AS record_type, CAST(1 AS BIGINT) AS heading_number, CAST(1 AS BIGINT) AS heading_level, h1 AS heading_text FROM pc),
+pg AS (SELECT pc.url, CAST(NULL AS VARCHAR) AS record_type, title, text AS text_content, CAST(len(paras) AS BIGINT) AS paragraphs_count,
+              CAST(1 AS BIGINT) AS headings_count, CAST(coalesce(nl.n, 0) AS BIGINT) AS links_count,
+              CAST(0 AS BIGINT) AS images_count, CAST(0 AS BIGINT) AS forms_count, CAST(NULL AS VARCHAR) AS description,
+              'static' AS scraping_method
+       FROM pc LEFT JOIN nl ON nl.page_id = pc.page_id)
+SELECT * FROM lk UNION ALL BY NAME SELECT * FROM hd UNION ALL BY NAME SELECT * FROM pg
 """)
 def q_flatten_records(spark, sf):
     """D3: one heterogeneous record set (page, link and heading rows keyed
-    by url) via unionByName(allowMissingColumns)."""
+    by url), each page parsed once."""
     from ..sources.files import flatten_records
-    rec = records(spark, sf)
-    return longs(flatten_records(pages_table(rec), links_table(rec).join(rec.select("page_id", "url"), "page_id"),
-                                 headings_table(rec)))
+    return longs(flatten_records(records(spark, sf)).drop("scraped_at"))
 
 
 @query("union_runs", f"""
@@ -755,7 +762,7 @@ def q_union_runs(spark, sf):
     """Bag union of a new-schema run with an old-schema run (the
     two extra columns missing → NULL)."""
     from ..sources.files import union_runs
-    p = pages_table(records(spark, sf))
+    p = staged(pages_table(records(spark, sf)), "union-runs")       # parsed once for both runs
     new = p.select("page_id", "url", "title", "http_status_code", F.lit("new").alias("run"))
     old = p.select("page_id", "url", "title", F.lit("old").alias("run"))
     return longs(union_runs([new, old]).select("page_id", "url", "title", "http_status_code", "run"))
@@ -790,21 +797,29 @@ def q_stream_process(spark, sf):
     from ..streaming.stream import read_page_stream, stream_process
     out = checkpoint_path(spark, f"stream-out-{uuid.uuid4().hex[:12]}")
     stream = read_page_stream(spark, sf, glob="pages.parquet")
-    q = stream_process(stream, out, DV.robots_files(spark, sf), RUN_TS)
+    q = stream_process(stream, out, RUN_TS, DV.robots_files(spark, sf))
     q.awaitTermination()
     return spark.read.parquet(f"{out}/links").drop("batch_id")  # noqa: E501
 
 
-@query("robots_refresh")
+@query("robots_refresh", """
+WITH RECURSIVE e AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS host, ts FROM events),
+due(host, ts) AS (
+  SELECT host, min(ts) FROM e GROUP BY host
+  UNION ALL
+  SELECT host, nxt FROM (SELECT d.host, (SELECT min(e.ts) FROM e WHERE e.host = d.host AND e.ts >= d.ts + INTERVAL 1 HOUR) AS nxt FROM due d)
+  WHERE nxt IS NOT NULL)
+SELECT host, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM due
+""")
 def q_robots_refresh(spark, sf):
-    """Hosts whose robots.txt is due, each at most once per TTL
-    (event stream: host = user, event time = ts)."""
+    """Requests at which a host's robots.txt is fetched again, one TTL after
+    the last (event stream: host = user, event time = ts)."""
     from ..streaming.stream import robots_refresh, run_available_now
     ev = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     req = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
-                    F.col("ts").cast("timestamp").alias("ts"), "event_id")
+                    F.col("ts").cast("timestamp").alias("ts"))
     path = run_available_now(robots_refresh(req), "robots-refresh")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("host", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 # ==========================================================================
@@ -825,12 +840,13 @@ def q_extract_meta(spark, sf):
     """Meta description (static: first, stripped; dynamic:
     last non-empty, as written), og:title (last wins) and DOM framework
     markers."""
-    pages = scan_pages_df(DV.enriched_pages(spark, sf))
-    static = extract_raw(pages, "static").select(_pid(), F.col("metadata.description").alias("description"),
-                                                 F.expr("metadata.open_graph['og:title']").alias("og_title"))
-    dyn = extract_raw(pages, "dynamic").select(_pid(), F.col("metadata.description").alias("description_dynamic"),
-                                               F.expr("coalesce(frameworks['react'], false)").alias("has_react"))
-    return static.join(dyn, "page_id")
+    from ..operators.extract import frameworks_sql, meta_sql, open_graph_sql
+    parsed = parse_dom(DV.enriched_pages(spark, sf))        # one parse for both dialects
+    return parsed.select(
+        _pid(), F.expr(meta_sql("dom", "description")).alias("description"),
+        F.expr(f"{open_graph_sql('dom')}['og:title']").alias("og_title"),
+        F.expr(meta_sql("dom", "description", "dynamic")).alias("description_dynamic"),
+        F.expr(f"coalesce({frameworks_sql('dom')}['react'], false)").alias("has_react"))
 
 
 @query("extract_forms", f"""
@@ -843,7 +859,7 @@ FROM ep
 def q_extract_forms(spark, sf):
     """Forms (action = page url when missing, lower-cased method),
     their fields (type defaults to the tag name) and select options."""
-    raw = extract_raw(scan_pages_df(DV.enriched_pages(spark, sf)))
+    raw = extract_raw(DV.enriched_pages(spark, sf))
     f = F.expr("forms[0]")
     return longs(raw.select(
         _pid(), F.size("forms").alias("n_forms"), f["action"].alias("action"), f["method"].alias("method"),
@@ -855,7 +871,3 @@ def q_extract_forms(spark, sf):
                "CAST(o.selected AS STRING))), ',')").alias("options")))
 
 
-def scan_pages_df(df):
-    """The same split handling as ``scan_pages`` for an in-memory page frame."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

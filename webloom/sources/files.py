@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.core import expr
 from ..functions.urls import url_split_sql, netloc_host_sql
@@ -54,28 +55,36 @@ def scan_ragged_csv(spark: SparkSession, paths, table: str) -> DataFrame:
             .option("multiLine", False).csv(paths))
 
 
-def scan_flat_json(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """S3: (pages, links, headings) from heterogeneous JSON arrays."""
-    df = spark.read.option("multiLine", True).json(paths)
-    if "record_type" not in df.columns:
-        df = df.withColumn("record_type", F.lit(None).cast("string"))
-    pages = df.filter(F.col("record_type").isNull())
-    links = df.filter(F.col("record_type") == "link")
-    headings = df.filter(F.col("record_type") == "heading")
+#: The columns of a flat record; absent keys read as NULL.
+FLAT_PAGE = ["url", "title", "description", "scraped_at", "scraping_method", "text_content", "paragraphs_count",
+             "headings_count", "links_count", "images_count", "forms_count"]
+FLAT_LINK = ["url", "link_number", "link_url", "link_text", "link_title", "is_external"]
+FLAT_HEADING = ["url", "heading_number", "heading_level", "heading_text"]
+_FLAT_TYPES = {"is_external": "boolean"} | {c: "long" for c in (
+    "paragraphs_count", "headings_count", "links_count", "images_count", "forms_count", "link_number",
+    "heading_number", "heading_level")}
+FLAT_SCHEMA = ", ".join(f"{c} {_FLAT_TYPES.get(c, 'string')}"
+                        for c in dict.fromkeys(["record_type", *FLAT_PAGE, *FLAT_LINK, *FLAT_HEADING]))
 
-    def keep(d, cols):
-        return d.select(*[c for c in cols if c in d.columns])
-    return (keep(pages, ["url", "title", "description", "scraped_at", "scraping_method", "text_content",
-                         "paragraphs_count", "headings_count", "links_count", "images_count", "forms_count"]),
-            keep(links, ["url", "link_number", "link_url", "link_text", "link_title", "is_external"]),
-            keep(headings, ["url", "heading_number", "heading_level", "heading_text"]))
+
+def scan_flat_json(spark: SparkSession, paths, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S3: (pages, links, headings) from heterogeneous records: JSON arrays,
+    or JSON lines with ``multi_line=False``.  The schema is given, so the
+    columns do not vary with the data."""
+    df = spark.read.schema(FLAT_SCHEMA).option("multiLine", multi_line).json(paths)
+    return (df.filter(F.col("record_type").isNull()).select(*FLAT_PAGE),
+            df.filter(F.col("record_type") == "link").select(*FLAT_LINK),
+            df.filter(F.col("record_type") == "heading").select(*FLAT_HEADING))
 
 
 def scan_run_logs(spark: SparkSession, paths) -> DataFrame:
-    """Parsed run-log lines (with file line numbers)."""
+    """Parsed run-log lines with their file and line number (the logs
+    rotate, so one file is a bounded group)."""
     from ..operators.runs import parse_run_logs
-    lines = spark.read.text(paths).withColumn("line_no", F.monotonically_increasing_id())
-    return parse_run_logs(lines.withColumn("file", F.input_file_name()))
+    lines = spark.read.text(paths).withColumn("_at", F.monotonically_increasing_id()) \
+        .withColumn("file", F.input_file_name())
+    numbered = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_at")).cast("long"))
+    return parse_run_logs(numbered.drop("_at"))
 
 
 def run_file_name_sql(table: str, host: str, ts: str) -> str:
@@ -88,13 +97,22 @@ def parse_run_file_name_sql(name: str, part: int = 2) -> str:
     return f"element_at(split(regexp_replace({name}, '\\\\.[a-z]+$', ''), '_'), {part})"
 
 
-def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
-    """Write each table partitioned by host and run time, so a reader
-    of one host/run prunes the rest."""
+def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", files_per_host: int = 8) -> None:
+    """Each table partitioned by host and run time, so a reader of one
+    host or run prunes the rest.  Every table needs ``url`` (the page's; carry
+    it on links and images), which only the pages table keeps.  Rows are
+    clustered by host, run and a salt first, so a host has a few files; the
+    partitions of a run are overwritten, so a repeated write changes nothing."""
     for name, df in tables.items():
-        host = expr(netloc_host_sql(f"{url_split_sql('url')}.netloc")) if "url" in df.columns else F.lit("unknown")
-        part = df.withColumn("host", host).withColumn("run_ts", F.date_format("scraped_at", "yyyyMMdd_HHmmss"))
-        part.write.mode("append").partitionBy("host", "run_ts").format(fmt).save(f"{out_dir}/{name}")
+        if "url" not in df.columns:
+            raise ValueError(f"the table {name} has no page url to take its host from")
+        host = expr(netloc_host_sql(f"{url_split_sql('url')}.netloc"))
+        part = df.withColumn("host", F.coalesce(host, F.lit("unknown"))) \
+            .withColumn("run_ts", F.date_format("scraped_at", "yyyyMMdd_HHmmss"))
+        part = part if name == "pages" else part.drop("url")
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(files_per_host))
+        part.repartition("host", "run_ts", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("host", "run_ts").format(fmt).save(f"{out_dir}/{name}")
 
 
 def union_runs(runs: list[DataFrame]) -> DataFrame:
@@ -102,24 +120,46 @@ def union_runs(runs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
 
 
-def append_master(df: DataFrame, path: str, table: str, fmt: str = "parquet") -> None:
-    """Append a run to the master table, aligned to the newest schema."""
-    schema = SCHEMAS[table]
-    aligned = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                          for f in schema.fields])
-    aligned.write.mode("append").format(fmt).save(path)
+def append_master(df: DataFrame, path: str, table: str, run: str, fmt: str = "parquet") -> None:
+    """Add a run to the master table, aligned to the newest schema (times
+    as ISO text with their zone).  A run is one partition, which a retry
+    overwrites."""
+    iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c, t in df.dtypes if t == "timestamp"}
+    aligned = df.withColumns(iso).select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    aligned.write.mode("overwrite").format(fmt).save(f"{path}/run={run}")
+
+
+def read_master(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
+    """The rows of all runs of a master table, with the run they came from."""
+    schema = T.StructType([*SCHEMAS[table].fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def flatten_records(rec: DataFrame) -> DataFrame:
+    """D3: page, link and heading rows of processed records as one
+    heterogeneous set keyed by url (``record_type`` NULL for page rows): the
+    rows are built as arrays of the page's own row and exploded once."""
+    types = {"record_type": "string", **{c: _FLAT_TYPES.get(c, "string") for c in [*FLAT_PAGE, *FLAT_LINK, *FLAT_HEADING]}}
+    fields = [f.split(" ")[0] for f in FLAT_SCHEMA.split(", ")]
 
+    def row(**given: str) -> str:
+        return "named_struct(" + ", ".join(f"'{f}', CAST({given.get(f, 'NULL')} AS {types[f]})" for f in fields) + ")"
 
-def flatten_records(pages: DataFrame, links: DataFrame, headings: DataFrame) -> DataFrame:
-    """D3: page, link and heading rows as one heterogeneous record set keyed
-    by url (``record_type`` NULL for page rows)."""
-    p = pages.select("url", F.lit(None).cast("string").alias("record_type"), "title")
-    lk = links.select("url", F.lit("link").alias("record_type"), "link_number", "link_url")
-    h = headings.select("url", F.lit("heading").alias("record_type"), "heading_number", "heading_text")
-    return union_runs([lk, h, p]).select("url", "record_type", "link_number", "link_url", "heading_number",
-                                         "heading_text", "title")
+    page = row(url="url", title="coalesce(metadata.title, '')", description="metadata.description",
+               scraped_at="date_format(scraped_at, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")",
+               scraping_method="scraping_method" if "scraping_method" in rec.columns else "'static'",
+               text_content="coalesce(content.text, '')", paragraphs_count="size(coalesce(content.paragraphs, array()))",
+               headings_count="size(coalesce(content.headings, array()))", links_count="size(links)",
+               images_count="size(images)", forms_count="size(coalesce(forms, array()))")
+    link = row(record_type="'link'", url="url", link_number="i + 1", link_url="l.link_url", link_text="l.link_text",
+               link_title="l.link_title", is_external="l.is_external")
+    heading = row(record_type="'heading'", url="url", heading_number="i + 1", heading_level="h.level", heading_text="h.text")
+    rows = (f"concat(array({page}), transform(link_rows, (l, i) -> {link}), "
+            f"transform(coalesce(content.headings, array()), (h, i) -> {heading}))")
+    return rec.filter("valid").select(F.explode(expr(rows)).alias("r")).select("r.*")
 
 
-def write_flat_json(pages: DataFrame, links: DataFrame, headings: DataFrame, path: str) -> None:
+def write_flat_json(rec: DataFrame, path: str) -> None:
     """The flat records as JSON Lines."""
-    flatten_records(pages, links, headings).write.mode("overwrite").json(path)
+    flatten_records(rec).write.mode("overwrite").json(path)

@@ -16,30 +16,18 @@ OPTIONAL_COLUMNS = ["http_status_code", "response_time_ms", "headers", "scraped_
                     "scraping_method", "user_agent", "content_language"]
 
 
-def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet",
-               min_partitions: int | None = None) -> DataFrame:
+def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read pages and keep only the page columns (so the scan is pruned).
 
-    The HTML parse is CPU-bound, so a handful of large input files must not
-    become a handful of tasks: when the scan yields fewer partitions than
-    ``min_partitions`` (default: the cluster's default parallelism) the rows
-    are spread round-robin first.  On a large input the scan already has
-    far more splits than cores and no shuffle is added."""
+    The parse is CPU-bound: give it enough splits by the scan settings
+    ``spark.sql.files.maxPartitionBytes`` / ``minPartitionNum`` of the session."""
     df = spark.read.format(fmt).load(path)
-    cols = [c for c in PAGE_COLUMNS + OPTIONAL_COLUMNS if c in df.columns]
-    df = df.select(*cols)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    return df.select(*[c for c in PAGE_COLUMNS + OPTIONAL_COLUMNS if c in df.columns])
 
 
 def with_fetch_defaults(pages: DataFrame) -> DataFrame:
-    """Add absent fetch columns as NULL so every stage sees one schema."""
-    out = pages
-    types = {"http_status_code": "int", "response_time_ms": "int", "scraped_at": "timestamp",
-             "headers": "map<string,string>", "scraping_method": "string"}
-    for c, t in types.items():
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast(t))
-    return out
+    """Add absent fetch columns so every stage sees one schema: status 200 and
+    time 0 where the key is missing, else NULL."""
+    absent = {"http_status_code": F.lit(200), "response_time_ms": F.lit(0), "scraped_at": F.lit(None).cast("timestamp"),
+              "headers": F.lit(None).cast("map<string,string>"), "scraping_method": F.lit(None).cast("string")}
+    return pages.withColumns({c: v for c, v in absent.items() if c not in pages.columns})

@@ -7,12 +7,12 @@
   four writers, so a page is parsed once.  Writes are idempotent per batch
   id (``replaceWhere``-style: one folder per batch id, overwritten on a
   retry), so a lost executor or a restarted query does not duplicate rows.
-* X2 ``stream_session_state`` — latest progress per session as a streaming
-  aggregation (``max_by`` over (ts, seq)), emitted in update mode; the
-  watermark bounds the state kept for finished sessions.
-* X4 ``robots_refresh`` — hosts whose robots.txt must be (re)fetched: a host
-  is emitted at most once per TTL window via
-  ``dropDuplicatesWithinWatermark``.
+* X2/X3 ``stream_session_state`` — latest progress per session with keyed
+  state: events and stop requests in one stream; a session's state goes when
+  it has ended, or has been silent, for as long as the watermark allows.
+* X4 ``robots_refresh`` — hosts whose robots.txt must be (re)fetched: keyed
+  state holds the last emitted time of a host, and the next request at least
+  one TTL later is emitted again, however the input is cut into batches.
 
 Checkpoints live under the session's ``spark.checkpoint.dir`` (shared
 storage on a cluster).
@@ -20,10 +20,15 @@ storage on a cluster).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.process import DEFAULT_RUN_TS, images_table, links_table, pages_table
+from ..operators.process import images_table, links_table, pages_table
+from ..operators.runs import FINISHED_STATES, INITIAL_PROGRESS, INITIAL_STATUS, INITIAL_STEP
 from ..plans.scrape import scrape_pages
 from ..session import checkpoint_path
 
@@ -53,10 +58,10 @@ def _write_batch(out_dir: str, run_ts: str):
     return write
 
 
-def stream_process(pages_stream: DataFrame, out_dir: str, robots: DataFrame | None = None,
-                   run_ts: str = DEFAULT_RUN_TS, checkpoint: str | None = None, available_now: bool = True):
+def stream_process(pages_stream: DataFrame, out_dir: str, run_ts: str, robots: DataFrame | None = None,
+                   checkpoint: str | None = None, available_now: bool = True):
     """Start the incremental scrape; returns the StreamingQuery."""
-    scraped = scrape_pages(pages_stream, robots, run_ts)
+    scraped = scrape_pages(pages_stream, run_ts, robots)
     # the checkpoint belongs to the output: stable across restarts, unique per output
     ck = checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"
     w = scraped.writeStream.foreachBatch(_write_batch(out_dir, run_ts)).option("checkpointLocation", ck)
@@ -64,19 +69,72 @@ def stream_process(pages_stream: DataFrame, out_dir: str, robots: DataFrame | No
     return w.start()
 
 
-def stream_session_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Latest (progress, step, status) per session, as a streaming
-    aggregation (use output mode 'update')."""
-    last = F.max_by(F.struct("progress", "step", "status"), F.struct("ts", "seq"))
-    return events.withWatermark("ts", watermark).groupBy("session_id") \
-        .agg(last.alias("s"), F.max("ts").alias("updated_at")) \
-        .select("session_id", "s.progress", "s.step", "s.status", "updated_at")
-
-
-def robots_refresh(requests: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Emit each host at most once within the TTL (the robots files to
-    fetch); ``requests`` has ``host`` and event time ``ts``."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["host"])
+_SESSION = "session_id string, progress double, step string, status string, updated_at timestamp"
+
+
+def _session_updates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    ts, seq, progress, step, status = state.get if state.exists else (None, -1, float(INITIAL_PROGRESS), INITIAL_STEP, INITIAL_STATUS)
+    stop = None
+    for batch in batches:
+        for r in batch.sort_values(["ts", "seq"]).itertuples():
+            if r.is_stop:
+                stop = r.ts if stop is None else max(stop, r.ts)
+            elif ts is None or (r.ts, r.seq) > (pd.Timestamp(ts), seq):
+                ts, seq, progress, step, status = r.ts, int(r.seq), float(r.progress), r.step, r.status
+    if ts is None and stop is not None:
+        return                                   # a stop of an unknown session is ignored
+    if stop is not None and status not in FINISHED_STATES:
+        ts, status = max(pd.Timestamp(ts), stop), "stopped"
+    ts = pd.Timestamp(ts)
+    state.update((ts, seq, progress, step, status))
+    state.setTimeoutTimestamp(max(int(ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+    yield pd.DataFrame({"session_id": [key[0]], "progress": [progress], "step": [step], "status": [status], "updated_at": [ts]})
+
+
+def stream_session_state(events: DataFrame, stops: DataFrame | None = None, watermark: str = "1 hour") -> DataFrame:
+    """Latest (progress, step, status) per session, in update mode.
+    ``stops(session_id, ts)`` end a session that is active; unknown sessions
+    are ignored.  The state of a session goes when the watermark passes its
+    last event, so it does not grow with the number of sessions ever seen."""
+    rows = events.select("session_id", "ts", F.col("seq").cast("long").alias("seq"), F.col("progress").cast("double").alias("progress"),
+                         "step", "status", F.lit(False).alias("is_stop"))
+    if stops is not None:
+        rows = rows.unionByName(stops.select("session_id", "ts", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("progress"),
+                                             F.lit("").alias("step"), F.lit("").alias("status"), F.lit(True).alias("is_stop")))
+    return rows.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(
+        _session_updates, _SESSION, "ts timestamp, seq long, progress double, step string, status string", "update",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def _refreshes(ttl_sec: float):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        # Requests of one batch arrive in any order: their times are sorted first.
+        times = pd.concat([b["us"] for b in batches]).drop_duplicates().sort_values().to_numpy()
+        due, step = [], int(ttl_sec * 1_000_000)
+        at = 0 if last is None else int(times.searchsorted(last + step))
+        while at < len(times):
+            last = int(times[at])
+            due.append(last)
+            at = int(times.searchsorted(last + step))
+        if due:
+            state.update((last,))
+            yield pd.DataFrame({"host": key[0], "us": due})
+    return run
+
+
+def robots_refresh(requests: DataFrame, ttl_sec: float = 3600.0) -> DataFrame:
+    """The requests (host, ts) at which a host's robots file is fetched:
+    its first, and then the first one at least one TTL after the last fetch.
+    Works in batch order; a request older than the last fetch emits nothing.
+    Times travel as microseconds, one per distinct (host, time)."""
+    rows = requests.select("host", F.unix_micros("ts").alias("us"))
+    out = rows.groupBy("host").applyInPandasWithState(_refreshes(ttl_sec), "host string, us long", "us long", "append",
+                                                      GroupStateTimeout.NoTimeout)
+    return out.select("host", F.timestamp_micros("us").alias("ts"))
 
 
 def run_available_now(stream_df: DataFrame, name: str, output_mode: str = "append") -> str:
