@@ -4,7 +4,7 @@ A document's set holds its distinct word n-grams; two documents link when
 ``100 * intersection >= threshold * union``.
 
 1. *Order.*  All n-grams of all documents are counted in a sketch of fixed size
-   (2^22 counters); n-grams are ordered by the level of their counter, rare ones
+   (2^24 counters); n-grams are ordered by the level of their counter, rare ones
    first, then by their hash.  Any total order gives right results; this one
    keeps passages that many documents share out of the prefixes.
 2. *Group.*  Equal sets are one member.  Members with the same size and the same
@@ -31,6 +31,7 @@ component's id (unless all are null).  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import written
 
-SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 22, 16, 26
+SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 24, 18, 26
 #: Partial sketches summed by one task of the first merge.
 FAN_IN = 256
 #: Posting lists are joined in blocks of about so many groups.
@@ -109,25 +110,26 @@ def _chunks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
          pa.array([zlib.compress(parts[k].tobytes(), 1) for k in rows], pa.binary())], names=["chunk", "part", "data"])
 
 
-def _merged(parts: DataFrame, kind, size: int) -> np.ndarray:
-    """All tasks' chunks combined by the ufunc that fits ``kind`` (counters add
-    up to 2^32 - 1, bits are or-ed), FAN_IN tasks at a time; ``size`` values of
-    fixed total size reach the driver."""
-    def combine(group: pa.Table) -> pa.Table:
+def _merged(parts: DataFrame, kind, size: int, last=None) -> np.ndarray:
+    """All tasks' chunks combined as fits ``kind`` (counters add up to
+    2^32 - 1, bits are or-ed), FAN_IN tasks at a time, then mapped to bytes by
+    ``last``; ``size`` bytes in all reach the driver."""
+    def combine(group: pa.Table, end=None) -> pa.Table:
         total = np.zeros(1 << CHUNK_BITS, np.uint64 if kind is np.uint32 else kind)
         for x in group.column("data"):
             values = np.frombuffer(zlib.decompress(x.as_py()), kind)
             total = total + values if kind is np.uint32 else total | values
         total = np.minimum(total, np.iinfo(kind).max).astype(kind)
+        total = total if end is None else end(total)
         return group.slice(0, 1).set_column(2, "data", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
 
     schema = "chunk int, part int, data binary"
-    rows = (parts.groupBy("chunk", "part").applyInArrow(combine, schema)
-            .groupBy("chunk").applyInArrow(combine, schema).collect())
-    out = np.zeros(size, kind)
+    rows = (parts.groupBy("chunk", "part").applyInArrow(lambda g: combine(g), schema)
+            .groupBy("chunk").applyInArrow(lambda g: combine(g, last), schema).collect())
+    out = np.zeros(size, np.uint8)
     for r in rows:
         at = r.chunk << CHUNK_BITS
-        out[at:at + (1 << CHUNK_BITS)] = np.frombuffer(zlib.decompress(bytes(r.data)), kind)
+        out[at:at + (1 << CHUNK_BITS)] = np.frombuffer(zlib.decompress(bytes(r.data)), np.uint8)
     return out
 
 
@@ -142,8 +144,8 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
                 np.add.at(total, (shingles(t.as_py(), width, distinct=False) >> shift).astype(np.int64), np.uint32(1))
         yield from _chunks(total)
 
-    counts = _merged(texts.mapInArrow(count, "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS)
-    return np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+    level = lambda counts: np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+    return _merged(texts.mapInArrow(count, "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS, level)
 
 
 def _filter_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +268,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     """doc_id, n_shingles, component_id per row; ``threshold`` in hundredths."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    levels = spark.sparkContext.broadcast(sketch(texts, width))     # 4 MB, whatever the input
+    levels = spark.sparkContext.broadcast(sketch(texts, width))     # 16 MB, whatever the input
     rows = texts.mapInArrow(_prefixes(levels, width, threshold),
                             "doc_id long, n long, key binary, pkey binary, prefix array<long>")
     rows = written(rows, "jaccard-rows")
@@ -280,8 +282,14 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     # Most tokens are in one prefix only: a filter of fixed size keeps them from the shuffle.
     packed = spark.sparkContext.broadcast(token_filter(counts.select("token")))
     postings = groups.select("first", "n", "prefix").mapInArrow(_passing(packed), "key binary, n long, token long")
-    live = written(postings.join(counts, "token"), "jaccard-postings")
-    # Per group: what of its prefix any other group has, and how connected that makes it.
+    # Sizes that can link lie in the same band or the next: postings without such a partner go.
+    band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / threshold))).cast("int")
+    met = written(postings.join(counts, "token").withColumn("band", band), "jaccard-met")
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    sizes = (met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c")).select("token", near, "c")
+             .groupBy("token", "band").agg(F.sum("c").alias("c")).filter("c > 1"))
+    live = written(met.drop("c").join(sizes, ["token", "band"]), "jaccard-postings")
+    # Per group: what of its prefix such a partner has, and how connected that makes it.
     known = written(live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w")), "jaccard-known")
     close = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
     # Beyond the prefixes at most the longer rest can be common.
@@ -312,8 +320,10 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     own = written(own, "jaccard-own")
     spread = written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
     placed = live.join(spread.withColumnRenamed("first", "key"), "key")
-    mixed = placed.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x <> y").select("token")
-    lists = placed.join(mixed, "token").join(known.select("key", "shared"), "key")
+    mixed = (placed.groupBy("token", "band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
+             .select("token", near, "x", "y").groupBy("token", "band").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+             .filter("x <> y").select("token", "band"))
+    lists = placed.join(mixed, ["token", "band"]).join(known.select("key", "shared"), "key")
     lists = written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
     left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
                         F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
