@@ -14,9 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of whole texts that cross to Python at once, unless the session says otherwise.
+ARROW_ROWS, ARROW_DEFAULT = "512", "10000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and keep batches of
+    texts small where the session has Spark's own default."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == ARROW_DEFAULT:
+        spark.conf.set(key, ARROW_ROWS)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -51,6 +51,9 @@ BLOCK = 256
 #: Named documents are filtered by a broadcast up to so many ids, else by a join.
 BROADCAST_IDS = 500_000
 
+#: Words whose hashes a Python worker keeps.
+WORDS_KEPT = 1 << 17
+
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -58,7 +61,7 @@ class _WordHashes(dict):
     """Hashes of the words met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
