@@ -206,8 +206,8 @@ def headings_sql(d: str, m: str, mode: str = "static") -> str:
     def one(n):
         return struct(("level", f"CAST(substring({n}.tag, 2, 1) AS INT)"),
                       ("text", py_strip_sql(node_text(d, n))),
-                      ("id", attr_or_empty(n, "id")),
-                      ("class", split_classes_sql(attr(n, "class"))))
+                      ("id", attr_or_empty(n, "id") if mode == "dynamic" else "CAST(NULL AS STRING)"),
+                      ("class", split_classes_sql(attr(n, "class")) if mode == "dynamic" else "CAST(NULL AS array<string>)"))
     return f"transform({hs}, {lam(one)})"
 
 

@@ -871,3 +871,8 @@ def q_extract_forms(spark, sf):
                "CAST(o.selected AS STRING))), ',')").alias("options")))
 
 
+from . import io_queries, rich  # noqa: E402
+
+for _more in (rich, io_queries):
+    QUERIES.update(_more.QUERIES)
+    ORACLE.update(_more.ORACLE)

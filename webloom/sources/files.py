@@ -48,11 +48,11 @@ IMAGES_SCHEMA = T.StructType([
 SCHEMAS = {"pages": PAGES_SCHEMA, "links": LINKS_SCHEMA, "images": IMAGES_SCHEMA}
 
 
-def scan_ragged_csv(spark: SparkSession, paths, table: str) -> DataFrame:
+def scan_ragged_csv(spark: SparkSession, paths, table: str, header: bool = True) -> DataFrame:
     """CSV with a header older than some rows; trailing columns missing
     from older rows read as NULL.  Booleans are written ``True``/``False``."""
-    return (spark.read.schema(SCHEMAS[table]).option("header", True).option("enforceSchema", True)
-            .option("multiLine", False).csv(paths))
+    return (spark.read.schema(SCHEMAS[table]).option("header", header).option("enforceSchema", True)
+            .option("multiLine", False).option("escape", "\"").csv(paths))
 
 
 #: The columns of a flat record; absent keys read as NULL.
