@@ -570,6 +570,42 @@ def q_gate_outcomes(spark, sf):
     return longs(RN.gate_outcomes(out.select("status", "error")).drop("share"))
 
 
+@query("scrape_pages", f"""
+WITH {O.ANCHORS}, {O.DOC_TEXT}, {O.FETCHED}, {O.PAGES_MAIN},
+nl AS (SELECT page_id, count(DISTINCT abs_url) AS n FROM anc_rows GROUP BY page_id),
+u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest,
+             CASE WHEN url LIKE '%/en/%' THEN 'static' WHEN url LIKE '%/fr/%' THEN 'dynamic'
+                  WHEN url LIKE '%/de/%' THEN 'bogus' ELSE 'auto' END AS scraping_type FROM pages),
+g AS (SELECT f.page_id, f.status, f.server, u.scraping_type, nl.n AS links,
+             CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
+                  ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
+             CASE WHEN u.scraping_type IN ('static', 'dynamic') THEN u.scraping_type
+                  WHEN {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < 100 THEN 'dynamic' ELSE 'static' END AS way,
+             {O.first_keyword('lower(dt.doc_text)', ['captcha', 'recaptcha', 'hcaptcha', 'verify', 'verification', 'prove', 'robot', 'human'])} AS kw,
+             pm.text AS main_text
+      FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id
+           LEFT JOIN nl ON nl.page_id = f.page_id),
+e AS (SELECT *, CASE WHEN scraping_type = 'bogus' THEN 'Invalid scraping type. Must be static, dynamic, or auto'
+        WHEN NOT allowed THEN 'Robots.txt disallows scraping'
+        WHEN server LIKE '%cloudflare%' OR status IN (403, 429, 503) THEN 'CAPTCHA detected - scraping blocked'
+        WHEN status >= 400 THEN 'Scraping failed - no data retrieved' END AS early FROM g),
+f AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN kw IS NOT NULL THEN 'CAPTCHA detected - scraping blocked'
+        WHEN main_text = '' THEN 'Scraping failed - no data retrieved' END AS error FROM e)
+SELECT CAST(page_id AS VARCHAR) AS page_id, scraping_type, CASE WHEN early IS NULL THEN way END AS route,
+       CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
+       CASE WHEN error IS NULL THEN CAST(coalesce(links, 0) AS BIGINT) END AS links
+FROM f
+""")
+def q_scrape_pages(spark, sf):
+    """C2 with a request type per page (P9, P16): rejected rows are never
+    parsed, the others take their own dialect."""
+    rtype = F.expr("CASE WHEN url LIKE '%/en/%' THEN 'static' WHEN url LIKE '%/fr/%' THEN 'dynamic' "
+                   "WHEN url LIKE '%/de/%' THEN 'bogus' ELSE 'auto' END")
+    out = scrape_pages(DV.fetched_pages(spark, sf).withColumn("scraping_type", rtype), RUN_TS, DV.robots_files(spark, sf))
+    return out.select(_pid(), "scraping_type", "route", "status", "error",
+                      F.when(F.col("error").isNull(), F.size("link_rows")).cast("long").alias("links"))
+
+
 @query("validate_raw", f"""
 WITH {O.PAGES_MAIN}
 SELECT CAST(page_id AS VARCHAR) AS page_id, url <> '' AS valid,
@@ -785,9 +821,20 @@ def q_run_file_name(spark, sf):
 
 
 # ==========================================================================
-# Streaming (X1, X4) — rows-only checks (no SQL oracle for a stream run)
+# Streaming (X1, X4): the tables that a drained stream has written
 
-@query("stream_process")
+@query("stream_process", f"""
+WITH {O.ANCHORS}, {O.DOC_TEXT}, {O.PAGES_MAIN},
+u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages),
+ok AS (SELECT u.page_id FROM u JOIN dt ON dt.page_id = u.page_id JOIN pc ON pc.page_id = u.page_id
+       WHERE pc.text <> '' AND {O.first_keyword('lower(dt.doc_text)', ['captcha', 'verify', 'verification', 'prove', 'robot', 'human'])} IS NULL
+         AND CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
+                  ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, abs_url ORDER BY pos) AS rn FROM anc_rows)
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS link_number,
+       abs_url AS link_url, {O.strip('atext')} AS link_text, '' AS link_title, false AS is_external
+FROM d WHERE rn = 1 AND page_id IN (SELECT page_id FROM ok)
+""")
 def q_stream_process(spark, sf):
     """The scrape job run as a Structured Streaming query over the page
     files (availableNow), writing the run tables per micro-batch; returns
@@ -799,7 +846,7 @@ def q_stream_process(spark, sf):
     stream = read_page_stream(spark, sf, glob="pages.parquet")
     q = stream_process(stream, out, RUN_TS, DV.robots_files(spark, sf))
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/links").drop("batch_id")  # noqa: E501
+    return longs(spark.read.parquet(f"{out}/links").drop("batch_id", "scraped_at"))
 
 
 @query("robots_refresh", """

@@ -1,19 +1,21 @@
 """Spark session helpers.
 
 The library never hard-codes cluster settings.  ``get_session`` is a
-convenience for tests, benches and the command line: it only fills in
-settings the caller (or the cluster) has not already chosen.
+convenience for tests, benches and the command line: it starts a session with
+settings for this work, or takes the one that runs already as it is.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings applied only when unset.  HTML rows are large, so Arrow batches
-# are kept small; AQE coalesces the few shuffles we do have.
+# Settings of a session that this module starts; a session that runs already
+# keeps its own.  HTML rows are large, so Arrow batches are kept small; AQE
+# coalesces the few shuffles we do have.
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +30,11 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "webloom") -> SparkSession:
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        ensure_checkpoint_dir(running)
+        ship_package(running)
+        return running
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -46,11 +53,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) do we create a private scratch folder.
+    On a cluster this setting names a shared folder and is used as is; without
+    it nothing can be staged there.  Only a local master, whose executors are
+    this process, gets a private scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="webloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
