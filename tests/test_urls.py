@@ -13,11 +13,16 @@ def test_urljoin_netloc_host_parity(spark):
     rows = [(b, h) for b in url_cases.BASES for h in hrefs[:60]] + [(url_cases.BASES[0], h) for h in hrefs]
     df = spark.createDataFrame(rows, "base string, href string")
     out = df.select("base", "href", U.url_join("base", "href").alias("j"), U.url_netloc("href").alias("n"),
-                    U.url_host("href").alias("h"), U.url_scheme("href").alias("s")).collect()
+                    U.url_host("href").alias("h"), U.url_scheme("href").alias("s"), U.url_split("href").alias("p")).collect()
     for r in out:
         try:
-            exp = urljoin(r.base, r.href)
             p = urlparse(r.href)
+        except ValueError:
+            assert not r.p.ok, r.href
+            continue
+        assert r.p.ok, r.href
+        try:
+            exp = urljoin(r.base, r.href)
         except ValueError:
             continue
         assert r.j == exp, (r.base, r.href)
@@ -35,6 +40,7 @@ CASES = [
     ("#top", False, False, True, False),
     ("MAILTO:x@y", False, True, True, False),
     ("https://[::1]/", False, False, True, True),
+    ("http://[abc]/", False, False, True, False),
 ]
 
 

@@ -3,7 +3,7 @@ import random
 
 _PIECES = ["http:", "https:", "HTTP:", "ftp:", "mailto:", "javascript:", "data:", "tel:", "file:",
            "//", "/", "./", "../", "..", ".", "a", "b/", "c;p", "?q=1", "#f", "#", "?", ";x",
-           "www.h.com", "h.com:443", "user:pw@h.com", "[::1]", "[fe80::1", "10.0.0.1", "localhost",
+           "www.h.com", "h.com:443", "user:pw@h.com", "[::1]", "[fe80::1", "[abc]", "[1:2:3:4:5:6:7:8]", "[::ffff:1.2.3.4]", "[v1.x]", "[1.2.3.4]", "[::1%eth0]", "]", "10.0.0.1", "localhost",
            " ", "\t", "\n", "\x01", " ", "x y", "%20", "@", ":", "é", "|", "v10.2", "127.0.0.1"]
 BASES = ["https://www.h.com/a/b/c.html?x=1#top", "http://h.com", "http://h.com/", "https://h.com/dir/",
          "http://ththre.example.com/fr/825?page=2&ref=x", "https://m.x.net/en/25#top", "http://h.com/a;p?q",
