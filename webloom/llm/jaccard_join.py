@@ -188,7 +188,8 @@ def _passing(packed):
 
 
 def _prefixes(levels, width: int, threshold: int):
-    """doc_id, n, key (name of the set), pkey (name of the prefix), prefix."""
+    """doc_id, n, key (name of the set), pkey (name of the prefix), prefix, and
+    the place of the prefix's last n-gram in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift = levels.value, np.uint64(64 - SKETCH_BITS)
         for batch in batches:
@@ -198,14 +199,17 @@ def _prefixes(levels, width: int, threshold: int):
                 for t in part.column(1):
                     s = shingles(t.as_py(), width)
                     if len(s):
-                        first = s[np.lexsort((s, rank[(s >> shift).astype(np.int64)]))[:prefix_length(len(s), threshold)]]
-                        out.append((len(s), _name(s), _name(first), first.view(np.int64)))
+                        level = rank[(s >> shift).astype(np.int64)]
+                        order = np.lexsort((s, level))[:prefix_length(len(s), threshold)]
+                        first = s[order]
+                        place = (int(level[order[-1]]) << 56) | (int(first[-1]) >> 8)
+                        out.append((len(s), _name(s), _name(first), first.view(np.int64), place))
                     else:
-                        out.append((0, None, None, None))
+                        out.append((0, None, None, None, None))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
-                     pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "key", "pkey", "prefix"])
+                     pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.list_(pa.int64())),
+                     pa.array([o[4] for o in out], pa.int64())], names=["doc_id", "n", "key", "pkey", "prefix", "place"])
     return run
 
 
@@ -273,13 +277,13 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     texts = _texts(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(sketch(texts, width))     # 16 MB, whatever the input
     rows = texts.mapInArrow(_prefixes(levels, width, threshold),
-                            "doc_id long, n long, key binary, pkey binary, prefix array<long>")
+                            "doc_id long, n long, key binary, pkey binary, prefix array<long>, place long")
     rows = written(rows, "jaccard-rows")
     # Equal sets are one member; equal size and prefix are one group, named by its first member.
     worded = rows.filter("n > 0")
     members = written(worded.groupBy("key", "n", "pkey").agg(F.min("doc_id").alias("doc_id")), "jaccard-members")
-    groups = written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix")),
-                     "jaccard-groups")
+    groups = written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix"),
+                                                      F.min("place").alias("place")), "jaccard-groups")
     counts = written(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
                      .filter("c > 1"), "jaccard-counts")
     # Most tokens are in one prefix only: a filter of fixed size keeps them from the shuffle.
@@ -293,22 +297,29 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
              .groupBy("token", "band").agg(F.sum("c").alias("c")).filter("c > 1"))
     live = written(met.drop("c").join(sizes, ["token", "band"]), "jaccard-postings")
     # Per group: what of its prefix such a partner has, and how connected that makes it.
-    known = written(live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w")), "jaccard-known")
+    known = live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w"))
+    # ``most``: n-grams that can be common with a group whose prefix ends later;
+    # those of the own prefix that no such group has in its prefix are not.
+    length = f"(n - ({threshold} * n + 99) DIV 100 + 1)"
+    known = known.join(groups.select(F.col("first").alias("key"), "n", "place"), "key").select(
+        "key", "shared", "w", "place", F.expr(f"n - ({length} - size(shared))").alias("most"))
+    known = written(known, "jaccard-known")
+    posts = live.join(known.select("key", "w", "place", "most"), "key")
     close = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
     # Beyond the prefixes at most the longer rest can be common.
     rest = f"{{0}} - ({{0}} - ({threshold} * {{0}} + 99) DIV 100 + 1)"
+    common = f"ceil({threshold} * (na + nb) / {100 + threshold}D - 1e-9D)"
+    may = (f"CASE WHEN xa < xb THEN ma WHEN xb < xa THEN mb ELSE greatest(ma, mb) END >= {common}")
     enough = (f"size(array_intersect(sa, sb)) + greatest({rest.format('na')}, {rest.format('nb')}) "
-              f">= ceil({threshold} * (na + nb) / {100 + threshold}D - 1e-9D)")
+              f">= {common}")
+    arrays = lambda side: known.select(F.col("key").alias(side), F.col("shared").alias(f"s{side}"))
 
     # Star round.
-    pivots = (live.select("key", "token", "n").join(known.select("key", "w"), "key").groupBy("token")
-              .agg(F.max(F.struct("w", "key", "n")).alias("p"))
-              .select("token", F.col("p.key").alias("b"), F.col("p.n").alias("nb")))
-    stars = (live.select("token", F.col("key").alias("a"), F.col("n").alias("na")).join(pivots, "token")
-             .filter("a <> b").filter(close).select("a", "na", "b", "nb").distinct()
-             .join(known.select(F.col("key").alias("a"), F.col("shared").alias("sa")), "a")
-             .join(known.select(F.col("key").alias("b"), F.col("shared").alias("sb")), "b")
-             .filter(enough).select(F.col("a").alias("first"), "b"))
+    pivots = (posts.groupBy("token").agg(F.max(F.struct("w", "key", "n", "place", "most")).alias("p"))
+              .select("token", F.col("p.key").alias("b"), F.col("p.n").alias("nb"), F.col("p.place").alias("xb"), F.col("p.most").alias("mb")))
+    stars = (posts.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("xa"), F.col("most").alias("ma"))
+             .join(pivots, "token").filter("a <> b").filter(close).filter(may).select("a", "na", "b", "nb").distinct()
+             .join(arrays("a"), "a").join(arrays("b"), "b").filter(enough).select(F.col("a").alias("first"), "b"))
     stars = written(stars, "jaccard-stars")
     by_group = members.join(groups.select("n", "pkey", "first"), ["n", "pkey"]).select("key", "first")
     many = by_group.filter(F.col("key") != F.col("first"))
@@ -322,19 +333,22 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     own = by_group.join(labels, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     own = written(own, "jaccard-own")
     spread = written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
-    placed = live.join(spread.withColumnRenamed("first", "key"), "key")
+    placed = posts.join(spread.withColumnRenamed("first", "key"), "key")
     mixed = (placed.groupBy("token", "band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
              .select("token", near, "x", "y").groupBy("token", "band").agg(F.min("x").alias("x"), F.max("y").alias("y"))
              .filter("x <> y").select("token", "band"))
-    lists = placed.join(mixed, ["token", "band"]).join(known.select("key", "shared"), "key")
+    lists = placed.join(mixed, ["token", "band"])
     lists = written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
     left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
-                        F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
+                        F.col("n").alias("na"), F.col("place").alias("xa"), F.col("most").alias("ma"), F.col("lo").alias("loa"),
+                        F.col("hi").alias("hia"))
     right = lists.select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("key").alias("b"),
-                         F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
-    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {enough}")
+                         F.col("n").alias("nb"), F.col("place").alias("xb"), F.col("most").alias("mb"), F.col("lo").alias("lob"),
+                         F.col("hi").alias("hib"))
+    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {may}")
     group_pairs = (left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & across)
-                   .select("a", "b").distinct())
+                   .select("a", "na", "b", "nb").distinct().join(arrays("a"), "a").join(arrays("b"), "b").filter(enough)
+                   .select("a", "b"))
     inside = spread.filter("lo <> hi").select(F.col("first").alias("a"), F.col("first").alias("b"))
     expanded = (group_pairs.union(inside)
                 .join(own.select(F.col("first").alias("a"), F.col("key").alias("ka"), F.col("component").alias("ca")), "a")
