@@ -31,6 +31,7 @@ void element is swallowed once; whitespace-only text outside ``pre`` /
 from __future__ import annotations
 
 import html.entities
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -69,135 +70,131 @@ DOM_TYPE = T.StructType([
 ])
 
 
-class _TreeBuilder(HTMLParser):
-    """Token stream → flat node table with text spans."""
+class _Tokens(HTMLParser):
+    """The document as a list of tokens: ``(kind, value, attributes)``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.parts: list[str] = []
-        self.runs: list[int] = []
-        self.pos = 0
-        self.pending: list[str] = []
-        # per node: [tag, parent, depth, t0, t1, last, attrs]
-        self.nodes: list[list] = []
-        self.stack: list[int] = []
-        self.open_count: dict[str, int] = {}
-        self.hidden = 0
-        self.preserve = 0
-        self.closed_void: list[str] = []
-
-    # -- text -------------------------------------------------------------
-    def _flush(self, keep: bool = True):
-        if not self.pending:
-            return
-        data = "".join(self.pending)
-        self.pending = []
-        if not self.preserve and not data.translate(_ASCII_SPACE_TABLE):
-            data = "\n" if "\n" in data else " "
-        if keep and not self.hidden:
-            self.runs.append(self.pos)
-            self.parts.append(data)
-            self.pos += len(data)
+        self.found: list[tuple] = []
+
+    def _token(self, kind, value="", attributes=()):
+        self.found.append((kind, value, attributes))
 
     def handle_data(self, data):
-        self.pending.append(data)
+        self._token("text", data)
 
     def handle_charref(self, name):
-        code = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
-        data = None
-        if code < 256:
-            try:
-                data = bytes([code]).decode("windows-1252")
-            except UnicodeDecodeError:
-                data = None
-        if not data:
-            try:
-                data = chr(code)
-            except (ValueError, OverflowError):
-                data = None
-        if not data or 0xD800 <= code <= 0xDFFF:
-            data = "\N{REPLACEMENT CHARACTER}"
-        self.pending.append(data)
+        self._token("text", _character(int(name.lstrip("xX"), 16 if name[0] in "xX" else 10)))
 
     def handle_entityref(self, name):
-        ch = _ENTITIES.get(name + ";")
-        if ch is None:
-            ch = _ENTITIES.get(name)
-        self.pending.append(ch if ch is not None else "&" + name)
+        self._token("text", _ENTITIES.get(f"{name};") or _ENTITIES.get(name) or f"&{name}")
 
-    def handle_comment(self, data):
-        self._flush()
+    def handle_starttag(self, tag, attrs):
+        self._token("open", tag, attrs)
+
+    def handle_startendtag(self, tag, attrs):
+        self._token("both", tag, attrs)
 
-    def handle_decl(self, data):
-        self._flush()
+    def handle_endtag(self, tag):
+        self._token("close", tag)
 
-    def handle_pi(self, data):
-        self._flush()
+    def handle_comment(self, data):
+        self._token("break")
+
+    handle_decl = handle_pi = handle_comment
 
     def unknown_decl(self, data):
-        self._flush()
-        if data.upper().startswith("CDATA["):
-            self.pending.append(data[len("CDATA["):])
-            self._flush()
-
-    # -- elements ---------------------------------------------------------
-    def handle_starttag(self, tag, attrs, void_closes=True):
-        self._flush()
-        amap = {}
-        for k, v in attrs:
-            amap[k] = "" if v is None else v
-        idx = len(self.nodes)
-        parent = self.stack[-1] if self.stack else -1
-        self.nodes.append([tag, parent, len(self.stack), self.pos, self.pos, idx, amap])
-        self.stack.append(idx)
-        self.open_count[tag] = self.open_count.get(tag, 0) + 1
-        if tag in NON_TEXT_CONTAINERS:
-            self.hidden += 1
-        if tag in PRESERVE_WS:
-            self.preserve += 1
-        if void_closes and tag in VOID_ELEMENTS:
-            self.handle_endtag(tag, check_closed=False)
-            self.closed_void.append(tag)
+        self._token("break")
+        if data[:6].upper() == "CDATA[":
+            self._token("text", data[6:])
+            self._token("break")
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs, void_closes=False)
-        self.handle_endtag(tag)
-
-    def _pop(self):
-        idx = self.stack.pop()
-        node = self.nodes[idx]
-        node[4] = self.pos
-        node[5] = len(self.nodes) - 1
-        tag = node[0]
-        self.open_count[tag] -= 1
-        if tag in NON_TEXT_CONTAINERS:
-            self.hidden -= 1
-        if tag in PRESERVE_WS:
-            self.preserve -= 1
-        return tag
-
-    def handle_endtag(self, tag, check_closed=True):
-        if check_closed and tag in self.closed_void:
-            self.closed_void.remove(tag)
-            return
-        self._flush()
-        while self.stack and self.open_count.get(tag):
-            if self._pop() == tag:
-                break
-
-    def finish(self):
-        self.close()
-        self._flush()
-        while self.stack:
-            self._pop()
+
+def _character(code: int) -> str:
+    """A numeric reference: below 256 as in windows-1252 where that has the
+    code, surrogates and codes that do not exist as U+FFFD."""
+    if 0xD800 <= code <= 0xDFFF or code > 0x10FFFF:
+        return "\N{REPLACEMENT CHARACTER}"
+    if code < 256:
+        known = bytes((code,)).decode("windows-1252", "ignore")
+        return known or chr(code)
+    return chr(code)
 
 
 def parse_html(doc: str):
-    """Parse one document → (text, runs, nodes).  Exposed for unit tests."""
-    b = _TreeBuilder()
-    b.feed(doc)
-    b.finish()
-    return "".join(b.parts), b.runs, b.nodes
+    """One document → (text, runs, nodes).  A node is
+    ``[tag, parent, depth, t0, t1, last, attributes]``.
+
+    A fold over the tokens: what stands between two pieces of markup is one
+    string (white space alone shrinks to a line feed or a blank, except where
+    it is kept); an end tag closes up to the nearest open element of its name
+    and is nothing if there is none; a void element is closed as it opens, and
+    one later end tag of its name belongs to it."""
+    tokens = _Tokens()
+    tokens.feed(doc)
+    tokens.close()
+    text, runs, nodes, length = [], [], [], 0
+    path: list[int] = []                # open elements
+    strings: list[str] = []             # of the string being read
+    owed: list[str] = []                # void elements whose end tag may follow
+    names: Counter[str] = Counter()     # of the open elements
+    inside = dict.fromkeys(("hidden", "kept"), 0)
+    kinds = (("hidden", NON_TEXT_CONTAINERS), ("kept", PRESERVE_WS))
+
+    def end_string():
+        nonlocal length
+        if strings:
+            value = "".join(strings)
+            strings.clear()
+            if not inside["kept"] and not value.translate(_ASCII_SPACE_TABLE):
+                value = "\n" if "\n" in value else " "
+            if not inside["hidden"]:
+                runs.append(length)
+                text.append(value)
+                length += len(value)
+
+    def enter(tag, attributes):
+        nodes.append([tag, path[-1] if path else -1, len(path), length, length, len(nodes),
+                      {k: v or "" for k, v in attributes}])
+        path.append(len(nodes) - 1)
+        names[tag] += 1
+        for name, tags in kinds:
+            inside[name] += tag in tags
+
+    def leave(depth):
+        while len(path) > depth:
+            node = nodes[path.pop()]
+            node[4], node[5] = length, len(nodes) - 1
+            names[node[0]] -= 1
+            for name, tags in kinds:
+                inside[name] -= node[0] in tags
+
+    def close(tag):
+        if names[tag]:
+            leave(next(d for d in range(len(path) - 1, -1, -1) if nodes[path[d]][0] == tag))
+
+    for kind, value, attributes in tokens.found:
+        if kind == "text":
+            strings.append(value)
+        elif kind == "close" and value in owed:
+            owed.remove(value)          # ends nothing, not even the string
+        else:
+            end_string()
+            if kind in ("open", "both"):
+                enter(value, attributes)
+            if kind == "close":
+                close(value)
+            elif kind == "both":
+                if value in owed:
+                    owed.remove(value)
+                else:
+                    close(value)
+            elif kind == "open" and value in VOID_ELEMENTS:
+                close(value)
+                owed.append(value)
+    end_string()
+    leave(0)
+    return "".join(text), runs, nodes
 
 
 _NODE_ARROW = pa.struct([
