@@ -61,7 +61,7 @@ def test_language_on_the_held_out_fold(tables):
 def test_language_odd_rows(docs_of, long_text):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(VOCABULARY[k], k=30)), k, "s") for i, k in enumerate(["en", "de", "fr"] * 60)]
-    rows += [(900, None, "en", "s"), (901, "", "de", "s"), (902, "123 !? 😀", "fr", "s"), (903, "der und haus", None, "s"),
+    rows += [(900, None, "en", "s"), (901, "", "de", "s"), (902, "123 !? 😀 ½ ²", "fr", "s"), (903, "der und haus", None, "s"),
              (None, "la maison", "", "s"), (904, long_text, None, "s"), (5, rows[5][1], rows[5][2], "s")]
     docs = docs_of(rows)
     out = L.identify(docs, L.fit(docs), keep=("lang", "score")).collect()

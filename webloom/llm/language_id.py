@@ -38,7 +38,7 @@ _SHIFT = np.uint64(64 - BITS)
 def grams(text: str | None) -> np.ndarray | None:
     """Hashed n-grams of a text, with repeats; None if it has no letter."""
     letters = _NOT_LETTERS.sub(" ", (text or "").lower())
-    if not letters or letters == " ":
+    if not any(map(str.isalpha, letters)):      # numerals such as one half are left in
         return None
     c = np.frombuffer(f" {letters.strip()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     two = (c[:-1] << np.uint64(21)) | c[1:]

@@ -41,8 +41,8 @@ def size_sql(text: str = "text") -> str:
             "- IF(p[0] = '', 1, 0) - IF(size(p) > 1 AND element_at(p, -1) = '', 1, 0) AS BIGINT)), 1), 0L)")
 
 
-#: Quality weight of a document, from 0.25 to 1: the share of its characters
-#: that are not symbols of markup or tables, times 1 (SQL over ``text``).
+#: Quality weight of a document (SQL over ``text``): 1 less four times the share
+#: of its characters that are symbols of markup or tables, 0.25 at least.
 QUALITY_SQL = ("greatest(0.25D, 1D - 4D * (length(text) - length(translate(text, '#*$%&|<>', ''))) "
                "/ greatest(length(text), 1))")
 
