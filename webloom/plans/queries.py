@@ -849,6 +849,36 @@ def q_stream_process(spark, sf):
     return longs(spark.read.parquet(f"{out}/links").drop("batch_id", "scraped_at"))
 
 
+@query("stream_session_state", """
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id AS seq, value AS progress, event_type AS step,
+             CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'running' END AS status,
+             event_type = 'click' AND value > 60 AS is_stop FROM events),
+st AS (SELECT a.session_id, a.ts AS stop_ts, max(struct_pack(ts := b.ts, seq := b.seq, progress := b.progress, step := b.step, status := b.status)) AS e
+       FROM (SELECT DISTINCT session_id, ts FROM s WHERE is_stop) a JOIN s b ON b.session_id = a.session_id AND b.ts <= a.ts
+       GROUP BY ALL),
+hit AS (SELECT session_id, arg_min(e, stop_ts) AS e, min(stop_ts) AS stop_ts FROM st WHERE e.status = 'running' GROUP BY session_id),
+fin AS (SELECT session_id, max(struct_pack(ts := ts, seq := seq, progress := progress, step := step, status := status)) AS e FROM s GROUP BY session_id)
+SELECT fin.session_id, coalesce(hit.e.progress, fin.e.progress) AS progress, coalesce(hit.e.step, fin.e.step) AS step,
+       CASE WHEN hit.session_id IS NULL THEN fin.e.status ELSE 'stopped' END AS status,
+       strftime(coalesce(hit.stop_ts, fin.e.ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+FROM fin LEFT JOIN hit ON hit.session_id = fin.session_id
+""")
+def q_stream_session_state(spark, sf):
+    """X2 + X3 as a stream: session events and stop requests in one keyed
+    state (stops: clicks of a high value)."""
+    from ..streaming.stream import run_updates, stream_session_state
+    schema = table(spark, sf, "events").schema
+    read = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    status = F.expr("CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'running' END")
+    sid = F.col("user_id").cast("string").alias("session_id")
+    events = read().select(sid, "ts", F.col("event_id").alias("seq"), F.col("value").alias("progress"),
+                           F.col("event_type").alias("step"), status.alias("status"))
+    stops = read().filter("event_type = 'click' AND value > 60").select(sid, "ts")
+    out = run_updates(stream_session_state(events, stops), "stream-sessions", "session_id")
+    return out.select("session_id", "progress", "step", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"))
+
+
 @query("robots_refresh", """
 WITH RECURSIVE e AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS host, ts FROM events),
 due(host, ts) AS (

@@ -77,17 +77,16 @@ def _session_updates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSt
         state.remove()
         return
     ts, seq, progress, step, status = state.get if state.exists else (None, -1, float(INITIAL_PROGRESS), INITIAL_STEP, INITIAL_STATUS)
-    stop = None
-    for batch in batches:
-        for r in batch.sort_values(["ts", "seq"]).itertuples():
-            if r.is_stop:
-                stop = r.ts if stop is None else max(stop, r.ts)
-            elif ts is None or (r.ts, r.seq) > (pd.Timestamp(ts), seq):
-                ts, seq, progress, step, status = r.ts, int(r.seq), float(r.progress), r.step, r.status
-    if ts is None and stop is not None:
-        return                                   # a stop of an unknown session is ignored
-    if stop is not None and status not in FINISHED_STATES:
-        ts, status = max(pd.Timestamp(ts), stop), "stopped"
+    for r in pd.concat(list(batches)).sort_values(["ts", "is_stop", "seq"]).itertuples():
+        if status == "stopped":
+            break                                # a stopped session stays stopped
+        if r.is_stop:
+            if ts is not None and status not in FINISHED_STATES:
+                ts, status = r.ts, "stopped"     # of an unknown or ended session: ignored
+        elif ts is None or (r.ts, r.seq) > (pd.Timestamp(ts), seq):
+            ts, seq, progress, step, status = r.ts, int(r.seq), float(r.progress), r.step, r.status
+    if ts is None:
+        return
     ts = pd.Timestamp(ts)
     state.update((ts, seq, progress, step, status))
     state.setTimeoutTimestamp(max(int(ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
@@ -96,8 +95,8 @@ def _session_updates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSt
 
 def stream_session_state(events: DataFrame, stops: DataFrame | None = None, watermark: str = "1 hour") -> DataFrame:
     """Latest (progress, step, status) per session, in update mode.
-    ``stops(session_id, ts)`` end a session that is active; unknown sessions
-    are ignored.  The state of a session goes when the watermark passes its
+    ``stops(session_id, ts)`` end a session that is active then (an event of
+    the same time counts first), for good; others are ignored.  The state of a session goes when the watermark passes its
     last event, so it does not grow with the number of sessions ever seen."""
     rows = events.select("session_id", "ts", F.col("seq").cast("long").alias("seq"), F.col("progress").cast("double").alias("progress"),
                          "step", "status", F.lit(False).alias("is_stop"))
@@ -137,6 +136,22 @@ def robots_refresh(requests: DataFrame, ttl_sec: float = 3600.0) -> DataFrame:
     return out.select("host", F.timestamp_micros("us").alias("ts"))
 
 
+def run_updates(stream_df: DataFrame, name: str, key: str) -> DataFrame:
+    """Drain an update-mode stream once; the last row of each key.  A batch
+    writes its own folder, which a retry overwrites."""
+    import uuid
+    base = checkpoint_path(stream_df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch_id={batch_id}")
+
+    stream_df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/_checkpoint") \
+        .trigger(availableNow=True).start().awaitTermination()
+    rows = stream_df.sparkSession.read.parquet(f"{base}/data")
+    last = rows.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, [key, "batch_id"]).drop("batch_id")
+
+
 def run_available_now(stream_df: DataFrame, name: str, output_mode: str = "append") -> str:
     """Drain a stream once (availableNow) into a parquet table under the
     checkpoint folder; returns the table path."""
