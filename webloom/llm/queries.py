@@ -177,3 +177,54 @@ def op5_suffix_dedup(spark, sf_dir):
     """Bytes left of every document without its repeated 200-byte strings."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+ORACLE["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(r, to_r) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.to_r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN d ON d.r = reach.r JOIN d t ON t.r = reach.to_r LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+ORACLE["op5_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+hit AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY x) > 1),
+run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k
+        FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT r, k, min(i) AS b, max(i) + 200 AS e FROM run GROUP BY r, k),
+gap AS (SELECT r, e AS a, coalesce(lead(b) OVER (PARTITION BY r ORDER BY b), 1e15::BIGINT) AS z FROM span
+        UNION ALL SELECT r, 0, min(b) FROM span GROUP BY r),
+kept AS (SELECT g.r, string_agg(substr(h, 2 * a + 1, 2 * (least(z, len(h)) - a)), '' ORDER BY a) AS k
+         FROM gap g JOIN d ON d.r = g.r WHERE a < len(h) // 2 GROUP BY g.r),
+tot AS (SELECT r, sum(e - b) AS gone, count(*) AS spans FROM span GROUP BY r)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN tot ON tot.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+ORACLE["op7_sharding"] = r"""
+WITH RECURSIVE t(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) x(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 16 AS size, text IS NULL AS no_text,
+             list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16
+                            + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM d),
+c AS (SELECT doc_id, size, CASE WHEN NOT no_text THEN xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), 4294967295), 4294967295) END AS text_crc32
+      FROM b, tab),
+o AS (SELECT *, coalesce(sum(size) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+      FROM c WINDOW k AS (ORDER BY text_crc32 NULLS FIRST, doc_id NULLS FIRST, size)),
+s AS (SELECT *, least(39, ((2 * before + size) * 40 // (2 * total)))::INTEGER AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
