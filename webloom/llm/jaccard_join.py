@@ -46,8 +46,9 @@ from webloom.llm.common import written
 SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 24, 18, 26
 #: Partial sketches summed by one task of the first merge.
 FAN_IN = 256
-#: Posting lists are joined in blocks of about so many groups.
-BLOCK = 256
+#: Posting lists are joined in blocks of about so many groups; in lists of more
+#: than WIDE groups the prefixes are compared in the join itself.
+BLOCK, WIDE = 256, 64
 #: Named documents are filtered by a broadcast up to so many ids, else by a join.
 BROADCAST_IDS = 500_000
 
@@ -337,15 +338,17 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     mixed = (placed.groupBy("token", "band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
              .select("token", near, "x", "y").groupBy("token", "band").agg(F.min("x").alias("x"), F.max("y").alias("y"))
              .filter("x <> y").select("token", "band"))
-    lists = placed.join(mixed, ["token", "band"])
+    lists = placed.join(mixed, ["token", "band"]).join(known.select("key", "shared"), "key") \
+        .withColumn("shared", F.when(F.col("c") > WIDE, F.col("shared")))
     lists = written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
     left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
                         F.col("n").alias("na"), F.col("place").alias("xa"), F.col("most").alias("ma"), F.col("lo").alias("loa"),
-                        F.col("hi").alias("hia"))
+                        F.col("hi").alias("hia"), F.col("shared").alias("sa"))
     right = lists.select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("key").alias("b"),
                          F.col("n").alias("nb"), F.col("place").alias("xb"), F.col("most").alias("mb"), F.col("lo").alias("lob"),
-                         F.col("hi").alias("hib"))
-    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {may}")
+                         F.col("hi").alias("hib"), F.col("shared").alias("sb"))
+    across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {may} "
+                    f"AND (sa IS NULL OR sb IS NULL OR {enough})")
     group_pairs = (left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & across)
                    .select("a", "na", "b", "nb").distinct().join(arrays("a"), "a").join(arrays("b"), "b").filter(enough)
                    .select("a", "b"))
