@@ -182,6 +182,12 @@ def _relative_segments_sql(bpath: str, path: str) -> str:
 def url_join_parts_sql(base: str, b: str, href: str) -> str:
     """F3 with a pre-split base ``b`` (``url_split_sql(base)``), so a page's
     base URL is split once and reused for all of its links."""
+    return f"{url_join_facts_sql(base, b, href)}.url"
+
+
+def url_join_facts_sql(base: str, b: str, href: str) -> str:
+    """F3 and what follows from the same split: struct<url, ok, is_external>,
+    ``ok`` as of the href and ``is_external`` (F5) of the joined url."""
     def resolve(u, url):
         no_path = f"({u}.path = '' AND {u}.params = '')"
         has_net = f"({u}.netloc != '')"
@@ -190,13 +196,21 @@ def url_join_parts_sql(base: str, b: str, href: str) -> str:
         path = f"CASE WHEN {has_net} THEN {u}.path WHEN {no_path} THEN {b}.path ELSE {folded} END"
         params = f"CASE WHEN {has_net} THEN {u}.params WHEN {no_path} THEN {b}.params ELSE {u}.params END"
         netloc = f"CASE WHEN {has_net} THEN {u}.netloc ELSE {b}.netloc END"
-        return (f"CASE WHEN {u}.scheme != {b}.scheme OR {u}.scheme NOT IN ({qlist(USES_RELATIVE)}) THEN {url} "
-                f"ELSE {_unparse_sql(f'{u}.scheme', netloc, path, params, query, f'{u}.fragment')} END")
+        own = f"({u}.scheme != {b}.scheme OR {u}.scheme NOT IN ({qlist(USES_RELATIVE)}))"
+        joined = (f"CASE WHEN {own} THEN {url} "
+                  f"ELSE {_unparse_sql(f'{u}.scheme', netloc, path, params, query, f'{u}.fragment')} END")
+        return own, joined, netloc
 
     def run(c):
         bs, url = f"{c}.b", f"{c}.u"
-        joined = let(url_split_sql(url, default_scheme=f"{b}.scheme"), lambda u: resolve(u, url))
-        return f"CASE WHEN {bs} = '' THEN {url} WHEN {url} = '' THEN {bs} ELSE {joined} END"
+
+        def facts(u):
+            own, joined, netloc = resolve(u, url)
+            where = f"CASE WHEN {bs} = '' OR ({url} != '' AND {own}) THEN {u}.netloc WHEN {url} = '' THEN {b}.netloc ELSE {netloc} END"
+            return struct(("url", f"CASE WHEN {bs} = '' THEN {url} WHEN {url} = '' THEN {bs} ELSE {joined} END"),
+                          ("ok", f"{u}.ok"),
+                          ("is_external", f"(NOT ({u}.ok AND {b}.ok) OR {where} != {b}.netloc)"))
+        return let(url_split_sql(url, default_scheme=f"{b}.scheme"), facts)
     return let(struct(("b", f"coalesce({base}, '')"), ("u", f"coalesce({href}, '')")), run)
 
 
@@ -219,14 +233,23 @@ def has_pseudo_prefix_sql(u: str) -> str:
     return f"coalesce(lower({u}) RLIKE {q(_PSEUDO_RE)}, false)"
 
 
+def _valid_parts(s: str, p: str) -> str:
+    return (f"({s} != '' AND NOT {has_pseudo_prefix_sql(s)} AND NOT ({s} RLIKE {q(PY_WS)}) "
+            f"AND {p}.scheme IN ('http', 'https') AND {p}.netloc != '' AND {p}.ok)")
+
+
 def is_valid_url_sql(u: str) -> str:
     """Trimmed non-empty, not a fragment or pseudo link, no whitespace
     anywhere, http(s) scheme and a network location."""
+    return f"coalesce({let(py_strip_sql(u), lambda s: let(url_split_sql(s), lambda p: _valid_parts(s, p)))}, false)"
+
+
+def valid_external_sql(u: str, b: str) -> str:
+    """P3 and F5 from one split: true or false (is_external) for a valid URL,
+    NULL for any other."""
     def check(s):
-        parsed = let(url_split_sql(s), lambda p: f"({p}.scheme IN ('http', 'https') AND {p}.netloc != '' AND {p}.ok)")
-        return (f"({s} != '' AND NOT {has_pseudo_prefix_sql(s)} AND NOT ({s} RLIKE {q(PY_WS)}) "
-                f"AND {parsed})")
-    return f"coalesce({let(py_strip_sql(u), check)}, false)"
+        return let(url_split_sql(s), lambda p: f"CASE WHEN {_valid_parts(s, p)} THEN NOT {b}.ok OR {p}.netloc != {b}.netloc END")
+    return let(py_strip_sql(u), check)
 
 
 def skip_pseudo_link_sql(u: str) -> str:

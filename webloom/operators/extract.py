@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import expr, fresh, lam, let, q, qlist, struct
 from ..functions.text import clean_text_sql, has_token_sql, html_unescape, py_strip_sql, split_classes_sql
-from ..functions.urls import is_external_parts_sql, url_join_parts_sql, url_split_sql
+from ..functions.urls import url_join_facts_sql, url_join_parts_sql, url_split_sql
 from .dom import parse_dom
 
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -247,10 +247,10 @@ def links_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     def one(n):
         href = attr(n, "href")
         target = attr_or_empty(n, "target") if mode == "dynamic" else "''"
-        return let(url_join_parts_sql(url, b, href), lambda u: struct(
-            ("url", u), ("text", py_strip_sql(node_text(d, n))),
+        return let(url_join_facts_sql(url, b, href), lambda u: struct(
+            ("url", f"{u}.url"), ("text", py_strip_sql(node_text(d, n))),
             ("title", attr_or_empty(n, "title")), ("target", target),
-            ("is_external", is_external_parts_sql(u, b)), ("ok", _url_ok(href))))
+            ("is_external", f"{u}.is_external"), ("ok", f"{u}.ok")))
     return f"transform({anchors}, {lam(one)})"
 
 
@@ -259,8 +259,8 @@ def images_sql(d: str, url: str, b: str) -> str:
     imgs = where(f"{d}.nodes", lambda n: f"({is_tag(n, 'img')} AND {has_attr(n, 'src')})")
 
     def one(n):
-        return struct(("src", url_join_parts_sql(url, b, attr(n, "src"))), ("alt", attr_or_empty(n, "alt")),
-                      ("title", attr_or_empty(n, "title")), ("ok", _url_ok(attr(n, "src"))))
+        return let(url_join_facts_sql(url, b, attr(n, "src")), lambda u: struct(
+            ("src", f"{u}.url"), ("alt", attr_or_empty(n, "alt")), ("title", attr_or_empty(n, "title")), ("ok", f"{u}.ok")))
     return f"transform({imgs}, {lam(one)})"
 
 

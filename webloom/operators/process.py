@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import expr, fresh, lam, let, q, struct
 from ..functions.text import clean_text_sql, py_strip_sql, word_count_sql
-from ..functions.urls import has_pseudo_prefix_sql, is_external_parts_sql, is_valid_url_sql, \
-    url_join_parts_sql, url_split_sql
+from ..functions.urls import has_pseudo_prefix_sql, url_join_parts_sql, url_split_sql, valid_external_sql
 from .extract import META_FIELDS, RAW_DYNAMIC_FIELDS, RAW_STATIC_FIELDS
 
 # Validation messages.
@@ -108,17 +107,16 @@ def dedup_first_sql(items: str, key: str) -> str:
 def normalize_links_sql(links: str, base: str, b: str) -> str:
     """strip; drop empty and pseudo/fragment links (P4); keep http(s)://
     URLs as they are (case-sensitive test), resolve the rest against the
-    page; drop what is not a valid URL (P3)."""
+    page; drop what is not a valid URL (P3).  ``outside`` is F5 of the result."""
     def norm(l):
         def fix(raw):
             absolute = (f"CASE WHEN startswith({raw}, 'http://') OR startswith({raw}, 'https://') THEN {raw} "
                         f"ELSE {url_join_parts_sql(base, b, raw)} END")
             return f"CASE WHEN {raw} != '' AND NOT {has_pseudo_prefix_sql(raw)} THEN {absolute} END"
-        return struct(("url", let(py_strip_sql(f"{l}.url"), fix)), ("text", f"{l}.text"), ("title", f"{l}.title"),
-                      ("target", f"{l}.target"), ("is_external", f"{l}.is_external"))
-    def valid(l):
-        return f"({l}.url IS NOT NULL AND {is_valid_url_sql(f'{l}.url')})"
-    return f"filter(transform({links}, {lam(norm)}), {lam(valid)})"
+        return let(let(py_strip_sql(f"{l}.url"), fix), lambda u: struct(
+            ("url", u), ("text", f"{l}.text"), ("title", f"{l}.title"), ("target", f"{l}.target"),
+            ("is_external", f"{l}.is_external"), ("outside", valid_external_sql(u, b))))
+    return f"filter(transform({links}, {lam(norm)}), l -> l.outside IS NOT NULL)"
 
 
 def normalize_images_sql(images: str, base: str, b: str) -> str:
@@ -211,23 +209,23 @@ def process_records(raw: DataFrame, run_ts: str, mode: str = "static") -> DataFr
 
     def link_row(l):
         return struct(("link_url", f"{l}.url"), ("link_text", f"coalesce({l}.text, '')"),
-                      ("link_title", f"coalesce({l}.title, '')"),
-                      ("is_external", is_external_parts_sql(f"{l}.url", "_base")))
+                      ("link_title", f"coalesce({l}.title, '')"), ("is_external", f"{l}.outside"))
 
     def image_row(i):
-        return struct(("image_src", f"{i}.src"), ("image_alt", f"coalesce({i}.alt, '')"),
-                      ("is_external", is_external_parts_sql(f"{i}.src", "_base")))
+        return let(valid_external_sql(f"{i}.src", "_base"), lambda x: f"CASE WHEN {x} IS NOT NULL THEN " + struct(
+            ("image_src", f"{i}.src"), ("image_alt", f"coalesce({i}.alt, '')"), ("is_external", x)) + " END")
+    link = struct(*[(f, f"l.{f}") for f in ("url", "text", "title", "target", "is_external")])
     text = "coalesce(content.text, '')"
     out = cleaned.select(
         "*",
         F.col("validation.valid").alias("valid"),
         expr(f"transform(links, {lam(link_row)})").alias("link_rows"),     # F6 has applied P3 to links already
-        expr(f"transform(filter(images, {lam(lambda i: is_valid_url_sql(f'{i}.src'))}), {lam(image_row)})").alias("image_rows"),
+        expr(f"filter(transform(images, {lam(image_row)}), i -> i IS NOT NULL)").alias("image_rows"),
         total_fields.alias("total_fields"),
         expr(f"length({text})").alias("character_count"),
         expr(word_count_sql(text)).alias("word_count"),
     )
-    return out.drop("_base")
+    return out.withColumn("links", expr(f"transform(links, l -> {link})")).drop("_base")
 
 
 def _fetch_field(rec: DataFrame, name: str, default: int, fill: bool) -> str:

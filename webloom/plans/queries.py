@@ -219,7 +219,8 @@ SELECT CAST(pc.page_id AS VARCHAR) AS page_id, pc.url, CAST(12 AS BIGINT) AS tot
        CAST(0 AS BIGINT) AS images_count, CAST(0 AS BIGINT) AS forms_count,
        CAST({O.words('text')} AS BIGINT) AS word_count, CAST(length(text) AS BIGINT) AS character_count,
        CAST(1 AS BIGINT) AS pages_scraped, CAST(coalesce(nl.n, 0) AS BIGINT) AS links_found,
-       CAST(0 AS BIGINT) AS images_found
+       CAST(0 AS BIGINT) AS images_found, CAST(1 AS BIGINT) AS headings_found,
+       CAST(len(paras) AS BIGINT) AS paragraphs_found, CAST(0 AS BIGINT) AS forms_found
 FROM pc LEFT JOIN nl ON nl.page_id = pc.page_id
 """)
 def q_page_statistics(spark, sf):
