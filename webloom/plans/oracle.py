@@ -16,7 +16,17 @@ def _re2_class(cps) -> str:
 
 
 WS = _re2_class(PY_WS_CODEPOINTS)          # Python str.isspace() set
-CTRL = "[\\x{1}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}\\x{7f}]"
+CTRL = "[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}\\x{7f}]"
+
+# Fixed values, written out here so that the SQL does not take them from the
+# code it checks: keyword lists, markup markers and messages of the gates.
+GATE_WORDS = ['captcha', 'recaptcha', 'hcaptcha', 'verify', 'verification', 'prove', 'robot', 'human']
+STATIC_WORDS = ['captcha', 'recaptcha', 'verify', 'robot', 'human', 'prove']
+MARKERS = ['react', 'vue', 'angular', 'ember', 'backbone', 'webpack', 'parcel', 'rollup', 'vite',
+           'data-react', 'ng-app', 'v-app', '#app', '.app', 'router-view', 'component', 'directive']
+MSG_ROBOTS = 'Robots.txt disallows scraping'
+MSG_CAPTCHA = 'CAPTCHA detected - scraping blocked'
+MSG_NO_DATA = 'Scraping failed - no data retrieved'
 
 # The HTML entities that occur in the driver's pages.
 ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),

@@ -19,8 +19,7 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..operators.extract import extract_raw
 from ..operators.dom import parse_dom
-from ..operators.process import framework_counts, headings_table, images_table, links_table, page_children, \
-    page_statistics, pages_table, process_records, run_summary
+from ..operators.process import headings_table, links_table, page_statistics, pages_table, process_records
 from ..sources.pages import scan_pages
 from . import oracle as O
 
@@ -424,7 +423,7 @@ KEYWORD_TABLE = [("captcha", 1), ("verify", 2), ("robot", 3), ("human", 4), ("pr
 @query("captcha_by_text", f"""
 WITH {O.DOC_TEXT}
 SELECT CAST(page_id AS VARCHAR) AS page_id,
-       {O.first_keyword('lower(doc_text)', G.GATE_KEYWORDS)} AS gate_keyword,
+       {O.first_keyword('lower(doc_text)', O.GATE_WORDS)} AS gate_keyword,
        {O.first_keyword('lower(doc_text)', PROBE_KEYWORDS)} AS probe_keyword
 FROM dt
 """)
@@ -446,7 +445,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, has_captcha, type, indicator FROM (
          WHEN status = 200 AND kw IS NOT NULL THEN 'text' WHEN status IN (403, 429, 503) THEN 'status' END AS type,
     CASE WHEN server LIKE '%cloudflare%' THEN 'server: cloudflare' WHEN status = 200 AND sel IS NOT NULL THEN sel
          WHEN status = 200 AND kw IS NOT NULL THEN kw WHEN status IN (403, 429, 503) THEN CAST(status AS VARCHAR) END AS indicator
-  FROM (SELECT f.*, {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
+  FROM (SELECT f.*, {O.first_keyword('lower(dt.doc_text)', O.GATE_WORDS)} AS kw,
                CASE WHEN regexp_matches(f.html, 'class="[^"]*captcha') THEN '[class*="captcha"]'
                     WHEN regexp_matches(f.html, 'id="[^"]*captcha') THEN '[id*="captcha"]' END AS sel
         FROM fp f JOIN dt ON dt.page_id = f.page_id))
@@ -460,10 +459,10 @@ def q_gate_captcha(spark, sf):
 @query("classify_rendering", f"""
 WITH {O.DOC_TEXT}, {O.FETCHED}
 SELECT CAST(f.page_id AS VARCHAR) AS page_id,
-  CASE WHEN f.status != 200 OR {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < {G.MIN_STATIC_TEXT}
+  CASE WHEN f.status != 200 OR {O.markers('lower(f.html)', O.MARKERS)} OR dt.strip_len < 100
        THEN 'dynamic' ELSE 'static' END AS rendering,
   CASE WHEN f.url LIKE '%/en/%' THEN 'static' WHEN f.url LIKE '%/fr/%' THEN 'dynamic'
-       WHEN f.status != 200 OR {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < {G.MIN_STATIC_TEXT}
+       WHEN f.status != 200 OR {O.markers('lower(f.html)', O.MARKERS)} OR dt.strip_len < 100
        THEN 'dynamic' ELSE 'static' END AS route
 FROM fp f JOIN dt ON dt.page_id = f.page_id
 """)
@@ -533,15 +532,15 @@ u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][
 g AS (SELECT f.page_id, f.status, f.server,
              CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
                   ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
-             {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
-             {O.first_keyword('lower(dt.doc_text)', G.STATIC_FETCH_KEYWORDS)} AS kw6,
+             {O.first_keyword('lower(dt.doc_text)', O.GATE_WORDS)} AS kw,
+             {O.first_keyword('lower(dt.doc_text)', O.STATIC_WORDS)} AS kw6,
              pm.text AS main_text
       FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id)
 SELECT CAST(page_id AS VARCHAR) AS page_id,
        CASE WHEN e IS NULL THEN 'success' ELSE 'error' END AS status, e AS error
-FROM (SELECT page_id, CASE WHEN NOT allowed THEN '{G.MSG_ROBOTS}'
-        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{G.MSG_CAPTCHA}'
-        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{G.MSG_NO_DATA}' END AS e FROM g)
+FROM (SELECT page_id, CASE WHEN NOT allowed THEN '{O.MSG_ROBOTS}'
+        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{O.MSG_CAPTCHA}'
+        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{O.MSG_NO_DATA}' END AS e FROM g)
 """)
 def q_gate_pipeline(spark, sf):
     """Robots → captcha → fetch → content → validation, first
@@ -556,12 +555,12 @@ u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][
 g AS (SELECT f.page_id, f.status, f.server,
              CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
                   ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
-             {O.first_keyword('lower(dt.doc_text)', G.GATE_KEYWORDS)} AS kw,
-             {O.first_keyword('lower(dt.doc_text)', G.STATIC_FETCH_KEYWORDS)} AS kw6, pm.text AS main_text
+             {O.first_keyword('lower(dt.doc_text)', O.GATE_WORDS)} AS kw,
+             {O.first_keyword('lower(dt.doc_text)', O.STATIC_WORDS)} AS kw6, pm.text AS main_text
       FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id),
-e AS (SELECT CASE WHEN NOT allowed THEN '{G.MSG_ROBOTS}'
-        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{G.MSG_CAPTCHA}'
-        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{G.MSG_NO_DATA}' END AS error FROM g)
+e AS (SELECT CASE WHEN NOT allowed THEN '{O.MSG_ROBOTS}'
+        WHEN server LIKE '%cloudflare%' OR (status = 200 AND kw IS NOT NULL) OR status IN (403, 429, 503) THEN '{O.MSG_CAPTCHA}'
+        WHEN status >= 400 OR kw6 IS NOT NULL OR main_text = '' THEN '{O.MSG_NO_DATA}' END AS error FROM g)
 SELECT CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CAST(count(*) AS BIGINT) AS pages
 FROM e GROUP BY ALL
 """)
@@ -581,7 +580,7 @@ g AS (SELECT f.page_id, f.status, f.server, u.scraping_type, nl.n AS links,
              CASE WHEN u.host LIKE 'blog.%' THEN true WHEN u.host LIKE 'www.%' THEN NOT starts_with(u.rest, '/en/')
                   ELSE starts_with(u.rest, '/fr/1') OR NOT starts_with(u.rest, '/fr/') END AS allowed,
              CASE WHEN u.scraping_type IN ('static', 'dynamic') THEN u.scraping_type
-                  WHEN {O.markers('lower(f.html)', G.JS_INDICATORS + G.SPA_INDICATORS)} OR dt.strip_len < 100 THEN 'dynamic' ELSE 'static' END AS way,
+                  WHEN {O.markers('lower(f.html)', O.MARKERS)} OR dt.strip_len < 100 THEN 'dynamic' ELSE 'static' END AS way,
              {O.first_keyword('lower(dt.doc_text)', ['captcha', 'recaptcha', 'hcaptcha', 'verify', 'verification', 'prove', 'robot', 'human'])} AS kw,
              pm.text AS main_text
       FROM fp f JOIN u ON u.page_id = f.page_id JOIN dt ON dt.page_id = f.page_id JOIN pc pm ON pm.page_id = f.page_id
