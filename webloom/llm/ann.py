@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from webloom.llm.common import written
+from webloom.llm.common import lean, written
 
 TABLES, HASHES, WIDTH = 2, 8, 2.0
 #: Cosines that the visiting order expects, and the probability to cover for each.
@@ -181,11 +181,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
     rows = written(rows, "ann-rows")
-    index = rows.mapInArrow(_index, "bucket long, vec_id long, v array<double>")
+    index = rows.mapInArrow(lean(_index), "bucket long, vec_id long, v array<double>")
     asked = rows.filter(queries).withColumn("query", F.xxhash64("vec_id", "v"))
     # The visits of a query's buckets; buckets without rows drop out below.
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = written(asked.repartition(spread, "query").mapInArrow(_probe, "bucket long, query long"), "ann-probes")
+    probes = written(asked.repartition(spread, "query").mapInArrow(lean(_probe), "bucket long, query long"), "ann-probes")
     sizes = (index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
              .join(probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
              .select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"),

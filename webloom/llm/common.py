@@ -15,7 +15,24 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 #: Rows of whole texts that cross to Python at once, unless the session says otherwise.
-ARROW_ROWS, ARROW_DEFAULT = "512", "10000"
+ARROW_ROWS, ARROW_DEFAULT = "256", "10000"
+
+
+def lean(run):
+    """A task function for ``mapInArrow`` that gives freed memory back when its
+    partition ends: Python workers live on, and what their allocators keep of
+    one stage would add to the next."""
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc
+        if trim is not None:
+            trim(0)
+    return wrapped
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,10 +50,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage with a table every executor can read, so losing an
     executor costs only the tasks that were running on it.
     """
+    return _write(df, name)[0]
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Written tables that an operator drops as soon as all that is made from
+    them is written itself, so that they do not pile up in the shared folder."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

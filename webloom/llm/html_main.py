@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import lean
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that never hold main text.
@@ -289,5 +291,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
                         F.col(f"`{url_col}`").cast("string").alias("url"),
                         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    return (rows.mapInArrow(run, "page_id long, url string, text string")
+    return (rows.mapInArrow(lean(run), "page_id long, url string, text string")
             .withColumn("n_chars", F.length("text").cast("long")))

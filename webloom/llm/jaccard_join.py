@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import written
+from webloom.llm.common import Scratch, lean, written
 
 SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 24, 18, 26
 #: Partial sketches summed by one task of the first merge.
@@ -149,7 +149,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
         yield from _chunks(total)
 
     level = lambda counts: np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    return _merged(texts.mapInArrow(count, "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS, level)
+    return _merged(texts.mapInArrow(lean(count), "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS, level)
 
 
 def _filter_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def token_filter(tokens: DataFrame) -> np.ndarray:
                 bits[places] = True
         yield from _chunks(np.packbits(bits))
 
-    packed = _merged(tokens.mapInArrow(mark, "chunk int, part int, data binary"), np.uint8, 1 << (FILTER_BITS - 3))
+    packed = _merged(tokens.mapInArrow(lean(mark), "chunk int, part int, data binary"), np.uint8, 1 << (FILTER_BITS - 3))
     return packed
 
 
@@ -239,19 +239,19 @@ def _linked(threshold: int):
     return run
 
 
-def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, width: int, threshold: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b: names of sets) that link, checked on the full sets."""
-    pairs = written(pairs, "jaccard-pairs")
+    pairs = scratch.written(pairs, "jaccard-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = written(named.join(members.select("key", "doc_id"), "key").select("doc_id"), "jaccard-named")
+    ids = scratch.written(named.join(members.select("key", "doc_id"), "key").select("doc_id"), "jaccard-named")
     small = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if small else ids
     sets = (texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-            .mapInArrow(_full_sets(width), "key binary, s binary").dropDuplicates(["key"]))
-    sets = written(sets, "jaccard-sets")
+            .mapInArrow(lean(_full_sets(width)), "key binary, s binary").dropDuplicates(["key"]))
+    sets = scratch.written(sets, "jaccard-sets")
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(_linked(threshold), "a binary, b binary")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(_linked(threshold)), "a binary, b binary")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -277,26 +277,29 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(sketch(texts, width))     # 16 MB, whatever the input
-    rows = texts.mapInArrow(_prefixes(levels, width, threshold),
+    rows = texts.mapInArrow(lean(_prefixes(levels, width, threshold)),
                             "doc_id long, n long, key binary, pkey binary, prefix array<long>, place long")
-    rows = written(rows, "jaccard-rows")
+    first, scratch = Scratch(spark), Scratch(spark)
+    rows = first.written(rows, "jaccard-rows")
     # Equal sets are one member; equal size and prefix are one group, named by its first member.
     worded = rows.filter("n > 0")
     members = written(worded.groupBy("key", "n", "pkey").agg(F.min("doc_id").alias("doc_id")), "jaccard-members")
-    groups = written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix"),
+    groups = scratch.written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix"),
                                                       F.min("place").alias("place")), "jaccard-groups")
-    counts = written(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    rows = written(rows.select("doc_id", "n", "key"), "jaccard-docs")
+    first.drop()
+    counts = scratch.written(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
                      .filter("c > 1"), "jaccard-counts")
     # Most tokens are in one prefix only: a filter of fixed size keeps them from the shuffle.
     packed = spark.sparkContext.broadcast(token_filter(counts.select("token")))
-    postings = groups.select("first", "n", "prefix").mapInArrow(_passing(packed), "key binary, n long, token long")
+    postings = groups.select("first", "n", "prefix").mapInArrow(lean(_passing(packed)), "key binary, n long, token long")
     # Sizes that can link lie in the same band or the next: postings without such a partner go.
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / threshold))).cast("int")
-    met = written(postings.join(counts, "token").withColumn("band", band), "jaccard-met")
+    met = scratch.written(postings.join(counts, "token").withColumn("band", band), "jaccard-met")
     near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
     sizes = (met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c")).select("token", near, "c")
              .groupBy("token", "band").agg(F.sum("c").alias("c")).filter("c > 1"))
-    live = written(met.drop("c").join(sizes, ["token", "band"]), "jaccard-postings")
+    live = scratch.written(met.drop("c").join(sizes, ["token", "band"]), "jaccard-postings")
     # Per group: what of its prefix such a partner has, and how connected that makes it.
     known = live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w"))
     # ``most``: n-grams that can be common with a group whose prefix ends later;
@@ -304,7 +307,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     length = f"(n - ({threshold} * n + 99) DIV 100 + 1)"
     known = known.join(groups.select(F.col("first").alias("key"), "n", "place"), "key").select(
         "key", "shared", "w", "place", F.expr(f"n - ({length} - size(shared))").alias("most"))
-    known = written(known, "jaccard-known")
+    known = scratch.written(known, "jaccard-known")
     posts = live.join(known.select("key", "w", "place", "most"), "key")
     close = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
     # Beyond the prefixes at most the longer rest can be common.
@@ -321,26 +324,26 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     stars = (posts.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("xa"), F.col("most").alias("ma"))
              .join(pivots, "token").filter("a <> b").filter(close).filter(may).select("a", "na", "b", "nb").distinct()
              .join(arrays("a"), "a").join(arrays("b"), "b").filter(enough).select(F.col("a").alias("first"), "b"))
-    stars = written(stars, "jaccard-stars")
+    stars = scratch.written(stars, "jaccard-stars")
     by_group = members.join(groups.select("n", "pkey", "first"), ["n", "pkey"]).select("key", "first")
     many = by_group.filter(F.col("key") != F.col("first"))
     pairs = (stars.select(F.col("first").alias("a"), "b")
              .union(many.join(stars, "first").select(F.col("key").alias("a"), "b"))
              .union(many.select(F.col("key").alias("a"), F.col("first").alias("b")))).distinct()
-    links = written(verify(pairs, members, texts, width, threshold), "jaccard-links")
+    links = written(verify(pairs, members, texts, width, threshold, scratch), "jaccard-links")
     labels = components(links)
 
     # Lists that still hold two components: pairs of groups across them.
     own = by_group.join(labels, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    own = written(own, "jaccard-own")
-    spread = written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
+    own = scratch.written(own, "jaccard-own")
+    spread = scratch.written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
     placed = posts.join(spread.withColumnRenamed("first", "key"), "key")
     mixed = (placed.groupBy("token", "band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
              .select("token", near, "x", "y").groupBy("token", "band").agg(F.min("x").alias("x"), F.max("y").alias("y"))
              .filter("x <> y").select("token", "band"))
     lists = placed.join(mixed, ["token", "band"]).join(known.select("key", "shared"), "key") \
         .withColumn("shared", F.when(F.col("c") > WIDE, F.col("shared")))
-    lists = written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
+    lists = scratch.written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
     left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
                         F.col("n").alias("na"), F.col("place").alias("xa"), F.col("most").alias("ma"), F.col("lo").alias("loa"),
                         F.col("hi").alias("hia"), F.col("shared").alias("sa"))
@@ -357,7 +360,8 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
                 .join(own.select(F.col("first").alias("a"), F.col("key").alias("ka"), F.col("component").alias("ca")), "a")
                 .join(own.select(F.col("first").alias("b"), F.col("key").alias("kb"), F.col("component").alias("cb")), "b")
                 .filter("ca <> cb AND (a <> b OR ka < kb)").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    more = written(verify(expanded.distinct(), members, texts, width, threshold), "jaccard-more")
+    more = written(verify(expanded.distinct(), members, texts, width, threshold, scratch), "jaccard-more")
+    scratch.drop()
     if not more.isEmpty():
         labels = components(links.union(more), "components-2")
 

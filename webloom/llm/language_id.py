@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import held_out
+from webloom.llm.common import held_out, lean
 
 BITS = 16
 DIM = 1 << BITS
@@ -76,7 +76,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()),
                                           pa.array(np.append(total[at], n), pa.int64())], names=["i", "n"])
 
-    counts = texts.mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    counts = texts.mapInArrow(lean(run), "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(DIM, np.int64), 0
     for r in counts:
         if r.i < 0:
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                      pa.array([at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()], pa.binary())],
                     names=["doc_id", "lang", "packed"])
 
-    taken = sample.select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, packed binary").collect()
+    taken = sample.select("doc_id", "text", "lang").mapInArrow(lean(count), "doc_id long, lang string, packed binary").collect()
     examples = []
     for r in sorted(taken, key=lambda r: (hash((r.doc_id, 11)), r.doc_id, r.lang, bytes(r.packed))):
         size = len(r.packed) // 6
@@ -211,5 +211,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"), *extra)
     types = "".join(f", keep_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    return (rows.mapInArrow(run, f"doc_id long, lang_pred string, score double{types}")
+    return (rows.mapInArrow(lean(run), f"doc_id long, lang_pred string, score double{types}")
             .withColumnsRenamed({f"keep_{k}": c for k, c in enumerate(keep)}))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import held_out, written
+from webloom.llm.common import held_out, lean, written
 
 #: Function words counted by the stop-word share (fixed values).
 STOP = frozenset(("the of and to in that is it for with on by this be at from as was are an a or der die das und den "
@@ -84,7 +84,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -129,7 +129,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, pooled_share: float = 0.3) -> Discriminant:
     """``labelled``: columns label (0 or 1) and x.  ``pooled_share``: weight of
     the pooled covariance in each class's shrinkage target."""
-    sums = labelled.select(F.col("label").cast("int"), "x").mapInArrow(_sums, "label int, i int, v double")
+    sums = labelled.select(F.col("label").cast("int"), "x").mapInArrow(lean(_sums), "label int, i int, v double")
     at = {(r.label, r.i): r.v for r in sums.groupBy("label", "i").agg(F.sum("v").alias("v")).collect()}
     counts = np.array([at.get((c, 0), 0.0) for c in (0, 1)])
     n = counts.sum()
@@ -165,7 +165,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             x = batch.column(1).flatten().to_numpy().reshape(-1, K)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())],
                                              names=["doc_id", "score"])
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+from webloom.llm.common import lean
+
+BLOCK_BYTES = 1 << 18
 SPACE_MARK = "▁".encode()
 SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 
@@ -261,7 +263,7 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
     data = model if isinstance(model, bytes) else Path(model).read_bytes()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(_encode_batches(data, end_id), SCHEMA)
+    return rows.mapInArrow(lean(_encode_batches(data, end_id)), SCHEMA)
 
 
 def decode(ids: DataFrame, model: str | bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -278,4 +280,4 @@ def decode(ids: DataFrame, model: str | bytes, id_col: str = "doc_id", ids_col:
 
     rows = ids.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                       F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(lean(run), "doc_id long, text string")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import written
+from webloom.llm.common import Scratch, lean, written
 
 LENGTH, GRAM, STEP, SLICE = 200, 32, 8, 22
 #: Slices that one bucket holds on average, and of one core at most.
@@ -311,18 +311,19 @@ def _classes(rows: DataFrame, outer: str, inner: str, kept: list[str]) -> DataFr
         *[F.min_by(c, place).alias(c) for c in ("tid", "n", *kept)])
 
 
-def covered(texts: DataFrame) -> DataFrame:
+def covered(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """tid, n, begins, ends: the maximal byte ranges to remove, one row for
-    each text (tid, n, text) that has any."""
+    each text (tid, n, text) that has any.  ``scratch`` may be dropped once
+    the result is written."""
     texts = texts.select("tid", "n", "text").filter(F.col("n") >= LENGTH)
     copies = (texts.groupBy("tid", "n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
               .select("tid", "n", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
-    copies = written(copies, "suffix-copies")
+    copies = scratch.written(copies, "suffix-copies")
 
     # Stretches.
-    rows = texts.mapInArrow(_stretch_rows, "anchor long, stretch long, tid long, n long, span long")
-    rows = written(rows, "suffix-stretches")
-    classes = written(_classes(rows, "anchor", "stretch", ["span"]), "suffix-classes")
+    rows = texts.mapInArrow(lean(_stretch_rows), "anchor long, stretch long, tid long, n long, span long")
+    rows = scratch.written(rows, "suffix-stretches")
+    classes = scratch.written(_classes(rows, "anchor", "stretch", ["span"]), "suffix-classes")
     lo, hi = F.shiftright("span", 18), F.shiftright("span", 18) + F.shiftright("span", 9).bitwiseAND(511)
     whole = (rows.join(classes.filter("NOT single").select("anchor", "stretch"), ["anchor", "stretch"])
              .select("tid", "n", lo.alias("begin"), (hi + LENGTH).alias("end"))
@@ -331,38 +332,38 @@ def covered(texts: DataFrame) -> DataFrame:
     # Slices of one stretch of each class, where an anchor has several.
     mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     wanted = (classes.join(mixed, "anchor").groupBy("tid", "n").agg(F.collect_list("span").alias("spans")))
-    wanted = written(wanted, "suffix-wanted")
+    wanted = scratch.written(wanted, "suffix-wanted")
     slices = (_matched(texts, wanted, "spans").select("tid", "n", "text", "spans")
-              .mapInArrow(_slice_rows, "core long, slice long, tid long, n long, lo long, hi long"))
-    slices = written(slices, "suffix-slices")
-    parts = written(_classes(slices, "core", "slice", ["lo", "hi"]), "suffix-parts")
+              .mapInArrow(lean(_slice_rows), "core long, slice long, tid long, n long, lo long, hi long"))
+    slices = scratch.written(slices, "suffix-slices")
+    parts = scratch.written(_classes(slices, "core", "slice", ["lo", "hi"]), "suffix-parts")
     whole_slices = (slices.join(parts.filter("NOT single").select("core", "slice"), ["core", "slice"])
                     .select("tid", "n", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
                     .join(copies.select("tid", "n"), ["tid", "n"], "left_anti"))
 
     # Windows of one slice of each class, where a core has several.
     sizes = parts.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    sizes = written(sizes, "suffix-cores")
+    sizes = scratch.written(sizes, "suffix-cores")
     total = sizes.agg(F.sum("c")).first()[0] or 0
     buckets = max(1, total // BUCKET_SLICES)
     bucket = F.when(F.col("c") > CORE_SLICES, F.lit(-1)).otherwise(F.pmod(F.xxhash64("core"), F.lit(buckets)))
     wanted = (parts.join(sizes.withColumn("bucket", bucket), "core").groupBy("tid", "n")
               .agg(F.collect_list(F.struct("core", "bucket", "lo", "hi")).alias("parts")))
-    wanted = written(wanted, "suffix-wanted-parts")
+    wanted = scratch.written(wanted, "suffix-wanted-parts")
     cut = (_matched(texts, wanted, "parts").select("tid", "n", "text", "parts")
-           .mapInArrow(_cut, "core long, bucket long, tid long, n long, lo long, text binary"))
-    cut = written(cut.dropDuplicates(["core", "bucket", "tid", "n", "lo"]), "suffix-cut")
+           .mapInArrow(lean(_cut), "core long, bucket long, tid long, n long, lo long, text binary"))
+    cut = scratch.written(cut.dropDuplicates(["core", "bucket", "tid", "n", "lo"]), "suffix-cut")
     merged = (cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(_merge_bucket, _COVERED))
     windows = (cut.filter("bucket < 0").select("core", "tid", "n", "text", "lo")
-               .mapInArrow(_window_rows, "core long, window long, tid long, n long, lo long"))
-    windows = written(windows, "suffix-windows")
+               .mapInArrow(lean(_window_rows), "core long, window long, tid long, n long, lo long"))
+    windows = scratch.written(windows, "suffix-windows")
     twice = windows.groupBy("core", "window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     hot = (windows.join(twice.select("core", "window"), ["core", "window"])
            .select("tid", "n", F.col("lo").alias("begin"), (F.col("lo") + LENGTH).alias("end")))
 
     ranges = whole.union(whole_slices).union(merged).union(hot).union(copies)
     return (ranges.groupBy("tid", "n").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-            .mapInArrow(_maximal, "tid long, n long, begins array<bigint>, ends array<bigint>"))
+            .mapInArrow(lean(_maximal), "tid long, n long, begins array<bigint>, ends array<bigint>"))
 
 
 def _strip(as_text: bool):
@@ -387,7 +388,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"), *extra)
     rows = rows.withColumns({"tid": F.xxhash64("text"), "n": F.octet_length("text").cast("long")})
-    ranges = written(covered(rows), "suffix-ranges")
+    scratch = Scratch(docs.sparkSession)
+    ranges = written(covered(rows, scratch), "suffix-ranges")
+    scratch.drop()
     found = _matched(rows, ranges, "begins", "left")
     types = "".join(f", keep_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     removed = F.aggregate(F.arrays_zip("begins", "ends"), F.lit(0).cast("long"),
@@ -395,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = (found.withColumn("n_removed", F.coalesce(removed, F.lit(0)).cast("long"))
            .select("text", "begins", "ends", "doc_id", F.col("n").alias("n_bytes"), "n_removed",
                    *[f"keep_{k}" for k in range(len(keep))])
-           .mapInArrow(_strip(as_text), f"kept {'string' if as_text else 'binary'}, begins array<bigint>, "
+           .mapInArrow(lean(_strip(as_text)), f"kept {'string' if as_text else 'binary'}, begins array<bigint>, "
                                         "ends array<bigint>, doc_id long, n_bytes long, n_removed long" + types))
     return out.select("doc_id", "n_bytes", "n_removed", F.greatest(F.size("begins"), F.lit(0)).cast("long").alias("n_spans"),
                       "kept", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
