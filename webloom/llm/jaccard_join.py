@@ -293,14 +293,11 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     # Most tokens are in one prefix only: a filter of fixed size keeps them from the shuffle.
     packed = spark.sparkContext.broadcast(token_filter(counts.select("token")))
     postings = groups.select("first", "n", "prefix").mapInArrow(lean(_passing(packed)), "key binary, n long, token long")
-    # Sizes that can link lie in the same band or the next: postings without such a partner go.
+    # Sizes that can link lie in the same band or the next.
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / threshold))).cast("int")
-    met = scratch.written(postings.join(counts, "token").withColumn("band", band), "jaccard-met")
     near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
-    sizes = (met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c")).select("token", near, "c")
-             .groupBy("token", "band").agg(F.sum("c").alias("c")).filter("c > 1"))
-    live = scratch.written(met.drop("c").join(sizes, ["token", "band"]), "jaccard-postings")
-    # Per group: what of its prefix such a partner has, and how connected that makes it.
+    live = scratch.written(postings.join(counts, "token"), "jaccard-postings")
+    # Per group: what of its prefix another group has, and how connected that makes it.
     known = live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w"))
     # ``most``: n-grams that can be common with a group whose prefix ends later;
     # those of the own prefix that no such group has in its prefix are not.
@@ -337,11 +334,11 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     own = by_group.join(labels, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     own = scratch.written(own, "jaccard-own")
     spread = scratch.written(own.groupBy("first").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-spread")
-    placed = posts.join(spread.withColumnRenamed("first", "key"), "key")
+    placed = posts.join(spread.withColumnRenamed("first", "key"), "key").withColumn("band", band)
     mixed = (placed.groupBy("token", "band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
              .select("token", near, "x", "y").groupBy("token", "band").agg(F.min("x").alias("x"), F.max("y").alias("y"))
              .filter("x <> y").select("token", "band"))
-    lists = placed.join(mixed, ["token", "band"]).join(known.select("key", "shared"), "key") \
+    lists = placed.join(mixed, ["token", "band"]).drop("band").join(known.select("key", "shared"), "key") \
         .withColumn("shared", F.when(F.col("c") > WIDE, F.col("shared")))
     lists = scratch.written(lists.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "jaccard-lists")
     left = lists.select("token", F.expr("CAST(pmod(xxhash64(key), blocks) AS INT)").alias("block"), F.col("key").alias("a"),
