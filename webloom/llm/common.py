@@ -23,18 +23,23 @@ def lean(run):
     partition ends: Python workers live on, and what their allocators keep of
     one stage would add to the next."""
     def wrapped(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc
-        if trim is not None:
-            trim(0)
+        release()
     return wrapped
 
 
+def release() -> None:
+    """Give this process's freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc
+    if trim is not None:
+        trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, and keep batches of
     texts small where the session has Spark's own default."""

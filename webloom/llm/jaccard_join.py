@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import Scratch, lean, written
+from webloom.llm.common import Scratch, lean, release, written
 
 SKETCH_BITS, CHUNK_BITS, FILTER_BITS = 24, 18, 26
 #: Partial sketches summed by one task of the first merge.
@@ -281,6 +281,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
                             "doc_id long, n long, key binary, pkey binary, prefix array<long>, place long")
     first, scratch = Scratch(spark), Scratch(spark)
     rows = first.written(rows, "jaccard-rows")
+    levels.destroy()
     # Equal sets are one member; equal size and prefix are one group, named by its first member.
     worded = rows.filter("n > 0")
     members = written(worded.groupBy("key", "n", "pkey").agg(F.min("doc_id").alias("doc_id")), "jaccard-members")
@@ -297,6 +298,8 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     band = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / threshold))).cast("int")
     near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
     live = scratch.written(postings.join(counts, "token"), "jaccard-postings")
+    packed.destroy()
+    release()
     # Per group: what of its prefix another group has, and how connected that makes it.
     known = live.groupBy("key").agg(F.collect_list("token").alias("shared"), F.sum("c").alias("w"))
     # ``most``: n-grams that can be common with a group whose prefix ends later;

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import held_out, lean
+from webloom.llm.common import held_out, lean, release
 
 BITS = 16
 DIM = 1 << BITS
@@ -110,8 +110,9 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def train(sample: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], idf: np.ndarray, epochs: int = 3,
           alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
-    """FTRL-proximal over (language index, indices, values); every fifth
-    example calibrates the temperature instead."""
+    """FTRL-proximal over (language index, indices, values), where the last
+    index is DIM and its value 1 (the bias); every fifth example calibrates
+    the temperature instead."""
     c = len(languages)
     z, n = np.zeros((DIM + 1, c)), np.zeros((DIM + 1, c))     # the last row is the bias
 
@@ -121,8 +122,7 @@ def train(sample: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str]
         w[np.abs(zs) <= l1] = 0.0
         return w
 
-    data = [(y, np.append(at, DIM), np.append(v, 1.0)) for y, at, v in sample]
-    held, learn = data[::5], [x for i, x in enumerate(data) if i % 5] or data
+    held, learn = sample[::5], [x for i, x in enumerate(sample) if i % 5] or sample
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(learn)):
@@ -187,8 +187,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         size = len(r.packed) // 6
         at = np.frombuffer(r.packed, np.uint16, size).astype(np.int64)
         values = (1.0 + np.log(np.frombuffer(r.packed, np.uint32, size, 2 * size))) * idf[at]
-        examples.append((languages.index(r.lang), at, values / np.sqrt((values * values).sum())))
-    return train(examples, languages, idf)
+        values /= np.sqrt((values * values).sum())
+        examples.append((languages.index(r.lang), np.append(at, DIM).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
+    del taken
+    model = train(examples, languages, idf)
+    del examples
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
