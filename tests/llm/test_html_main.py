@@ -37,6 +37,37 @@ def test_planted_article(wrap):
         assert H.main_text(page) == "\n\n".join(["Chapter & verse", *blocks])
 
 
+LONG = "".join(f"<p>{prose(random.Random(k), 40, 60)}</p>" for k in range(14))
+LONG_TEXT = [prose(random.Random(k), 40, 60) for k in range(14)]
+LEAD = "A short lead of one sentence, no more."
+
+
+@pytest.mark.parametrize("body", ['<div class="content">{}</div>', "<div>{}</div>", "<section>{}</section>"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"])
+def test_title_lists_and_short_parts_beside_the_body(wrap, body):
+    inner = (f"<h1>Title</h1><div>{LEAD}</div><p>Brief.</p>{body.format(LONG)}<h2>More</h2><ul><li>one</li><li><a href=x>two</a></li></ul>"
+             f"<table><tr><td>cell</td></tr></table><section><p>{LEAD}</p></section>")
+    page = f"<body><nav>menu</nav><div>Site line</div>{wrap.format(inner)}<div class='related'><p>{prose(random.Random(9))}</p></div></body>"
+    assert H.main_text(page) == "\n\n".join(["Title", LEAD, "Brief.", *LONG_TEXT, "More", "one", "two", "cell", LEAD])
+
+
+def test_several_sections_and_a_title_outside_the_article():
+    parts = "".join(f"<section><h2>Part {k}</h2><div class='text'>{LONG if k == 1 else f'<p>{LEAD}</p>'}</div></section>" for k in range(3))
+    want = ["Part 0", LEAD, "Part 1", *LONG_TEXT, "Part 2", LEAD]
+    assert H.main_text(f"<body><article>{parts}</article></body>") == "\n\n".join(want)
+    links = "<ul><li><a href=a>Another page here</a></li><li><a href=b>And one more page</a></li></ul>"
+    page = f"<body><main><h1><a href=t>Title</a></h1><p>{LEAD}</p><article>{parts}</article>{links}</main></body>"
+    assert H.main_text(page) == "\n\n".join(["Title", LEAD, *want])
+
+
+def test_containers_without_an_article_element():
+    page = f"<body><div><div><h1>Title</h1><div>{LEAD}</div><div class='content'>{LONG}</div></div></div><div>Site line</div></body>"
+    assert H.main_text(page) == "\n\n".join(["Title", LEAD, *LONG_TEXT])
+    short = prose(random.Random(3), 20, 25)
+    page = f"<body><section>{LONG}</section><section><p>{short}</p></section><div>Site line</div></body>"
+    assert H.main_text(page) == "\n\n".join([*LONG_TEXT, short])
+
+
 def test_white_space_references_and_open_paragraphs():
     page = ("<body><article><h1>A&amp;B &#233;&eacute;&nbsp;x</h1><p><b>one, two,\n three<br>four <p>five\t<i>six</i></p>"
             "<ul><li>seven<li>eight</ul></article></body>")

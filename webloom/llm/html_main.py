@@ -4,10 +4,13 @@ Each page becomes a small tree.  A paragraph (a block of text of its own)
 earns points for its length and its commas; the points go to its parent in
 full, to the parent above by half, further up by a third, a quarter and so on.
 A container's points are discounted by its link density.  The best container
-wins, and its siblings stay if they scored a fair share or read like prose;
-what lies in boilerplate (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, hidden parts, reader comments) is cut first.  All
-blocks of what is kept are returned, however short.
+wins.  If it lies in an article (or main) element, that whole element is chosen,
+and of a main around the article all but lists of links; without such an element
+the choice rises to every container that holds little text besides.  Siblings of
+the choice stay if they scored a fair share or read like prose.  What lies in
+boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, hidden parts, reader comments) is cut first.  All blocks of what is kept
+are returned, however short.
 
 Defined results: null or empty html, or a page without text, gives the empty
 text.  Rows are independent; only the three named columns are read.  Nesting,
@@ -67,6 +70,8 @@ KIND_POINTS = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "pre":
 NAME_POINTS = 25.0
 MIN_PARAGRAPH = 25
 SIBLING_SHARE, MIN_SIBLING = 0.2, 10.0
+#: Share of a container's text, links aside, from which the choice rises to it.
+NEARLY_ALL = 0.9
 
 
 class _Page:
@@ -223,8 +228,9 @@ def _parse(html: str) -> _Page:
     return page
 
 
-def _best(page: _Page) -> set[int]:
-    """The chosen container and the siblings that are kept."""
+def _best(page: _Page) -> tuple[set[int], set[int]]:
+    """The chosen container and the siblings that are kept, and what is left
+    out again inside them."""
     n = len(page.tag)
     score: dict[int, float] = {}
     chars, linked = [0] * n, [0] * n
@@ -247,19 +253,46 @@ def _best(page: _Page) -> set[int]:
         if page.tag[node] in ("article", "main") and chars[node]:
             score.setdefault(node, page.bonus[node])
     if not score:
-        return {0}
+        return {0}, set()
     density = lambda x: linked[x] / chars[x] if chars[x] else 0.0
     total = {x: s * (1.0 - density(x)) for x, s in score.items()}
     best = max(total, key=lambda x: (total[x], -x))
-    keep = {best}
-    if best:
-        least = max(MIN_SIBLING, SIBLING_SHARE * total[best])
-        for node in range(1, n):
-            if page.parent[node] == page.parent[best] and node != best and page.tag[node] != "body":
-                long_prose = page.tag[node] == "p" and density(node) < 0.25 and chars[node] > 80
-                if total.get(node, 0.0) >= least or long_prose:
-                    keep.add(node)
-    return keep
+    if not best:
+        return {0}, set()
+    least = max(MIN_SIBLING, SIBLING_SHARE * total[best])
+    children: dict[int, list[int]] = {}
+    for node in range(1, n):
+        children.setdefault(page.parent[node], []).append(node)
+
+    def siblings(of: int, marked: bool) -> set[int]:
+        found = set()
+        for node in children[page.parent[of]]:
+            if node != of and page.tag[node] != "body":
+                prose = (page.tag[node] == "p" or (not marked and node in score)) and density(node) < 0.25
+                if total.get(node, 0.0) >= least or (prose and chars[node] > 80):
+                    found.add(node)
+        return found
+
+    above = [best]
+    while page.parent[above[-1]] > 0:
+        above.append(page.parent[above[-1]])
+    articles = [x for x in above if page.tag[x] == "article"]
+    mains = [x for x in above if page.tag[x] == "main"]
+    core = top = articles[-1] if articles else mains[-1] if mains else best
+    if articles or mains:
+        top = min((core, *mains[-1:]))      # ancestors come first in the page
+    else:
+        solid = lambda x: chars[x] - linked[x]
+        while (up := page.parent[top]) > 0 and page.tag[up] not in ("html", "body"):
+            if sum(map(solid, {top, *siblings(top, False)})) < NEARLY_ALL * solid(up):
+                break
+            top = up
+    # Between the core and what it rose to, lists of links are not text.
+    path = above[above.index(core):above.index(top) + 1]
+    within = set(path)
+    out = {x for up in path[1:] for x in children[up] if x not in within and density(x) >= 0.5
+           and page.tag[x] not in HEADINGS and page.tag[x] != "header"}
+    return {top, *siblings(top, bool(articles or mains))}, out
 
 
 def main_text(html: str | None) -> str:
@@ -267,10 +300,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _parse(html)
-    keep = _best(page)
+    keep, out = _best(page)
     inside = [x in keep for x in range(len(page.tag))]
     for node in range(1, len(page.tag)):
-        inside[node] = inside[node] or inside[page.parent[node]]
+        inside[node] = node not in out and (inside[node] or inside[page.parent[node]])
     in_header = [t == "header" for t in page.tag]
     for node in range(1, len(page.tag)):
         in_header[node] = in_header[node] or in_header[page.parent[node]]
