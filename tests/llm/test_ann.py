@@ -55,6 +55,26 @@ def test_odd_vectors_ties_and_hot_vector(spark, monkeypatch):
     assert run(spark, []) == {}
 
 
+def test_few_and_opposite_vectors_are_all_returned(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0]), (2, [-1.0, 0.1, 0.0])]
+    rng = np.random.default_rng(3)
+    rows += [(50 + k, (3.0 * a).tolist()) for k, a in enumerate(np.vstack((np.eye(16), -np.eye(16)))[[0, 16, 1, 17]])]
+    rows += [(100 + k, rng.normal(size=300).tolist()) for k in range(6)]
+    got = run(spark, rows)
+    assert got[0] == [(1, 2, got[0][0][2]), (2, 1, -1.0)]
+    assert {v for _, v, _ in got[50]} == {51, 52, 53}
+    assert sorted(v for _, v, _ in got[100]) == [101, 102, 103, 104, 105]
+
+
+def test_neighbours_below_the_expected_cosines(spark):
+    rng = np.random.default_rng(4)
+    for dim, least in ((256, 1.0), (96, 0.9)):
+        x, ids = rng.normal(size=(1500, dim)).astype(np.float32).astype(np.float64), np.arange(1500)
+        want, got = brute(ids, x, 5), run(spark, [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)])
+        hit = sum(len({v for v, _ in near} & {v for _, v, _ in got[q]}) for q, near in want.items())
+        assert hit >= least * 5 * len(want) and all(len(got[q]) == 5 for q in want)
+
+
 def test_visits_come_by_probability():
     rng = np.random.default_rng(1)
     p, b = rng.normal(size=4), rng.uniform(0, A.WIDTH, 4)

@@ -9,6 +9,11 @@ they add up to the wanted coverage, for near copies and for far neighbours.
 Every visited bucket is searched exactly, in double precision on the original
 vectors, and the tables' candidates are merged and ranked.
 
+The first visits expect the cosines of ``SCALES``.  A query whose k-th cosine
+found is lower goes on to the buckets that cover that cosine; a query with fewer
+than k found, or with a k-th cosine below ``LEAST_SCALE``, where the buckets to
+visit hold nearly all rows anyhow, is compared with every row of its length.
+
 Buckets of any size are cut into blocks of rows and of queries before they are
 joined, so a vector that holds a third of all rows meets no single task, and a
 block returns only its best few per query (equal scores are cut by the smaller
@@ -17,8 +22,8 @@ whole.  Vectors of different lengths never meet.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do rows with a null id; equal rows (id and vector)
-count once, a query id with several vectors gets the best over all of them; fewer candidates than k are all returned if their buckets were
-visited; an empty table gives an empty result.
+count once, a query id with several vectors gets the best over all of them; fewer
+candidates than k are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ from webloom.llm.common import lean, written
 TABLES, HASHES, WIDTH = 2, 8, 2.0
 #: Cosines that the visiting order expects, and the probability to cover for each.
 SCALES = ((0.99, 0.9), (0.43, 0.8))
+#: Queries whose k-th cosine found is below this are compared with all rows.
+LEAST_SCALE = 0.2
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SEED = 20240229
 
@@ -118,7 +125,9 @@ def visits(p: np.ndarray, b: np.ndarray, cosine: float, cover: float) -> Iterato
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of each query, by SCALES or by the cosine in a fourth column."""
     for batch in batches:
+        own = batch.column(3).to_numpy() if batch.num_columns > 3 else None
         for at, vectors in _by_length(batch):
             dim = vectors.shape[1]
             unit = _unit(vectors)
@@ -127,7 +136,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 projected = unit @ a
                 for row, p in zip(at, projected, strict=True):
                     home = tuple(np.floor((p + b) / WIDTH).astype(np.int64).tolist())
-                    cells = dict.fromkeys([home, *(c for scale in SCALES for c in visits(p, b, *scale))])
+                    scales = SCALES if own is None else ((own[row], SCALES[-1][1]),)
+                    cells = dict.fromkeys([home, *(c for scale in scales for c in visits(p, b, *scale))])
                     names = np.unique(_bucket(np.array(list(cells), dtype=np.int64), dim, table))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names), batch.column(2).take(pa.array(np.full(len(names), row)))],
@@ -173,19 +183,9 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
-            vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row that
-    ``queries`` (a condition over the column ``vec_id``) selects."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
-    rows = written(rows, "ann-rows")
-    index = rows.mapInArrow(lean(_index), "bucket long, vec_id long, v array<double>")
-    asked = rows.filter(queries).withColumn("query", F.xxhash64("vec_id", "v"))
-    # The visits of a query's buckets; buckets without rows drop out below.
-    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = written(asked.repartition(spread, "query").mapInArrow(lean(_probe), "bucket long, query long"), "ann-probes")
+def _compared(index: DataFrame, probes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Best k rows of each block of the probed buckets, for each query; buckets
+    without rows drop out."""
     sizes = (index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
              .join(probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
              .select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"),
@@ -200,9 +200,51 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
              .join(asked.select("query", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query")
              .select("query_id", "q", "bucket", "rb", "qb"))
     block = ["bucket", "rb", "qb"]
-    found = (left.groupBy(*block).cogroup(right.groupBy(*block))
-             .applyInArrow(_search(k), "query_id long, vec_id long, score double"))
+    return (left.groupBy(*block).cogroup(right.groupBy(*block))
+            .applyInArrow(_search(k), "query_id long, vec_id long, score double"))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.dropDuplicates(["query_id", "vec_id", "score"])
             .withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
+            vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row that
+    ``queries`` (a condition over the column ``vec_id``) selects."""
+    v = F.col(f"`{vector_col}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
+    rows = written(rows, "ann-rows")
+    index = rows.mapInArrow(lean(_index), "bucket long, vec_id long, v array<double>")
+    asked = rows.filter(queries).withColumn("query", F.xxhash64("vec_id", "v"))
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def visited(some: DataFrame) -> DataFrame:
+        return some.repartition(spread, "query").mapInArrow(lean(_probe), "bucket long, query long")
+
+    probes = written(visited(asked), "ann-probes")
+    found = written(_ranked(_compared(index, probes, asked, k), k), "ann-found")
+
+    # Queries that found too little for the cosines expected go on, at the k-th cosine found.
+    kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("scale"))
+    asked = written(asked.join(kth, "vec_id", "left")
+                    .filter(F.coalesce(F.col("scale") < min(c for c, _ in SCALES), F.lit(True)))
+                    .select("vec_id", "v", "query", "scale"), "ann-again")
+    far = F.coalesce(F.col("scale") < LEAST_SCALE, F.lit(True))
+    parts = [found.drop("rank")]
+    some, rest = asked.filter(~far), asked.filter(far)
+    if not some.isEmpty():
+        more = written(visited(some).join(probes, ["bucket", "query"], "left_anti"), "ann-more")
+        parts.append(_compared(index, more, some, k))
+    if not rest.isEmpty():
+        whole = rows.select(F.size("v").cast("long").alias("bucket"), "vec_id", "v")
+        parts.append(_compared(whole, rest.select(F.size("v").cast("long").alias("bucket"), "query"), rest, k))
+    if len(parts) == 1:
+        return found
+    for part in parts[1:]:
+        parts[0] = parts[0].union(part)
+    return _ranked(parts[0], k)
