@@ -28,22 +28,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of linked documents, five
-    words and a similarity of 0.8.  Of equal rows one stays; documents without
-    words all stay."""
+    """One row of each group of linked documents, five words and a similarity
+    of 0.8: the smallest id, null last, and of several texts with that id the
+    one whose key is smallest.  Of equal rows one stays; documents without words
+    all stay."""
     prepare(spark)
-    found = written(jaccard_join.jaccard_join(docs, width=5, threshold=80), "pipeline-links")
-    losers = written(found.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct(), "pipeline-losers")
-    kept = joined(docs, losers, "doc_id", "left_anti").select(*COLUMNS)
-    twice = written(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-                    .filter("c > 1").select(F.col("doc_id").alias("twice")), "pipeline-twice")
+    found = written(jaccard_join.jaccard_join(docs, width=5, threshold=80, by_row=True).filter("n_shingles > 0")
+                    .select("doc_id", "text_key", "component"), "pipeline-links")
+    groups = (found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"),
+                                             F.count(F.lit(1)).alias("c")).filter("c > 1")
+              .select("component", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("k")))
+    groups = written(groups, "pipeline-groups")
+    losers = written(joined(found, groups, "component", "inner").filter("NOT (doc_id <=> id AND text_key = k)")
+                     .select(F.col("doc_id").alias("id"), F.col("text_key").alias("k")).distinct(), "pipeline-losers")
+    twice = written(found.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+                    .filter("c > 1").select("id", "k"), "pipeline-twice")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (jaccard_join.text_key(F.col("text")) == F.col("k"))
+    kept = joined(docs, losers, same, "left_anti").select(*COLUMNS)
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("twice"))
-    again = joined(kept, twice, same, "left_semi")
-    worded = F.col("text").rlike(WORD)
-    return (joined(kept, twice, same, "left_anti").union(again.filter(~worded))
-            .union(again.filter(worded).dropDuplicates(["doc_id", "text"])))
+    return (joined(kept, twice, same, "left_anti")
+            .union(joined(kept, twice, same, "left_semi").dropDuplicates(["doc_id", "text"])))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,22 @@ def test_one_document_of_each_group(steps):
     assert sorted(r.doc_id for r in steps[2]) == sorted(i for i, n, c in want if n == 0 or c == i)
 
 
+def test_one_row_of_each_group_with_null_and_repeated_ids(docs_of, spark):
+    base = lambda k: [f"w{k}x{i}" for i in range(60)]
+    text = lambda k, *more: " ".join([*base(k), *more])
+    rows = [(1, text(1)), (2, text(1, "a")), (2, text(2)),              # id 2: a near copy and a text of its own
+            (3, text(3)), (None, text(3, "b")), (None, text(4)),        # a null id loses, unless it is alone
+            (5, text(5)), (5, text(5, "c")), (5, text(5, "d")),         # near texts of one id
+            (None, text(6)), (None, text(6, "e")),                      # a group of null ids
+            (7, text(7)), (7, text(7)), (8, text(8)), (8, text(9)),     # equal rows; two groups of one id
+            (9, text(8, "f")), (9, None), (9, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs_of(rows).select(*P.COLUMNS), SF).collect()]
+    group = lambda t: t and t.split()[0]
+    assert sorted(((i, group(t)) for i, t in got), key=str) == sorted(
+        [(1, "w1x0"), (2, "w2x0"), (3, "w3x0"), (None, "w4x0"), (5, "w5x0"), (None, "w6x0"), (7, "w7x0"), (8, "w8x0"), (8, "w9x0"),
+         (9, None), (9, None), (None, "")], key=str)
+
+
 def test_repeats_are_gone(steps):
     want = {i: b.decode(errors="ignore") for i, _, _, _, b in stripped([(r.doc_id, r.text) for r in steps[2]])}
     got = {r.doc_id: r.text for r in steps[3]}

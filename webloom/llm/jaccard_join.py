@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Scratch, lean, release, written
@@ -190,7 +190,8 @@ def _passing(packed):
 
 def _prefixes(levels, width: int, threshold: int):
     """doc_id, n, key (name of the set), pkey (name of the prefix), prefix, and
-    the place of the prefix's last n-gram in the order."""
+    the place of the prefix's last n-gram in the order; columns after the text
+    are passed on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift = levels.value, np.uint64(64 - SKETCH_BITS)
         for batch in batches:
@@ -210,7 +211,8 @@ def _prefixes(levels, width: int, threshold: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
                      pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.list_(pa.int64())),
-                     pa.array([o[4] for o in out], pa.int64())], names=["doc_id", "n", "key", "pkey", "prefix", "place"])
+                     pa.array([o[4] for o in out], pa.int64()), *part.columns[2:]],
+                    names=["doc_id", "n", "key", "pkey", "prefix", "place", *part.schema.names[2:]])
     return run
 
 
@@ -271,14 +273,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per row; ``threshold`` in hundredths."""
+                 text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id per row; ``threshold`` in hundredths.
+    ``by_row`` adds text_key, which tells rows of one id apart, and component,
+    which names the component whatever ids its rows have (null without words)."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(sketch(texts, width))     # 16 MB, whatever the input
-    rows = texts.mapInArrow(lean(_prefixes(levels, width, threshold)),
-                            "doc_id long, n long, key binary, pkey binary, prefix array<long>, place long")
+    extra = ["text_key"] if by_row else []
+    rows = texts.select("*", *[text_key(F.col("text")).alias(c) for c in extra]).mapInArrow(
+        lean(_prefixes(levels, width, threshold)), "doc_id long, n long, key binary, pkey binary, prefix array<long>, place long"
+        + "".join(f", {c} binary" for c in extra))
     first, scratch = Scratch(spark), Scratch(spark)
     rows = first.written(rows, "jaccard-rows")
     levels.destroy()
@@ -287,7 +298,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     members = written(worded.groupBy("key", "n", "pkey").agg(F.min("doc_id").alias("doc_id")), "jaccard-members")
     groups = scratch.written(worded.groupBy("n", "pkey").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix"),
                                                       F.min("place").alias("place")), "jaccard-groups")
-    rows = written(rows.select("doc_id", "n", "key"), "jaccard-docs")
+    rows = written(rows.select("doc_id", "n", "key", *extra), "jaccard-docs")
     first.drop()
     counts = scratch.written(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
                      .filter("c > 1"), "jaccard-counts")
@@ -367,6 +378,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
 
     smallest = (members.join(labels, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component")))
     ids = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    keyed = smallest.join(ids, "component").select("key", "component_id")
-    return (rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(keyed, "key", "left")
-            .select("doc_id", "n_shingles", F.expr("IF(n_shingles = 0, doc_id, component_id)").alias("component_id")))
+    keyed = smallest.join(ids, "component").select("key", "component_id", "component")
+    return (rows.select("doc_id", F.col("n").alias("n_shingles"), "key", *extra).join(keyed, "key", "left")
+            .select("doc_id", "n_shingles", F.expr("IF(n_shingles = 0, doc_id, component_id)").alias("component_id"),
+                    *extra, *(["component"] if by_row else [])))
