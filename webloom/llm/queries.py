@@ -10,6 +10,7 @@ from webloom.llm import (
     html_main,
     jaccard_join,
     language_id,
+    link_filter,
     mixing,
     quality_classifier,
     quality_rules,
@@ -228,3 +229,54 @@ s AS (SELECT *, least(39, ((2 * before + size) * 40 // (2 * total)))::INTEGER AS
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
 """
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op12_url_filter(spark, sf_dir):
+    """Rule and verdict of every page's URL, by rules or by its host's ranks."""
+    return link_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE["op12_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
+says AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says
+         FROM r),
+seed AS (
+  SELECT host, CASE WHEN 2 * count(*) FILTER (says = 'allow') > count(*) THEN 'trust'
+                    WHEN 2 * count(*) FILTER (says = 'block') > count(*) THEN 'distrust' END AS kind
+  FROM says WHERE host <> '' GROUP BY host),
+start AS (SELECT kind, host, 1000000000000000 // count(*) OVER (PARTITION BY kind) AS flow FROM seed WHERE kind IS NOT NULL),
+link AS (
+  SELECT DISTINCT host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM (SELECT host, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script[\x20\x09-\x0D>].*?(?:</script|\z)|<style[\x20\x09-\x0D>].*?(?:</style|\z)|<template[\x20\x09-\x0D>].*?(?:</template|\z)', ' ', 'g'),
+    '(?i)<a[\x20\x09-\x0D/](?:[^<>]*?[\x20\x09-\x0D"''/])?href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?[\x20\x09-\x0D]*(?:https?:)?//([^/?#"''<>\x00-\x20]+)', 1)) AS dst
+        FROM p WHERE host <> '')),
+pair AS (SELECT * FROM link WHERE src <> dst),
+edge AS (
+  SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS degree
+  FROM (SELECT 'trust' AS kind, src, dst FROM pair UNION ALL SELECT 'distrust', dst, src FROM pair)),
+flow(k, kind, host, flow) AS (
+  SELECT 0, kind, host, flow::BIGINT FROM start
+  UNION ALL
+  SELECT k + 1, kind, host, sum(part)::BIGINT FROM (
+    SELECT f.k, f.kind, e.dst AS host, (f.flow * 85 // 100) // e.degree AS part
+    FROM flow f JOIN edge e ON e.kind = f.kind AND e.src = f.host WHERE f.k < 40) WHERE part > 0 GROUP BY k, kind, host),
+ranked AS (SELECT host, coalesce(sum(flow) FILTER (kind = 'trust'), 0)::BIGINT AS trust,
+                  coalesce(sum(flow) FILTER (kind = 'distrust'), 0)::BIGINT AS distrust FROM flow GROUP BY host),
+least_of AS (SELECT greatest(1, coalesce(max(flow) FILTER (kind = 'distrust'), 0) * 50 // 100) AS least FROM start)
+SELECT page_id, s.host, path, rule,
+       coalesce(says, CASE WHEN distrust > trust AND distrust >= least THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM says s LEFT JOIN ranked ON ranked.host = s.host, least_of
+"""
