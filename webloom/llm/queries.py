@@ -10,6 +10,7 @@ from webloom.llm import (
     html_main,
     jaccard_join,
     language_id,
+    lexical_search,
     link_filter,
     mixing,
     quality_classifier,
@@ -280,3 +281,32 @@ SELECT page_id, s.host, path, rule,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
 FROM says s LEFT JOIN ranked ON ranked.host = s.host, least_of
 """
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """Ten best documents of every benchmark item."""
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH b AS (
+  SELECT DISTINCT item_id, text FROM benchmark),
+q AS (
+  SELECT item_id, text, t, count(*) AS q FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM b) GROUP BY ALL),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+v AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM v, c GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, (100 - 75 + (75::HUGEINT * len(w) * n_docs) // n_terms)::BIGINT AS m FROM d, c WHERE len(w) > 0),
+s AS (
+  SELECT q.item_id, q.text, m.r, m.doc_id, sum(q.q * f.weight * ((1000000000 * v.tf) // (1000 * v.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN v ON v.t = q.t JOIN f ON f.t = q.t JOIN m ON m.r = v.r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
