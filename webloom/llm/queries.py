@@ -18,8 +18,9 @@ from webloom.llm import (
     sentencepiece_codec,
     sharding,
     suffix_dedup,
+    token_alignment,
 )
-from webloom.llm.common import held_out, prepare, table
+from webloom.llm.common import held_out, prepare, table, written
 
 QUERIES = {}
 ORACLE = {}
@@ -310,3 +311,15 @@ s AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
 """
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers over every document."""
+    import public_tokenizers
+
+    found = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"), outputs=("groups", "links"))
+    found = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "links",
+                         F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+    return token_alignment.with_counts(written(found, "align-documents")).drop("row")
