@@ -85,6 +85,40 @@ def test_plain_text_and_nesting():
     assert H.main_text("<p>" + "<p x=\"" * 20_000) is not None
 
 
+KEPT = ['<p class="byline">{}</p>', '<div class="meta">{}</div>', '<div class="toc">{}</div>', '<p class="legal">{}</p>',
+        '<div class="market-share">{}</div>', '<div id="side-effects">{}</div>', '<section id="related-work"><p>{}</p></section>']
+LOST = ['<div class="related-posts"><a href=x>{}</a></div>', '<div class="ad">{}</div>', '<section id="comments"><p>{}</p></section>',
+        '<div class="comment-list"><p>{}</p></div>', '<ul class="toc"><li><a href="#a">{}</a></li></ul>', '<div class="share">{}</div>']
+
+
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_names_inside_an_article(wrap):
+    text = prose(random.Random(4))
+    for part, stays in [(x, True) for x in KEPT] + [(x, False) for x in LOST]:
+        page = f"<body><{wrap}><h1>Title</h1>{LONG}{part.format(text)}</{wrap}></body>"
+        assert H.main_text(page) == "\n\n".join(["Title", *LONG_TEXT, *([text] if stays else [])]), part
+
+
+def test_formulas_and_references_across_tags():
+    page = "<article><p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> hold.</p><p>A &<b>lt;</b> B &amp;lt; 1 < 2 AT&T</p></article>"
+    assert H.main_text(page) == "Let x<2 hold.\n\nA &lt; B &lt; 1 < 2 AT&T"
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + "</span2>" * n, lambda n: "<ul><li>" + "<div>" * n + "<li>" * n,
+                                  lambda n: "<table>" + "<thead>" * n + "<td>" * n, lambda n: "<p x='\"><p y=\"'>" * n, lambda n: "<p>" * n + "</p>" * n,
+                                  lambda n: "<a <b" * n, lambda n: "<b x='" * n + ">"])
+def test_broken_pages_take_linear_time(make):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        H.main_text("<body>" + make(n) + "end of text")
+        return time.process_time() - t
+    n = 1_000_000 // len(make(1))
+    seconds(n // 8)
+    assert seconds(n) < 20 * max(0.1, seconds(n // 8))
+
+
 def test_table(spark):
     page = "<nav>x</nav><article><p>" + "text, and more text, " * 9 + "</p></article>"
     rows = [(1, "u", page), (None, None, None), (2, "v", ""), (1, "u", page), (2**60 + 1, "w", page * 300)]

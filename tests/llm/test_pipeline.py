@@ -92,3 +92,12 @@ def test_odd_documents(docs_of, spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_columns_with_clashing_names_are_left_at_the_door(docs_of, spark):
+    text = "the house and the water of the old town are good for them and their children in the light "
+    rows = [(i, text + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)] + [(7, text + " ".join(f"w1x{j}" for j in range(39)))]
+    docs = docs_of(rows).selectExpr("*", "1 AS id", "'k' AS k", "2 AS words", "3 AS copies", "'s' AS s", "0 AS component", "'t' AS text_key")
+    for name, stage in P.STAGES:
+        plain, more = (sorted(map(str, stage(spark, d, SF).collect())) for d in (docs.select(*P.COLUMNS), docs))
+        assert plain == more, name

@@ -9,17 +9,24 @@ and of a main around the article all but lists of links; without such an element
 the choice rises to every container that holds little text besides.  Siblings of
 the choice stay if they scored a fair share or read like prose.  What lies in
 boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, hidden parts, reader comments) is cut first.  All blocks of what is kept
-are returned, however short.
+styles, hidden parts, reader comments) is cut first.  Inside an article or main,
+a name alone cuts only where it is the whole class or id (or comments and
+adverts); other names that merely hold such a word (market-share, side-effects,
+byline, toc) cut only what is mostly links.  All blocks of what is kept are
+returned, however short.
 
 Defined results: null or empty html, or a page without text, gives the empty
 text.  Rows are independent; only the three named columns are read.  Nesting,
-length and broken markup are unbounded: one forward pass, no recursion.
+length and broken markup are unbounded: one forward pass whose time is linear in
+the page, no recursion; after a quote that never closes, tags end at the next
+``>``.  Character references are decoded piece by piece, so markup between two
+pieces never makes a reference.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,12 +37,14 @@ from pyspark.sql import functions as F
 from webloom.llm.common import lean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes annotation annotation-xml".split())
 #: Elements that never hold main text.
-CUT = frozenset("head script style title noscript template iframe noembed noframes object canvas svg math audio video "
+CUT = frozenset("head script style title noscript template iframe noembed noframes object canvas svg audio video "
                 "nav footer aside form button select option textarea input label fieldset dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mo mn ms mtext mspace "
+                   "mstyle mpadded mphantom mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced "
+                   "menclose merror mtable mtr mtd mlabeledtr maction".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An opening tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -54,6 +63,13 @@ _NAMES = ("ad|ads|advert|advertisement|advertising|adbox|adunit|adsense|sponsor|
           "legal|disclaimer|tags|taglist|byline|meta|toc")
 #: Class and id names of boilerplate: a whole word of the name, in any case.
 BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:s?\d*)(?=$|[\s_-])", re.I)
+#: Names that cut inside an article too: whole classes or ids, and those of
+#: comments and adverts however they go on.
+_WEAK = "byline|meta|toc|legal|disclaimer|copyright|tags|taglist|side|rail|header|masthead|related|share|notice|alert"
+PLAIN_NAMES = frozenset(_NAMES.split("|")) - frozenset(_WEAK.split("|")) | frozenset(("related", "share", "notice"))
+SURE = re.compile(r"(?:comments?|commentlist|disqus|advert\w*|ads?|cookies?|newsletter)(?:$|[_-].*)", re.I)
+#: Share of a part's text in links from which a boilerplate word in its name cuts it.
+MOSTLY_LINKS = 0.5
 #: Names that speak for a container, whatever else they say.
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page|blog)(?=$|[\s_-])", re.I)
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|menu|menubar|dialog|alert|alertdialog|form|"
@@ -79,6 +95,7 @@ class _Page:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.cut, self.bonus = ["#root"], [-1], [False], [0.0]
+        self.doubtful: list[int] = []                  # cut if they are mostly links
         self.blocks: list[tuple[int, str, int]] = []   # (node, text, characters in links)
 
 
@@ -89,38 +106,44 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _judge(tag: str, source: str, parent_tag: str) -> tuple[bool, float]:
-    """Whether an element is boilerplate, and the points its name earns."""
+def _judge(tag: str, source: str, parent_tag: str, in_article: bool) -> tuple[bool, bool, float]:
+    """Whether an element is boilerplate, whether it is if it is mostly links,
+    and the points its name earns."""
     if tag in CUT:
-        return True, 0.0
-    cut = tag == "header" and parent_tag not in ("article", "main", "section")
+        return True, False, 0.0
+    cut, doubtful = tag == "header" and parent_tag not in ("article", "main", "section"), False
     if not source:
-        return cut, KIND_POINTS.get(tag, 0.0)
+        return cut, False, KIND_POINTS.get(tag, 0.0)
     has = _attributes(source)
     names = f"{has.get('class', '')} {has.get('id', '')}"
     speaks = bool(CONTENT.search(names)) or has.get("role", "").lower() in ("main", "article")
     cut = (cut or "hidden" in has or has.get("aria-hidden", "").lower() == "true"
            or bool(HIDDEN.search(has.get("style", ""))) or bool(ROLES.fullmatch(has.get("role", "").strip())))
     if tag not in ("html", "body", "article", "main") and BOILERPLATE.search(names):
-        own = CONTENT.sub(" ", names)
-        cut = cut or not speaks or bool(re.search(r"comment|sidebar|footer|menu|advert|cookie|related|share|promo",
-                                                  own, re.I))
-    return cut, KIND_POINTS.get(tag, 0.0) + NAME_POINTS * speaks
+        if in_article:
+            cut = cut or any(x.lower() in PLAIN_NAMES or SURE.fullmatch(x) for x in names.split())
+            doubtful = not cut
+        else:
+            own = CONTENT.sub(" ", names)
+            cut = cut or not speaks or bool(re.search(r"comment|sidebar|footer|menu|advert|cookie|related|share|promo",
+                                                      own, re.I))
+    return cut, doubtful, KIND_POINTS.get(tag, 0.0) + NAME_POINTS * speaks
 
 
 def _parse(html: str) -> _Page:
     page = _Page()
     stack = [0]                     # open elements that are not inline
+    places: dict[str, list[int]] = {}   # where in the stack each tag is open
     links = cut_depth = 0           # open <a>, open elements that are cut
     text: list[str] = []
     linked: list[str] = []
-    lower = None
+    lower, loose = None, False
 
     def flush() -> None:
         if text:
-            words = " ".join(unescape("".join(text)).split())
+            words = " ".join("".join(text).split())
             if words:
-                inside = len(" ".join(unescape("".join(linked)).split())) if linked else 0
+                inside = len(" ".join("".join(linked).split())) if linked else 0
                 page.blocks.append((stack[-1], words, min(inside, len(words))))
             text.clear()
             linked.clear()
@@ -129,7 +152,12 @@ def _parse(html: str) -> _Page:
         nonlocal cut_depth
         flush()
         while len(stack) > depth:
-            cut_depth -= page.cut[stack.pop()]
+            node = stack.pop()
+            places[page.tag[node]].pop()
+            cut_depth -= page.cut[node]
+
+    def deepest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at, size = 0, len(html)
     while at < size:
@@ -137,9 +165,10 @@ def _parse(html: str) -> _Page:
         if lt < 0:
             lt = size
         if lt > at and not cut_depth:
-            text.append(html[at:lt])
+            piece = unescape(html[at:lt])
+            text.append(piece)
             if links:
-                linked.append(html[at:lt])
+                linked.append(piece)
         if lt >= size:
             break
         nxt = html[lt + 1:lt + 2]
@@ -163,23 +192,21 @@ def _parse(html: str) -> _Page:
                 at = size if end < 0 else end + 1
             else:                                   # a bare "<" is text
                 if not cut_depth:
-                    text.append("&lt;")
+                    text.append("<")
                 at = lt + 1
             continue
-        over = _TAG_END.match(html, name.end())
+        over = None if loose else _TAG_END.match(html, name.end())
+        loose = over is None
         end = over.end() if over else (html.find(">", name.end()) + 1 or size)
         tag = name[0].lower()
         at = end
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "p" and (not any(page.tag[n] == "p" for n in stack)):
+            elif tag == "p" and not places.get("p"):
                 flush()
-            elif tag not in INLINE and tag not in VOID:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[depth]] == tag:
-                        close_to(depth)
-                        break
+            elif tag not in INLINE and tag not in VOID and places.get(tag):
+                close_to(places[tag][-1])
             continue
         source = html[name.end():end - 1]
         if tag in INLINE:
@@ -194,17 +221,11 @@ def _parse(html: str) -> _Page:
                 flush()
             continue
         if tag in ENDS_P and "p" in (page.tag[n] for n in stack[-3:]):
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] == "p":
-                    close_to(depth)
-                    break
+            close_to(places["p"][-1])
         elif tag in ENDS_OWN:
             same, bounds = ENDS_OWN[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] in bounds:
-                    break
-                if page.tag[stack[depth]] in same:
-                    close_to(depth)
+            if (bound := deepest(bounds)) < deepest(same):          # the lowest of its kind in this container
+                close_to(min(x[bisect_right(x, bound)] for t in same if (x := places.get(t)) and x[-1] > bound))
         if tag in RAW:
             if lower is None:
                 lower = html.lower()
@@ -215,11 +236,14 @@ def _parse(html: str) -> _Page:
             at = gt + 1 if gt >= 0 else size
             continue
         flush()
-        cut, bonus = _judge(tag, source, page.tag[stack[-1]])
+        cut, doubtful, bonus = _judge(tag, source, page.tag[stack[-1]], bool(places.get("article") or places.get("main")))
+        if doubtful:
+            page.doubtful.append(len(page.tag))
         page.tag.append(tag)
         page.parent.append(stack[-1])
         page.cut.append(cut)
         page.bonus.append(bonus)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(page.tag) - 1)
         cut_depth += cut
         if tag in ("td", "th", "li"):
@@ -228,6 +252,25 @@ def _parse(html: str) -> _Page:
     return page
 
 
+def _without_links(page: _Page) -> _Page:
+    """The page without the doubtful parts that are mostly links."""
+    if page.doubtful:
+        chars, linked = [0] * len(page.tag), [0] * len(page.tag)
+        for node, words, inside in page.blocks:
+            chars[node] += len(words)
+            linked[node] += inside
+        for node in range(len(page.tag) - 1, 0, -1):
+            chars[page.parent[node]] += chars[node]
+            linked[page.parent[node]] += linked[node]
+        gone = [False] * len(page.tag)
+        for node in page.doubtful:
+            gone[node] = linked[node] >= MOSTLY_LINKS * chars[node]
+        for node in range(1, len(page.tag)):
+            gone[node] = gone[node] or gone[page.parent[node]]
+        page.blocks = [b for b in page.blocks if not gone[b[0]]]
+    return page
+
+
 def _best(page: _Page) -> tuple[set[int], set[int]]:
     """The chosen container and the siblings that are kept, and what is left
     out again inside them."""
@@ -299,7 +342,7 @@ def main_text(html: str | None) -> str:
     """Blocks of the main text of one page, joined by an empty line."""
     if not html:
         return ""
-    page = _parse(html)
+    page = _without_links(_parse(html))
     keep, out = _best(page)
     inside = [x in keep for x in range(len(page.tag))]
     for node in range(1, len(page.tag)):

@@ -148,7 +148,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
                 np.add.at(total, (shingles(t.as_py(), width, distinct=False) >> shift).astype(np.int64), np.uint32(1))
         yield from _chunks(total)
 
-    level = lambda counts: np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+    level = lambda counts: np.minimum(127, np.floor(4 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
     return _merged(texts.mapInArrow(lean(count), "chunk int, part int, data binary"), np.uint32, 1 << SKETCH_BITS, level)
 
 

@@ -4,8 +4,8 @@ Features are hashed character n-grams (1 to 3 characters) of the lower-cased
 letters of the whole text, as TF-IDF (log term frequency, document frequencies
 counted over all documents that may be learned from, unit length).  Weights are
 trained by follow-the-regularised-leader (proximal, per-coordinate rates) with
-elastic-net penalties on a bounded sample of at most about ``per_language``
-documents of each language, drawn by a hash of the id; a fifth of the sample
+elastic-net penalties on a bounded sample of at most ``per_language`` different
+documents of each language, drawn by a hash of id and text; a fifth of the sample
 is set aside to calibrate the temperature of the softmax.
 
 Defined results: null text, or a text without a letter, is ``und`` with score
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.llm.common import held_out, lean, release
 
@@ -145,28 +146,42 @@ def train(sample: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str]
     return model
 
 
+def draw(rows: DataFrame, per_language: int, languages: list[str], sizes: dict[str, int]) -> DataFrame:
+    """At most ``per_language`` different rows (doc_id, text) of each language:
+    those with the smallest hashes.  Rows are thinned by their hash first and
+    equal rows become one where they lie, so that no task gathers a language or
+    the copies of a row."""
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 4.0 * per_language / sizes[k]))])
+    key = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    thinned = (rows.withColumn("key", key)
+               .filter(F.pmod("key", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang")))
+               .groupBy("lang", "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    order = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key")
+    return thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = 1000) -> Model:
+        per_language: int = 1000, most_languages: int = 128) -> Model:
     """Learn from rows outside the held-out fold with a language.
 
-    The sample bound: each language is thinned by a hash of its ids to
-    ``per_language`` documents on average; only their n-gram counts (DIM at
-    most each) come to the driver.
+    The sample bound: ``per_language`` different rows of each of the
+    ``most_languages`` languages with most rows; only their n-gram counts (DIM
+    at most each) come to the driver.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"),
                        F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "")
                        & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: max(1, r.different) for r in
+             rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("different"))
+             .orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(DIM), np.zeros((DIM, 0), np.float32), np.zeros(0))
     n, frequency = document_frequencies(rows.select("text"))
     idf = np.log((1.0 + n) / (1.0 + frequency)) + 1.0
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(drawn < F.element_at(share, F.col("lang")))
+    sample = draw(rows, per_language, languages, sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
