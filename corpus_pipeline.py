@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again as the next stage's docs.  All but the last return the
-columns of ``documents``.  Ids are expected to be unique; what happens to rows
+columns of ``documents``; other columns of their input, whatever their names,
+are left at the door.  Ids are expected to be unique; what happens to rows
 that repeat one is said at each stage.
 """
 
@@ -33,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one whose key is smallest.  Of equal rows one stays; documents without words
     all stay."""
     prepare(spark)
+    docs = docs.select(*COLUMNS)
     found = written(jaccard_join.jaccard_join(docs, width=5, threshold=80, by_row=True).filter("n_shingles > 0")
                     .select("doc_id", "text_key", "component"), "pipeline-links")
     groups = (found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"),
@@ -66,6 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture of its source takes it, whole.
     Rows that repeat an id get the most copies that one of them gets."""
     prepare(spark)
+    docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs, boundary="whole").filter("taken > 0")
     copies = (mixed.groupBy("doc_id", "source", "size")
               .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
