@@ -48,7 +48,7 @@ from webloom.llm.common import joined, lean, written
 #: Parts of a text that are aligned at once, characters of texts whose parts
 #: are looked up together, and parts that a Python worker remembers before it
 #: starts anew.
-STRETCH, BATCH, KNOWN = 100_000, 1 << 20, 250_000
+STRETCH, BATCH, KNOWN = 100_000, 1 << 20, 500_000
 #: Pairs of ids that are broadcast; more are joined by their hash.
 PAIRS_AT_HAND = 2_000_000
 _BORDER = re.compile(r"(?<=[!-~]) (?=[!-~])")
@@ -124,15 +124,26 @@ def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     return at_short, at_long
 
 
+def _grown(room: np.ndarray, size: int, more: np.ndarray) -> np.ndarray:
+    """``room`` with ``more`` after its first ``size`` numbers, twice as large
+    where it is too small."""
+    if size + len(more) > len(room):
+        room = np.concatenate((room[:size], np.empty(size + 2 * len(more), dtype=np.int64)))
+    room[size:size + len(more)] = more
+    return room
+
+
 class Pool:
     """Numbers of the parts known, end to end."""
 
     def __init__(self) -> None:
-        self.values, self.starts = np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.values, self.starts, self.parts, self.size = np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64), 0, 0
 
     def add(self, values: np.ndarray, counts: np.ndarray) -> None:
-        self.values = np.concatenate((self.values, values))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+        self.values = _grown(self.values, self.size, values)
+        self.starts = _grown(self.starts, self.parts + 1, self.size + np.cumsum(counts))
+        self.size += len(values)
+        self.parts += len(counts)
 
     def count(self, known: np.ndarray) -> int:
         return int((self.starts[known + 1] - self.starts[known]).sum())
@@ -157,10 +168,10 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        """``ids`` of A and B, ``ranks``: tokens of A and B in each group, and
-        the groups written out, by the number of a part."""
+        """``ids`` of A and B, ``ranks``: tokens of A and B in each group,
+        ``links`` and the groups written out, by the number of a part."""
         self.known: dict[str, int] = {}
-        self.ids, self.ranks, self.texts_out = (Pool(), Pool()), (Pool(), Pool()), []
+        self.ids, self.ranks, self.links, self.texts_out = (Pool(), Pool()), (Pool(), Pool()), Pool(), []
 
     def parts(self, text: str) -> list[str]:
         """The text without the spaces between its parts, which both encoders
@@ -172,7 +183,10 @@ class Aligner:
         do not give back a space and the part."""
         if len(self.known) > KNOWN:
             self.forget()
-        for group in self._together([p for p in dict.fromkeys(parts) if p not in self.known]):
+        found = list(map(self.known.get, parts))
+        if None not in found:
+            return np.array(found, dtype=np.int64)
+        for group in self._together(list(dict.fromkeys(p for p, n in zip(parts, found, strict=True) if n is None))):
             if not self.learn(group):
                 for part in group:                                     # told apart: few have other bytes
                     if not (len(group) > 1 and self.learn([part])):
@@ -198,6 +212,7 @@ class Aligner:
         for k in (0, 1):
             self.ids[k].add(ids[k], np.diff(at[k][last] + 1, prepend=0))
             self.ranks[k].add(np.diff(at[k], prepend=-1), np.diff(last + 1, prepend=0))
+        self.links.add(ids[0][at[0]] * PAIR + ids[1][at[1]], np.diff(last + 1, prepend=0))
         self.texts_out += self.written_out(ids, at, last)
         self.known.update(zip(parts, range(len(self.texts_out) - len(parts), len(self.texts_out)), strict=True))
         return True
@@ -225,7 +240,7 @@ class Aligner:
                 continue
             group.append(part)
             size += len(part)
-            if size > BATCH // 2:
+            if size > BATCH:
                 yield group
                 group, size = [], 0
         if group:
@@ -262,7 +277,7 @@ class Aligner:
             values = {"a_ids": ids[0], "b_ids": ids[1], "a_ends": lambda: before + ends[0](), "b_ends": lambda: before + ends[1](),
                       "a_cuts": lambda: out["n_a"] + at[0]() + 1, "b_cuts": lambda: out["n_b"] + at[1]() + 1,
                       "groups": lambda: "".join(map(self.texts_out.__getitem__, known.tolist())),
-                      "links": lambda: ids[0]()[at[0]()] * PAIR + ids[1]()[at[1]()]}
+                      "links": lambda: self.links.of(known)}
             for name in outputs:
                 out[name].append(values[name]())
             if "a_ends" in outputs or "b_ends" in outputs:
