@@ -7,10 +7,11 @@ relational picture of the tree:
 * ``dom.text``  — every text node that ``get_text()`` would return,
   concatenated in document order (script/style/template text, comments and
   declarations excluded);
-* ``dom.runs``  — start offset of each text node in ``dom.text``;
+* ``dom.strip_length`` — summed length of the stripped text nodes;
 * ``dom.nodes`` — elements in document (pre-)order:
   ``struct<i, tag, parent, depth, t0, t1, last, attrs>``.  ``[t0, t1)`` is
-  the element's text span in ``dom.text`` (a subtree's text is contiguous),
+  the element's span of the UTF-8 bytes of ``dom.text`` (a subtree's text is
+  contiguous; bytes, because seeking a character means walking the string),
   and ``nodes[i+1 .. last]`` is its subtree.
 
 Everything downstream — title, main-content choice, headings, links, forms,
@@ -64,7 +65,7 @@ NODE_TYPE = T.StructType([
 ])
 DOM_TYPE = T.StructType([
     T.StructField("text", T.StringType()),
-    T.StructField("runs", T.ArrayType(T.IntegerType())),
+    T.StructField("strip_length", T.IntegerType()),
     T.StructField("nodes", T.ArrayType(NODE_TYPE)),
     T.StructField("error", T.StringType()),
 ])
@@ -122,7 +123,7 @@ def _character(code: int) -> str:
 
 
 def parse_html(doc: str):
-    """One document → (text, runs, nodes).  A node is
+    """One document → (text, length of its stripped strings, nodes).  A node is
     ``[tag, parent, depth, t0, t1, last, attributes]``.
 
     A fold over the tokens: what stands between two pieces of markup is one
@@ -133,7 +134,7 @@ def parse_html(doc: str):
     tokens = _Tokens()
     tokens.feed(doc)
     tokens.close()
-    text, runs, nodes, length = [], [], [], 0
+    text, nodes, length, stripped = [], [], 0, 0
     path: list[int] = []                # open elements
     strings: list[str] = []             # of the string being read
     owed: list[str] = []                # void elements whose end tag may follow
@@ -142,16 +143,16 @@ def parse_html(doc: str):
     kinds = (("hidden", NON_TEXT_CONTAINERS), ("kept", PRESERVE_WS))
 
     def end_string():
-        nonlocal length
+        nonlocal length, stripped
         if strings:
             value = "".join(strings)
             strings.clear()
             if not inside["kept"] and not value.translate(_ASCII_SPACE_TABLE):
                 value = "\n" if "\n" in value else " "
             if not inside["hidden"]:
-                runs.append(length)
                 text.append(value)
-                length += len(value)
+                length += len(value) if value.isascii() else len(value.encode())
+                stripped += len(value.strip())
 
     def enter(tag, attributes):
         nodes.append([tag, path[-1] if path else -1, len(path), length, length, len(nodes),
@@ -194,7 +195,7 @@ def parse_html(doc: str):
                 owed.append(value)
     end_string()
     leave(0)
-    return "".join(text), runs, nodes
+    return "".join(text), stripped, nodes
 
 
 _NODE_ARROW = pa.struct([
@@ -203,7 +204,7 @@ _NODE_ARROW = pa.struct([
     ("attrs", pa.map_(pa.string(), pa.string())),
 ])
 _DOM_ARROW = pa.struct([
-    ("text", pa.string()), ("runs", pa.list_(pa.int32())),
+    ("text", pa.string()), ("strip_length", pa.int32()),
     ("nodes", pa.list_(_NODE_ARROW)), ("error", pa.string()),
 ])
 
@@ -211,24 +212,23 @@ _DOM_ARROW = pa.struct([
 def _dom_column(docs, tags=None) -> pa.Array:
     """Build the ``dom`` struct column for one Arrow batch, column-wise."""
     texts, errors, valid = [], [], []
-    run_off, runs = [0], []
-    node_off = [0]
+    stripped, node_off = [], [0]
     n_i, n_tag, n_parent, n_depth, n_t0, n_t1, n_last = [], [], [], [], [], [], []
     attr_off, a_keys, a_vals = [0], [], []
     for doc in docs:
         if doc is None:
             texts.append(None); errors.append(None); valid.append(False)
-            run_off.append(len(runs)); node_off.append(len(n_i))
+            stripped.append(None); node_off.append(len(n_i))
             continue
         try:
-            text, rs, nodes = parse_html(doc)
+            text, strip_length, nodes = parse_html(doc)
             if tags is not None:
                 nodes = [n for n in nodes if n[0] in tags]
             err = None
         except Exception as e:  # a page that cannot be parsed yields no DOM
-            text, rs, nodes, err = None, [], [], f"{type(e).__name__}: {e}"
+            text, strip_length, nodes, err = None, 0, [], f"{type(e).__name__}: {e}"
         texts.append(text); errors.append(err); valid.append(True)
-        runs.extend(rs); run_off.append(len(runs))
+        stripped.append(strip_length)
         for i, (tag, parent, depth, t0, t1, last, amap) in enumerate(nodes):
             n_i.append(i); n_tag.append(tag); n_parent.append(parent); n_depth.append(depth)
             n_t0.append(t0); n_t1.append(t1); n_last.append(last)
@@ -242,10 +242,9 @@ def _dom_column(docs, tags=None) -> pa.Array:
          pa.array(n_last, pa.int32()), attrs],
         fields=list(_NODE_ARROW))
     nodes_arr = pa.ListArray.from_arrays(pa.array(node_off, pa.int32()), node_struct)
-    runs_arr = pa.ListArray.from_arrays(pa.array(run_off, pa.int32()), pa.array(runs, pa.int32()))
     mask = pa.array([not v for v in valid], pa.bool_())
     return pa.StructArray.from_arrays(
-        [pa.array(texts, pa.string()), runs_arr, nodes_arr, pa.array(errors, pa.string())],
+        [pa.array(texts, pa.string()), pa.array(stripped, pa.int32()), nodes_arr, pa.array(errors, pa.string())],
         fields=list(_DOM_ARROW), mask=mask)
 
 

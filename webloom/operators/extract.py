@@ -56,9 +56,21 @@ def is_tag(n: str, tag: str) -> str:
     return f"{n}.tag = {q(tag)}"
 
 
+def with_bytes(d: str, body) -> str:
+    """``body`` with the page text as bytes, bound once: a span of bytes is
+    cut out in the time of its length, whereas a character offset of a string
+    is found by walking there."""
+    return let(f"CAST({d}.text AS BINARY)", body)
+
+
+def span(b: str, n: str) -> str:
+    """``element.get_text()``: the element's span of the page's bytes."""
+    return f"CAST(substring({b}, {n}.t0 + 1, {n}.t1 - {n}.t0) AS STRING)"
+
+
 def node_text(d: str, n: str) -> str:
-    """``element.get_text()``: the element's span of the page text."""
-    return f"substring({d}.text, {n}.t0 + 1, {n}.t1 - {n}.t0)"
+    """Text of one element (``span`` where many are cut out of a page)."""
+    return span(f"CAST({d}.text AS BINARY)", n)
 
 
 def subtree(d: str, n: str) -> str:
@@ -99,10 +111,12 @@ def selector_pred(sel: str):
 def select_texts_sql(d: str, selectors: list[str]) -> str:
     """Stripped texts of the elements that match the first of the given
     selectors that matches any (configured selector lists)."""
-    cases = " ".join(f"WHEN exists({d}.nodes, {lam(selector_pred(s))}) THEN "
-                     f"transform({where(f'{d}.nodes', selector_pred(s))}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
-                     for s in selectors)
-    return f"CASE {cases} ELSE CAST(array() AS array<string>) END"
+    def texts(b):
+        cases = " ".join(f"WHEN exists({d}.nodes, {lam(selector_pred(s))}) THEN "
+                         f"transform({where(f'{d}.nodes', selector_pred(s))}, {lam(lambda n: py_strip_sql(span(b, n)))})"
+                         for s in selectors)
+        return f"CASE {cases} ELSE CAST(array() AS array<string>) END"
+    return with_bytes(d, texts)
 
 
 # --------------------------------------------------------------------------
@@ -203,18 +217,18 @@ def headings_sql(d: str, m: str, mode: str = "static") -> str:
         hs = (f"array_sort({hs}, ({a}, {b}) -> CASE WHEN {a}.tag < {b}.tag THEN -1 WHEN {a}.tag > {b}.tag THEN 1 "
               f"WHEN {a}.i < {b}.i THEN -1 WHEN {a}.i > {b}.i THEN 1 ELSE 0 END)")
 
-    def one(n):
+    def one(b, n):
         return struct(("level", f"CAST(substring({n}.tag, 2, 1) AS INT)"),
-                      ("text", py_strip_sql(node_text(d, n))),
+                      ("text", py_strip_sql(span(b, n))),
                       ("id", attr_or_empty(n, "id") if mode == "dynamic" else "CAST(NULL AS STRING)"),
                       ("class", split_classes_sql(attr(n, "class")) if mode == "dynamic" else "CAST(NULL AS array<string>)"))
-    return f"transform({hs}, {lam(one)})"
+    return with_bytes(d, lambda b: f"transform({hs}, {lam(lambda n: one(b, n))})")
 
 
 def paragraphs_sql(d: str, m: str) -> str:
     """H8: stripped <p> texts longer than 10 characters."""
     ps = where(subtree(d, m), lambda n: is_tag(n, "p"))
-    texts = f"transform({ps}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
+    texts = with_bytes(d, lambda b: f"transform({ps}, {lam(lambda n: py_strip_sql(span(b, n)))})")
     return where(texts, lambda t: f"({t} != '' AND length({t}) > {PARAGRAPH_MIN_CHARS})")
 
 
@@ -225,11 +239,11 @@ def lists_sql(d: str, m: str, mode: str = "static") -> str:
     if mode == "dynamic":
         ls = let(ls, lambda x: f"concat({where(x, lambda n: is_tag(n, 'ul'))}, {where(x, lambda n: is_tag(n, 'ol'))})")
 
-    def one(l):
+    def one(b, l):
         lis = where(subtree(d, l), lambda n: is_tag(n, "li"))
-        items = f"transform({lis}, {lam(lambda n: py_strip_sql(node_text(d, n)))})"
+        items = f"transform({lis}, {lam(lambda n: py_strip_sql(span(b, n)))})"
         return struct(("type", f"{l}.tag"), ("items", items))
-    return f"transform({ls}, {lam(one)})"
+    return with_bytes(d, lambda b: f"transform({ls}, {lam(lambda l: one(b, l))})")
 
 
 # --------------------------------------------------------------------------
@@ -244,14 +258,14 @@ def links_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     title, is_external (dynamic also target), and whether the href parses."""
     anchors = where(f"{d}.nodes", lambda n: f"({is_tag(n, 'a')} AND {has_attr(n, 'href')})")
 
-    def one(n):
+    def one(text, n):
         href = attr(n, "href")
         target = attr_or_empty(n, "target") if mode == "dynamic" else "''"
         return let(url_join_facts_sql(url, b, href), lambda u: struct(
-            ("url", f"{u}.url"), ("text", py_strip_sql(node_text(d, n))),
+            ("url", f"{u}.url"), ("text", py_strip_sql(span(text, n))),
             ("title", attr_or_empty(n, "title")), ("target", target),
             ("is_external", f"{u}.is_external"), ("ok", f"{u}.ok")))
-    return f"transform({anchors}, {lam(one)})"
+    return with_bytes(d, lambda text: f"transform({anchors}, {lam(lambda n: one(text, n))})")
 
 
 def images_sql(d: str, url: str, b: str) -> str:
@@ -268,8 +282,8 @@ def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
     """Forms with absolute action (static: missing → page url;
     dynamic: missing stays ''), lower-cased method (default get), and their
     input/select/textarea fields with select options."""
-    def option(o):
-        text = py_strip_sql(node_text(d, o))
+    def option(b, o):
+        text = py_strip_sql(span(b, o))
         if mode == "dynamic":                       # the browser's properties, not the attributes
             return struct(("value", f"coalesce({attr(o, 'value')}, {text})"), ("text", text),
                           ("selected", has_attr(o, "selected")))
@@ -292,15 +306,16 @@ def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
                 f"WHEN 'select' THEN CASE WHEN {has_attr(f, 'multiple')} THEN 'select-multiple' ELSE 'select-one' END "
                 f"ELSE {f}.tag END")
 
-    def field(f):
+    def field(text, f):
         options = where(subtree(d, f), lambda n: is_tag(n, "option"))
-        opts = f"CASE WHEN {is_tag(f, 'select')} THEN {chosen(f'transform({options}, {lam(option)})', f)} END"
+        found = f"transform({options}, {lam(lambda o: option(text, o))})"
+        opts = f"CASE WHEN {is_tag(f, 'select')} THEN {chosen(found, f)} END"
         return struct(("name", attr_or_empty(f, "name")), ("type", kind(f)),
                       ("id", attr_or_empty(f, "id")), ("class_name", attr_or_empty(f, "class")),
                       ("placeholder", attr_or_empty(f, "placeholder")),
                       ("required", has_attr(f, "required")), ("options", opts))
 
-    def form(n):
+    def form(text, n):
         action_attr = attr_or_empty(n, "action")
         action = url_join_parts_sql(url, b, action_attr)
         if mode == "dynamic":
@@ -308,8 +323,9 @@ def forms_sql(d: str, url: str, b: str, mode: str = "static") -> str:
         controls = where(subtree(d, n), lambda x: f"{x}.tag IN ({qlist(['input', 'select', 'textarea'])})")
         return struct(("action", action), ("method", f"lower(coalesce({attr(n, 'method')}, 'get'))"),
                       ("id", attr_or_empty(n, "id")), ("class_name", attr_or_empty(n, "class")),
-                      ("fields", f"transform({controls}, {lam(field)})"), ("ok", _url_ok(action_attr)))
-    return f"transform({where(f'{d}.nodes', lambda n: is_tag(n, 'form'))}, {lam(form)})"
+                      ("fields", f"transform({controls}, {lam(lambda f: field(text, f))})"), ("ok", _url_ok(action_attr)))
+    forms = where(f"{d}.nodes", lambda n: is_tag(n, "form"))
+    return with_bytes(d, lambda text: f"transform({forms}, {lam(lambda n: form(text, n))})")
 
 
 def frameworks_sql(d: str) -> str:
@@ -323,11 +339,7 @@ def frameworks_sql(d: str) -> str:
 
 def text_strip_length_sql(d: str) -> str:
     """``len(soup.get_text(strip=True))``: sum of stripped text-node lengths."""
-    s, i = fresh(), fresh()
-    end = f"coalesce(try_element_at({d}.runs, {i} + 2), length({d}.text))"
-    seg = py_strip_sql(f"substring({d}.text, {s} + 1, {end} - {s})")
-    a, x = fresh(), fresh()
-    return f"aggregate(transform({d}.runs, ({s}, {i}) -> length({seg})), 0, ({a}, {x}) -> {a} + {x})"
+    return f"{d}.strip_length"
 
 
 # --------------------------------------------------------------------------
@@ -339,16 +351,22 @@ def _by_route(make) -> str:
     return static if static == dynamic else f"CASE WHEN route = 'dynamic' THEN {dynamic} ELSE {static} END"
 
 
-def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") -> DataFrame:
+#: What ``dom_to_raw`` can be asked for.
+RAW_FIELDS = ("metadata", "content", "links", "images", "forms", "frameworks")
+
+
+def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url", fields: tuple[str, ...] = RAW_FIELDS) -> DataFrame:
     """Assemble the RAW record columns from a DataFrame with ``dom``.
 
     ``mode='routed'`` picks the dialect per page: the column
     ``scraping_type`` names it, or (auto) the page's own rendering decides
     (P15, P16); the columns ``rendering`` and ``route`` say how.
 
-    Keeps all incoming columns except ``dom``; adds ``metadata``,
-    ``content``, ``main_selector``, ``links``, ``images``, ``forms``,
-    ``frameworks``, ``text_strip_length`` and ``extract_error``."""
+    Keeps all incoming columns except ``dom``; adds the ``fields`` asked for
+    (all: ``metadata``, ``content`` with ``main_selector``, ``links``,
+    ``images``, ``forms``, ``frameworks``), ``text_strip_length`` and
+    ``extract_error`` (of the page and the fields asked for).  What is not asked
+    for is not built: its expressions would be planned with every query."""
     routed = mode == "routed"
     if routed:
         from .gates import classify_rendering_sql, route_by_type_sql
@@ -362,8 +380,8 @@ def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") ->
     def pick(make) -> str:
         return _by_route(make) if routed else make(mode)
 
-    staged = parsed.select("*", expr(url_split_sql(url)).alias("_base"),
-                           expr(pick(lambda k: main_content_sql("dom", k))).alias("_main"))
+    main = [expr(pick(lambda k: main_content_sql("dom", k))).alias("_main")] if "content" in fields else []
+    staged = parsed.select("*", expr(url_split_sql(url)).alias("_base"), *main)
 
     def metadata(k):
         md = [("title", title_sql("dom", k))]
@@ -382,45 +400,82 @@ def dom_to_raw(parsed: DataFrame, mode: str = "static", url_col: str = "url") ->
         return struct(("headings", headings_sql("dom", m, k)), ("paragraphs", paragraphs_sql("dom", m)),
                       ("lists", lists_sql("dom", m, k)))
 
+    def listed(name: str, sql: str) -> list:
+        return [expr(sql).alias(f"_{name}")] if name in fields else []
+
     extracted = staged.select(
         *keep,
-        expr(pick(metadata)).alias("metadata"),
-        expr(f"CASE WHEN {m} IS NOT NULL THEN {node_text('dom', m)} END").alias("_main_text"),
-        expr(f"CASE WHEN {m} IS NOT NULL THEN {pick(structure)} END").alias("_content"),
-        F.col("_main.selector").alias("main_selector"),
-        expr(pick(lambda k: links_sql("dom", url, "_base", k))).alias("_links"),
-        expr(images_sql("dom", url, "_base")).alias("_images"),
-        expr(pick(lambda k: forms_sql("dom", url, "_base", k))).alias("_forms"),
-        expr(pick(lambda k: frameworks_sql("dom") if k == "dynamic" else none)).alias("frameworks"),
+        *([expr(pick(metadata)).alias("metadata")] if "metadata" in fields else []),
+        *([expr(f"CASE WHEN {m} IS NOT NULL THEN {node_text('dom', m)} END").alias("_main_text"),
+           expr(f"CASE WHEN {m} IS NOT NULL THEN {pick(structure)} END").alias("_content"),
+           F.col("_main.selector").alias("main_selector")] if main else []),
+        *listed("links", pick(lambda k: links_sql("dom", url, "_base", k))),
+        *listed("images", images_sql("dom", url, "_base")),
+        *listed("forms", pick(lambda k: forms_sql("dom", url, "_base", k))),
+        *([expr(pick(lambda k: frameworks_sql("dom") if k == "dynamic" else none)).alias("frameworks")]
+          if "frameworks" in fields else []),
         (F.col("text_strip_length") if routed else expr(text_strip_length_sql("dom"))).alias("text_strip_length"),
         F.col("dom.error").alias("_parse_error"),
     )
-    # the scraper's text clean decodes entities a second time.
-    decoded = extracted.withColumn("_main_text", html_unescape(F.col("_main_text")))
+    if main:                                  # F2: the scraper's text clean decodes entities a second time
+        extracted = extracted.withColumn("_main_text", html_unescape(F.col("_main_text")))
     content = struct(("text", clean_text_sql("_main_text")), ("headings", "_content.headings"),
                      ("paragraphs", "_content.paragraphs"), ("lists", "_content.lists"))
-    link_fields = struct(*[(f, f"x.{f}") for f in ["url", "text", "title", "target", "is_external"]])
-    image_fields = struct(*[(f, f"x.{f}") for f in ["src", "alt", "title"]])
-    form_fields = struct(*[(f, f"x.{f}") for f in ["action", "method", "id", "class_name", "fields"]])
-    return decoded.select(
-        *keep, "metadata",
-        expr(f"CASE WHEN _content IS NOT NULL THEN {content} END").alias("content"),
-        "main_selector",
-        expr(f"transform(_links, x -> {link_fields})").alias("links"),
-        expr(f"transform(_images, x -> {image_fields})").alias("images"),
-        expr(f"transform(_forms, x -> {form_fields})").alias("forms"),
-        "frameworks", "text_strip_length",
-        expr("coalesce(_parse_error, CASE WHEN exists(_links, x -> NOT x.ok) OR exists(_images, x -> NOT x.ok) "
-             "OR exists(_forms, x -> NOT x.ok) THEN 'ValueError: Invalid IPv6 URL' END)").alias("extract_error"),
+    parts = {"links": ["url", "text", "title", "target", "is_external"], "images": ["src", "alt", "title"],
+             "forms": ["action", "method", "id", "class_name", "fields"]}
+    bad = " OR ".join(f"exists(_{name}, x -> NOT x.ok)" for name in parts if name in fields)
+    error = f"coalesce(_parse_error, CASE WHEN {bad} THEN 'ValueError: Invalid IPv6 URL' END)" if bad else "_parse_error"
+    return extracted.select(
+        *keep, *(["metadata"] if "metadata" in fields else []),
+        *([expr(f"CASE WHEN _content IS NOT NULL THEN {content} END").alias("content"), "main_selector"] if main else []),
+        *[expr(f"transform(_{name}, x -> {struct(*[(f, f'x.{f}') for f in names])})").alias(name)
+          for name, names in parts.items() if name in fields],
+        *(["frameworks"] if "frameworks" in fields else []), "text_strip_length", expr(error).alias("extract_error"),
     )
 
 
+def paragraph_count_sql(d: str, m: str) -> str:
+    """Number of H8 paragraphs, without their texts in an array."""
+    def long_enough(b, n):
+        return f"({is_tag(n, 'p')} AND length({py_strip_sql(span(b, n))}) > {PARAGRAPH_MIN_CHARS})"
+    return with_bytes(d, lambda b: f"size({where(subtree(d, m), lambda n: long_enough(b, n))})")
+
+
+def tag_count_sql(nodes: str, tags: list[str]) -> str:
+    return f"size({where(nodes, lambda n: f'{n}.tag IN ({qlist(tags)})')})"
+
+
+def dom_to_facts(parsed: DataFrame, mode: str = "static", url_col: str = "url") -> DataFrame:
+    """What the page table and the statistics need, counted from the nodes:
+    ``title``, ``main_text`` (as extracted), ``paragraph_count``,
+    ``heading_count``, ``form_count`` and the distinct absolute URLs of links
+    (``link_urls``) and images (``image_urls``); no record is built."""
+    url = f"coalesce(`{url_col}`, '')"
+    keep = [c for c in parsed.columns if c != "dom"]
+    staged = parsed.select("*", expr(url_split_sql(url)).alias("_base"), expr(main_content_sql("dom", mode)).alias("_main"))
+    m = "_main.node"
+
+    def joined(tag, name):
+        found = where("dom.nodes", lambda n: f"({is_tag(n, tag)} AND {has_attr(n, name)})")
+        return f"array_distinct(transform({found}, {lam(lambda n: url_join_parts_sql(url, '_base', attr(n, name)))}))"
+
+    out = staged.select(
+        *keep, "_base", expr(title_sql("dom", mode)).alias("title"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {node_text('dom', m)} END").alias("main_text"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {paragraph_count_sql('dom', m)} ELSE 0 END").alias("paragraph_count"),
+        expr(f"CASE WHEN {m} IS NOT NULL THEN {tag_count_sql(subtree('dom', m), HEADING_TAGS)} ELSE 0 END").alias("heading_count"),
+        expr(f"greatest({tag_count_sql('dom.nodes', ['form'])}, 0)").alias("form_count"),
+        expr(joined("a", "href")).alias("link_urls"), expr(joined("img", "src")).alias("image_urls"))
+    return out.withColumn("main_text", html_unescape(F.col("main_text")))
+
+
 def extract_raw(pages: DataFrame, mode: str = "static", html_col: str = "html",
-                tags: frozenset[str] | None = None) -> DataFrame:
+                tags: frozenset[str] | None = None, fields: tuple[str, ...] = RAW_FIELDS) -> DataFrame:
     """H0: pages(page_id, url, html, ...) → RAW columns (one parse per page).
     ``tags``: the only elements the wanted columns read, so that the others
-    stay in Python; columns of other elements are then not to be used."""
-    return dom_to_raw(parse_dom(pages, html_col=html_col, tags=tags), mode)
+    stay in Python; columns of other elements are then not to be used.
+    ``fields``: the only record columns to build."""
+    return dom_to_raw(parse_dom(pages, html_col=html_col, tags=tags), mode, fields=fields)
 
 
 # Column wrappers for single extractors over a ``dom`` column -------------

@@ -132,6 +132,26 @@ def normalize_images_sql(images: str, base: str, b: str) -> str:
     return f"filter(transform({images}, {lam(norm)}), {lam(keep)})"
 
 
+def kept_links_sql(urls: str, base: str, b: str) -> str:
+    """F6 on bare URLs: those that ``normalize_links_sql`` would keep."""
+    def kept(u):
+        def fix(raw):
+            absolute = (f"CASE WHEN startswith({raw}, 'http://') OR startswith({raw}, 'https://') THEN {raw} "
+                        f"ELSE {url_join_parts_sql(base, b, raw)} END")
+            return f"CASE WHEN {raw} != '' AND NOT {has_pseudo_prefix_sql(raw)} THEN {absolute} END"
+        return f"{valid_external_sql(let(py_strip_sql(u), fix), b)} IS NOT NULL"
+    return f"filter({urls}, {lam(kept)})"
+
+
+def kept_images_sql(urls: str, base: str, b: str) -> str:
+    """F7 on bare URLs: those that ``normalize_images_sql`` would keep."""
+    def kept(u):
+        def fix(raw):
+            return f"CASE WHEN {raw} != '' AND {url_split_sql(raw)}.ok THEN {url_join_parts_sql(base, b, raw)} END"
+        return let(let(py_strip_sql(u), fix), lambda x: f"coalesce(startswith({x}, 'http://') OR startswith({x}, 'https://'), false)")
+    return f"filter({urls}, {lam(kept)})"
+
+
 # --------------------------------------------------------------------------
 # F9 / F10 / F11
 
@@ -178,34 +198,40 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return name not in df.columns or df.schema[name].dataType.typeName() == "string"
 
 
+def _total_fields(columns, mode: str):
+    if "route" in columns:
+        return F.when(F.col("route") == "dynamic", RAW_DYNAMIC_FIELDS).otherwise(RAW_STATIC_FIELDS)
+    return F.lit(RAW_DYNAMIC_FIELDS if mode == "dynamic" else RAW_STATIC_FIELDS)
+
+
 def process_records(raw: DataFrame, run_ts: str, mode: str = "static") -> DataFrame:
     """P2 → clean → dedup → normalise, one output row per RAW row.
 
     Adds ``page_id`` (string), ``scraped_at`` (timestamp), ``validation``,
     ``valid``, normalised ``content``/``metadata``/``links``/``images``, the
-    numbered-to-be ``link_rows``/``image_rows`` and word/char counts."""
+    numbered-to-be ``link_rows``/``image_rows``, and counts.  A RAW table that
+    was asked for some fields only gives what follows from those (``validation``
+    needs content and metadata)."""
+    has = set(raw.columns)
     drop = {"content", "metadata", "links", "images", "page_id", "scraped_at"}
     rest = [c for c in raw.columns if c not in drop]
+    own = [c for c in ("content", "metadata", "links", "images") if c in has]
+    checked = {"content", "metadata"} <= has
     staged = raw.select(
-        *rest, "content", "metadata", "links", "images",
-        expr(validate_raw_sql("url", "content", "metadata")).alias("validation"),
+        *rest, *own,
+        *([expr(validate_raw_sql("url", "content", "metadata")).alias("validation")] if checked else []),
         expr(normalize_scraped_at_sql(_opt(raw, "scraped_at", "STRING"), run_ts, _is_text(raw, "scraped_at"))).alias("scraped_at"),
         expr(_opt(raw, "page_id", "STRING")).alias("_sid"),
         expr(url_split_sql("coalesce(url, '')")).alias("_base"),
     )
     base = "coalesce(url, '')"
+    rewritten = {"content": lambda: clean_content_sql("content"), "metadata": lambda: clean_metadata_sql("metadata"),
+                 "links": lambda: normalize_links_sql(dedup_first_sql(_arr("links"), "url"), base, "_base"),
+                 "images": lambda: normalize_images_sql(dedup_first_sql(_arr("images"), "src"), base, "_base")}
     cleaned = staged.select(
-        *rest, "validation", "scraped_at",
+        *rest, *(["validation"] if checked else []), "scraped_at",
         expr(assign_page_id_sql("_sid", "url", "scraped_at")).alias("page_id"),
-        expr(clean_content_sql("content")).alias("content"),
-        expr(clean_metadata_sql("metadata")).alias("metadata"),
-        expr(normalize_links_sql(dedup_first_sql(_arr("links"), "url"), base, "_base")).alias("links"),
-        expr(normalize_images_sql(dedup_first_sql(_arr("images"), "src"), base, "_base")).alias("images"),
-        "_base",
-    )
-    total_fields = F.lit(RAW_DYNAMIC_FIELDS if mode == "dynamic" else RAW_STATIC_FIELDS)
-    if "route" in raw.columns:
-        total_fields = F.when(F.col("route") == "dynamic", RAW_DYNAMIC_FIELDS).otherwise(RAW_STATIC_FIELDS)
+        *[expr(rewritten[c]()).alias(c) for c in own], "_base")
 
     def link_row(l):
         return struct(("link_url", f"{l}.url"), ("link_text", f"coalesce({l}.text, '')"),
@@ -214,18 +240,46 @@ def process_records(raw: DataFrame, run_ts: str, mode: str = "static") -> DataFr
     def image_row(i):
         return let(valid_external_sql(f"{i}.src", "_base"), lambda x: f"CASE WHEN {x} IS NOT NULL THEN " + struct(
             ("image_src", f"{i}.src"), ("image_alt", f"coalesce({i}.alt, '')"), ("is_external", x)) + " END")
-    link = struct(*[(f, f"l.{f}") for f in ("url", "text", "title", "target", "is_external")])
     text = "coalesce(content.text, '')"
+    added = {
+        "metadata": {"title": "coalesce(metadata.title, '')"},
+        "links": {"link_rows": f"transform(links, {lam(link_row)})",     # F6 has applied P3 to links already
+                  "link_count": "size(links)"},
+        "images": {"image_rows": f"filter(transform(images, {lam(image_row)}), i -> i IS NOT NULL)", "image_count": "size(images)"},
+        "forms": {"form_count": "size(coalesce(forms, array()))"},
+        "content": {"character_count": f"length({text})", "word_count": word_count_sql(text),
+                    "paragraph_count": "size(coalesce(content.paragraphs, array()))",
+                    "heading_count": "size(coalesce(content.headings, array()))"},
+    }
     out = cleaned.select(
-        "*",
-        F.col("validation.valid").alias("valid"),
-        expr(f"transform(links, {lam(link_row)})").alias("link_rows"),     # F6 has applied P3 to links already
-        expr(f"filter(transform(images, {lam(image_row)}), i -> i IS NOT NULL)").alias("image_rows"),
-        total_fields.alias("total_fields"),
-        expr(f"length({text})").alias("character_count"),
-        expr(word_count_sql(text)).alias("word_count"),
-    )
-    return out.withColumn("links", expr(f"transform(links, l -> {link})")).drop("_base")
+        "*", (F.col("validation.valid") if checked else expr(_nonempty("url"))).alias("valid"),
+        _total_fields(raw.columns, mode).alias("total_fields"),
+        *[expr(sql).alias(name) for c, more in added.items() if c in has for name, sql in more.items()])
+    if "links" in has:
+        link = struct(*[(f, f"l.{f}") for f in ("url", "text", "title", "target", "is_external")])
+        out = out.withColumn("links", expr(f"transform(links, l -> {link})"))
+    return out.drop("_base")
+
+
+def page_facts(facts: DataFrame, run_ts: str, mode: str = "static") -> DataFrame:
+    """What A1-A3 read of a record, from ``dom_to_facts``: the same title,
+    lengths and counts as ``process_records`` gives, without cleaning and
+    keeping the texts, links and images that are only counted."""
+    own = ["_base", "main_text", "link_urls", "image_urls", "page_id", "scraped_at"]
+    rest = [c for c in facts.columns if c not in own]
+    base = "coalesce(url, '')"
+    staged = facts.select(
+        *[c for c in rest if c != "title"], expr(f"coalesce({clean_text_sql('title')}, '')").alias("title"),
+        expr(normalize_scraped_at_sql(_opt(facts, "scraped_at", "STRING"), run_ts, _is_text(facts, "scraped_at"))).alias("scraped_at"),
+        expr(_opt(facts, "page_id", "STRING")).alias("_sid"),
+        expr(f"coalesce({clean_text_sql(clean_text_sql('main_text'))}, '')").alias("_text"),   # F1 of the scraper, then of the processor
+        expr(f"greatest(size({kept_links_sql('link_urls', base, '_base')}), 0)").alias("link_count"),
+        expr(f"greatest(size({kept_images_sql('image_urls', base, '_base')}), 0)").alias("image_count"))
+    return staged.select(
+        *rest, "scraped_at", expr(assign_page_id_sql("_sid", "url", "scraped_at")).alias("page_id"),
+        expr(_nonempty("url")).alias("valid"), _total_fields(facts.columns, mode).alias("total_fields"),
+        expr("length(_text)").alias("character_count"), expr(word_count_sql("_text")).alias("word_count"),
+        "link_count", "image_count")
 
 
 def _fetch_field(rec: DataFrame, name: str, default: int, fill: bool) -> str:
@@ -236,16 +290,10 @@ def _fetch_field(rec: DataFrame, name: str, default: int, fill: bool) -> str:
 
 
 def pages_table(rec: DataFrame, fill_http_defaults: bool = False) -> DataFrame:
-    """A1: one row per valid page."""
+    """A1: one row per valid page; ``rec``: records or page facts."""
     return rec.filter("valid").select(
-        "page_id", "url",
-        expr("coalesce(metadata.title, '')").alias("title"),
-        "scraped_at",
-        expr("length(coalesce(content.text, ''))").alias("text_length"),
-        expr("size(coalesce(content.paragraphs, array()))").alias("paragraph_count"),
-        expr("size(coalesce(content.headings, array()))").alias("heading_count"),
-        expr("size(images)").alias("image_count"),
-        expr("size(coalesce(forms, array()))").alias("form_count"),
+        "page_id", "url", "title", "scraped_at", F.col("character_count").alias("text_length"),
+        "paragraph_count", "heading_count", "image_count", "form_count",
         expr(_fetch_field(rec, "http_status_code", 200, fill_http_defaults)).alias("http_status_code"),
         expr(_fetch_field(rec, "response_time_ms", 0, fill_http_defaults)).alias("response_time_ms"),
     )
@@ -275,22 +323,16 @@ def headings_table(rec: DataFrame) -> DataFrame:
 
 
 def page_statistics(rec: DataFrame) -> DataFrame:
-    """A2 (statistics) and A3 (run counters) for each valid page."""
+    """A2 (statistics) and A3 (run counters) for each valid page; ``rec``:
+    records or page facts."""
     return rec.filter("valid").select(
-        "page_id", "url", "total_fields",
-        F.col("character_count").alias("content_length"),
-        expr("size(coalesce(content.paragraphs, array()))").alias("paragraphs_count"),
-        expr("size(coalesce(content.headings, array()))").alias("headings_count"),
-        expr("size(links)").alias("links_count"),
-        expr("size(images)").alias("images_count"),
-        expr("size(coalesce(forms, array()))").alias("forms_count"),
-        "word_count", "character_count",
-        F.lit(1).alias("pages_scraped"),
-        expr("size(link_rows)").alias("links_found"),
-        expr("size(images)").alias("images_found"),
-        expr("size(coalesce(content.headings, array()))").alias("headings_found"),
-        expr("size(coalesce(content.paragraphs, array()))").alias("paragraphs_found"),
-        expr("size(coalesce(forms, array()))").alias("forms_found"),
+        "page_id", "url", "total_fields", F.col("character_count").alias("content_length"),
+        F.col("paragraph_count").alias("paragraphs_count"), F.col("heading_count").alias("headings_count"),
+        F.col("link_count").alias("links_count"), F.col("image_count").alias("images_count"),
+        F.col("form_count").alias("forms_count"), "word_count", "character_count",
+        F.lit(1).alias("pages_scraped"), F.col("link_count").alias("links_found"),
+        F.col("image_count").alias("images_found"), F.col("heading_count").alias("headings_found"),
+        F.col("paragraph_count").alias("paragraphs_found"), F.col("form_count").alias("forms_found"),
     )
 
 

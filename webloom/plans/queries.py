@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..functions import urls as U
-from ..operators.extract import extract_raw
+from ..operators.extract import RAW_FIELDS, dom_to_facts, extract_raw
 from ..operators.dom import parse_dom
-from ..operators.process import headings_table, links_table, page_statistics, pages_table, process_records
-from ..sources.pages import scan_pages
+from ..operators.process import headings_table, links_table, page_facts, page_statistics, pages_table, process_records
+from ..sources.pages import TASK_BYTES, scan_pages
 from . import oracle as O
 
 RUN_TS = "2026-01-01 00:00:00"
@@ -49,14 +49,26 @@ def longs(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def raw_pages(spark: SparkSession, sf_dir: str, mode: str = "static") -> DataFrame:
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table in tasks of equal bytes: its files have few row groups,
+    and the parse is bound by CPU."""
+    return scan_pages(spark, f"{sf_dir}/pages.parquet", task_bytes=TASK_BYTES)
+
+
+def raw_pages(spark: SparkSession, sf_dir: str, mode: str = "static", tags: frozenset[str] | None = None,
+              fields: tuple[str, ...] = RAW_FIELDS) -> DataFrame:
     """H0 over the pages table (one parse per page)."""
-    return extract_raw(scan_pages(spark, f"{sf_dir}/pages.parquet"), mode)
+    return extract_raw(pages_of(spark, sf_dir), mode, tags=tags, fields=fields)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = RAW_FIELDS) -> DataFrame:
     """C1 records of the pages table."""
-    return process_records(raw_pages(spark, sf_dir), RUN_TS)
+    return process_records(raw_pages(spark, sf_dir, fields=fields), RUN_TS)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the pages table, for A1 to A3."""
+    return page_facts(dom_to_facts(parse_dom(pages_of(spark, sf_dir))), RUN_TS)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -85,7 +97,7 @@ FROM dedup WHERE rn = 1
 """)
 def q_links_table(spark, sf):
     """W1 (+H10, D1, F6, P3, F5): the links table of every page."""
-    return longs(links_table(records(spark, sf)).drop("scraped_at"))
+    return longs(links_table(records(spark, sf, ("links",))).drop("scraped_at"))
 
 
 @query("extract_links", f"""
@@ -96,7 +108,7 @@ FROM anc_rows
 """)
 def q_extract_links(spark, sf):
     """Every a[href] with absolute url and stripped text, before dedup."""
-    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["a"]))
+    raw = raw_pages(spark, sf, tags=frozenset(["a"]), fields=("links",))
     return longs(raw.select(_pid(), F.posexplode("links").alias("p", "l"))
                  .select("page_id", (F.col("p") + 1).alias("pos"), "l.url", "l.text", "l.is_external"))
 
@@ -104,21 +116,21 @@ def q_extract_links(spark, sf):
 @query("extract_title", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, title_raw AS title FROM pm")
 def q_extract_title(spark, sf):
     """H1: title of every page."""
-    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["title"]))
+    raw = raw_pages(spark, sf, tags=frozenset(["title"]), fields=("metadata",))
     return raw.select(_pid(), F.col("metadata.title").alias("title"))
 
 
 @query("extract_language", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, lang AS language FROM pm")
 def q_extract_language(spark, sf):
     """H4: <html lang>."""
-    raw = extract_raw(scan_pages(spark, f"{sf}/pages.parquet"), tags=frozenset(["html"]))
+    raw = raw_pages(spark, sf, tags=frozenset(["html"]), fields=("metadata",))
     return raw.select(_pid(), F.col("metadata.language").alias("language"))
 
 
 @query("select_main_content", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, main_selector FROM pm")
 def q_select_main_content(spark, sf):
     """H5: which element is the main content."""
-    return raw_pages(spark, sf).select(_pid(), "main_selector")
+    return raw_pages(spark, sf, fields=("content",)).select(_pid(), "main_selector")
 
 
 @query("extract_text", f"""
@@ -127,7 +139,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, text, CAST(length(text) AS BIGINT) A
 """)
 def q_extract_text(spark, sf):
     """H6: cleaned main-content text (double entity decode, F1)."""
-    raw = raw_pages(spark, sf)
+    raw = raw_pages(spark, sf, fields=("content",))
     return longs(raw.select(_pid(), F.col("content.text").alias("text"),
                             F.length("content.text").alias("text_length")))
 
@@ -138,7 +150,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(1 AS BIGINT) AS pos, CAST(1 AS
 """)
 def q_extract_headings(spark, sf):
     """H7: headings under the main content, document order."""
-    raw = raw_pages(spark, sf)
+    raw = raw_pages(spark, sf, fields=("content",))
     return longs(raw.select(_pid(), F.posexplode("content.headings").alias("p", "h"))
                  .select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.text"))
 
@@ -153,7 +165,7 @@ FROM pm
 def q_extract_paragraphs(spark, sf):
     """H8: <p> texts longer than 10 characters (unclosed <p> contains the
     following ones)."""
-    raw = raw_pages(spark, sf)
+    raw = raw_pages(spark, sf, fields=("content",))
     return longs(raw.select(_pid(), F.expr("size(content.paragraphs)").alias("n_paragraphs"),
                             F.expr("aggregate(content.paragraphs, 0, (a, t) -> a + length(t))").alias("paragraph_chars"),
                             F.expr("try_element_at(content.paragraphs, 1)").alias("first_paragraph")))
@@ -168,7 +180,7 @@ FROM pm
 """)
 def q_extract_lists(spark, sf):
     """H9: ul/ol lists under the main content with their item counts."""
-    raw = raw_pages(spark, sf)
+    raw = raw_pages(spark, sf, fields=("content",))
     return longs(raw.select(_pid(), F.expr("size(content.lists)").alias("n_lists"),
                             F.expr("aggregate(content.lists, 0, (a, l) -> a + size(l.items))").alias("n_items")))
 
@@ -196,7 +208,7 @@ FROM pc
 """)
 def q_pages_table(spark, sf):
     """A1: one row per page."""
-    return longs(pages_table(records(spark, sf)).drop("scraped_at"))
+    return longs(pages_table(facts(spark, sf)).drop("scraped_at"))
 
 
 @query("headings_table", f"""
@@ -206,7 +218,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, url, CAST(1 AS BIGINT) AS heading_nu
 """)
 def q_headings_table(spark, sf):
     """Numbered headings."""
-    return longs(headings_table(records(spark, sf)))
+    return longs(headings_table(records(spark, sf, ("content",))))
 
 
 @query("page_statistics", f"""
@@ -224,7 +236,7 @@ FROM pc LEFT JOIN nl ON nl.page_id = pc.page_id
 """)
 def q_page_statistics(spark, sf):
     """A2/A3: per-page statistics and run counters."""
-    return longs(page_statistics(records(spark, sf)))
+    return longs(page_statistics(facts(spark, sf)))
 
 
 # ==========================================================================
@@ -430,7 +442,7 @@ FROM dt
 def q_captcha_by_text(spark, sf):
     """First keyword found in the page text, for the gate list and a
     probe list whose words do occur."""
-    d = parse_dom(scan_pages(spark, f"{sf}/pages.parquet"))
+    d = parse_dom(pages_of(spark, sf))
     return d.select(_pid(), F.expr(G.captcha_by_text_sql("dom.text", G.GATE_KEYWORDS)).alias("gate_keyword"),
                     F.expr(G.captcha_by_text_sql("dom.text", PROBE_KEYWORDS)).alias("probe_keyword"))
 
@@ -521,7 +533,7 @@ FROM dt LEFT JOIN hits ON hits.page_id = dt.page_id GROUP BY dt.page_id
 def q_keyword_semi_join(spark, sf):
     """Table-driven keyword gate — first keyword by priority and the
     number of keywords found in each page's text."""
-    d = parse_dom(scan_pages(spark, f"{sf}/pages.parquet")).select(_pid(), F.col("dom.text").alias("text"))
+    d = parse_dom(pages_of(spark, sf)).select(_pid(), F.col("dom.text").alias("text"))
     kw = spark.createDataFrame(KEYWORD_TABLE, "keyword string, ord int")
     return longs(G.keyword_first_match(d, kw, "page_id", "text"))
 
@@ -638,7 +650,7 @@ FROM p GROUP BY ROLLUP (host)
 def q_host_rollup(spark, sf):
     """A4: pages, links, external links, mean response time per host and in
     total (rollup)."""
-    return longs(RN.host_rollup(records(spark, sf)))
+    return longs(RN.host_rollup(records(spark, sf, ("links",))))
 
 
 @query("session_durations", """
@@ -798,7 +810,7 @@ def q_union_runs(spark, sf):
     """Bag union of a new-schema run with an old-schema run (the
     two extra columns missing → NULL)."""
     from ..sources.files import union_runs
-    p = staged(pages_table(records(spark, sf)), "union-runs")       # parsed once for both runs
+    p = staged(pages_table(facts(spark, sf)), "union-runs")       # parsed once for both runs
     new = p.select("page_id", "url", "title", "http_status_code", F.lit("new").alias("run"))
     old = p.select("page_id", "url", "title", F.lit("old").alias("run"))
     return longs(union_runs([new, old]).select("page_id", "url", "title", "http_status_code", "run"))
