@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from ..functions.core import expr, fresh, lam, let, q, qlist, struct
 from ..functions.text import PY_WS, py_strip_sql
 from ..functions.urls import url_split_sql
+from ..session import staged
 from .extract import selector_pred
 
 # Captcha selectors and keyword lists, in priority order.
@@ -351,23 +352,82 @@ def robots_as_of(requests: DataFrame, snapshots: DataFrame, ttl_sec: int = ROBOT
 # --------------------------------------------------------------------------
 # J5 / A5 keyword table
 
-MAX_KEYWORDS = 10_000
+#: Keywords that become one array in the plan; longer lists are joined.
+KEYWORDS_IN_PLAN = 2_000
+#: Characters of the grams that index longer lists, and (gram, keyword) rows
+#: that are broadcast.
+GRAM, INDEX_AT_HAND = 4, 500_000
 
 
 def keyword_first_match(texts: DataFrame, keywords: DataFrame, key_col: str, text_col: str,
-                        word_boundary: bool = False) -> DataFrame:
-    """Table-driven keyword gate.  ``keywords(keyword, ord)`` is a
-    configuration list; its size is checked and the list becomes one array in
-    the plan, so the texts are neither joined nor moved.  Each text row gets
-    the first keyword by ``ord`` that is a substring (or whole word) of its
-    lower-cased text (NULL when none) and the number of keywords found."""
-    rows = keywords.select("keyword", "ord").limit(MAX_KEYWORDS + 1).collect()
-    if len(rows) > MAX_KEYWORDS:
-        raise ValueError(f"a keyword list has {MAX_KEYWORDS} entries at most")
-    words = [r.keyword for r in sorted(rows, key=lambda r: (r.ord, r.keyword))]
-    listed = f"array({qlist(words)})" if words else "CAST(array() AS array<string>)"
-    t, k = "_t", fresh()
-    hits = expr(f"filter({listed}, {k} -> {_keyword_hit(t, k, word_boundary)})")
-    return texts.select(key_col, F.lower(F.col(text_col)).alias(t)).select(key_col, hits.alias("_hits")) \
-        .select(key_col, expr("try_element_at(_hits, 1)").alias("first_keyword"),
-                F.greatest(F.size("_hits"), F.lit(0)).cast("long").alias("n_keywords"))
+                        word_boundary: bool = False, in_plan: int = KEYWORDS_IN_PLAN) -> DataFrame:
+    """Table-driven keyword gate.  Each text row gets the first keyword of
+    ``keywords(keyword, ord)`` (by ``ord``, then keyword) that is a substring (or
+    whole word) of its lower-cased text (NULL when none), and the number of
+    keywords found.  A NULL or empty keyword is none; one that is listed twice
+    counts twice.
+
+    A list of up to ``in_plan`` entries is one array in the plan, and the texts
+    are neither joined nor moved.  A longer one is joined by an index of grams
+    (``keyword_candidates``), however long it is; a text moves at most once, to
+    meet the candidates of its key."""
+    words = keywords.select(F.col("keyword").cast("string").alias("keyword"), F.coalesce(F.col("ord").cast("long"), F.lit((1 << 63) - 1)).alias("ord")) \
+        .filter("keyword <> ''")                                     # a NULL place is the last
+    lowered = texts.select(F.col(key_col).alias("_k"), F.lower(F.col(text_col)).alias("_t"))
+    if words.limit(in_plan + 1).count() <= in_plan:
+        rows = sorted((r.ord, r.keyword) for r in words.collect())
+        listed = f"array({qlist([r[1] for r in rows])})" if rows else "CAST(array() AS array<string>)"
+        k = fresh()
+        hits = lowered.select("_k", expr(f"filter({listed}, {k} -> {_keyword_hit('_t', k, word_boundary)})").alias("_hits"))
+    else:
+        found = keyword_candidates(lowered, words)
+        k = fresh()
+        # A text checks all candidates of its key, so rows that share one need no telling apart.
+        both = lowered.join(found.withColumnRenamed("_k", "_of"), F.col("_k").eqNullSafe(F.col("_of")), "left")
+        hits = both.select("_k", expr(f"transform(filter(coalesce(_found, CAST(array() AS array<struct<o:bigint,w:string>>)), "
+                                      f"{k} -> {_keyword_hit('_t', f'{k}.w', word_boundary)}), {k} -> {k}.w)").alias("_hits"))
+    return hits.select(F.col("_k").alias(key_col), expr("try_element_at(_hits, 1)").alias("first_keyword"),
+                       F.greatest(F.size("_hits"), F.lit(0)).cast("long").alias("n_keywords"))
+
+
+def _grams(text: str, size: int) -> str:
+    """Distinct substrings of ``size`` characters.  Cut from an array of the
+    characters, since seeking each in the string would walk there again."""
+    c, i = fresh(), fresh()
+    chars = f"split({text}, '')"
+    body = let(chars, lambda x: f"array_distinct(transform(slice({x}, 1, greatest(size({x}) - {size - 1}, 0)), "
+                                f"({c}, {i}) -> concat({', '.join(f'{x}[{i} + {j}]' for j in range(size))})))")
+    return f"CASE WHEN length({text}) >= {size} THEN {body} END"
+
+
+def keyword_candidates(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``texts(_k, _t)`` and ``words(keyword, ord)`` → per key the keywords that
+    its texts may hold (``_found``: structs of ord and keyword, in order).
+
+    Grams have GRAM characters; shorter keywords are grams themselves.  How many
+    texts hold a gram is counted for the grams that keywords have; each keyword
+    is indexed under its rarest one only, and the grams of the texts are joined
+    with that index.  No text is carried along, and none meets a keyword whose
+    rarest gram it lacks."""
+    sizes = [r[0] for r in words.select(F.least(F.length("keyword"), F.lit(GRAM))).distinct().collect()]   # GRAM values at most
+    kw = staged(words, "keyword-list")
+    gram = " ".join(f"WHEN length(keyword) {'>=' if n == GRAM else '='} {n} THEN {_grams('keyword', n)}" for n in sorted(sizes))
+    of_words = staged(kw.select("keyword").distinct().select("keyword", expr(f"explode(CASE {gram} END)").alias("gram")), "keyword-grams")
+    distinct = of_words.select("gram").distinct()
+    small = of_words.count() <= INDEX_AT_HAND
+    near = F.broadcast if small else (lambda df: df)
+    every = ", ".join(f"coalesce({_grams('_t', n)}, CAST(array() AS array<string>))" for n in sizes)
+    held = texts.select("_k", expr(f"explode(concat({every}))").alias("gram"))
+    held = staged(held.join(near(distinct), "gram", "left_semi"), "keyword-texts")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = of_words.join(counts, "gram", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r"))
+    index = staged(rarest.filter("r.n > 0").select("keyword", F.col("r.gram").alias("gram")).join(kw, "keyword"), "keyword-index")
+    pairs = held.join(near(index), "gram").select("_k", F.struct(F.col("ord").alias("o"), F.col("keyword").alias("w")).alias("x"))
+    # Rows of one key may bring a keyword twice; a listed repeat is kept (by the number of times it is listed).
+    times = kw.groupBy("keyword", "ord").agg(F.count(F.lit(1)).alias("times")) \
+        .select(F.struct(F.col("ord").alias("o"), F.col("keyword").alias("w")).alias("x"), "times").filter("times > 1")
+    once = pairs.distinct()
+    if not times.isEmpty():
+        once = once.join(times, "x", "left").withColumn("x", F.explode(F.array_repeat("x", F.coalesce("times", F.lit(1)).cast("int"))))
+    return once.groupBy("_k").agg(F.sort_array(F.collect_list("x")).alias("_found"))

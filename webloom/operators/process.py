@@ -289,13 +289,14 @@ def _fetch_field(rec: DataFrame, name: str, default: int, fill: bool) -> str:
     return f"coalesce(CAST(`{name}` AS INT), {default})" if fill else f"CAST(`{name}` AS INT)"
 
 
-def pages_table(rec: DataFrame, fill_http_defaults: bool = False) -> DataFrame:
-    """A1: one row per valid page; ``rec``: records or page facts."""
+def pages_table(rec: DataFrame, fill_http_defaults: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A1: one row per valid page; ``rec``: records or page facts.  ``carry``:
+    columns to keep as well."""
     return rec.filter("valid").select(
         "page_id", "url", "title", "scraped_at", F.col("character_count").alias("text_length"),
         "paragraph_count", "heading_count", "image_count", "form_count",
         expr(_fetch_field(rec, "http_status_code", 200, fill_http_defaults)).alias("http_status_code"),
-        expr(_fetch_field(rec, "response_time_ms", 0, fill_http_defaults)).alias("response_time_ms"),
+        expr(_fetch_field(rec, "response_time_ms", 0, fill_http_defaults)).alias("response_time_ms"), *carry,
     )
 
 
@@ -349,11 +350,39 @@ def run_summary(rec: DataFrame, by: str = "host") -> DataFrame:
 
 def page_children(pages: DataFrame, children: DataFrame) -> DataFrame:
     """J4 ``page_links`` / ``page_images``: the pages table with its child rows;
-    pages without children stay, their child columns NULL."""
+    pages without children stay, their child columns NULL.  Tables written by
+    ``write_bucketed`` with the same buckets join without moving a row."""
     same = [c for c in children.columns if c in pages.columns and c != "page_id"]
     return pages.join(children.drop(*same), "page_id", "left")
 
 
+def page_children_local(rec: DataFrame, child: str = "links", fill_http_defaults: bool = False) -> DataFrame:
+    """J4 before anything is written: the same rows as ``page_children`` gives
+    for ``pages_table`` and ``links_table`` (or ``images_table``) of ``rec``,
+    from one parse and without an exchange, as a page's children are in its row."""
+    rows = {"links": "link_rows", "images": "image_rows"}[child]
+    page = pages_table(rec.withColumn("_rows", F.col(rows)), fill_http_defaults, carry=("_rows",))
+    columns = [c for c in page.columns if c != "_rows"]
+    out = page.select(*columns, F.posexplode_outer("_rows").alias("pos", "r"))
+    if child == "links":
+        return out.select(*columns, (F.col("pos") + 1).alias("link_number"), "r.link_url", "r.link_text", "r.link_title", "r.is_external")
+    numbered = F.when(F.col("pos").isNotNull(), expr(image_id_sql("page_id", "pos + 1")))
+    return out.select(*columns, numbered.alias("image_id"), "r.image_src", "r.image_alt", "r.is_external")
+
+
+def write_bucketed(tables: dict[str, DataFrame], prefix: str, path: str, buckets: int, key: str = "page_id") -> dict[str, DataFrame]:
+    """Write tables bucketed (and sorted) by ``key`` as ``{prefix}_{name}`` with
+    their files under ``path``, and return them as read from the catalog: joins
+    between them by the key need no exchange."""
+    out = {}
+    for name, df in tables.items():
+        # One task writes a bucket, else each task writes a file of every bucket.
+        (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+         .option("path", f"{path}/{name}").saveAsTable(f"{prefix}_{name}"))
+        out[name] = df.sparkSession.table(f"{prefix}_{name}")
+    return out
+
+
 def framework_counts(raw: DataFrame) -> DataFrame:
     """Pages per client framework (only markers that are there)."""
     return (raw.select(F.explode(F.map_keys(F.map_filter("frameworks", lambda k, v: v))).alias("framework"))

@@ -3,7 +3,7 @@ X3, P17) in batch form.
 
 Scale notes: roll-ups use partial (map-side) aggregation, so a host that
 holds a third of all pages is pre-aggregated in every task before the
-shuffle.  "Latest per key" uses ``max_by`` (aggregate, not a ranking
+shuffle.  "Latest per key" is an aggregate over narrow columns (not a ranking
 window) for the same reason.  The politeness gap (W5) is computed inside
 (host, hour) buckets and stitched across bucket edges with a small
 per-bucket aggregate, so a hot host is spread over many tasks.
@@ -11,13 +11,15 @@ per-bucket aggregate, so a hot host is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.core import expr
 from ..functions.text import truncate_sql
 from ..functions.urls import url_split_sql
+from ..session import staged
 
 # Session statuses that end a session.
 FINISHED_STATES = ["completed", "error", "stopped"]
@@ -107,17 +109,39 @@ def politeness_audit(requests: DataFrame, min_gap_sec: float = 1.0, bucket_sec:
                       F.coalesce(gap < F.lit(min_gap_sec), F.lit(False)).alias("too_fast"))
 
 
+#: Winners whose places are broadcast to the second read; more are joined.
+PLACES_AT_HAND = 1_000_000
+
+
+def row_place(df: DataFrame) -> Column:
+    """Where a row lies: file and index for rows read from Parquet files, else
+    its number within the input's partitions (the same in every run of the same
+    scan)."""
+    try:
+        df.select("_metadata.row_index").schema
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def latest_snapshot(pages: DataFrame, key: str = "url") -> DataFrame:
-    """Newest row per key (ties: smallest page_id; a NULL time is older
-    than any).  Two aggregates over the key columns alone, pre-combined in
-    every task, find the row; the other columns come by a join back."""
-    newest = pages.groupBy(key).agg(F.max("scraped_at").alias("_t"))
-    keyed = pages.select(F.col(key).alias("_k"), F.col("scraped_at").alias("_s"), F.col("page_id").alias("_p"))
-    best = keyed.join(newest, keyed["_k"].eqNullSafe(newest[key]) & F.col("_s").eqNullSafe(F.col("_t"))) \
-        .groupBy("_k", "_t").agg(F.min("_p").alias("_p"))
-    same = (pages[key].eqNullSafe(best["_k"]) & pages["scraped_at"].eqNullSafe(best["_t"])
-            & pages["page_id"].eqNullSafe(best["_p"]))
-    return pages.join(best, same).select(*[pages[c] for c in pages.columns])
+    """The newest row per key (ties: smallest page_id, NULL last, then the
+    row that comes first; a NULL time is older than any): exactly one row for
+    each key, the NULL key included.
+
+    One aggregate over key, time, id and place, pre-combined in every task,
+    finds the winner's place; the input is then read again for the winners only.
+    Their places are broadcast up to PLACES_AT_HAND (counted first), so wide
+    columns are not shuffled; beyond, the second read is joined by place."""
+    kind = pages.schema["scraped_at"].dataType.typeName()
+    time = F.col("scraped_at") if kind in ("long", "integer", "double") else F.unix_micros(F.col("scraped_at").cast("timestamp"))
+    newest = F.coalesce(-time, F.lit((1 << 63) - 1))
+    placed = pages.select("*", row_place(pages).alias("_place"))
+    order = F.struct(newest.alias("t"), F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("_place").alias("place"))
+    best = placed.groupBy(key).agg(F.min(order).alias("_best")).select(F.col("_best.place").alias("_winner"))
+    best = staged(best, "latest-places")
+    best = F.broadcast(best) if best.count() <= PLACES_AT_HAND else best
+    return placed.join(best, F.col("_place") == F.col("_winner"), "left_semi").drop("_place")
 
 
 def recent_runs(pages: DataFrame, k: int = 5) -> DataFrame:

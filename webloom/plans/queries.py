@@ -20,6 +20,7 @@ from ..functions import urls as U
 from ..operators.extract import RAW_FIELDS, dom_to_facts, extract_raw
 from ..operators.dom import parse_dom
 from ..operators.process import headings_table, links_table, page_facts, page_statistics, pages_table, process_records
+from ..session import staged
 from ..sources.pages import TASK_BYTES, scan_pages
 from . import oracle as O
 
@@ -71,15 +72,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(dom_to_facts(parse_dom(pages_of(spark, sf_dir))), RUN_TS)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back."""
-    import uuid
-    from ..session import checkpoint_path
-    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _pid(c="page_id") -> Column:
     return F.col(c).cast("string").alias("page_id")
 
@@ -538,6 +530,22 @@ def q_keyword_semi_join(spark, sf):
     return longs(G.keyword_first_match(d, kw, "page_id", "text"))
 
 
+@query("keyword_table_join", """
+WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS keyword FROM benchmark),
+kw AS (SELECT keyword, length(keyword) AS ord FROM w WHERE length(keyword) > 3),
+hits AS (SELECT d.doc_id, kw.keyword, kw.ord FROM documents d JOIN kw ON contains(lower(d.text), kw.keyword)),
+f AS (SELECT doc_id, count(*) AS n, min(struct_pack(o := ord, w := keyword)) AS first FROM hits GROUP BY doc_id)
+SELECT d.doc_id, f.first.w AS first_keyword, coalesce(f.n, 0) AS n_keywords FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
+""")
+def q_keyword_table_join(spark, sf):
+    """J5 / A5 with a keyword table that is joined: every word of more than three
+    characters of the benchmark items (shorter ones first), in every document."""
+    word = F.explode(F.split(F.lower("text"), " "))
+    kw = table(spark, sf, "benchmark").select(word.alias("keyword")).distinct().filter("length(keyword) > 3") \
+        .select("keyword", F.length("keyword").alias("ord"))
+    return G.keyword_first_match(table(spark, sf, "documents"), kw, "doc_id", "text", in_plan=0)
+
+
 @query("gate_pipeline", f"""
 WITH {O.DOC_TEXT}, {O.FETCHED}, {O.PAGES_MAIN},
 u AS (SELECT page_id, {O.netloc('url')} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1) AS rest FROM pages),

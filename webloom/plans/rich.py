@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..operators import gates as G
 from ..operators.dom import parse_dom
 from ..operators.extract import dom_to_raw, extract_raw, select_texts_sql
-from ..operators.process import errors_table, framework_counts, images_table, links_table, page_children, pages_table, \
-    process_records, run_summary
+from ..operators.process import errors_table, framework_counts, images_table, page_children, page_children_local, \
+    pages_table, process_records, run_summary, write_bucketed
+from ..session import checkpoint_path, staged
 
 RUN_TS = "2026-01-01 00:00:00"
 FILLER = "A long line of words about nothing much, told at length and without any hurry, so that the main part is long. " * 2
@@ -71,8 +72,8 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 def _both(spark, sf, pick) -> DataFrame:
-    """One parse, both dialects; ``pick`` selects from the raw records."""
-    parsed = parse_dom(rich_pages(spark, sf))
+    """One parse (staged), both dialects; ``pick`` selects from the raw records."""
+    parsed = staged(parse_dom(rich_pages(spark, sf)), "dom")
     rows = [pick(dom_to_raw(parsed, mode)).withColumn("mode", F.lit(mode)) for mode in ("static", "dynamic")]
     return _long(rows[0].unionByName(rows[1]))
 
@@ -186,9 +187,9 @@ SELECT id AS page_id, base AS url, 'T & ' || id AS title, n AS link_number, {_LI
        title_ AS link_title, ext AS is_external FROM r, (SELECT n, k, text, title AS title_, ext FROM {_LINK_ROWS})
 """)
 def q_page_links(spark, sf):
-    """J4 (+ W1, D1, F6, P3, F18): pages with their link rows."""
+    """J4 (+ W1, D1, F6, P3, F18): pages with their link rows, page by page."""
     rec = process_records(extract_raw(rich_pages(spark, sf)), RUN_TS)
-    joined = page_children(pages_table(rec), links_table(rec))
+    joined = page_children_local(rec, "links")
     return _long(joined.select("page_id", "url", "title", "link_number", "link_url", "link_text", "link_title", "is_external"))
 
 
@@ -198,9 +199,13 @@ SELECT id AS page_id, base AS url, id || '_img_' || n AS image_id, CASE n WHEN 1
 FROM r, (VALUES (1), (2)) v(n)
 """)
 def q_page_images(spark, sf):
-    """J4, W2, D2, F7, F11 on page-local image arrays."""
-    rec = process_records(extract_raw(rich_pages(spark, sf)), RUN_TS)
-    joined = page_children(pages_table(rec), images_table(rec))
+    """The written tables, bucketed by page, joined in place."""
+    import uuid
+
+    rec = staged(process_records(extract_raw(rich_pages(spark, sf)), RUN_TS), "page-records")       # parsed once for both tables
+    name = f"j4_{uuid.uuid4().hex[:12]}"
+    tables = write_bucketed({"pages": pages_table(rec), "images": images_table(rec)}, name, checkpoint_path(spark, name), 16)
+    joined = page_children(tables["pages"], tables["images"])
     return _long(joined.select("page_id", "url", "image_id", "image_src", "image_alt", "is_external", "image_count"))
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings of a session that this module starts; a session that runs already
 # keeps its own.  HTML rows are large, so Arrow batches are kept small; AQE
@@ -73,6 +74,14 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts the
+    lineage with a table that every executor can read."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``webloom`` importable in Python workers (``addPyFile`` of a zip
     of this package), once per application.  On a cluster the same is done
