@@ -90,11 +90,11 @@ def test_session_state_stream_equals_batch(spark):
 
 def test_robots_refresh_after_each_ttl_however_batched(spark):
     rows = [("a", 0), ("a", 3599), ("a", 3600), ("a", 3601), ("a", 7199), ("a", 7200), ("b", 50), ("b", 10), ("b", 3615), ("b", 3605)]
-    df = spark.createDataFrame(rows, "host string, t long").selectExpr("host", "timestamp_seconds(t) AS ts")
+    df = spark.createDataFrame(rows, "host string, t long").selectExpr("host", "timestamp_seconds(t + 360000) AS ts")      # not at the epoch: late for any stream
     want = [("a", 0), ("a", 3600), ("a", 7200), ("b", 10), ("b", 3615)]
     for parts in (1, 2):
         d = tempfile.mkdtemp(prefix="wl-rr-")
-        early = F.unix_seconds("ts") < 3600
+        early = F.unix_seconds("ts") < 363600
         for k, part in enumerate([df] if parts == 1 else [df.filter(early), df.filter(~early)]):
             part.coalesce(1).write.parquet(f"{d}/in/{k}")
             os.makedirs(f"{d}/flat", exist_ok=True)
@@ -102,11 +102,69 @@ def test_robots_refresh_after_each_ttl_however_batched(spark):
                 if f.endswith(".parquet"):
                     shutil.copy(f"{d}/in/{k}/{f}", f"{d}/flat/{k}-{f}")
         stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/flat")
-        path = X.run_available_now(X.robots_refresh(stream), "rr")
-        got = spark.read.parquet(path).select("host", F.unix_seconds("ts").alias("t")).collect()
+        path = X.run_to_the_end(stream, X.robots_refresh, "rr", "host")
+        got = spark.read.parquet(path).select("host", (F.unix_seconds("ts") - 360000).alias("t")).collect()
         assert sorted(map(tuple, got)) == (want if parts == 1 else [w if w != ("b", 3615) else ("b", 3615) for w in want])
 
 
+def _files(df, parts, where):
+    """One Parquet file for each filter, in the order in which a stream takes them."""
+    for k, part in enumerate(parts):
+        df.filter(part).coalesce(1).write.parquet(f"{where}/in/{k}")
+        os.makedirs(f"{where}/flat", exist_ok=True)
+        for f in os.listdir(f"{where}/in/{k}"):
+            if f.endswith(".parquet"):
+                shutil.copy(f"{where}/in/{k}/{f}", f"{where}/flat/{k}-{f}")
+                os.utime(f"{where}/flat/{k}-{f}", (1_000_000 + k, 1_000_000 + k))
+    return f"{where}/flat"
+
+
+def test_robots_refresh_does_not_depend_on_the_order_of_arrival(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(h, rng.randrange(1, 40_000)) for h in ["hot"] * 3000 + [f"h{i}" for i in range(30)] * 20]
+    df = spark.createDataFrame(rows, "host string, t long").selectExpr("host", "timestamp_seconds(t) AS ts").cache()
+    want = []
+    for host in {h for h, _ in rows}:
+        last = None
+        for t in sorted(t for h, t in rows if h == host):
+            if last is None or t >= last + 3600:
+                last = t
+                want.append((host, t))
+    shuffled = [F.expr(f"pmod(xxhash64(host, ts), 4) = {k}") for k in range(4)]
+    by_time = [F.unix_seconds("ts").between(10_000 * k, 10_000 * k + 9_999) for k in (0, 1, 2, 3)]
+    for parts in (shuffled, by_time, by_time[::-1]):
+        flat = _files(df, parts, tempfile.mkdtemp(prefix="wl-order-"))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(flat)
+        path = X.run_to_the_end(stream, lambda s: X.robots_refresh(s, watermark="1 day"), "order", "host")
+        got = spark.read.parquet(path).select("host", F.unix_seconds("ts").alias("t")).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_session_state_does_not_depend_on_the_order_of_arrival(spark):
+    ev = DV.sessions(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).filter("session_id < '3'")
+    ev = ev.withColumn("session_id", F.expr("CASE WHEN seq % 3 = 0 THEN 'hot' ELSE session_id END")).cache()
+    stops = ev.filter("seq % 5 = 0").select("session_id", F.expr("ts + INTERVAL 1 SECOND").alias("ts")).cache()
+    kept = {}
+    for r in sorted([(r.session_id, r.ts, False, r.seq, r.progress, r.step, r.status) for r in ev.collect()]
+                    + [(r.session_id, r.ts, True, 0, 0.0, "", "") for r in stops.collect()]):
+        sid, ts, is_stop, seq, progress, step, status = r
+        was = kept.get(sid)
+        if was and was[2] == "stopped":
+            continue
+        if not is_stop:
+            kept[sid] = (progress, step, status)
+        elif was and was[2] not in RN.FINISHED_STATES:
+            kept[sid] = (was[0], was[1], "stopped")
+    for salt in (1, 2):
+        d = tempfile.mkdtemp(prefix="wl-mix-")
+        flat = [_files(df, [F.expr(f"pmod(xxhash64({salt}, ts), 3) = {k}") for k in range(3)], f"{d}/{name}") for name, df in (("e", ev), ("s", stops))]
+        read = lambda path, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = X.run_updates(X.stream_session_state(read(flat[0], ev), read(flat[1], stops), "400 days"), "mix", "session_id")
+        assert {r.session_id: (r.progress, r.step, r.status) for r in out.collect()} == kept
+
+
 def test_stream_stops_end_active_sessions(spark):
     ev = spark.createDataFrame([("s1", 10, 1, 20.0, "fetch", "running"), ("s2", 10, 2, 100.0, "done", "completed")],
                                "session_id string, t long, seq long, progress double, step string, status string") \

@@ -911,11 +911,11 @@ SELECT host, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM due
 def q_robots_refresh(spark, sf):
     """Requests at which a host's robots.txt is fetched again, one TTL after
     the last (event stream: host = user, event time = ts)."""
-    from ..streaming.stream import robots_refresh, run_available_now
+    from ..streaming.stream import robots_refresh, run_to_the_end
     ev = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     req = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
                     F.col("ts").cast("timestamp").alias("ts"))
-    path = run_available_now(robots_refresh(req), "robots-refresh")
+    path = run_to_the_end(req, robots_refresh, "robots-refresh", "host")
     return spark.read.parquet(path).select("host", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 

@@ -7,12 +7,17 @@
   four writers, so a page is parsed once.  Writes are idempotent per batch
   id (``replaceWhere``-style: one folder per batch id, overwritten on a
   retry), so a lost executor or a restarted query does not duplicate rows.
-* X2/X3 ``stream_session_state`` — latest progress per session with keyed
-  state: events and stop requests in one stream; a session's state goes when
-  it has ended, or has been silent, for as long as the watermark allows.
-* X4 ``robots_refresh`` — hosts whose robots.txt must be (re)fetched: keyed
-  state holds the last emitted time of a host, and the next request at least
-  one TTL later is emitted again, however the input is cut into batches.
+* X2/X3 ``stream_session_state`` — latest progress per session: events and
+  stop requests in one stream, kept in state until the watermark makes them
+  final, so their order of arrival does not matter.  Rows pass one by one; what
+  waits is in the state store, not in memory.
+* X4 ``robots_refresh`` — hosts whose robots.txt must be (re)fetched, in event
+  time: requests wait per (host, TTL slot) until the watermark has passed the
+  slot, so the result does not depend on order or batches.  Timers end the state
+  of a host.
+
+Keyed state needs the RocksDB store (``use_state_store`` sets it for queries
+started afterwards).
 
 Checkpoints live under the session's ``spark.checkpoint.dir`` (shared
 storage on a cluster).
@@ -20,15 +25,16 @@ storage on a cluster).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.process import images_table, links_table, pages_table
-from ..operators.runs import FINISHED_STATES, INITIAL_PROGRESS, INITIAL_STATUS, INITIAL_STEP
+from ..operators.runs import FINISHED_STATES
 from ..plans.scrape import scrape_pages
 from ..session import checkpoint_path
 
@@ -69,70 +75,189 @@ def stream_process(pages_stream: DataFrame, out_dir: str, run_ts: str, robots: D
     return w.start()
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state with timers and lists needs this state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 _SESSION = "session_id string, progress double, step string, status string, updated_at timestamp"
+_EVENT = "us long, seq long, progress double, step string, status string"
+CHUNK = 1000
+
+
+class Sessions(StatefulProcessor):
+    """State of one session: ``last``, what is final (nothing at or before the
+    watermark can arrive any more), and the rows after it, in one of two lists."""
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _EVENT)
+        self.use = handle.getValueState("use", "list int")
+        self.rows = [handle.getListState(f"rows{k}", f"{_EVENT}, is_stop boolean") for k in (0, 1)]
 
-def _session_updates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    ts, seq, progress, step, status = state.get if state.exists else (None, -1, float(INITIAL_PROGRESS), INITIAL_STEP, INITIAL_STATUS)
-    for r in pd.concat(list(batches)).sort_values(["ts", "is_stop", "seq"]).itertuples():
-        if status == "stopped":
-            break                                # a stopped session stays stopped
-        if r.is_stop:
-            if ts is not None and status not in FINISHED_STATES:
-                ts, status = r.ts, "stopped"     # of an unknown or ended session: ignored
-        elif ts is None or (r.ts, r.seq) > (pd.Timestamp(ts), seq):
-            ts, seq, progress, step, status = r.ts, int(r.seq), float(r.progress), r.step, r.status
-    if ts is None:
-        return
-    ts = pd.Timestamp(ts)
-    state.update((ts, seq, progress, step, status))
-    state.setTimeoutTimestamp(max(int(ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-    yield pd.DataFrame({"session_id": [key[0]], "progress": [progress], "step": [step], "status": [status], "updated_at": [ts]})
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = self.rows[self.use.get()[0] if self.use.exists() else 0]
+        newest = 0
+        for chunk in rows:
+            for at in range(0, len(chunk), CHUNK):
+                part = chunk.iloc[at:at + CHUNK]
+                newest = max(newest, int(part["us"].max()))
+                waiting.appendList([(int(r.us), int(r.seq), float(r.progress), r.step, r.status, bool(r.is_stop))
+                                    for r in part.itertuples(index=False)])
+        shown = self._outcome(waiting)
+        if now > 0:
+            self._settle(waiting, now)
+        self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        if shown is not None:
+            us, _, progress, step, status = shown
+            yield pd.DataFrame({"session_id": [key[0]], "progress": [progress], "step": [step], "status": [status],
+                                "updated_at": [pd.Timestamp(us, unit="us")]})
+
+    def _outcome(self, waiting, until: int | None = None):
+        """The session after the rows that wait (up to ``until``): the latest
+        event, or the first stop that found the session active.  Only the stops
+        and one event between two of them are held."""
+        last = tuple(self.last.get()) if self.last.exists() else None
+        if last is not None and last[4] == "stopped":
+            return last                                  # a stopped session stays stopped
+        within = lambda r: until is None or r[0] <= until
+        stops = sorted({r[0] for r in waiting.get() if r[5] and within(r)})
+        latest: list = [None] * (len(stops) + 1)         # an event counts before a stop of its time
+        for r in waiting.get():
+            if not r[5] and within(r):
+                k = bisect_left(stops, r[0])
+                if latest[k] is None or (r[0], r[1]) > latest[k][:2]:
+                    latest[k] = tuple(r[:5])
+        for stop, event in zip([*stops, None], latest, strict=True):
+            if event is not None and (last is None or event[:2] > last[:2]):
+                last = event
+            if stop is not None and last is not None and last[4] not in FINISHED_STATES:
+                return stop, last[1], last[2], last[3], "stopped"      # of an unknown or ended session: ignored
+        return last
+
+    def _settle(self, waiting, now: int) -> None:
+        """Make final what the watermark has passed; the rows after it move to
+        the other list, a chunk at a time."""
+        final = self._outcome(waiting, now)
+        if final is not None:
+            self.last.update(final)
+        k = 1 - (self.use.get()[0] if self.use.exists() else 0)
+        if final is None or final[4] != "stopped":
+            part = []
+            for r in waiting.get():
+                if r[0] > now:
+                    part.append(tuple(r))
+                    if len(part) == CHUNK:
+                        self.rows[k].appendList(part)
+                        part = []
+            if part:
+                self.rows[k].appendList(part)
+        waiting.clear()
+        self.use.update((k,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The watermark has passed the last row known: the state goes, unless
+        later rows have come since (they have a timer of their own)."""
+        if not any(t > timerValues.getCurrentWatermarkInMs() for t in self.handle.listTimers()):
+            self.last.clear()
+            self.use.clear()
+            for rows in self.rows:
+                rows.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_session_state(events: DataFrame, stops: DataFrame | None = None, watermark: str = "1 hour") -> DataFrame:
     """Latest (progress, step, status) per session, in update mode.
     ``stops(session_id, ts)`` end a session that is active then (an event of
-    the same time counts first), for good; others are ignored.  The state of a session goes when the watermark passes its
-    last event, so it does not grow with the number of sessions ever seen."""
+    the same time counts first), for good; others are ignored.  Rows may arrive
+    in any order within the watermark.  The state of a session goes when the
+    watermark passes its last row, so it does not grow with the number of
+    sessions ever seen."""
+    use_state_store(events.sparkSession)
     rows = events.select("session_id", "ts", F.col("seq").cast("long").alias("seq"), F.col("progress").cast("double").alias("progress"),
                          "step", "status", F.lit(False).alias("is_stop"))
     if stops is not None:
         rows = rows.unionByName(stops.select("session_id", "ts", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("progress"),
                                              F.lit("").alias("step"), F.lit("").alias("status"), F.lit(True).alias("is_stop")))
-    return rows.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(
-        _session_updates, _SESSION, "ts timestamp, seq long, progress double, step string, status string", "update",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def _refreshes(ttl_sec: float):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        # Requests of one batch arrive in any order: their times are sorted first.
-        times = pd.concat([b["us"] for b in batches]).drop_duplicates().sort_values().to_numpy()
-        due, step = [], int(ttl_sec * 1_000_000)
-        at = 0 if last is None else int(times.searchsorted(last + step))
-        while at < len(times):
-            last = int(times[at])
-            due.append(last)
-            at = int(times.searchsorted(last + step))
+    rows = rows.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(), _SESSION, "Update", "EventTime")
+
+
+class Refreshes(StatefulProcessor):
+    """State of one host: the last fetch, and the request times that wait, by
+    TTL slot."""
+
+    def __init__(self, step: int) -> None:
+        self.step = step
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.slots = handle.getMapState("slots", "slot long", "times binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for chunk in rows:
+            times = np.unique(chunk["us"].to_numpy(dtype=np.int64))
+            for slot, own in zip(*self._split(times), strict=True):
+                known = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+                if known is None:
+                    self.handle.registerTimer(-(-(slot + 1) * self.step // 1000))
+                else:
+                    own = np.union1d(np.frombuffer(known[0], dtype=np.int64), own)
+                self.slots.updateValue((slot,), (own.tobytes(),))
+        return iter(())
+
+    def _split(self, times: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        slots = times // self.step
+        cuts = np.flatnonzero(np.diff(slots)) + 1
+        return [int(slots[i]) for i in (0, *cuts)], np.split(times, cuts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Slots that the watermark has passed are complete: a slot is one TTL
+        long, so at most one request of it is due."""
+        now, due = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
+        last = self.last.get()[0] if self.last.exists() else None
+        for slot in sorted(k[0] for k in self.slots.keys()):
+            if (slot + 1) * self.step > now:
+                break
+            times = np.frombuffer(self.slots.getValue((slot,))[0], dtype=np.int64)
+            at = 0 if last is None else int(np.searchsorted(times, last + self.step))
+            if at < len(times):
+                last = int(times[at])
+                due.append(last)
+            self.slots.removeKey((slot,))
         if due:
-            state.update((last,))
+            self.last.update((last,))
+            self.handle.registerTimer(-(-self._complete(last) // 1000) + 1)
             yield pd.DataFrame({"host": key[0], "us": due})
-    return run
+        elif last is not None and self._complete(last) <= now:
+            self.last.clear()                            # whatever comes now is due: nothing to remember
+
+    def _complete(self, last: int) -> int:
+        """End of the slot in which the TTL after ``last`` ends."""
+        return ((last + self.step) // self.step + 1) * self.step
 
+    def close(self) -> None:
+        pass
 
-def robots_refresh(requests: DataFrame, ttl_sec: float = 3600.0) -> DataFrame:
+
+def robots_refresh(requests: DataFrame, ttl_sec: float = 3600.0, watermark: str = "1 hour") -> DataFrame:
     """The requests (host, ts) at which a host's robots file is fetched:
-    its first, and then the first one at least one TTL after the last fetch.
-    Works in batch order; a request older than the last fetch emits nothing.
-    Times travel as microseconds, one per distinct (host, time)."""
-    rows = requests.select("host", F.unix_micros("ts").alias("us"))
-    out = rows.groupBy("host").applyInPandasWithState(_refreshes(ttl_sec), "host string, us long", "us long", "append",
-                                                      GroupStateTimeout.NoTimeout)
+    its first, and then the first one at least one TTL after the last fetch, in
+    event time: requests may arrive in any order within the watermark, and a
+    request is emitted when the watermark has passed its TTL slot.  A batch of
+    requests is reduced to its distinct (host, time) first.  Times up to 1970 are
+    late for any stream."""
+    use_state_store(requests.sparkSession)
+    rows = requests.select("host", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", watermark)
+    out = rows.groupBy("host").transformWithStateInPandas(Refreshes(int(ttl_sec * 1_000_000)), "host string, us long", "Append", "EventTime")
     return out.select("host", F.timestamp_micros("us").alias("ts"))
 
 
@@ -163,3 +288,22 @@ def run_available_now(stream_df: DataFrame, name: str, output_mode: str = "appen
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return f"{base}/data"
+
+
+def run_to_the_end(stream: DataFrame, operator, name: str, key: str) -> str:
+    """Drain a finite stream of (``key``, ts, …) through ``operator`` in append
+    mode, then pass the watermark over all that still waits, with a last row far
+    in the future (of an empty key, which emits nothing); returns the path of the
+    table."""
+    import uuid
+    spark = stream.sparkSession
+    base = checkpoint_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    end = spark.range(1).select(F.lit("").alias(key), F.expr("timestamp_seconds(4102444800)").alias("ts"))     # in 2100
+    end.limit(0).write.parquet(f"{base}/end")
+    out = operator(stream.unionByName(spark.readStream.schema(end.schema).parquet(f"{base}/end"), allowMissingColumns=True))
+    for last in (False, True):
+        if last:
+            end.write.mode("append").parquet(f"{base}/end")
+        (out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
+         .option("path", f"{base}/data").trigger(availableNow=True).start().awaitTermination())
+    return f"{base}/data"
