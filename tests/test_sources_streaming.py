@@ -196,3 +196,35 @@ def test_run_logs_have_line_numbers(spark):
                 "2026-02-15 20:34:12,500 - scraping_manager - INFO - Successfully scraped https://x/\n")
     rows = S.scan_run_logs(spark, f"{d}/m.log").orderBy("line_no").collect()
     assert [r.line_no for r in rows] == [1, 2] and rows[0].session_id == "s1" and rows[1].url == "https://x/"
+
+
+def test_csv_files_are_read_by_their_own_header(spark):
+    d = tempfile.mkdtemp(prefix="wl-csvh-")
+    files = {"a b.csv": "page_id,url,title,scraped_at,text_length,paragraph_count,heading_count,image_count,form_count\r\n"
+                        "a,https://x/,T,2026,1,2,3,4,5\r\nb,https://x/,T2,2026,6,7,8,9,10,200,33\r\n",
+             "c.csv": "url,http_status_code,page_id,odd\r\nhttps://y/,404,c,zzz\r\n", "empty.csv": ""}
+    for name, text in files.items():
+        with open(f"{d}/{name}", "w", newline="") as f:
+            f.write(text)
+    out = S.scan_ragged_csv(spark, d, "pages")
+    assert out.schema == S.PAGES_SCHEMA
+    rows = {r.page_id: r for r in out.collect()}
+    assert set(rows) == {"a", "b", "c"}
+    assert (rows["a"].form_count, rows["a"].http_status_code) == (5, None) and (rows["b"].http_status_code, rows["b"].response_time_ms) == (200, 33)
+    assert (rows["c"].url, rows["c"].http_status_code, rows["c"].title) == ("https://y/", 404, None)
+
+
+def test_a_large_host_is_written_by_many_tasks(spark):
+    rows = [(i, "https://hot.example/" + "x" * 50 + str(i)) for i in range(20_000)] + [(30_000 + i, f"https://h{i % 40}.example/{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("scraped_at", F.timestamp_seconds(F.lit(10 ** 9))).repartition(8)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    d = tempfile.mkdtemp(prefix="wl-hot-")
+    try:
+        spark.conf.set(key, "32k")
+        S.write_run_tables({"pages": df}, d)
+    finally:
+        spark.conf.set(key, was)
+    count = lambda h: len([f for f in os.listdir(f"{d}/pages/host={h}/run_ts=20010909_014640") if f.endswith(".parquet")])
+    assert count("hot.example") >= 4 and all(count(f"h{i}.example") == 1 for i in range(40))
+    assert spark.read.parquet(f"{d}/pages").count() == len(rows)

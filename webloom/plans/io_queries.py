@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import runs as RN
+from ..session import staged
 from ..operators.process import assign_page_id_sql, links_table, normalize_scraped_at_sql, pages_table, process_records
 from ..operators.extract import extract_raw
 from ..session import checkpoint_path
@@ -84,6 +85,44 @@ def q_scan_ragged_csv(spark, sf):
         F.col("http_status_code").cast("long").alias("http_status_code"))
 
 
+@query("scan_csv_by_header", """
+SELECT CAST(page_id AS VARCHAR) AS page_id, 'http://h/' || page_id AS url, 't' || page_id AS title, page_id % 50 AS text_length,
+       CASE page_id % 3 WHEN 1 THEN 404::BIGINT WHEN 2 THEN 200 END AS http_status_code FROM pages
+""")
+def q_scan_csv_by_header(spark, sf):
+    """Files whose headers differ in order and length, and one with a column
+    that the table does not know, read in one go."""
+    pages, out = spark.read.parquet(f"{sf}/pages.parquet"), _path(spark, "by-header")
+    pid, url, title, size = "CAST(page_id AS STRING) AS page_id", "concat('http://h/', page_id) AS url", "concat('t', page_id) AS title", "page_id % 50 AS text_length"
+    pages.filter("page_id % 3 = 0").selectExpr(pid, url, title, size).write.option("header", True).csv(f"{out}/0")
+    pages.filter("page_id % 3 = 1").selectExpr("404 AS http_status_code", size, title, pid, url).write.option("header", True).csv(f"{out}/1")
+    pages.filter("page_id % 3 = 2").selectExpr(url, "'x' AS note", pid, "200 AS http_status_code", title, size).write.option("header", True).csv(f"{out}/2")
+    rows = S.scan_ragged_csv(spark, [f"{out}/{k}" for k in range(3)], "pages")
+    return rows.select("page_id", "url", "title", *[F.col(c).cast("long").alias(c) for c in ("text_length", "http_status_code")])
+
+
+@query("run_log_line_numbers", """
+SELECT row_number() OVER (ORDER BY line_no) AS line_no, value FROM (
+  SELECT event_id * 2 AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' start ' || event_id AS value FROM events
+  UNION ALL SELECT event_id * 2 + 1, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' end ' || event_id FROM events)
+""")
+def q_run_log_line_numbers(spark, sf):
+    """Lines of one file, which is read in many splits, by their number."""
+    ev, out = spark.read.parquet(f"{sf}/events.parquet"), _path(spark, "long-log")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    lines = ev.select((F.col("event_id") * 2).alias("n"), F.concat(stamp, F.lit(" start "), F.col("event_id").cast("string")).alias("value")) \
+        .unionByName(ev.select((F.col("event_id") * 2 + 1).alias("n"), F.concat(stamp, F.lit(" end "), F.col("event_id").cast("string")).alias("value")))
+    lines.orderBy("n").coalesce(1).select("value").write.text(out)
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64k")
+        numbered = staged(S.number_lines(spark, out), "numbered-lines")
+    finally:
+        spark.conf.set(key, was)
+    return numbered.select("line_no", "value")
+
+
 @query("scan_flat_json", f"""
 SELECT 'page' AS kind, 'https://' || {_HOST} || '/d/p' || page_id AS url, 'T & ' || page_id AS what, 3::BIGINT AS n FROM pages
 UNION ALL SELECT 'link', 'https://' || {_HOST} || '/d/p' || page_id, CASE k WHEN 1 THEN 'link one' WHEN 2 THEN 'ext' ELSE 'frag' END, k FROM pages, (VALUES (1::BIGINT), (2), (3)) v(k)

@@ -2,8 +2,8 @@
 and run file names (F21, F22).
 
 * S2 ``scan_ragged_csv`` — append-only CSV whose header is older/shorter
-  than later rows: read with the *newest* schema so missing trailing
-  columns come back NULL (without it Spark silently drops the extras).
+  than later rows, each file in the order of its own header: missing trailing
+  columns come back NULL (without a schema Spark silently drops the extras).
 * S3 ``scan_flat_json`` — one JSON array of heterogeneous records, split by
   ``record_type`` (NULL = page).
 * S4 ``scan_run_logs`` — ``ts - logger - level - message`` lines.
@@ -16,7 +16,9 @@ and run file names (F21, F22).
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +50,37 @@ IMAGES_SCHEMA = T.StructType([
 SCHEMAS = {"pages": PAGES_SCHEMA, "links": LINKS_SCHEMA, "images": IMAGES_SCHEMA}
 
 
+def _headers(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Files by their first line."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start",
+                                          F.monotonically_increasing_id().alias("at")).filter("file_block_start = 0")
+    first = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    return {r.header: [unquote(p) for p in r.files] for r in
+            first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()}
+
+
 def scan_ragged_csv(spark: SparkSession, paths, table: str, header: bool = True) -> DataFrame:
     """CSV with a header older than some rows; trailing columns missing
-    from older rows read as NULL.  Booleans are written ``True``/``False``."""
-    return (spark.read.schema(SCHEMAS[table]).option("header", header).option("enforceSchema", True)
-            .option("multiLine", False).option("escape", "\"").csv(paths))
+    from older rows read as NULL.  Booleans are written ``True``/``False``.
+
+    Files are grouped by their header and each group is read in the order of
+    its own columns: columns that the header lacks follow it in the order of the
+    newest schema, as later rows were appended, and columns that the table does
+    not know are left.  Without headers the newest schema gives the order."""
+    schema = SCHEMAS[table]
+
+    def read(files, columns: T.StructType) -> DataFrame:
+        return (spark.read.schema(columns).option("header", header).option("enforceSchema", True)
+                .option("multiLine", False).option("escape", "\"").csv(files)).select(*schema.fieldNames())
+
+    if not header:
+        return read(paths, schema)
+    known, groups = {f.name: f for f in schema.fields}, []
+    for line, files in sorted(_headers(spark, paths).items()):
+        names = next(csv.reader([line.lstrip("\ufeff")]), [])
+        columns = [known.get(n, T.StructField(n or f"_c{i}", T.StringType())) for i, n in enumerate(names)]
+        groups.append(read(files, T.StructType(columns + [f for f in schema.fields if f.name not in names])))
+    return union_runs(groups) if groups else spark.createDataFrame([], schema)
 
 
 #: The columns of a flat record; absent keys read as NULL.
@@ -77,14 +105,25 @@ def scan_flat_json(spark: SparkSession, paths, multi_line: bool = True) -> tuple
             df.filter(F.col("record_type") == "heading").select(*FLAT_HEADING))
 
 
+def number_lines(spark: SparkSession, paths) -> DataFrame:
+    """value, file and line_no (from 1) of text files.  Lines are numbered
+    within their split of the file, whose first number is the sum of the lines of
+    the splits before it: a large file is numbered by many tasks, and only counts
+    meet in one."""
+    lines = spark.read.text(paths).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+                                          F.monotonically_increasing_id().alias("_at"))
+    counts = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("file").alias("_f"), F.col("_split").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_at"))
+    numbered = lines.withColumn("_no", within).join(starts, (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
+    return numbered.select("value", "file", (F.col("_before") + F.col("_no")).alias("line_no"))
+
+
 def scan_run_logs(spark: SparkSession, paths) -> DataFrame:
-    """Parsed run-log lines with their file and line number (the logs
-    rotate, so one file is a bounded group)."""
+    """Parsed run-log lines with their file and line number."""
     from ..operators.runs import parse_run_logs
-    lines = spark.read.text(paths).withColumn("_at", F.monotonically_increasing_id()) \
-        .withColumn("file", F.input_file_name())
-    numbered = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_at")).cast("long"))
-    return parse_run_logs(numbered.drop("_at"))
+    return parse_run_logs(number_lines(spark, paths))
 
 
 def run_file_name_sql(table: str, host: str, ts: str) -> str:
@@ -97,12 +136,15 @@ def parse_run_file_name_sql(name: str, part: int = 2) -> str:
     return f"element_at(split(regexp_replace({name}, '\\\\.[a-z]+$', ''), '_'), {part})"
 
 
-def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", files_per_host: int = 8) -> None:
+def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
     """Each table partitioned by host and run time, so a reader of one
     host or run prunes the rest.  Every table needs ``url`` (the page's; carry
-    it on links and images), which only the pages table keeps.  Rows are
-    clustered by host, run and a salt first, so a host has a few files; the
-    partitions of a run are overwritten, so a repeated write changes nothing."""
+    it on links and images), which only the pages table keeps.
+
+    Rows are rebalanced by host and run: by the sizes that the shuffle has
+    measured, a host that is large is written by as many tasks as it has
+    advisory sizes, and small hosts by one.  The partitions of a run are
+    overwritten, so a repeated write changes nothing."""
     for name, df in tables.items():
         if "url" not in df.columns:
             raise ValueError(f"the table {name} has no page url to take its host from")
@@ -110,8 +152,7 @@ def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "par
         part = df.withColumn("host", F.coalesce(host, F.lit("unknown"))) \
             .withColumn("run_ts", F.date_format("scraped_at", "yyyyMMdd_HHmmss"))
         part = part if name == "pages" else part.drop("url")
-        salt = F.pmod(F.xxhash64("page_id"), F.lit(files_per_host))
-        part.repartition("host", "run_ts", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        part.hint("rebalance", "host", "run_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("host", "run_ts").format(fmt).save(f"{out_dir}/{name}")
 
 
