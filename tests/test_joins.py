@@ -20,7 +20,7 @@ def plan_of(df):
 def records(spark):
     more = spark.createDataFrame([(900, "https://h/", "<p>no children here</p>"), (901, "", "<a href='http://x/'>a</a>")],
                                  "page_id long, url string, html string")
-    return process_records(extract_raw(rich_pages(spark, SF).unionByName(more)), "2026-01-01 00:00:00")
+    return process_records(extract_raw(staged(rich_pages(spark, SF), "test-pages").unionByName(more)), "2026-01-01 00:00:00")
 
 
 def test_page_local_children_equal_the_join(spark):

@@ -252,7 +252,7 @@ def process_records(raw: DataFrame, run_ts: str, mode: str = "static") -> DataFr
                     "heading_count": "size(coalesce(content.headings, array()))"},
     }
     out = cleaned.select(
-        "*", (F.col("validation.valid") if checked else expr(_nonempty("url"))).alias("valid"),
+        "*", expr(_nonempty("url")).alias("valid"),        # P2 without its warnings, which read the texts
         _total_fields(raw.columns, mode).alias("total_fields"),
         *[expr(sql).alias(name) for c, more in added.items() if c in has for name, sql in more.items()])
     if "links" in has:
@@ -300,27 +300,33 @@ def pages_table(rec: DataFrame, fill_http_defaults: bool = False, carry: tuple[s
     )
 
 
+def each(df: DataFrame, array, *keep: str) -> DataFrame:
+    """``keep``, and ``pos`` and ``x`` of every element of an array.  An outer
+    generator, filtered after: for an inner one the optimizer adds a filter on
+    the array's size below it, which evaluates the array's expression again."""
+    return df.select(*keep, F.posexplode_outer(array).alias("pos", "x")).filter("pos IS NOT NULL")
+
+
 def links_table(rec: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Dense 1..n numbering after filtering, in document order (page-local
     ``posexplode``; no shuffle).  ``carry``: page columns to keep as well."""
-    return rec.filter("valid").select("page_id", "scraped_at", *carry, F.posexplode("link_rows").alias("pos", "l")).select(
-        "page_id", (F.col("pos") + 1).alias("link_number"), "l.link_url", "l.link_text", "l.link_title",
-        "l.is_external", "scraped_at", *carry)
+    return each(rec.filter("valid"), "link_rows", "page_id", "scraped_at", *carry).select(
+        "page_id", (F.col("pos") + 1).alias("link_number"), "x.link_url", "x.link_text", "x.link_title",
+        "x.is_external", "scraped_at", *carry)
 
 
 def images_table(rec: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """As W1 for images, plus ``image_id``."""
-    return rec.filter("valid").select("page_id", "scraped_at", *carry, F.posexplode("image_rows").alias("pos", "i")).select(
-        expr(image_id_sql("page_id", "pos + 1")).alias("image_id"), "page_id", "i.image_src", "i.image_alt",
-        "i.is_external", "scraped_at", *carry)
+    return each(rec.filter("valid"), "image_rows", "page_id", "scraped_at", *carry).select(
+        expr(image_id_sql("page_id", "pos + 1")).alias("image_id"), "page_id", "x.image_src", "x.image_alt",
+        "x.is_external", "scraped_at", *carry)
 
 
 def headings_table(rec: DataFrame) -> DataFrame:
     """heading_number 1..n with level and text."""
-    return rec.filter("valid") \
-        .select("page_id", "url", F.posexplode(expr("coalesce(content.headings, array())")).alias("pos", "h")) \
+    return each(rec.filter("valid"), "content.headings", "page_id", "url") \
         .select("page_id", "url", (F.col("pos") + 1).alias("heading_number"),
-                F.col("h.level").alias("heading_level"), F.col("h.text").alias("heading_text"))
+                F.col("x.level").alias("heading_level"), F.col("x.text").alias("heading_text"))
 
 
 def page_statistics(rec: DataFrame) -> DataFrame:

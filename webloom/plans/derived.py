@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import expr
 from ..functions.urls import url_split_sql
+from ..sources.pages import TASK_BYTES, scan_pages
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ def request_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def fetched_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with fetch metadata: status and ``server`` header from the URL."""
-    pages = _t(spark, sf, "pages")
+    pages = scan_pages(spark, f"{sf}/pages.parquet", task_bytes=TASK_BYTES)
     status = expr("CASE WHEN url LIKE '%spam%' THEN 403 WHEN url LIKE '%?page=2%' THEN 429 "
                   "WHEN url LIKE '%.html' THEN 503 WHEN url LIKE '%#top' THEN 404 ELSE 200 END")
     server = expr("map('server', CASE WHEN url LIKE 'https://m.%' THEN 'cloudflare' ELSE 'nginx' END)")
@@ -138,7 +139,7 @@ FORM_HTML = ('<form METHOD="POST" class="f"><input name="q" required placeholder
 def enriched_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with meta description, two og:title tags, a form and a React
     root marker added (the driver pages have none of these)."""
-    pages = _t(spark, sf, "pages")
+    pages = scan_pages(spark, f"{sf}/pages.parquet", task_bytes=TASK_BYTES)
     lang = "regexp_extract(html, 'lang=\"([^\"]*)\"', 1)"
     head = (f"concat('<head><meta name=\"description\" content=\" d-', {lang}, ' \">"
             f"<meta property=\"og:title\" content=\"x1\"><meta property=\"og:title\" content=\"', {lang}, '\">')")

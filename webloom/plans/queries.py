@@ -19,7 +19,7 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..operators.extract import RAW_FIELDS, dom_to_facts, extract_raw
 from ..operators.dom import parse_dom
-from ..operators.process import headings_table, links_table, page_facts, page_statistics, pages_table, process_records
+from ..operators.process import each, headings_table, links_table, page_facts, page_statistics, pages_table, process_records
 from ..session import staged
 from ..sources.pages import TASK_BYTES, scan_pages
 from . import oracle as O
@@ -101,8 +101,8 @@ FROM anc_rows
 def q_extract_links(spark, sf):
     """Every a[href] with absolute url and stripped text, before dedup."""
     raw = raw_pages(spark, sf, tags=frozenset(["a"]), fields=("links",))
-    return longs(raw.select(_pid(), F.posexplode("links").alias("p", "l"))
-                 .select("page_id", (F.col("p") + 1).alias("pos"), "l.url", "l.text", "l.is_external"))
+    return longs(each(raw.withColumn("page_id", _pid()), "links", "page_id")
+                 .select("page_id", (F.col("pos") + 1).alias("pos"), "x.url", "x.text", "x.is_external"))
 
 
 @query("extract_title", f"WITH {O.PAGES_MAIN} SELECT CAST(page_id AS VARCHAR) AS page_id, title_raw AS title FROM pm")
@@ -143,8 +143,8 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(1 AS BIGINT) AS pos, CAST(1 AS
 def q_extract_headings(spark, sf):
     """H7: headings under the main content, document order."""
     raw = raw_pages(spark, sf, fields=("content",))
-    return longs(raw.select(_pid(), F.posexplode("content.headings").alias("p", "h"))
-                 .select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.text"))
+    return longs(each(raw.withColumn("page_id", _pid()), "content.headings", "page_id")
+                 .select("page_id", (F.col("pos") + 1).alias("pos"), "x.level", "x.text"))
 
 
 @query("extract_paragraphs", f"""

@@ -16,6 +16,7 @@ from ..operators.extract import dom_to_raw, extract_raw, select_texts_sql
 from ..operators.process import errors_table, framework_counts, images_table, page_children, page_children_local, \
     pages_table, process_records, run_summary, write_bucketed
 from ..session import checkpoint_path, staged
+from ..sources.pages import TASK_BYTES, spread_by_bytes
 
 RUN_TS = "2026-01-01 00:00:00"
 FILLER = "A long line of words about nothing much, told at length and without any hurry, so that the main part is long. " * 2
@@ -49,7 +50,7 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
     html = (f"replace(replace(replace('{body}', '@', CAST(page_id AS STRING)), '\x01', '@'), "
             f"'ng-app>#', concat('ng-app>', {extra}, {react}))")
     url = "concat('https://h', CAST(page_id % 7 AS STRING), '.example/d/p', CAST(page_id AS STRING))"
-    return pages.select("page_id", F.expr(url).alias("url"), F.expr(html).alias("html"))
+    return spread_by_bytes(pages.select("page_id", F.expr(url).alias("url"), F.expr(html).alias("html")), TASK_BYTES)
 
 
 _R = """r AS (SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'https://h' || (page_id % 7) || '.example' AS origin,

@@ -143,8 +143,9 @@ def write_run_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "par
 
     Rows are rebalanced by host and run: by the sizes that the shuffle has
     measured, a host that is large is written by as many tasks as it has
-    advisory sizes, and small hosts by one.  The partitions of a run are
-    overwritten, so a repeated write changes nothing."""
+    advisory sizes, and a small host by one (a few where it shares the shuffle
+    partition of a large one).  The partitions of a run are overwritten, so a
+    repeated write changes nothing."""
     for name, df in tables.items():
         if "url" not in df.columns:
             raise ValueError(f"the table {name} has no page url to take its host from")
@@ -198,7 +199,7 @@ def flatten_records(rec: DataFrame) -> DataFrame:
     heading = row(record_type="'heading'", url="url", heading_number="i + 1", heading_level="h.level", heading_text="h.text")
     rows = (f"concat(array({page}), transform(link_rows, (l, i) -> {link}), "
             f"transform(coalesce(content.headings, array()), (h, i) -> {heading}))")
-    return rec.filter("valid").select(F.explode(expr(rows)).alias("r")).select("r.*")
+    return rec.filter("valid").select(F.explode_outer(expr(rows)).alias("r")).select("r.*")     # never empty
 
 
 def write_flat_json(rec: DataFrame, path: str) -> None:
