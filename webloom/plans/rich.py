@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators import gates as G
 from ..operators.dom import parse_dom
-from ..operators.extract import dom_to_raw, extract_raw, select_texts_sql
+from ..operators.extract import dom_to_facts, dom_to_raw, extract_raw, select_texts_sql
 from ..operators.process import errors_table, framework_counts, images_table, page_children, page_children_local, \
-    pages_table, process_records, run_summary, write_bucketed
+    page_facts, pages_table, process_records, run_summary, write_bucketed
+from ..operators.runs import host_rollup
 from ..session import checkpoint_path, staged
 from ..sources.pages import TASK_BYTES, spread_by_bytes
 
@@ -261,3 +262,59 @@ def q_route_errors(spark, sf):
     """Records without a url leave the flow as error rows with zero counts."""
     pages = rich_pages(spark, sf).withColumn("url", F.when(F.col("page_id") % 10 == 3, "").otherwise(F.col("url")))
     return _long(errors_table(process_records(extract_raw(pages), RUN_TS)).select("page_id", "url", "status", "error", "links_found"))
+
+
+#: Layouts of the main part, by page id; ``#`` stands for the long line.
+LAYOUTS = ["<section>#</section>", '<div class="content">#</div>', '<div id="content">#</div>', '<div class="x main-content">#</div>',
+           '<div class="post-content">#</div>', '<section role="main">#</section>', "<main>short</main><article>#</article>",
+           "<main>short</main><p>#</p>"]
+
+
+@query("main_content_layouts", f"""
+SELECT id AS page_id, mode, sel AS main_selector,
+       CASE WHEN sel <> 'body' THEN '{_LONG}' WHEN page_id % 8 = 7 THEN 'topshort{_LONG}' ELSE 'top{_LONG}' END AS text,
+       mode = 'dynamic' AND page_id % 3 = 0 AS has_vue
+FROM r, (VALUES ('static'), ('dynamic')) m(mode),
+LATERAL (SELECT CASE page_id % 8 WHEN 0 THEN CASE mode WHEN 'static' THEN 'section' ELSE 'body' END WHEN 1 THEN '.content' WHEN 2 THEN '#content'
+         WHEN 3 THEN '.main-content' WHEN 4 THEN CASE mode WHEN 'static' THEN '.post-content' ELSE 'body' END
+         WHEN 5 THEN CASE mode WHEN 'static' THEN 'section' ELSE 'section[role=main]' END WHEN 6 THEN 'article' ELSE 'body' END AS sel)
+""")
+def q_layouts(spark, sf):
+    """H5 (+ H6, H15): every content selector in both dialects, and the Vue marker."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    part = "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{x.replace('#content', '@').replace('#', FILLER).replace('@', '#content')}'"
+                                          for i, x in enumerate(LAYOUTS)) + " END"
+    vue = "CASE WHEN page_id % 3 = 0 THEN '<b data-v-=\"\"></b>' ELSE '' END"
+    html = F.expr(f"concat('<html><body><i>top</i>', {vue}, {part}, '</body></html>')")
+    parsed = staged(parse_dom(spread_by_bytes(pages.select("page_id", "url", html.alias("html")), TASK_BYTES)), "dom")
+    rows = [dom_to_raw(parsed, mode, fields=("content", "frameworks")).select(
+        _pid(), F.lit(mode).alias("mode"), "main_selector", F.col("content.text").alias("text"),
+        F.expr("coalesce(frameworks['vue'], false)").alias("has_vue")) for mode in ("static", "dynamic")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("host_rollup_full", """
+SELECT replace(origin, 'https://', '') AS host, count(*) AS pages, CAST(3 * count(*) AS BIGINT) AS links, count(*) AS external_links,
+       avg(CASE WHEN page_id % 4 <> 3 THEN page_id % 90 END) AS avg_response_ms
+FROM r GROUP BY ROLLUP (replace(origin, 'https://', ''))
+""")
+def q_host_rollup_full(spark, sf):
+    """A4: external links and response times per host (NULL times are left out
+    of the mean) and in total."""
+    pages = rich_pages(spark, sf).withColumn("response_time_ms", F.when(F.col("page_id") % 4 != 3, (F.col("page_id") % 90).cast("int")))
+    return _long(host_rollup(process_records(extract_raw(pages, fields=("links",)), RUN_TS)))
+
+
+@query("pages_table_filled", """
+SELECT id AS page_id, filled, CASE page_id % 3 WHEN 1 THEN 404::BIGINT WHEN 2 THEN 301 ELSE CASE WHEN filled THEN 200 END END AS http_status_code,
+       CASE WHEN page_id % 2 = 0 THEN 7::BIGINT WHEN filled THEN 0 END AS response_time_ms, 2::BIGINT AS form_count, 2::BIGINT AS image_count
+FROM r, (VALUES (true), (false)) v(filled)
+""")
+def q_pages_table_filled(spark, sf):
+    """F8, A1: NULL fetch fields stay NULL, or take the defaults when asked to."""
+    pages = rich_pages(spark, sf).selectExpr("*", "CASE page_id % 3 WHEN 1 THEN 404 WHEN 2 THEN 301 END AS http_status_code",
+                                             "CASE WHEN page_id % 2 = 0 THEN 7 END AS response_time_ms")
+    facts = staged(page_facts(dom_to_facts(parse_dom(pages)), RUN_TS), "filled")
+    rows = [pages_table(facts, fill_http_defaults=f).select("page_id", F.lit(f).alias("filled"), "http_status_code", "response_time_ms",
+                                                            "form_count", "image_count") for f in (True, False)]
+    return _long(rows[0].unionByName(rows[1]))
