@@ -361,9 +361,12 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     right = lists.select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("key").alias("b"),
                          F.col("n").alias("nb"), F.col("place").alias("xb"), F.col("most").alias("mb"), F.col("lo").alias("lob"),
                          F.col("hi").alias("hib"), F.col("shared").alias("sb"))
+    # A pair meets in every list that both are in; a long list passes it on only
+    # where it is the first of them (all of them still hold both components).
+    once = "array_min(array_intersect(sa, sb)) = l.token"
     across = F.expr(f"a < b AND NOT (loa = hia AND lob = hib AND loa = lob) AND {close} AND {may} "
-                    f"AND (sa IS NULL OR sb IS NULL OR {enough})")
-    group_pairs = (left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & across)
+                    f"AND (sa IS NULL OR sb IS NULL OR ({enough} AND {once}))")
+    group_pairs = (left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & across)
                    .select("a", "na", "b", "nb").distinct().join(arrays("a"), "a").join(arrays("b"), "b").filter(enough)
                    .select("a", "b"))
     inside = spread.filter("lo <> hi").select(F.col("first").alias("a"), F.col("first").alias("b"))
