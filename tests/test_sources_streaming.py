@@ -229,3 +229,23 @@ def test_a_large_host_is_written_by_many_tasks(spark):
     small = [count(f"h{i}.example") for i in range(40)]        # few share the shuffle partition of the large one
     assert count("hot.example") >= 4 and sum(n == 1 for n in small) >= 30
     assert spark.read.parquet(f"{d}/pages").count() == len(rows)
+
+
+def test_stream_queries_read_a_table_that_is_a_folder(spark):
+    from webloom.plans.queries import QUERIES
+
+    files, folders = tempfile.mkdtemp(prefix="wl-file-"), tempfile.mkdtemp(prefix="wl-folder-")
+    words = " ".join(f"word{i}" for i in range(60))
+    pages = spark.range(12).selectExpr("id AS page_id", "concat('https://blog.example.com/en/', id) AS url",
+                                       f"concat('<html><body><p>{words}</p><a href=\"/x', id, '\">a</a></body></html>') AS html")
+    events = spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 700) AS ts", "id % 7 AS user_id",
+                                         "element_at(array('click', 'view', 'error'), CAST(id % 3 + 1 AS INT)) AS event_type",
+                                         "CAST(id % 100 AS DOUBLE) AS value", "'{}' AS props")
+    for name, df in (("pages", pages), ("events", events)):
+        df.repartition(3).write.parquet(f"{folders}/{name}.parquet")
+        df.coalesce(1).write.parquet(f"{files}/{name}")
+        part = next(f for f in os.listdir(f"{files}/{name}") if f.endswith(".parquet"))
+        shutil.copy(f"{files}/{name}/{part}", f"{files}/{name}.parquet")
+    for query in ("stream_process", "stream_session_state", "robots_refresh"):
+        one, many = (sorted(map(tuple, QUERIES[query](spark, d).collect())) for d in (files, folders))
+        assert one and one == many, query

@@ -861,9 +861,9 @@ def q_stream_process(spark, sf):
     the links table it wrote."""
     import uuid
     from ..session import checkpoint_path
-    from ..streaming.stream import read_page_stream, stream_process
+    from ..streaming.stream import read_page_stream, stream_process, table_glob
     out = checkpoint_path(spark, f"stream-out-{uuid.uuid4().hex[:12]}")
-    stream = read_page_stream(spark, sf, glob="pages.parquet")
+    stream = read_page_stream(spark, table_glob(f"{sf}/pages.parquet"))
     q = stream_process(stream, out, RUN_TS, DV.robots_files(spark, sf))
     q.awaitTermination()
     return longs(spark.read.parquet(f"{out}/links").drop("batch_id", "scraped_at"))
@@ -886,9 +886,9 @@ FROM fin LEFT JOIN hit ON hit.session_id = fin.session_id
 def q_stream_session_state(spark, sf):
     """X2 + X3 as a stream: session events and stop requests in one keyed
     state (stops: clicks of a high value)."""
-    from ..streaming.stream import run_updates, stream_session_state
+    from ..streaming.stream import run_updates, stream_session_state, table_glob
     schema = table(spark, sf, "events").schema
-    read = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) \
+    read = lambda: spark.readStream.schema(schema).parquet(table_glob(f"{sf}/events.parquet")) \
         .withColumn("ts", F.col("ts").cast("timestamp"))
     status = F.expr("CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'running' END")
     sid = F.col("user_id").cast("string").alias("session_id")
@@ -911,8 +911,8 @@ SELECT host, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM due
 def q_robots_refresh(spark, sf):
     """Requests at which a host's robots.txt is fetched again, one TTL after
     the last (event stream: host = user, event time = ts)."""
-    from ..streaming.stream import robots_refresh, run_to_the_end
-    ev = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    from ..streaming.stream import robots_refresh, run_to_the_end, table_glob
+    ev = spark.readStream.schema(table(spark, sf, "events").schema).parquet(table_glob(f"{sf}/events.parquet"))
     req = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"),
                     F.col("ts").cast("timestamp").alias("ts"))
     path = run_to_the_end(req, robots_refresh, "robots-refresh", "host")

@@ -41,7 +41,8 @@ from ..session import checkpoint_path
 
 def read_page_stream(spark: SparkSession, path: str, schema: str = "page_id long, url string, html string",
                      glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of page rows from files arriving under ``path``."""
+    """A stream of page rows from files arriving under ``path`` (see
+    ``table_glob`` for a table that may be one file)."""
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -50,6 +51,13 @@ def read_page_stream(spark: SparkSession, path: str, schema: str = "page_id long
     return r.parquet(path)
 
 
+def table_glob(path: str) -> str:
+    """A pattern that only ``path`` fits.  A stream of files takes a plain path
+    for a folder; by a pattern it reads a table that is one file, and one that is
+    a folder of files, alike."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def _write_batch(out_dir: str, run_ts: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         rec = batch.persist()
