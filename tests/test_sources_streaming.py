@@ -249,3 +249,81 @@ def test_stream_queries_read_a_table_that_is_a_folder(spark):
     for query in ("stream_process", "stream_session_state", "robots_refresh"):
         one, many = (sorted(map(tuple, QUERIES[query](spark, d).collect())) for d in (files, folders))
         assert one and one == many, query
+
+
+class _Handle:
+    """State of one key in memory, with the calls that a processor makes."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states, self.now = 0, set(), {}, 0
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _State(self))
+
+    getListState = getValueState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def expire(self, processor, key, now):
+        self.now, out = now, []
+        for ms in sorted(t for t in self.timers if t <= now):
+            info = type("Info", (), {"getExpiryTimeInMs": lambda self, ms=ms: ms})()
+            out += list(processor.handleExpiredTimer(key, self, info))
+            self.timers.discard(ms)
+        return out
+
+
+class _State:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.handle.calls += 1
+        return iter(list(self.value or [])) if isinstance(self.value, list) or self.value is None else self.value
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    def appendList(self, values):
+        self.handle.calls += 1
+        self.value = (self.value or []) + list(values)
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_host_of_many_slots_takes_few_calls_of_the_state(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    times = [rng.randrange(1, 3_000 * 3600) * 1_000_000 for _ in range(6000)]
+    want, last = [], None
+    for t in sorted(times):
+        if last is None or t >= last + 3_600_000_000:
+            last = t
+            want.append(t)
+    for held in (X.HELD if hasattr(X, "HELD") else 0, 500):       # 500: read in windows of slots
+        monkeypatch.setattr(X, "HELD", held, raising=False)
+        handle, host = _Handle(), X.Refreshes(3_600_000_000)
+        host.init(handle)
+        for at in range(0, 6000, 1500):
+            list(host.handleInputRows(("h",), iter([pd.DataFrame({"us": times[at:at + 1500]})]), handle))
+        assert handle.calls <= 20 and len(handle.timers) <= 4      # before: some for every slot
+        got = [t for now in (500 * 3_600_000, 501 * 3_600_000 + 5, 4_000 * 3_600_000) for f in handle.expire(host, ("h",), now) for t in f["us"]]
+        assert got == want
+        assert not handle.expire(host, ("h",), 5_000 * 3_600_000) and not handle.timers
+        assert all(s.value is None for n, s in handle.states.items() if n != "use")     # nothing is remembered

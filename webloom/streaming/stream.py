@@ -26,6 +26,7 @@ storage on a cluster).
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -198,9 +199,14 @@ def stream_session_state(events: DataFrame, stops: DataFrame | None = None, wate
     return rows.groupBy("session_id").transformWithStateInPandas(Sessions(), _SESSION, "Update", "EventTime")
 
 
+#: Request times to a piece, and how many of a host are held at a time.
+PIECE, HELD = 1 << 12, 1 << 20
+
+
 class Refreshes(StatefulProcessor):
-    """State of one host: the last fetch, and the request times that wait, by
-    TTL slot."""
+    """State of one host: the last fetch, and the request times that wait, as
+    sorted pieces in one of two lists.  A host has one timer for a batch of
+    requests and one for those left by the last, not one for every TTL slot."""
 
     def __init__(self, step: int) -> None:
         self.step = step
@@ -208,46 +214,96 @@ class Refreshes(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
-        self.slots = handle.getMapState("slots", "slot long", "times binary")
+        self.use = handle.getValueState("use", "list int")
+        self.times = [handle.getListState(f"times{k}", "times binary") for k in (0, 1)]
 
     def handleInputRows(self, key, rows, timerValues):
+        waiting = self.times[self.use.get()[0] if self.use.exists() else 0]
+        oldest = None
         for chunk in rows:
             times = np.unique(chunk["us"].to_numpy(dtype=np.int64))
-            for slot, own in zip(*self._split(times), strict=True):
-                known = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
-                if known is None:
-                    self.handle.registerTimer(-(-(slot + 1) * self.step // 1000))
-                else:
-                    own = np.union1d(np.frombuffer(known[0], dtype=np.int64), own)
-                self.slots.updateValue((slot,), (own.tobytes(),))
+            oldest = int(times[0]) if oldest is None else min(oldest, int(times[0]))
+            waiting.appendList([(times[at:at + PIECE].tobytes(),) for at in range(0, len(times), PIECE)])
+        self._wake(oldest)
         return iter(())
 
-    def _split(self, times: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-        slots = times // self.step
-        cuts = np.flatnonzero(np.diff(slots)) + 1
-        return [int(slots[i]) for i in (0, *cuts)], np.split(times, cuts)
+    def _wake(self, us: int) -> None:
+        """A timer for the end of the TTL slot of ``us``."""
+        self.handle.registerTimer(-(-(us // self.step + 1) * self.step // 1000))
+
+    def _pieces(self, waiting):
+        return (np.frombuffer(r[0], dtype=np.int64) for r in waiting.get())
+
+    def _windows(self, waiting, until: int):
+        """The times before ``until`` in order, cut at slots: about HELD at a
+        time, so that a host with very many is read several times instead of
+        being held."""
+        held, size, sizes = [], 0, Counter()
+        for piece in self._pieces(waiting):
+            piece = piece[:np.searchsorted(piece, until)]
+            size += len(piece)
+            if size <= HELD:
+                held.append(piece)
+            slots, counts = np.unique(piece // self.step, return_counts=True)
+            sizes.update(dict(zip(slots.tolist(), counts.tolist(), strict=True)))
+        if size <= HELD:
+            if size:
+                yield np.unique(np.concatenate(held))
+            return
+        del held
+        ends, filled = [], 0
+        for slot in sorted(sizes):
+            if filled and filled + sizes[slot] > HELD:
+                ends.append(slot * self.step)
+                filled = 0
+            filled += sizes[slot]
+        for lo, hi in zip([None, *ends], [*ends, until], strict=True):
+            yield np.unique(np.concatenate([p[0 if lo is None else np.searchsorted(p, lo):np.searchsorted(p, hi)] for p in self._pieces(waiting)]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Slots that the watermark has passed are complete: a slot is one TTL
-        long, so at most one request of it is due."""
-        now, due = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
-        last = self.last.get()[0] if self.last.exists() else None
-        for slot in sorted(k[0] for k in self.slots.keys()):
-            if (slot + 1) * self.step > now:
-                break
-            times = np.frombuffer(self.slots.getValue((slot,))[0], dtype=np.int64)
+        long, so at most one request of it is due.  The times after them move to
+        the other list."""
+        now, due = timerValues.getCurrentWatermarkInMs() * 1000, []
+        until = now // self.step * self.step
+        k = self.use.get()[0] if self.use.exists() else 0
+        waiting, other = self.times[k], self.times[1 - k]
+        known = last = self.last.get()[0] if self.last.exists() else None
+        done = 0
+        for times in self._windows(waiting, until):
+            done += len(times)
             at = 0 if last is None else int(np.searchsorted(times, last + self.step))
-            if at < len(times):
+            while at < len(times):
                 last = int(times[at])
                 due.append(last)
-            self.slots.removeKey((slot,))
+                at += int(np.searchsorted(times[at:], last + self.step))
+        if done:
+            self._keep_after(until, waiting, other)
+            self.use.update((1 - k,))
         if due:
             self.last.update((last,))
             self.handle.registerTimer(-(-self._complete(last) // 1000) + 1)
             yield pd.DataFrame({"host": key[0], "us": due})
-        elif last is not None and self._complete(last) <= now:
+        elif known is not None and self._complete(known) <= now:
             self.last.clear()                            # whatever comes now is due: nothing to remember
 
+    def _keep_after(self, until: int, waiting, other) -> None:
+        oldest, part, held = None, [], 0
+        for piece in self._pieces(waiting):
+            piece = piece[np.searchsorted(piece, until):]
+            if len(piece):
+                oldest = int(piece[0]) if oldest is None else min(oldest, int(piece[0]))
+                part.append(piece)
+                held += len(piece)
+            if held >= PIECE:
+                other.appendList([(np.unique(np.concatenate(part)).tobytes(),)])
+                part, held = [], 0
+        if part:
+            other.appendList([(np.unique(np.concatenate(part)).tobytes(),)])
+        waiting.clear()
+        if oldest is not None:
+            self._wake(oldest)
+
     def _complete(self, last: int) -> int:
         """End of the slot in which the TTL after ``last`` ends."""
         return ((last + self.step) // self.step + 1) * self.step
