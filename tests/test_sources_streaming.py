@@ -327,3 +327,26 @@ def test_a_host_of_many_slots_takes_few_calls_of_the_state(spark, monkeypatch):
         assert got == want
         assert not handle.expire(host, ("h",), 5_000 * 3_600_000) and not handle.timers
         assert all(s.value is None for n, s in handle.states.items() if n != "use")     # nothing is remembered
+
+
+def test_rows_of_a_session_wait_packed(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(1, 10 ** 9), i, float(i), None if i % 9 == 0 else f"s{i}", "running" if i % 3 else "completed", i % 50 == 0) for i in range(3000)]
+    df = pd.DataFrame(rows, columns=["us", "seq", "progress", "step", "status", "is_stop"])
+    handle, sessions = _Handle(), X.Sessions()
+    sessions.init(handle)
+    out = list(sessions.handleInputRows(("a",), iter([df]), handle))
+    assert sum(len(s.value) for n, s in handle.states.items() if n.startswith("rows") and s.value) <= 3      # before: 3000
+    last = None
+    for us, seq, progress, step, status, is_stop in sorted(rows, key=lambda r: (r[0], r[5], r[1])):
+        if not is_stop:
+            last = (us, progress, step, status)
+        elif last is not None and last[3] == "running":
+            last = (us, last[1], last[2], "stopped")
+            break
+    got = out[0].iloc[0]
+    assert (got["updated_at"].value // 1000, got["progress"], got["step"], got["status"]) == last

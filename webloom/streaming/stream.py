@@ -25,7 +25,6 @@ storage on a cluster).
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -94,7 +93,19 @@ def use_state_store(spark: SparkSession) -> None:
 
 _SESSION = "session_id string, progress double, step string, status string, updated_at timestamp"
 _EVENT = "us long, seq long, progress double, step string, status string"
+#: Rows wait packed, so many to a state row: their numbers as bytes.
 CHUNK = 1000
+_ROWS = "us binary, seq binary, progress binary, is_stop binary, step array<string>, status array<string>"
+_KINDS = {"us": np.int64, "seq": np.int64, "progress": np.float64, "is_stop": np.bool_}
+
+
+def _pack(rows: pd.DataFrame) -> tuple:
+    return (*(rows[c].astype(kind).to_numpy().tobytes() for c, kind in _KINDS.items()), rows["step"].tolist(), rows["status"].tolist())
+
+
+def _unpack(row: tuple) -> tuple:
+    """Arrays of us, seq, progress and is_stop, and lists of step and status."""
+    return (*(np.frombuffer(b, kind) for b, kind in zip(row, _KINDS.values(), strict=False)), row[4], row[5])
 
 
 class Sessions(StatefulProcessor):
@@ -105,18 +116,15 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", _EVENT)
         self.use = handle.getValueState("use", "list int")
-        self.rows = [handle.getListState(f"rows{k}", f"{_EVENT}, is_stop boolean") for k in (0, 1)]
+        self.rows = [handle.getListState(f"rows{k}", _ROWS) for k in (0, 1)]
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = self.rows[self.use.get()[0] if self.use.exists() else 0]
         newest = 0
         for chunk in rows:
-            for at in range(0, len(chunk), CHUNK):
-                part = chunk.iloc[at:at + CHUNK]
-                newest = max(newest, int(part["us"].max()))
-                waiting.appendList([(int(r.us), int(r.seq), float(r.progress), r.step, r.status, bool(r.is_stop))
-                                    for r in part.itertuples(index=False)])
+            newest = max(newest, int(chunk["us"].max()))
+            waiting.appendList([_pack(chunk.iloc[at:at + CHUNK]) for at in range(0, len(chunk), CHUNK)])
         shown = self._outcome(waiting)
         if now > 0:
             self._settle(waiting, now)
@@ -126,22 +134,28 @@ class Sessions(StatefulProcessor):
             yield pd.DataFrame({"session_id": [key[0]], "progress": [progress], "step": [step], "status": [status],
                                 "updated_at": [pd.Timestamp(us, unit="us")]})
 
-    def _outcome(self, waiting, until: int | None = None):
+    def _outcome(self, waiting, until: int = (1 << 63) - 1):
         """The session after the rows that wait (up to ``until``): the latest
         event, or the first stop that found the session active.  Only the stops
         and one event between two of them are held."""
         last = tuple(self.last.get()) if self.last.exists() else None
         if last is not None and last[4] == "stopped":
             return last                                  # a stopped session stays stopped
-        within = lambda r: until is None or r[0] <= until
-        stops = sorted({r[0] for r in waiting.get() if r[5] and within(r)})
+        stops = np.empty(0, np.int64)
+        for us, _, _, is_stop, _, _ in map(_unpack, waiting.get()):
+            if is_stop.any():
+                stops = np.union1d(stops, us[is_stop & (us <= until)])
         latest: list = [None] * (len(stops) + 1)         # an event counts before a stop of its time
-        for r in waiting.get():
-            if not r[5] and within(r):
-                k = bisect_left(stops, r[0])
-                if latest[k] is None or (r[0], r[1]) > latest[k][:2]:
-                    latest[k] = tuple(r[:5])
-        for stop, event in zip([*stops, None], latest, strict=True):
+        for us, seq, progress, is_stop, step, status in map(_unpack, waiting.get()):
+            at = np.flatnonzero(~is_stop & (us <= until))
+            between = np.searchsorted(stops, us[at])
+            at = at[np.lexsort((-at, seq[at], us[at], between))]         # of equal ones the first
+            between.sort()
+            for end in np.flatnonzero(np.diff(between, append=-1)).tolist():
+                k, i = between[end], at[end]
+                if latest[k] is None or (us[i], seq[i]) > latest[k][:2]:
+                    latest[k] = (int(us[i]), int(seq[i]), float(progress[i]), step[i], status[i])
+        for stop, event in zip([*stops.tolist(), None], latest, strict=True):
             if event is not None and (last is None or event[:2] > last[:2]):
                 last = event
             if stop is not None and last is not None and last[4] not in FINISHED_STATES:
@@ -156,15 +170,17 @@ class Sessions(StatefulProcessor):
             self.last.update(final)
         k = 1 - (self.use.get()[0] if self.use.exists() else 0)
         if final is None or final[4] != "stopped":
-            part = []
-            for r in waiting.get():
-                if r[0] > now:
-                    part.append(tuple(r))
-                    if len(part) == CHUNK:
-                        self.rows[k].appendList(part)
-                        part = []
+            part, held = [], 0
+            for us, seq, progress, is_stop, step, status in map(_unpack, waiting.get()):
+                later = us > now
+                if later.any():
+                    part.append(pd.DataFrame({"us": us, "seq": seq, "progress": progress, "is_stop": is_stop, "step": step, "status": status})[later])
+                    held += len(part[-1])
+                if held >= CHUNK:
+                    self.rows[k].appendList([_pack(pd.concat(part))])
+                    part, held = [], 0
             if part:
-                self.rows[k].appendList(part)
+                self.rows[k].appendList([_pack(pd.concat(part))])
         waiting.clear()
         self.use.update((k,))
 
