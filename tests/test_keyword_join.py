@@ -31,3 +31,24 @@ def test_a_hundred_thousand_keywords(spark):
     for i, text in rows[:60]:
         hits = {text[a:b] for a in range(len(text)) for b in range(a + 4, min(a + 11, len(text) + 1))} & place.keys()
         assert out[i].n_keywords == len(hits) and out[i].first_keyword == min(hits, key=place.get, default=None)
+
+
+def test_a_long_text_searches_a_repeated_word_once(spark, monkeypatch):
+    """Keywords without a blank are looked up in the distinct words of all texts
+    (before, every text was searched for each of its candidates)."""
+    from webloom.operators import gates as G
+
+    seen = []
+    inner = G.keyword_candidates
+    monkeypatch.setattr(G, "keyword_candidates", lambda texts, words: seen.append(texts.count()) or inner(texts, words))
+    words = [f"word{i}" for i in range(40)]
+    texts = [(i % 30, " ".join(words[(i + j * j) % 40] for j in range(500))) for i in range(60)] + [(7, ""), (None, "  word3,word39  "), (8, None)]
+    kw = spark.createDataFrame([("word3", 2), ("ord39", 1), ("word1", 5), ("word1", 5)], "keyword string, ord int")
+    got = G.keyword_first_match(spark.createDataFrame(texts, "id long, t string"), kw, "id", "t", in_plan=0).collect()
+    assert seen == [41]                                             # 40 words and one stretch of two
+    listed = [("ord39", 1), ("word3", 2), ("word1", 5), ("word1", 5)]
+    want = []
+    for key, text in texts:
+        hits = [w for w, _ in listed if text and w in text]
+        want.append((key, hits[0] if hits else None, len(hits)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

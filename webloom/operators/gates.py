@@ -370,7 +370,9 @@ def keyword_first_match(texts: DataFrame, keywords: DataFrame, key_col: str, tex
     A list of up to ``in_plan`` entries is one array in the plan, and the texts
     are neither joined nor moved.  A longer one is joined by an index of grams
     (``keyword_candidates``), however long it is; a text moves at most once, to
-    meet the candidates of its key."""
+    meet the candidates of its key.  Where no keyword holds a blank, the distinct
+    stretches between the blanks are looked up instead of the texts
+    (``stretch_matches``)."""
     words = keywords.select(F.col("keyword").cast("string").alias("keyword"), F.coalesce(F.col("ord").cast("long"), F.lit((1 << 63) - 1)).alias("ord")) \
         .filter("keyword <> ''")                                     # a NULL place is the last
     lowered = texts.select(F.col(key_col).alias("_k"), F.lower(F.col(text_col)).alias("_t"))
@@ -379,6 +381,8 @@ def keyword_first_match(texts: DataFrame, keywords: DataFrame, key_col: str, tex
         listed = f"array({qlist([r[1] for r in rows])})" if rows else "CAST(array() AS array<string>)"
         k = fresh()
         hits = lowered.select("_k", expr(f"filter({listed}, {k} -> {_keyword_hit('_t', k, word_boundary)})").alias("_hits"))
+    elif words.filter("contains(keyword, ' ')").isEmpty():
+        return stretch_matches(lowered, words, word_boundary).withColumnRenamed("_k", key_col)
     else:
         found = keyword_candidates(lowered, words)
         k = fresh()
@@ -400,6 +404,30 @@ def _grams(text: str, size: int) -> str:
     return f"CASE WHEN length({text}) >= {size} THEN {body} END"
 
 
+def stretch_matches(texts: DataFrame, words: DataFrame, word_boundary: bool) -> DataFrame:
+    """``texts(_k, _t)`` and ``words(keyword, ord)``, none with a blank → per row
+    ``_k``, ``first_keyword`` and ``n_keywords``.
+
+    Such a keyword lies between two blanks, so it is searched in the distinct
+    stretches between blanks of all texts, once in each: texts say the same words
+    again and again, and long ones would have nearly every keyword for a
+    candidate.  The rows then meet the numbers of the keywords in their stretches
+    (listed in order, a repeat under a number of its own); the texts do not move,
+    and a row keeps its first stretch whether it holds any or not."""
+    listed = staged(words.orderBy("ord", "keyword").withColumn("id", F.monotonically_increasing_id()), "keyword-places")
+    rows = texts.withColumn("_row", F.monotonically_increasing_id())          # numbered before they are split
+    said = rows.select("_k", "_row", expr("posexplode_outer(array_distinct(split(_t, ' ')))").alias("_pos", "_s"))
+    vocabulary = staged(said.select("_s").filter("_s <> ''").distinct(), "stretches")
+    found = keyword_candidates(vocabulary.select(F.col("_s").alias("_k"), F.col("_s").alias("_t")), listed.groupBy("keyword").agg(F.min("ord").alias("ord"))) \
+        .select(F.col("_k").alias("_s"), F.explode("_found.w").alias("keyword")).filter(expr(_keyword_hit("_s", "keyword", word_boundary)))
+    found = staged(found.join(listed, "keyword").groupBy("_s").agg(F.collect_list("id").alias("_ids")), "stretch-hits")
+    near = F.broadcast if found.agg(F.coalesce(F.sum(F.size("_ids")), F.lit(0))).first()[0] <= INDEX_AT_HAND else (lambda df: df)
+    both = said.join(near(found), "_s", "left").filter("_ids IS NOT NULL OR coalesce(_pos, 0) = 0")
+    per_row = both.groupBy("_row", "_k").agg(F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids")) \
+        .select("_k", F.array_min("_ids").alias("id"), F.size("_ids").cast("long").alias("n_keywords"))
+    return per_row.join(listed, "id", "left").select("_k", F.col("keyword").alias("first_keyword"), "n_keywords")
+
+
 def keyword_candidates(texts: DataFrame, words: DataFrame) -> DataFrame:
     """``texts(_k, _t)`` and ``words(keyword, ord)`` → per key the keywords that
     its texts may hold (``_found``: structs of ord and keyword, in order).
