@@ -64,3 +64,16 @@ def test_facts_are_those_of_the_records(spark):
     some = process_records(extract_raw(pages, fields=("links",)), TS)
     full = process_records(extract_raw(pages), TS)
     assert sorted(map(str, links_table(some).collect())) == sorted(map(str, links_table(full).collect()))
+
+
+def test_a_parse_decodes_a_megabyte_at_a_time():
+    import pyarrow as pa
+    from webloom.operators import dom
+    from webloom.sources import pages
+
+    docs = pa.array(["x" * 3000, None, "é" * 400_000, "y" * 700_000, ""] + ["z" * 10_000] * 500)
+    cuts = list(dom._slices(docs))
+    assert [at for at, _ in cuts] == [0] + [sum(n for _, n in cuts[:i]) for i in range(1, len(cuts))] and sum(n for _, n in cuts) == len(docs)
+    assert all(n == 1 or sum(len((d or "").encode()) for d in docs.slice(at, n).to_pylist()) <= 1 << 20 for at, n in cuts)
+    assert list(dom._slices(pa.array([], pa.string()))) == [(0, 0)]
+    assert pages.TASK_BYTES <= 8 << 20                              # before 32 MB: four times the Python of a large input

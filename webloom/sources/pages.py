@@ -17,8 +17,9 @@ OPTIONAL_COLUMNS = ["http_status_code", "response_time_ms", "headers", "scraped_
 
 
 #: A task of a spread scan gets this much markup at most (a larger page is
-#: alone); a small input is still cut into this many bytes at least.
-TASK_BYTES, LEAST_BYTES = 32 << 20, 64 << 10
+#: alone), and so does an Arrow batch of its Python, whatever the session's rows to
+#: a batch; a small input is still cut into this many bytes at least.
+TASK_BYTES, LEAST_BYTES = 8 << 20, 64 << 10
 #: Ranges of page keys whose bytes are summed, and as many for large pages.
 RANGES = 8192
 
