@@ -86,3 +86,18 @@ def test_short_text_is_one_shingle():
     assert len(J.shingles(b"a b c", 4)) == 1 and len(J.shingles(b"", 4)) == 0
     assert (J.shingles(b"A b C d", 4) == J.shingles(b"a\tb c\nd", 4)).all()
     assert len(J.shingles(b"a a a a a a", 4)) == 1
+
+
+def test_sets_of_the_first_round_are_dropped_before_the_second(spark, monkeypatch):
+    import os
+    from webloom.llm import jaccard_join as J
+    from webloom.session import ensure_checkpoint_dir
+
+    where = ensure_checkpoint_dir(spark)
+    kept = lambda: {f for f in os.listdir(where) if f.startswith(("jaccard-sets", "jaccard-pairs"))}
+    before, seen, inner = kept(), [], J.components
+    monkeypatch.setattr(J, "components", lambda *a: seen.append(kept() - before) or inner(*a))
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1] + ["x"])), (3, "other words stand here alone")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.jaccard_join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert seen and seen[0] == set()                                # before: the sets stayed to the end

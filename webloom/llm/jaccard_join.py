@@ -341,7 +341,9 @@ def jaccard_join(docs: DataFrame, width: int = 4, threshold: int = 85, id_col: s
     pairs = (stars.select(F.col("first").alias("a"), "b")
              .union(many.join(stars, "first").select(F.col("key").alias("a"), "b"))
              .union(many.select(F.col("key").alias("a"), F.col("first").alias("b")))).distinct()
-    links = written(verify(pairs, members, texts, width, threshold, scratch), "jaccard-links")
+    checked = Scratch(spark)
+    links = written(verify(pairs, members, texts, width, threshold, checked), "jaccard-links")
+    checked.drop()                                                  # full sets: not kept beside those of the second round
     labels = components(links)
 
     # Lists that still hold two components: pairs of groups across them.
